@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed import NO_CATEGORY, NO_CATEGORY_LABEL, VERIFIED_SOURCE
-from ..functions.text import strip_text, title_body_text, without_prefix
+from ..functions.text import canonical_topic, strip_text, title_body_text, without_prefix
+from .positions import first_n
 
 LITERAL_ROWS = 10_000
 
@@ -26,16 +27,12 @@ def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Da
 
 def keep_first(df: DataFrame, key: str, ordinal: str) -> DataFrame:
     """One row per key: the first in file order. Copies are dropped before the shuffle."""
-    from .positions import first_n
-
     return first_n(df, [key], [F.col(ordinal)], 1)
 
 
 def keep_last(df: DataFrame, key: str, ordinal: str) -> DataFrame:
     """One row per key: the last in file order."""
-    from .positions import first_n
-
-    return first_n(df, [key], [F.col(ordinal).desc()], 1)
+    return first_n(df, [key], [F.col(ordinal).desc()], 1, [F.col(ordinal)])
 
 
 def category_lookup(
@@ -180,8 +177,6 @@ def pick_playbook(reviews: DataFrame, playbooks: DataFrame) -> DataFrame:
     ``playbooks`` has (sentiment, topic, playbook): sentiments x topics rows, so Catalyst or the caller's
     literal table broadcasts it.
     """
-    from ..functions.text import canonical_topic
-
     rows = reviews.withColumn("topic", canonical_topic(F.col("topic")))
     joined = rows.join(playbooks, ["sentiment", "topic"], "left")
     problem = F.concat(F.lit("no playbook for "), F.coalesce("sentiment", F.lit("null")), F.lit("/"), F.col("topic"))

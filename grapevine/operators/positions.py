@@ -88,27 +88,26 @@ def first_n(
     within: Sequence[str],
     order: Sequence[Column],
     n: int | Column,
-    rank: str | None = None,
+    spread: Sequence[Column] | None = None,
 ) -> DataFrame:
     """The first ``n`` rows of each group in ``order``; ``n`` may be a column (a quota per group).
 
     Ranked twice: first inside random slices of a group, then over what the slices kept, so the final
     task of a hot group sees at most ``n`` rows per slice. With a literal ``n`` Spark also
-    cuts each input partition before the shuffle.
+    cuts each input partition before the shuffle. ``spread`` names what deals rows to slices (default: the order
+    columns); it must differ between the rows of a group.
     """
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    name = rank or "_rank"
-    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
+    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*(spread or order)), F.lit(slices)))
     by_slice = Window.partitionBy(*within, "_slice").orderBy(*order)
     by_group = Window.partitionBy(*within).orderBy(*order)
-    kept = (
-        sliced.withColumn(name, F.row_number().over(by_slice))
-        .where(F.col(name) <= n)
-        .drop("_slice")
-        .withColumn(name, F.row_number().over(by_group))
-        .where(F.col(name) <= n)
+    return (
+        sliced.withColumn("_rank", F.row_number().over(by_slice))
+        .where(F.col("_rank") <= n)
+        .withColumn("_rank", F.row_number().over(by_group))
+        .where(F.col("_rank") <= n)
+        .drop("_slice", "_rank")
     )
-    return kept if rank else kept.drop(name)
 
 
 def nth_value(

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .positions import HASH_SHIFT, first_n, seeded_hash, with_position, with_total_before
+from .positions import HASH_SHIFT, ORDINAL_SHIFT, first_n, seeded_hash, with_position, with_total_before
 
 
 def dev_test_split(
@@ -88,10 +88,16 @@ def assign_round_robin(
 
 
 def budget_gate(
-    calls: DataFrame, ordinal: str, cost: str, cap_usd: float, spent: Column | float = 0.0, name: str = "admission"
+    calls: DataFrame,
+    ordinal: str,
+    cost: str,
+    cap_usd: float,
+    spent: Column | float = 0.0,
+    name: str = "admission",
+    shift: int = ORDINAL_SHIFT,
 ) -> DataFrame:
     """``admit`` a call while the spend before it is below the cap, else ``deferred``."""
-    placed = with_total_before(calls, F.col(ordinal), F.col(cost), "_earlier")
+    placed = with_total_before(calls, F.col(ordinal), F.col(cost), "_earlier", shift=shift)
     already = spent if isinstance(spent, Column) else F.lit(spent)
     before = F.coalesce(F.col("_earlier"), F.lit(0)).cast("decimal(38,6)") + already.cast("decimal(18,6)")
     admitted = before < F.lit(cap_usd).cast("decimal(18,6)")
