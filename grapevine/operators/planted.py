@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import WINDOW
+from ..storage import materialise
 from .joins import literal_table
 from .positions import first_n, nth_value, seeded_hash
-from .trends import detect_spikes
+from .trends import detect_spikes, score_series
 
 Spike = tuple  # (group, week, factor)
 
@@ -79,7 +80,7 @@ def _draw(colors: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray
 def seeded_timelines(
     counts: DataFrame, spikes: Sequence[Spike], n_weeks: int, runs: int, first_seed: int = 0
 ) -> DataFrame:
-    """(seed, group, week, count): the weekly counts after planting, once per seed.
+    """(seed, group, counts): the zero-filled weekly counts after planting, once per seed.
 
     Works on weekly counts, not on reviews: which reviews move does not matter to the detector, only how many
     leave each week, and that is drawn here with the same distribution as picking rows. The table is
@@ -95,7 +96,7 @@ def seeded_timelines(
 
     def plant(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = {"seed": [], "group": [], "week": [], "count": []}
+            planted = []
             for seed, group, cells_ in zip(frame["seed"], frame["group"], frame["cells"], strict=True):
                 weekly = np.zeros(n_weeks, dtype=np.int64)
                 for cell in cells_:
@@ -108,13 +109,12 @@ def seeded_timelines(
                     moved = min(max(goal - int(weekly[week]), 0), int(movable.sum()))
                     weekly -= _draw(movable, moved, rng)
                     weekly[week] += moved
-                out["seed"] += [seed] * n_weeks
-                out["group"] += [group] * n_weeks
-                out["week"] += range(n_weeks)
-                out["count"] += weekly.tolist()
-            yield pd.DataFrame(out)
+                planted.append(weekly)
+            yield pd.DataFrame({"seed": frame["seed"], "group": frame["group"], "counts": planted})
 
-    return series.mapInPandas(plant, f"seed int, group {kind}, week int, count bigint")
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = series.repartition(tasks, "seed", "group")
+    return dealt.mapInPandas(plant, f"seed int, group {kind}, counts array<bigint>")
 
 
 def backtest(
@@ -130,7 +130,7 @@ def backtest(
     pairs = sorted({(g, int(w)) for g, w, _ in spikes})
     planted = literal_table(spark, [(*p, True) for p in pairs], f"group {kind}, week int, planted boolean")
     timelines = seeded_timelines(counts, spikes, n_weeks, runs)
-    flags = detect_spikes(timelines, F.lit(n_weeks), ["seed", "group"], window, **rule_options)
+    flags = materialise(score_series(timelines, ["seed", "group"], window, **rule_options), name="timelines")
     marked = flags.join(planted, ["group", "week"], "left").withColumn("planted", F.coalesce("planted", F.lit(False)))
     k = len(pairs)
     rules = ["flag_z", "flag_ewma"]

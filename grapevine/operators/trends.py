@@ -62,7 +62,7 @@ def weekly_counts(daily: DataFrame, origin: Column) -> DataFrame:
     )
 
 
-def _series(counts: DataFrame, n_weeks: Column, keys: Sequence[str]) -> DataFrame:
+def week_series(counts: DataFrame, n_weeks: Column, keys: Sequence[str]) -> DataFrame:
     """One row per group with its zero-filled counts as an array of ``n_weeks`` elements.
 
     The array is bounded by the number of weeks, never by the number of events.
@@ -87,7 +87,7 @@ def dense_grid(counts: DataFrame, n_weeks: Column, keys: Sequence[str] = ("group
 
     No join and no product of groups and weeks: each group is expanded on its own.
     """
-    series = _series(counts, n_weeks, keys)
+    series = week_series(counts, n_weeks, keys)
     return series.select(*keys, F.posexplode("counts").alias("week", "count"))
 
 
@@ -158,8 +158,23 @@ def detect_spikes(
     ``flag_ewma``: the moving average above its control limit. Both also need ``min_count``. The flags use exact values;
     ``baseline_mean`` and ``z`` are rounded afterwards. All windows share one exchange and one sort.
     """
+    series = week_series(counts, n_weeks, keys)
+    return score_series(series, keys, window, z_threshold, min_count, alpha, limit, digits)
+
+
+def score_series(
+    series: DataFrame,
+    keys: Sequence[str] = ("group",),
+    window: int = WINDOW,
+    z_threshold: float = Z_THRESHOLD,
+    min_count: int = MIN_COUNT,
+    alpha: float = EWMA_ALPHA,
+    limit: float = EWMA_LIMIT,
+    digits: int = 2,
+) -> DataFrame:
+    """``detect_spikes`` for rows that already hold one zero-filled array ``counts`` per group."""
     keys = list(keys)
-    rows = with_ewma(_series(counts, n_weeks, keys), keys, window, alpha)
+    rows = with_ewma(series, keys, window, alpha)
     scored = week_over_week(trailing_baseline(rows, keys, window), keys).where(F.col("week") >= window)
     spread = poisson_floor(F.col("deviation"), F.col("baseline"))
     ceiling = F.col("baseline") + F.lit(limit) * F.col("spread") * F.sqrt(F.lit(alpha / (2 - alpha)))
