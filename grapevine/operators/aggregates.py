@@ -99,10 +99,12 @@ def cluster_summary(rows: DataFrame, cluster: str, topic: str, language: str) ->
     ).orderBy(F.desc("size"), F.asc("cluster"))
 
 
-def _label_cells(rows: DataFrame, truth: str, pred: str, by: str | None) -> DataFrame:
-    """(group, label, truth, pred, hits): marginals of the confusion table per group and for all rows."""
-    keys = [by] if by else []
-    finest = rows.groupBy(*keys, truth, pred).agg(F.count("*").alias("n"))
+def _confusion(rows: DataFrame, truth: str, pred: str, *by: str) -> DataFrame:
+    return rows.groupBy(*by, truth, pred).agg(F.count("*").alias("n"))
+
+
+def _label_cells(finest: DataFrame, truth: str, pred: str, by: str | None = None) -> DataFrame:
+    """(group, label, truth, pred, hits): marginals of the confusion counts per group and for all rows."""
     if by:
         finest = finest.groupingSets([[by, truth, pred], [truth, pred]], by, truth, pred).agg(
             F.sum("n").alias("n"), F.grouping(by).alias("_all")
@@ -154,7 +156,7 @@ def classification_report(
     Macro-F1 averages the labels seen as truth or prediction. Binary accuracy looks at rows whose truth is
     not neutral; a neutral prediction counts as wrong there. Languages without rows are absent.
     """
-    report = _scores(_label_cells(rows, truth, pred, language), digits).drop("neutral_recall")
+    report = _scores(_label_cells(_confusion(rows, truth, pred, language), truth, pred, language), digits).drop("neutral_recall")
     if languages is not None:
         report = report.where(F.col("group").isin([*languages, ALL]))
     return report.withColumnRenamed("group", "lang")
@@ -162,7 +164,13 @@ def classification_report(
 
 def model_scores(rows: DataFrame, truth: str = "label", pred: str = "pred", digits: int = 3) -> DataFrame:
     """Accuracy, macro-F1, neutral recall and binary accuracy over all rows."""
-    return _scores(_label_cells(rows, truth, pred, None), digits).select(
+    return scores_from_counts(_confusion(rows, truth, pred), truth, pred, "n", digits)
+
+
+def scores_from_counts(confusion: DataFrame, truth: str, pred: str, n: str, digits: int = 3) -> DataFrame:
+    """``model_scores`` of a confusion table that may hold a cell more than once."""
+    cells = confusion.groupBy(truth, pred).agg(F.sum(n).alias("n"))
+    return _scores(_label_cells(cells, truth, pred), digits).select(
         "accuracy", "macro_f1", "neutral_recall", "binary_accuracy"
     )
 

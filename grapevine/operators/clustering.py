@@ -54,7 +54,7 @@ def kmeans_search(
     ks: Sequence[int] = range(6, 15),
     restarts: int = 10,
     seed: int = 0,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows with the best clustering, table of k and score).
 

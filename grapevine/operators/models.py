@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import SENTIMENTS
-from .aggregates import model_scores
+from ..storage import materialise
+from .aggregates import scores_from_counts
 from .sampling import stratified_folds
 from .text_features import as_vector, char_gram_counts, tfidf_weights, vocabulary
 
+TOLERANCE = 1e-4
+
 
 class LanguageModel:
     """A fitted model of one language and the classes it has seen."""
@@ -43,34 +46,35 @@ def train_by_language(
     c: float = 3.0,
     iterations: int = 1000,
     classes: Sequence[str] = tuple(SENTIMENTS),
+    parallelism: int = 4,
 ) -> tuple[dict[str, LanguageModel], DataFrame]:
     """One multinomial model per language on character TF-IDF. Returns the models and their term table."""
     counted = char_gram_counts(rows.where(F.col(language).isin(list(languages))), text)
     counted = counted.persist(StorageLevel.DISK_ONLY)
     try:
-        terms = vocabulary(counted, language).persist()
+        terms = materialise(vocabulary(counted, language), name="vocabulary")
         weighed = tfidf_weights(counted, terms, language)
         sizes = {r[0]: r[1] for r in terms.groupBy(language).count().collect()}
         present: dict[str, dict[str, int]] = {}
         for lang, name, n in counted.groupBy(language, label).count().collect():
             present.setdefault(lang, {})[name] = n
-        models = {}
-        for lang in languages:
+
+        def fit(lang: str) -> tuple[str, LanguageModel] | None:
             seen = [k for k in classes if present.get(lang, {}).get(k)]
             if len(seen) < 2 or lang not in sizes:
-                continue
+                return None
             n = sum(present[lang][k] for k in seen)
             data = weighed.where(F.col(language) == lang).select(
                 as_vector("tfidf.indices", "tfidf.weights", sizes[lang]).alias("features"),
                 _class_index(F.col(label), seen).alias("label"),
             ).where(F.col("label").isNotNull())
-            data = data.persist(StorageLevel.MEMORY_AND_DISK)
             estimator = LogisticRegression(
-                regParam=1 / (c * n), standardization=False, maxIter=iterations, family="multinomial"
+                regParam=1 / (c * n), standardization=False, maxIter=iterations, tol=TOLERANCE, family="multinomial"
             )
-            models[lang] = LanguageModel(estimator.fit(data), seen, sizes[lang])
-            data.unpersist()
-        return models, terms
+            return lang, LanguageModel(estimator.fit(data), seen, sizes[lang])
+
+        with ThreadPoolExecutor(parallelism) as pool:
+            return dict(found for found in pool.map(fit, languages) if found), terms
     finally:
         counted.unpersist()
 
@@ -138,7 +142,7 @@ def _fit(train: DataFrame, counts: Mapping[str, int], classes: Sequence[str], ba
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
     regression = LogisticRegression(
         featuresCol="scaled", labelCol="y", weightCol="w", regParam=1 / n, standardization=False,
-        maxIter=2000, family="multinomial",
+        maxIter=2000, tol=TOLERANCE, family="multinomial",
     )
     return Pipeline(stages=[scaler, regression]).fit(data)
 
@@ -150,7 +154,7 @@ def _predict(model, rows: DataFrame, classes: Sequence[str]) -> DataFrame:
 
 
 def stack_select(
-    train: DataFrame, test: DataFrame, id_column: str, folds: int = 5, seed: int = 0, parallelism: int = 4
+    train: DataFrame, test: DataFrame, id_column: str, folds: int = 5, seed: int = 0, parallelism: int = 8
 ) -> DataFrame:
     """Scores of the four stacker variants by cross-validation and on the test rows; one is ``selected``.
 
@@ -168,23 +172,31 @@ def stack_select(
     def counts(without: int | None) -> dict[str, int]:
         return {k: sum(s.get(k, 0) for f, s in sizes.items() if f != without) for k in classes}
 
-    def run(variant: tuple[bool, bool]) -> list[tuple]:
-        use_baseline, balanced = variant
-        rows = stack_features(base, use_baseline)
-        parts = []
-        for f in range(folds):
-            seen = counts(f)
-            known = [k for k in classes if seen[k]]
-            fitted = _fit(rows.where(F.col("fold") != f), seen, known, balanced)
-            parts.append(_predict(fitted, rows.where(F.col("fold") == f), known))
-        by_cv = model_scores(reduce(DataFrame.unionByName, parts), "label", "stacked").first()
-        final = _fit(rows, counts(None), classes, balanced)
-        on_test = model_scores(_predict(final, stack_features(held, use_baseline), classes), "label", "stacked").first()
-        name = variant_name(use_baseline, balanced)
-        return [(name, "cv", *by_cv), (name, "test", *on_test)]
+    featured = {use: stack_features(base, use) for use in (False, True)}
+    tested = {use: stack_features(held, use) for use in (False, True)}
+
+    def run(job: tuple[tuple[bool, bool], int | None]) -> list[tuple]:
+        """(truth, prediction, rows) on the fold that was left out, or on the test rows."""
+        (use_baseline, balanced), fold = job
+        rows = featured[use_baseline]
+        seen = counts(fold)
+        known = [k for k in classes if seen[k]]
+        fitted = _fit(rows if fold is None else rows.where(F.col("fold") != fold), seen, known, balanced)
+        target = tested[use_baseline] if fold is None else rows.where(F.col("fold") == fold)
+        return _predict(fitted, target, known).groupBy("label", "stacked").count().collect()
 
+    jobs = [(variant, fold) for variant in VARIANTS for fold in [*range(folds), None]]
     with ThreadPoolExecutor(parallelism) as pool:
-        results = [row for rows in pool.map(run, VARIANTS) for row in rows]
+        cells = list(pool.map(run, jobs))
+    results = []
+    for variant in VARIANTS:
+        for split in ("cv", "test"):
+            mine = [
+                row for (v, fold), rows in zip(jobs, cells, strict=True) if v == variant and (fold is None) == (split == "test")
+                for row in rows
+            ]
+            table = spark.createDataFrame(mine, "label string, stacked string, n bigint")
+            results.append((variant_name(*variant), split, *scores_from_counts(table, "label", "stacked", "n").first()))
     base.unpersist()
     held.unpersist()
     best = max((r for r in results if r[1] == "cv"), key=lambda r: r[3] or 0.0)[0]

@@ -2,45 +2,53 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialise
 from .positions import first_n
 
-GRAMS = "array<struct<gram:string,tf:int>>"
+GRAMS = "gram array<string>, tf array<int>"
 BROADCAST_TERMS = 2_000_000
 
 
-def _char_grams(text: str, longest: int) -> Counter:
-    """Counts of the 1..longest character pieces of each lower-cased word, padded with one space per side."""
-    counts: Counter = Counter()
+@lru_cache(maxsize=200_000)
+def _word_grams(word: str, longest: int) -> tuple[str, ...]:
+    """The 1..longest character pieces of a word that has one space on each side."""
+    padded = f" {word} "
+    return tuple(
+        padded[start : start + size] for size in range(1, longest + 1) for start in range(len(padded) - size + 1)
+    )
+
+
+def _char_grams(text: str, longest: int) -> dict[str, int]:
+    counts: dict[str, int] = defaultdict(int)
     for word, n in Counter(text.lower().split()).items():
-        padded = f" {word} "
-        for size in range(1, longest + 1):
-            for start in range(len(padded) - size + 1):
-                counts[padded[start : start + size]] += n
+        for gram in _word_grams(word, longest):
+            counts[gram] += n
     return counts
 
 
 def char_gram_counts(rows: DataFrame, text: str, longest: int = 3, name: str = "grams") -> DataFrame:
-    """Add the n-gram counts of the whole text as an array of (gram, tf).
+    """Add the n-gram counts of the whole text: two arrays (gram, tf) of equal length.
 
     Counting stays inside the row. Exploding first would shuffle some twenty times the size of the text only
     to bring the pieces of one review together again.
     """
 
     @F.pandas_udf(GRAMS)
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield texts.map(
-                lambda t: [{"gram": g, "tf": n} for g, n in _char_grams(t or "", longest).items()]
-            )
+            counted = [_char_grams(t or "", longest) for t in texts]
+            yield pd.DataFrame({"gram": [list(c) for c in counted], "tf": [list(c.values()) for c in counted]})
 
     return rows.withColumn(name, count(F.col(text)))
 
@@ -54,9 +62,9 @@ def vocabulary(
     combined before the shuffle, so what moves is one row per term and input partition.
     """
     terms = (
-        counted.select(language, F.explode(grams).alias("t"))
-        .groupBy(language, F.col("t.gram").alias("gram"))
-        .agg(F.count("*").alias("df"), F.sum("t.tf").alias("total"))
+        counted.select(language, F.inline(F.arrays_zip(f"{grams}.gram", f"{grams}.tf")).alias("gram", "tf"))
+        .groupBy(language, "gram")
+        .agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
         .where(F.col("df") >= min_rows)
     )
     kept = first_n(terms, [language], [F.desc("total"), F.asc("gram")], max_terms, [F.col("gram")])
@@ -65,6 +73,24 @@ def vocabulary(
     return kept.join(sizes, language).select(language, "gram", "df", "total", idf.alias("idf"))
 
 
+def _weigher(shipped: Broadcast):
+    """Column function (language, grams) -> (indices, weights) over a shipped term table."""
+
+    @F.pandas_udf("indices array<int>, weights array<double>")
+    def weigh(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        for langs, counts in batches:
+            indices, weights = [], []
+            for lang, grams, tfs in zip(langs, counts["gram"], counts["tf"], strict=True):
+                known = shipped.value.get(lang, {})
+                found = sorted((*known[gram], tf) for gram, tf in zip(grams, tfs, strict=True) if gram in known)
+                values = (1 + np.log([tf for _, _, tf in found])) * [idf for _, idf, _ in found]
+                indices.append([i for i, _, _ in found])
+                weights.append(values / (np.linalg.norm(values) or 1.0))
+            yield pd.DataFrame({"indices": indices, "weights": weights})
+
+    return weigh
+
+
 def tfidf_weights(
     counted: DataFrame, terms: DataFrame, language: str, grams: str = "grams", name: str = "tfidf"
 ) -> DataFrame:
@@ -75,6 +101,7 @@ def tfidf_weights(
     rows, one pass over the matching rows each.
     """
     spark = counted.sparkSession
+    terms = materialise(terms.select(language, "gram", "idf"), name="terms")
     sizes = {r[0]: r[1] for r in terms.groupBy(language).count().collect()}
     parts: list[list[str]] = [[]]
     room = BROADCAST_TERMS
@@ -93,24 +120,7 @@ def tfidf_weights(
         for lang, gram, idf in listed.collect():
             known = table.setdefault(lang, {})
             known[gram] = (len(known), idf)
-        shipped = spark.sparkContext.broadcast(table)
-
-        @F.pandas_udf("indices array<int>, weights array<double>")
-        def weigh(batches: Iterator[tuple[pd.Series, pd.Series]], shipped=shipped) -> Iterator[pd.DataFrame]:
-            for langs_, counts in batches:
-                indices, weights = [], []
-                for lang, cells in zip(langs_, counts, strict=True):
-                    known = shipped.value.get(lang, {})
-                    found = sorted(
-                        (known[c["gram"]][0], (1 + math.log(c["tf"])) * known[c["gram"]][1])
-                        for c in cells
-                        if c["gram"] in known
-                    )
-                    norm = math.sqrt(sum(w * w for _, w in found)) or 1.0
-                    indices.append([i for i, _ in found])
-                    weights.append([w / norm for _, w in found])
-                yield pd.DataFrame({"indices": indices, "weights": weights})
-
+        weigh = _weigher(spark.sparkContext.broadcast(table))
         mine = F.col(language).isin(langs)
         if len(parts) == 1:
             mine = F.lit(True)

@@ -68,7 +68,7 @@ def pca_reduce(spark, folder):
 def density_clusters(spark, folder):
     """Rows per density cluster; -1 holds the noise."""
     rows = c.pca_reduce(cluster_rows(spark, folder).drop("cluster"), "embedding", 20)
-    labelled = c.density_clusters(rows, "reduced", width=0.8, min_cell_rows=4)
+    labelled = c.density_clusters(rows, "reduced", width=0.1, min_cell_rows=4)
     return labelled.groupBy("cluster").agg(F.count("*").alias("n"))
 
 

@@ -17,8 +17,9 @@ GRAMS = r"""words AS (
     SELECT doc_id, lang, unnest(regexp_split_to_array(lower(text), '[\s\v\x{85}\p{Z}]+')) AS w FROM documents)
   WHERE w <> '' GROUP BY ALL),
 pieces AS (
-  SELECT doc_id, lang, substr(' ' || w || ' ', p, n) AS gram, times
-  FROM words, (SELECT unnest([1, 2, 3]) AS n), (SELECT unnest(range(1, 400)) AS p) WHERE p + n - 1 <= length(w) + 2),
+  SELECT doc_id, lang, substr(padded, p, n) AS gram, times
+  FROM (SELECT doc_id, lang, ' ' || w || ' ' AS padded, unnest(range(1, length(w) + 3)) AS p, times FROM words),
+    (SELECT unnest([1, 2, 3]) AS n) WHERE p + n - 1 <= length(padded)),
 tf AS (SELECT doc_id, lang, gram, sum(times)::BIGINT AS tf FROM pieces GROUP BY ALL),
 size AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
 term AS (SELECT lang, gram, count(*) AS df, sum(tf)::BIGINT AS total FROM tf GROUP BY ALL HAVING count(*) >= 2),
@@ -73,7 +74,7 @@ def _stack_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = _truth(spark, folder).select(
         "review_id", "label", "pred", ((F.col("ordinal") % 100) / 100.0).alias("conf"), F.col("stars_estimate").alias("stars_pred")
     )
-    chance = {k: F.when(F.col("label") == k, 0.5).otherwise(0.25) for k in ("negative", "neutral", "positive")}
+    chance = {k: F.when(F.col("pred") == k, 0.5).otherwise(0.25) for k in ("negative", "neutral", "positive")}
     return rows.withColumns({f"p_{k}": v + (F.crc32("review_id") % 100) / 1000.0 for k, v in chance.items()})
 
 

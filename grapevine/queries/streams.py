@@ -14,7 +14,8 @@ ORDERS = "o_orderkey bigint, o_orderdate timestamp_ntz, o_orderstatus string, o_
 
 
 def _stream(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet")
+    # written as a pattern: a streaming source then takes a single file as well as a folder of files
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 @query(
@@ -33,8 +34,8 @@ def stream_weekly_counts(spark, folder):
 closed AS (SELECT max(o_orderdate)::TIMESTAMP - INTERVAL 7 DAY AS mark FROM orders WHERE substr(o_orderpriority, 1, 1) <= '2'),
 wk AS (SELECT g, d, count(*) AS c FROM n, closed WHERE d + INTERVAL 7 DAY <= mark GROUP BY ALL),
 hz AS (SELECT min(d) AS a, max(d) AS b FROM wk),
-dn AS (SELECT g, (a + i * 7)::DATE AS d, i, coalesce(c, 0) AS c FROM (SELECT DISTINCT g FROM wk), hz,
-  (SELECT unnest(range(0, (SELECT date_diff('day', a, b) // 7 + 1 FROM hz)))::INTEGER AS i) LEFT JOIN wk USING (g, d)),
+gr AS (SELECT g, a, unnest(range(0, date_diff('day', a, b) // 7 + 1))::INTEGER AS i FROM (SELECT DISTINCT g FROM wk), hz),
+dn AS (SELECT gr.g, (a + i * 7)::DATE AS d, i, coalesce(c, 0) AS c FROM gr LEFT JOIN wk ON wk.g = gr.g AND wk.d = (a + i * 7)::DATE),
 sc AS (SELECT *, avg(c) OVER b AS mu, stddev_samp(c) OVER b AS sd, lag(c) OVER (PARTITION BY g ORDER BY i) AS p FROM dn
   WINDOW b AS (PARTITION BY g ORDER BY i ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))
 SELECT g AS "group", d::VARCHAR AS week_start, c AS count, p AS prev_week, c - p AS wow_delta,
