@@ -11,11 +11,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed import SENTIMENTS
-from ..storage import materialise
+from ..storage import materialise, new_folder
 from .aggregates import scores_from_counts
 from .sampling import stratified_folds
 from .text_features import as_vector, char_gram_counts, tfidf_weights, vocabulary
@@ -30,6 +30,13 @@ class LanguageModel:
         self.model, self.classes, self.size = model, list(classes), size
 
 
+def _stored(model: LogisticRegressionModel, spark: SparkSession) -> LogisticRegressionModel:
+    """The model read back from the shared folder: coefficients only, without the training data's plan in its summary."""
+    path = new_folder(spark, "model")
+    model.write().save(path)
+    return LogisticRegressionModel.load(path)
+
+
 def _class_index(label: Column, classes: Sequence[str]) -> Column:
     index = F.lit(None).cast("double")
     for i, name in enumerate(classes):
@@ -71,7 +78,7 @@ def train_by_language(
             estimator = LogisticRegression(
                 regParam=1 / (c * n), standardization=False, maxIter=iterations, tol=TOLERANCE, family="multinomial"
             )
-            return lang, LanguageModel(estimator.fit(data), seen, sizes[lang])
+            return lang, LanguageModel(_stored(estimator.fit(data), rows.sparkSession), seen, sizes[lang])
 
         with ThreadPoolExecutor(parallelism) as pool:
             return dict(found for found in pool.map(fit, languages) if found), terms

@@ -75,7 +75,7 @@ def read_examples(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_map(spark: SparkSession, path: str, key: str = "key", value: str = "value") -> DataFrame:
     """A whole-file JSON object of texts as a lookup table."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     pairs = F.from_json("value", "map<string,string>")
     return whole.select(F.explode(pairs).alias(key, value))
 
