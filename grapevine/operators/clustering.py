@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import EXAMPLE_CHARS, NO_CATEGORY
 from ..functions.text import truncate_text
-from ..storage import cut_lineage
+from ..storage import cut_lineage, spread
 from .positions import HASH_SHIFT, first_n, seeded_hash, with_position
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -44,7 +44,7 @@ def embed_text(
                 vectors += list(np.asarray(encoder(chunk), dtype=np.float32))
             yield pd.Series(vectors)
 
-    return rows.withColumn("_raw", encode(F.col(text))).withColumn(name, l2_normalised(F.col("_raw"))).drop("_raw")
+    return spread(rows).withColumn("_raw", encode(F.col(text))).withColumn(name, l2_normalised(F.col("_raw"))).drop("_raw")
 
 
 def kmeans_search(

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_text_block, json_text, parse_model_json, truncate_text
-from ..storage import materialise, new_folder
+from ..storage import materialise, new_folder, spread
 from .positions import HASH_SHIFT, ORDINAL_SHIFT
 from .sampling import budget_gate
 from .spend import price_table, with_call_cost
@@ -88,12 +88,12 @@ def pack(rows: DataFrame, id_column: str, size: int) -> DataFrame:
 
     Ids must be unique. Rows are dealt by id to buckets of about ``BUCKET_ROWS`` rows and numbered inside a bucket,
     so no global sort is needed and a rerun packs the same rows together. Single-row requests need no
-    shuffle at all.
+    shuffle, unless they come in fewer files than there are cores.
     """
     row = F.struct(*[F.col(c) for c in rows.columns])
     if size == 1:
         request = F.xxhash64(id_column)
-        return rows.select(request.alias("request"), F.array(row).alias("rows"))
+        return spread(rows).select(request.alias("request"), F.array(row).alias("rows"))
     buckets = rows.agg(F.greatest(F.ceil(F.count("*") / BUCKET_ROWS), F.lit(1))).scalar()
     in_bucket = Window.partitionBy("_bucket").orderBy("_id")
     numbered = rows.select(
@@ -175,9 +175,9 @@ def answers_by_id(
     for one id the last counts.
     """
     parsed = parse_model_json(first_text_block(F.col("response.content")), schema)[items]
-    flat = responses.select(
-        F.explode("rows").alias("row"), parsed.alias("items"), call_error().alias("call_error")
-    )
+    # parsed once per request, before its rows are spread out
+    requests = responses.select("rows", parsed.alias("items"), call_error().alias("call_error"))
+    flat = requests.select(F.explode("rows").alias("row"), "items", "call_error")
     mine = F.filter("items", lambda item: item["id"].cast("string") == F.col("row")[id_column].cast("string"))
     answer = F.try_element_at(mine, F.lit(-1))
     error = F.coalesce(

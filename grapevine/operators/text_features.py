@@ -13,7 +13,7 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import materialise, spread
 from .positions import first_n
 
 GRAMS = "gram array<string>, tf array<int>"
@@ -50,7 +50,7 @@ def char_gram_counts(rows: DataFrame, text: str, longest: int = 3, name: str = "
             counted = [_char_grams(t or "", longest) for t in texts]
             yield pd.DataFrame({"gram": [list(c) for c in counted], "tf": [list(c.values()) for c in counted]})
 
-    return rows.withColumn(name, count(F.col(text)))
+    return spread(rows).withColumn(name, count(F.col(text)))
 
 
 def vocabulary(

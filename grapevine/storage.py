@@ -44,3 +44,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, for loops that would grow the plan."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal rows out evenly when their input has fewer files than there are cores.
+
+    Python work per row would otherwise be left to as many tasks as the few files have row groups. Large inputs come in
+    many files; they keep their own splits and are not shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    files = len(rows.inputFiles())
+    return rows.repartition(cores) if 0 < files < cores else rows
