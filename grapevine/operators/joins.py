@@ -48,18 +48,19 @@ def category_lookup(
 
 
 def missing_ids(reviews: DataFrame, source: DataFrame, id_column: str, key: str) -> DataFrame:
-    """Ids that the source does not know."""
+    """Ids that the source does not know. Copies are dropped on both sides before ids meet."""
     return (
         reviews.select(F.col(id_column).alias("missing_id"))
-        .join(source.select(F.col(key).alias("missing_id")), "missing_id", "left_anti")
         .distinct()
+        .join(source.select(F.col(key).alias("missing_id")).distinct(), "missing_id", "left_anti")
     )
 
 
 def _paired(reviews: DataFrame, source: DataFrame, prefix: str) -> DataFrame:
     """Each review with the first source row of its id, and what differs."""
     rows = reviews.withColumn("_raw_id", without_prefix(F.col("review_id"), prefix))
-    needed = source.join(rows.select(F.col("_raw_id").alias("review_id")), "review_id", "left_semi")
+    ids = rows.select(F.col("_raw_id").alias("review_id")).distinct()
+    needed = source.join(ids, "review_id", "left_semi")
     first = keep_first(needed, "review_id", "ordinal").select(
         F.col("review_id").alias("_raw_id"),
         F.col("product_id").alias("_product_id"),
@@ -113,8 +114,8 @@ def verified_enrich(reviews: DataFrame, source: DataFrame, prefix: str) -> DataF
 
 
 def pending_rows(rows: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
-    """Rows whose key is not cached yet."""
-    return rows.join(cache.select(key), key, "left_anti")
+    """Rows whose key is not cached yet. The cache may hold a key many times; each meets the rows once."""
+    return rows.join(cache.select(key).distinct(), key, "left_anti")
 
 
 def latest_per_key(cache: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:

@@ -89,21 +89,24 @@ def first_n(
     order: Sequence[Column],
     n: int | Column,
     spread: Sequence[Column] | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """The first ``n`` rows of each group in ``order``; ``n`` may be a column (a quota per group).
 
     Ranked twice: first inside random slices of a group, then over what the slices kept, so the final
     task of a hot group sees at most ``n`` rows per slice. With a literal ``n`` Spark also
     cuts each input partition before the shuffle. ``spread`` names what deals rows to slices (default: the order
-    columns); it must differ between the rows of a group.
+    columns); it must differ between the rows of a group. ``at_most`` is the largest quota, given when ``n`` is a
+    column, so that the early cut works there too.
     """
+    limit = n if at_most is None else at_most
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*(spread or order)), F.lit(slices)))
     by_slice = Window.partitionBy(*within, "_slice").orderBy(*order)
     by_group = Window.partitionBy(*within).orderBy(*order)
     return (
         sliced.withColumn("_rank", F.row_number().over(by_slice))
-        .where(F.col("_rank") <= n)
+        .where(F.col("_rank") <= limit)
         .withColumn("_rank", F.row_number().over(by_group))
         .where(F.col("_rank") <= n)
         .drop("_slice", "_rank")

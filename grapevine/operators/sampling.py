@@ -38,10 +38,16 @@ def stratified_sample(
 
 
 def sample_per_group(
-    rows: DataFrame, groups: Sequence[str], id_column: str, quota: int | Column, seed: int = 0
+    rows: DataFrame,
+    groups: Sequence[str],
+    id_column: str,
+    quota: int | Column,
+    seed: int = 0,
+    at_most: int | None = None,
 ) -> DataFrame:
-    """Up to ``quota`` rows per group; the quota may depend on the group."""
-    return first_n(rows, groups, [seeded_hash(F.col(id_column), seed), F.col(id_column)], quota)
+    """Up to ``quota`` rows per group. The quota may be a column; then ``at_most`` names its largest value."""
+    order = [seeded_hash(F.col(id_column), seed), F.col(id_column)]
+    return first_n(rows, groups, order, quota, at_most=at_most)
 
 
 def sample_n(rows: DataFrame, id_column: str, n: int, seed: int = 1) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import aggregates as a
+from ..operators.infer import Caller
 from ..operators.clustering import Encoder, density_clusters, embed_text, kmeans_search, pca_reduce
 from ..sources.writers import embedding_store
 from ..storage import materialise
+from .stages import label_clusters
 
 
 def cluster_issues(
@@ -39,3 +42,13 @@ def cluster_issues(
         "noise": a.noise_share(done, "density_cluster"),
         "summary": a.cluster_summary(done, "cluster", "topic", "detected_language"),
     }
+
+
+def label_summary(
+    rows: DataFrame, caller: Caller, cluster: str = "cluster", id_column: str = "review_id", text: str = "review_text"
+) -> DataFrame:
+    """The cluster summary with the name and topic that the model gives each cluster."""
+    named, _ = label_clusters(rows, caller, cluster, id_column, text)
+    labels = named.select("cluster", "label", F.col("topic").alias("model_topic"))
+    summary = a.cluster_summary(rows, cluster, "topic", "detected_language").drop("languages")
+    return summary.join(labels, "cluster", "left")

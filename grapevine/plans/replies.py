@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..fixed import CUSTOMER_NAMES, DIMENSIONS, FLAG_NAMES, FLAGS, PENDING, SENTIMENTS
-from ..functions.labels import acceptable, queue_status, queue_status_nojudge, raised_flags
+from ..functions.labels import acceptable, queue_status, queue_status_nojudge, raised_flags, stars_to_label
 from ..functions.text import cache_key, one_line, reply_digest
 from ..operators import aggregates as a
-from ..operators.infer import Caller
+from ..operators.infer import Caller, call_ledger
 from ..operators.joins import attach_cached, latest_per_key, pending_rows
 from ..operators.reviews import drop_missing_predictions, fill_missing_labels, issue_gate, queue_table
 from ..operators.sampling import assign_round_robin, first_examples, sample_per_group
@@ -88,7 +88,7 @@ def evaluation_set(
 ) -> DataFrame:
     """Per language 2n negative, n neutral and n positive reviews, with a customer name dealt in turn."""
     quota = F.when(F.col("sentiment") == "negative", 2 * n).when(F.col("sentiment").isin(SENTIMENTS), n).otherwise(0)
-    picked = sample_per_group(rows, ["detected_language", "sentiment"], "review_id", quota)
+    picked = sample_per_group(rows, ["detected_language", "sentiment"], "review_id", quota, at_most=2 * n)
     return assign_round_robin(picked, ordinal, "detected_language", names, "customer_name")
 
 
@@ -184,3 +184,23 @@ STAGES = ["translation_status", "classification_status", "issue_status", "reply_
 def run_summary(result: DataFrame) -> DataFrame:
     """Counts per status of every stage. A run that finished can still hold failures: look here."""
     return a.stage_summary(result, STAGES)
+
+
+def run_scores(result: DataFrame) -> DataFrame:
+    """Accuracy of the run's sentiment against the star rating, over the classified reviews."""
+    classified = result.where(F.col("sentiment").isNotNull())
+    return a.model_scores(classified.withColumn("label", stars_to_label(F.col("rating"))), "label", "sentiment")
+
+
+def run_usage(responses: Mapping[str, DataFrame], callers: Mapping[str, Caller]) -> DataFrame:
+    """Calls, failed calls, tokens, cost and seconds of the model per stage."""
+    parts = []
+    for stage, table in responses.items():
+        ledger = call_ledger(table, callers[stage], stage)
+        sums = ledger.groupBy(F.col("purpose").alias("stage")).agg(
+            F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
+            F.round(F.sum("cost_usd"), 4).alias("cost_usd"), F.round(F.sum("latency_s"), 2).alias("seconds"),
+        )
+        lost = table.agg(F.count_if(F.col("response.call_error").isNotNull())).scalar()
+        parts.append(sums.withColumn("failed_calls", lost))
+    return union_by_name(*parts)

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..fixed import ISSUE_CATEGORIES
 from ..operators.reviews import output_table
+from ..operators.infer import Caller
 from ..plans import replies as jobs
 from ..storage import new_folder
 from . import rules
 from .measures import TRUTH, _truth, playbooks
 from .registry import query
 from .stages import ANSWERED, CLASSIFIED, N, SHORT, T_STATUS, TRANSLATED
-from .standins import REVIEWS, reviews, topic_sql
+from .standins import REVIEWS, label_sql, reviews, topic_sql
 
 # requests: every second one brings a sentiment, every third a topic, every fifth an issue
 ASKED = f"""asked AS (SELECT review_id, ordinal, review_text, 'Kim' AS customer_name,
@@ -81,15 +82,20 @@ done AS (SELECT *, CASE WHEN sentiment IS NOT NULL AND least({N}, 1500) % 17 > 0
 state AS (SELECT *, CASE WHEN reply IS NULL THEN 'failed' WHEN neg THEN 'pending_human_review' ELSE 'draft_ready' END AS reply_status FROM done)"""
 
 
-def _full(spark: SparkSession, folder: str) -> DataFrame:
+def _callers() -> dict[str, Caller]:
+    rule = {"translate": rules.translate, "classify": rules.classify, "assign_issue": rules.assign, "draft_response": rules.reply}
+    return {stage: rules.caller(function) for stage, function in rule.items()}
+
+
+def _run(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, DataFrame]]:
     rows = reviews(spark, folder).drop("topic", "stars_estimate").withColumns(
         {"product_category": F.lit(None).cast("string"), "review_date": F.lit(None).cast("date")}
     )
-    result, _ = jobs.full_run(
-        rows, rules.caller(rules.translate), rules.caller(rules.classify), rules.caller(rules.assign),
-        rules.caller(rules.reply), playbooks(spark),
-    )
-    return result
+    return jobs.full_run(rows, *_callers().values(), playbooks(spark))
+
+
+def _full(spark: SparkSession, folder: str) -> DataFrame:
+    return _run(spark, folder)[0]
 
 
 CATEGORIES = ", ".join(f"({k}, '{v}')" for k, v in ISSUE_CATEGORIES.items())
@@ -118,6 +124,25 @@ def full_run_summary(spark, folder):
     return jobs.run_summary(_full(spark, folder))
 
 
+@query(
+    f"""WITH {REVIEWS}, {FULL}, t AS (SELECT {label_sql("rating")} AS label, sentiment FROM run WHERE sentiment IS NOT NULL),
+seen AS (SELECT label AS k FROM t UNION SELECT sentiment FROM t),
+f AS (SELECT k, 2.0::DOUBLE * count(*) FILTER (WHERE label = k AND sentiment = k) /
+  (count(*) FILTER (WHERE label = k) + count(*) FILTER (WHERE sentiment = k)) AS f1 FROM seen, t GROUP BY k)
+SELECT round_even(avg((label = sentiment)::INTEGER), 3) AS accuracy, round_even((SELECT avg(f1) FROM f), 3) AS macro_f1,
+  round_even(avg((sentiment = 'neutral')::INTEGER) FILTER (WHERE label = 'neutral'), 3) AS neutral_recall,
+  round_even(avg((label = sentiment)::INTEGER) FILTER (WHERE label <> 'neutral'), 3) AS binary_accuracy FROM t"""
+)
+def full_run_scores(spark, folder):
+    return jobs.run_scores(_full(spark, folder))
+
+
+@query()
+def full_run_usage(spark, folder):
+    """Calls, tokens, cost and model seconds per stage; how ids fall into batches has no SQL form."""
+    return jobs.run_usage(_run(spark, folder)[1], _callers())
+
+
 def _evaluated(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Two runs over the same files: the second finds the answers of the first and retries what failed."""
     rows = _truth(spark, folder).withColumnRenamed("label", "sentiment").withColumn(

@@ -33,7 +33,7 @@ FROM reviews GROUP BY detected_language, rating"""
 )
 def sample_per_group(spark, folder):
     quota = F.when(F.col("rating") <= 2, 4).otherwise(2)
-    sample = s.sample_per_group(reviews(spark, folder), STRATA, "review_id", quota)
+    sample = s.sample_per_group(reviews(spark, folder), STRATA, "review_id", quota, at_most=4)
     return sample.groupBy(*STRATA).agg(F.count_distinct("review_id").alias("n"))
 
 

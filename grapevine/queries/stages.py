@@ -128,3 +128,17 @@ def ingest_translate(spark, folder):
     rows, _ = job(_raw(spark, folder), rules.caller(rules.translate), per_star=25)
     state = F.when(F.col("translation_status") == "not_needed", "not_needed").otherwise("ok or failed")
     return rows.groupBy("detected_language", state.alias("state")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {CLUSTER_ROWS}, t AS (SELECT cluster, topic, count(*) AS n FROM cluster_rows GROUP BY ALL),
+d AS (SELECT cluster, topic, n FROM t QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, topic) = 1),
+s AS (SELECT cluster, count(*) AS size FROM cluster_rows GROUP BY ALL)
+SELECT cluster, size, topic AS dominant_topic, round_even(n / size, 2) AS topic_purity, 'group of ' || size AS label,
+  {_STRAY}[size % 8 + 1] AS model_topic FROM s JOIN d USING (cluster)"""
+)
+def label_summary(spark, folder):
+    from ..plans.issues import label_summary as job
+
+    rows = cluster_rows(spark, folder).withColumn("review_text", F.concat(F.lit("text "), F.col("review_id").cast("string")))
+    return job(rows, rules.caller(rules.name_clusters))

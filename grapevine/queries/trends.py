@@ -156,6 +156,12 @@ def time_horizon(spark, folder):
     return rows.withColumns({c: F.col(c).cast("string") for c in ("first_date", "last_date")})
 
 
+@query(f"WITH {ORDER_REVIEWS}, ev AS ({NEGATIVE}), hz AS ({OWN_HORIZON}) SELECT nw AS n_weeks FROM hz WHERE nw >= 5")
+def require_history(spark, folder):
+    daily = t.daily_counts(_negative(spark, folder), "issue_category", "review_date")
+    return t.time_horizon(daily).select(t.require_history(F.col("n_weeks")).alias("n_weeks"))
+
+
 def _weekly(spark: SparkSession, folder: str):
     daily = t.daily_counts(_negative(spark, folder), "issue_category", "review_date")
     horizon = t.horizon_value(daily)
