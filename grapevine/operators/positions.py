@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDINAL_SHIFT = 16  # 65,536 consecutive ordinals per block
-HASH_SHIFT = 50  # 16,384 equal ranges of a 64-bit hash
+HASH_SHIFT = 52  # 4,096 equal ranges of a 64-bit hash
 
 
 def seeded_hash(column: Column, seed: int) -> Column:
@@ -21,24 +21,24 @@ def seeded_hash(column: Column, seed: int) -> Column:
     return F.xxhash64(column, F.lit(seed))
 
 
-def _with_block_offsets(
-    df: DataFrame, order: Column, within: Sequence[str], shift: int, amount: Column
-) -> DataFrame:
-    """Add ``_order``, ``_block`` and ``_before``: the total of ``amount`` in all earlier blocks."""
-    rows = df.withColumn("_order", order.cast("bigint")).withColumn(
-        "_block", F.shiftright("_order", shift)
-    )
-    totals = rows.groupBy(*within, "_block").agg(F.sum(amount).alias("_total"))
-    earlier = Window.partitionBy(*within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *[F.col(c).alias(f"_k_{c}") for c in within],
-        F.col("_block").alias("_k_block"),
-        F.sum("_total").over(earlier).alias("_before"),
-    )
-    condition = F.col("_block") == F.col("_k_block")
-    for c in within:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    return rows.join(offsets, condition).drop("_k_block", *[f"_k_{c}" for c in within])
+def _blocks(df: DataFrame, order: Column, within: Sequence[str], shift: int) -> DataFrame:
+    """Add ``_order`` and ``_block``: the group and the block of the order, as one key.
+
+    One struct key serves the count, the window and the join below, so the rows are shuffled and sorted once. Inside a
+    struct null equals null.
+    """
+    ordered = df.withColumn("_order", order.cast("bigint"))
+    number = F.shiftright("_order", shift)
+    return ordered.withColumn("_block", F.struct(*within, number.alias("_number")) if within else number)
+
+
+def _offsets(rows: DataFrame, within: Sequence[str], amount: Column) -> DataFrame:
+    """(block, total of ``amount`` in the earlier blocks of its group); one row per block."""
+    totals = rows.groupBy("_block").agg(F.sum(amount).alias("_total"))
+    group = [F.col("_block")[c] for c in within]
+    number = F.col("_block")["_number"] if within else F.col("_block")
+    earlier = Window.partitionBy(*group).orderBy(number).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(F.col("_block").alias("_at"), F.sum("_total").over(earlier).alias("_before"))
 
 
 def with_position(
@@ -51,12 +51,14 @@ def with_position(
     """0-based position of each row in ``order``, per ``within`` group or over the whole table.
 
     ``order`` must be a whole number that is unique inside a group: a file ordinal, or a hash with
-    ``shift=HASH_SHIFT``. No task ever sorts more than one block.
+    ``shift=HASH_SHIFT``. No task ever sorts more than the blocks dealt to it.
     """
-    rows = _with_block_offsets(df, order, within, shift, F.lit(1))
-    inside = Window.partitionBy(*within, "_block").orderBy("_order")
-    position = F.coalesce(F.col("_before"), F.lit(0)) + F.row_number().over(inside) - 1
-    return rows.withColumn(name, position.cast("bigint")).drop("_order", "_block", "_before")
+    rows = _blocks(df, order, within, shift)
+    inside = Window.partitionBy("_block").orderBy("_order")
+    placed = rows.withColumn("_here", F.row_number().over(inside) - 1)
+    joined = placed.join(_offsets(rows, within, F.lit(1)), F.col("_block") == F.col("_at"))
+    position = F.coalesce(F.col("_before"), F.lit(0)) + F.col("_here")
+    return joined.withColumn(name, position.cast("bigint")).drop("_order", "_block", "_at", "_before", "_here")
 
 
 def with_total_before(
@@ -71,16 +73,15 @@ def with_total_before(
 
     Use a decimal ``amount`` for a result that does not depend on how rows are spread.
     """
-    rows = _with_block_offsets(df.withColumn("_amount", amount), order, within, shift, F.col("_amount"))
-    inside = (
-        Window.partitionBy(*within, "_block").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    here = F.sum("_amount").over(inside)
+    rows = _blocks(df.withColumn("_amount", amount), order, within, shift)
+    inside = Window.partitionBy("_block").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_here", F.sum("_amount").over(inside))
+    joined = placed.join(_offsets(rows, within, F.col("_amount")), F.col("_block") == F.col("_at"))
     both = F.when(
-        F.col("_before").isNotNull() | here.isNotNull(),
-        F.coalesce(F.col("_before"), F.lit(0)) + F.coalesce(here, F.lit(0)),
+        F.col("_before").isNotNull() | F.col("_here").isNotNull(),
+        F.coalesce(F.col("_before"), F.lit(0)) + F.coalesce(F.col("_here"), F.lit(0)),
     )
-    return rows.withColumn(name, both).drop("_order", "_block", "_before", "_amount")
+    return joined.withColumn(name, both).drop("_order", "_block", "_at", "_before", "_here", "_amount")
 
 
 def first_n(
