@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import EXAMPLE_CHARS, NO_CATEGORY
 from ..functions.text import truncate_text
-from ..storage import cut_lineage, spread
+from ..storage import cut_lineage, materialise, spread
 from .positions import HASH_SHIFT, first_n, seeded_hash, with_position
 
 Encoder = Callable[[list[str]], np.ndarray]
@@ -95,47 +95,56 @@ def silhouette_squared(rows: DataFrame, embedding: str, cluster: str) -> float:
     return ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(data)
 
 
-EXACT_ROWS = 20_000
+def silhouette_exact(rows: DataFrame, id_column: str, embedding: str, cluster: str, block_rows: int = 2000) -> DataFrame:
+    """Silhouette per row on Euclidean distances: (id, cluster, silhouette); 0 for a cluster of one row.
 
-
-def silhouette_exact(rows: DataFrame, id_column: str, embedding: str, cluster: str) -> DataFrame:
-    """Silhouette per row on Euclidean distances, for tables of at most ``EXACT_ROWS`` rows.
-
-    It needs every distance, so its cost grows with the square of the rows; a larger table is refused, and
-    ``silhouette_squared`` is the form for it. Tasks compare their rows with a shipped matrix of the checked size.
+    It needs every distance, so the work grows with the square of the rows; ``silhouette_squared`` is linear. Rows are
+    packed into blocks, each block is compared with each block inside a task, and what leaves the task is one sum per row
+    and cluster, not a distance. A block's size does not grow with the table.
     """
-    points = rows.select(F.col(embedding).alias("vector"), F.col(cluster).alias("cluster"))
-    frame = points.limit(EXACT_ROWS + 1).toPandas()
-    if len(frame) > EXACT_ROWS:
-        raise ValueError(f"more than {EXACT_ROWS} rows: use silhouette_squared")
-    labels, codes = np.unique(frame["cluster"].to_numpy(), return_inverse=True)
-    matrix = np.asarray(frame["vector"].to_list(), dtype=np.float64)
-    shipped = rows.sparkSession.sparkContext.broadcast((matrix, np.eye(len(labels))[codes], labels))
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        others, member, names = shipped.value
-        sizes = member.sum(axis=0)
-        square = (others**2).sum(axis=1)
-        for batch in frames:
-            if batch.empty:
-                continue
-            mine = np.asarray(batch["vector"].to_list(), dtype=np.float64)
-            own = np.searchsorted(names, batch["cluster"].to_numpy())
-            gaps = (mine**2).sum(axis=1)[:, None] + square[None, :] - 2 * mine @ others.T
-            sums = np.sqrt(np.maximum(gaps, 0)) @ member
-            at = np.arange(len(mine))
-            alone = sizes[own] <= 1
-            inner = sums[at, own] / np.maximum(sizes[own] - 1, 1)
-            means = sums / sizes
-            means[at, own] = np.inf
-            outer = means.min(axis=1)
-            value = np.where(alone, 0.0, (outer - inner) / np.maximum(np.maximum(outer, inner), 1e-300))
-            yield pd.DataFrame({"id": batch["id"], "cluster": batch["cluster"], "silhouette": value})
-
     kinds = dict(rows.dtypes)
-    data = rows.select(F.col(id_column).alias("id"), F.col(embedding).alias("vector"), F.col(cluster).alias("cluster"))
-    schema = f"id {kinds[id_column]}, cluster {kinds[cluster]}, silhouette double"
-    return data.mapInPandas(score, schema)
+    number = rows.agg(F.greatest(F.ceil(F.count("*") / block_rows), F.lit(1))).scalar()
+    member = F.struct(F.col(id_column).alias("id"), F.col(cluster).alias("cluster"), F.col(embedding).alias("vector"))
+    packed = rows.groupBy(F.pmod(F.xxhash64(id_column), number).alias("block")).agg(F.collect_list(member).alias("members"))
+    blocks = materialise(
+        packed.select("block", *[F.col(f"members.{f}").alias(f) for f in ("id", "cluster", "vector")]), name="blocks"
+    )
+    last = blocks.agg(F.max("block")).scalar()
+    left = blocks.select(F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("other"), "id", "cluster", "vector")
+    right = blocks.select(F.col("block").alias("other"), F.col("cluster").alias("clusters"), F.col("vector").alias("vectors"))
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for ids, own, vectors, theirs, others in zip(
+                frame["id"], frame["cluster"], frame["vector"], frame["clusters"], frame["vectors"], strict=True
+            ):
+                mine, target = np.stack(vectors).astype(np.float64), np.stack(others).astype(np.float64)
+                names, codes = np.unique(theirs, return_inverse=True)
+                gaps = (mine**2).sum(axis=1)[:, None] + (target**2).sum(axis=1)[None, :] - 2 * mine @ target.T
+                sums = np.sqrt(np.maximum(gaps, 0)) @ np.eye(len(names))[codes]
+                size, width = len(ids), len(names)
+                yield pd.DataFrame(
+                    {
+                        "id": np.repeat(ids, width), "cluster": np.repeat(own, width), "near": np.tile(names, size),
+                        "total": sums.ravel(), "n": np.tile(np.bincount(codes), size),
+                    }
+                )
+
+    kind = kinds[cluster]
+    schema = f"id {kinds[id_column]}, cluster {kind}, near {kind}, total double, n bigint"
+    sums = left.join(right, "other").drop("other").mapInPandas(compare, schema)
+    means = sums.groupBy("id", "cluster", "near").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    home = F.col("near") == F.col("cluster")
+    return (
+        means.groupBy("id", "cluster")
+        .agg(
+            F.max(F.when(home, F.try_divide("total", F.col("n") - 1))).alias("inner"),
+            F.min(F.when(~home, F.col("total") / F.col("n"))).alias("outer"),
+        )
+        .select("id", "cluster", F.coalesce(
+            F.try_divide(F.col("outer") - F.col("inner"), F.greatest("inner", "outer")), F.lit(0.0)
+        ).alias("silhouette"))
+    )
 
 
 def pca_reduce(rows: DataFrame, embedding: str, k: int = 20, name: str = "reduced") -> DataFrame:

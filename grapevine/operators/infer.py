@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..fixed import DEFAULT_PRICE
 from ..functions.text import first_text_block, json_text, parse_model_json, truncate_text
 from ..storage import materialise, new_folder, spread
 from .positions import HASH_SHIFT, ORDINAL_SHIFT
@@ -40,6 +41,7 @@ class Caller:
     call_fn: CallFn
     model: str
     prices: dict[str, tuple[float, float]] = field(default_factory=dict)
+    default_price: tuple[float, float] = DEFAULT_PRICE
     tries: int = 3
     wait_s: float = 3.0
     cap_usd: float | None = None
@@ -208,6 +210,6 @@ def call_ledger(responses: DataFrame, caller: Caller, prompt_version: str) -> Da
         F.col("response.latency_s").alias("latency_s"),
     )
     prices = price_table(responses.sparkSession, caller.prices)
-    return with_call_cost(calls, prices).withColumn("cost_usd", F.col("cost_usd").cast("double")).select(
+    return with_call_cost(calls, prices, caller.default_price).withColumn("cost_usd", F.col("cost_usd").cast("double")).select(
         "ts", "purpose", "prompt_version", "model", "tokens_in", "tokens_out", "latency_s", "cost_usd"
     )

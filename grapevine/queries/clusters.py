@@ -39,10 +39,19 @@ def kmeans_search(spark, folder):
     return c.kmeans_search(cluster_rows(spark, folder), "review_id", "embedding")[1]
 
 
-@query()
+@query(
+    """WITH e AS (SELECT vec_id AS i, label AS k, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM e),
+sv AS (SELECT k, list(s ORDER BY d) AS total FROM (SELECT k, d, sum(x) AS s FROM u GROUP BY ALL) GROUP BY k),
+cn AS (SELECT k, count(*) AS n, sum(list_dot_product(v, v)) AS q FROM e GROUP BY k),
+c AS (SELECT * FROM cn JOIN sv USING (k)),
+p AS (SELECT e.i, e.k = c.k AS own, n, list_dot_product(v, v) + q / n - 2 * list_dot_product(v, total) / n AS m FROM e, c),
+s AS (SELECT i, max(m * n / (n - 1)) FILTER (WHERE own) AS a, min(m) FILTER (WHERE NOT own) AS b FROM p GROUP BY i)
+SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette_squared FROM s"""
+)
 def silhouette_squared(spark, folder):
     score = c.silhouette_squared(cluster_rows(spark, folder), "embedding", "cluster")
-    return spark.createDataFrame([(score,)], "silhouette_squared double")
+    return spark.createDataFrame([(score,)], "s double").select(F.round("s", 6).alias("silhouette_squared"))
 
 
 @query(

