@@ -23,6 +23,25 @@ def dev_test_split(
     return marked.withColumn(name, F.when(F.col("_dev").isNotNull(), "dev").otherwise("test")).drop("_dev")
 
 
+SMALL_SAMPLE = 10_000
+
+
+def _take(
+    rows: DataFrame, strata: Sequence[str], id_column: str, quota: int | Column, seed: int, at_most: int | None
+) -> DataFrame:
+    """The first ``quota`` rows per stratum in a seeded random order; ids must be unique in a stratum.
+
+    A small sample is cut early, before any shuffle. A large one, which may be most of a hot stratum, is read off the
+    positions instead, which never bring a stratum into one task.
+    """
+    order = seeded_hash(F.col(id_column), seed)
+    largest = quota if isinstance(quota, int) else at_most
+    if largest is not None and largest <= SMALL_SAMPLE:
+        return first_n(rows, strata, [order, F.col(id_column)], quota, at_most=largest)
+    placed = with_position(rows, order, strata, "_position", HASH_SHIFT)
+    return placed.where(F.col("_position") < quota).drop("_position")
+
+
 def stratified_sample(
     rows: DataFrame, strata: Sequence[str], id_column: str, n: int, seed: int = 42, strict: bool = False
 ) -> DataFrame:
@@ -34,7 +53,7 @@ def stratified_sample(
         short = rows.groupBy(*strata).agg(F.count("*").alias("n")).where(F.col("n") < n).limit(1).collect()
         if short:
             raise ValueError(f"a stratum has fewer than {n} rows: {short[0].asDict()}")
-    return first_n(rows, strata, [seeded_hash(F.col(id_column), seed), F.col(id_column)], n)
+    return _take(rows, strata, id_column, n, seed, n)
 
 
 def sample_per_group(
@@ -46,12 +65,13 @@ def sample_per_group(
     at_most: int | None = None,
 ) -> DataFrame:
     """Up to ``quota`` rows per group. The quota may be a column; then ``at_most`` names its largest value."""
-    order = [seeded_hash(F.col(id_column), seed), F.col(id_column)]
-    return first_n(rows, groups, order, quota, at_most=at_most)
+    return _take(rows, groups, id_column, quota, seed, at_most)
 
 
 def sample_n(rows: DataFrame, id_column: str, n: int, seed: int = 1) -> DataFrame:
     """``n`` random rows of the table."""
+    if n > SMALL_SAMPLE:
+        return _take(rows, [], id_column, n, seed, n)
     return rows.orderBy(seeded_hash(F.col(id_column), seed), F.col(id_column)).limit(n)
 
 

@@ -50,10 +50,16 @@ def sentiment_eval_topics(spark, folder):
     return _evaluate(spark, folder)["topics"]
 
 
-@query()
+@query(
+    """WITH t AS (SELECT label AS cluster, 5 + vec_id % 40 AS n FROM embeddings),
+g AS (SELECT cluster, n % 14 - 1 AS category FROM t WHERE n % 11 > 0)
+SELECT count(*) AS assigned, round(avg((cluster = category)::INTEGER), 6) AS agreement,
+  round(avg((category = -1)::INTEGER), 6) AS none_share FROM g"""
+)
 def issue_assignment_eval(spark, folder):
-    """Agreement of the assigned category with the cluster, on a seeded sample."""
+    """The sample is set to the whole table, so that SQL can state the result."""
     rows = cluster_rows(spark, folder).select(
         "review_id", "cluster", F.concat(F.lit("text "), F.repeat(F.lit("x"), (F.col("review_id") % 40).cast("int"))).alias("review_text")
     )
-    return jobs.issue_assignment_eval(rows, rules.caller(rules.assign))["agreement"]
+    found = jobs.issue_assignment_eval(rows, rules.caller(rules.assign), n=1_000_000_000)["agreement"]
+    return found.withColumns({c: F.round(c, 6) for c in ("agreement", "none_share")})

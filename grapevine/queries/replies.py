@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed import ISSUE_CATEGORIES
+from ..functions.text import canonical_topic
 from ..operators.reviews import output_table
 from ..operators.infer import Caller
 from ..plans import replies as jobs
 from ..storage import new_folder
 from . import rules
-from .measures import TRUTH, _truth, playbooks
+from .measures import TRUTH, _levels, _truth, playbooks
 from .registry import query
 from .stages import ANSWERED, CLASSIFIED, N, SHORT, T_STATUS, TRANSLATED
 from .standins import REVIEWS, label_sql, reviews, topic_sql
@@ -143,6 +144,20 @@ def full_run_usage(spark, folder):
     return jobs.run_usage(_run(spark, folder)[1], _callers())
 
 
+EVERYONE = 1_000_000_000  # a quota no group reaches: the whole table is evaluated, so SQL can state the result
+
+EVALUATED = f"""named AS (SELECT *, label AS sentiment, {topic_sql("topic")} AS known_topic,
+  ['Emma', 'Daniel', 'Priya', 'Marcus', 'Anna', 'Lukas', 'Sabine', 'Jonas', 'Lucia', 'Carlos', 'Marta', 'Diego', 'Camille', 'Louis', 'Claire', 'Hugo']
+    [CASE detected_language WHEN 'en' THEN 0 WHEN 'de' THEN 4 WHEN 'es' THEN 8 ELSE 12 END + (row_number() OVER (ORDER BY ordinal) - 1) % 4 + 1] AS customer_name
+  FROM truth),
+drafted AS (SELECT *, 'Dear ' || customer_name || ': ' || sentiment || ' playbook for ' || known_topic ||
+  CASE WHEN sentiment = 'negative' THEN ' (late)' ELSE ' (None)' END AS reply FROM named WHERE least({N}, 1500) % 17 > 0),
+num AS (SELECT *, least({N}, 1500) + length(reply) AS k FROM drafted),
+scored AS (SELECT *, (3 + k % 3)::INTEGER AS empathy, (4 + k % 2)::INTEGER AS specificity, (5 - k % 2)::INTEGER AS correctness, 5 AS tone,
+  k % 19 = 0 AS promises_outcome, k % 23 = 0 AS invents_facts, false AS wrong_language, k % 10 = 0 AS needs_human_attention FROM num),
+seen AS (SELECT *, (empathy >= 4 AND specificity >= 4 AND correctness >= 4 AND NOT promises_outcome AND NOT invents_facts) AS acceptable FROM scored)"""
+
+
 def _evaluated(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Two runs over the same files: the second finds the answers of the first and retries what failed."""
     rows = _truth(spark, folder).withColumnRenamed("label", "sentiment").withColumn(
@@ -151,17 +166,35 @@ def _evaluated(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     base = new_folder(spark, "reply-evaluation")
     files = jobs.CacheFiles(f"{base}/replies", f"{base}/scores")
     drafter, judge = rules.caller(rules.reply), rules.caller(rules.judge, "rule-large")
-    jobs.reply_evaluation(rows, drafter, judge, playbooks(spark), files, seq=1)
-    return jobs.reply_evaluation(rows, drafter, judge, playbooks(spark), files, seq=2)
+    jobs.reply_evaluation(rows, drafter, judge, playbooks(spark), files, seq=1, n=EVERYONE)
+    return jobs.reply_evaluation(rows, drafter, judge, playbooks(spark), files, seq=2, n=EVERYONE)
 
 
-@query()
+@query(
+    f"""WITH {REVIEWS}, {TRUTH}, {EVALUATED} {_levels("sentiment", "detected_language", "count(*) AS n, round_even(avg(empathy), 2) AS empathy, round_even(avg(specificity), 2) AS specificity, round_even(avg(correctness), 2) AS correctness, round_even(avg(tone), 2) AS tone, round_even(avg(acceptable::INTEGER), 2) AS acceptable", "seen")}"""
+)
 def reply_evaluation(spark, folder):
-    """Mean scores and acceptance of a drafted and judged sample."""
     return _evaluated(spark, folder)["means"]
 
 
-@query()
+@query(
+    f"""WITH {REVIEWS}, {TRUTH}, {EVALUATED} SELECT review_id, detected_language, sentiment, known_topic AS topic, md5(review_text) AS review_text, reply,
+  CASE WHEN sentiment <> 'negative' AND acceptable AND NOT needs_human_attention THEN 'auto_approved' ELSE 'pending_human_review' END AS status,
+  empathy, specificity, correctness, tone, promises_outcome, invents_facts, wrong_language, needs_human_attention, acceptable,
+  '' AS human_accept, '' AS human_comment FROM seen"""
+)
 def reply_queue(spark, folder):
-    """The human review queue of the same run."""
-    return _evaluated(spark, folder)["queue"]
+    queue = _evaluated(spark, folder)["queue"]
+    return queue.withColumns({"review_text": F.md5("review_text"), "topic": canonical_topic(F.col("topic"))})
+
+
+@query()
+def reply_sample_means(spark, folder):
+    """The evaluation as it is used: two to four reviews per language and sentiment."""
+    rows = _truth(spark, folder).withColumnRenamed("label", "sentiment").withColumn("issue", F.lit(None).cast("string"))
+    base = new_folder(spark, "reply-sample")
+    found = jobs.reply_evaluation(
+        rows.drop("pred", "stars_estimate"), rules.caller(rules.reply), rules.caller(rules.judge, "rule-large"), playbooks(spark),
+        jobs.CacheFiles(f"{base}/replies", f"{base}/scores"), seq=1,
+    )
+    return found["means"]

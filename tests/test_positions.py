@@ -62,6 +62,16 @@ def test_strict_sample_refuses_a_short_stratum(spark):
         s.stratified_sample(rows, ["g"], "id", 2, strict=True)
 
 
+def test_large_samples_keep_their_sizes(spark):
+    rows = spark.range(30_000).withColumn("g", F.when(F.col("id") < 25_000, "hot"))
+    got = s.stratified_sample(rows, ["g"], "id", 12_000).groupBy("g").count().collect()
+    assert {r.g: r["count"] for r in got} == {"hot": 12_000, None: 5_000}
+    quota = F.when(F.col("g") == "hot", 20_000).otherwise(7)
+    got = s.sample_per_group(rows, ["g"], "id", quota).groupBy("g").count().collect()
+    assert {r.g: r["count"] for r in got} == {"hot": 20_000, None: 7}
+    assert s.sample_n(rows, "id", 15_000).count() == 15_000 and s.sample_n(rows, "id", 10**9).count() == 30_000
+
+
 def test_samples_repeat_with_their_seed(spark):
     rows = spark.range(500)
     one = {r.id for r in s.sample_n(rows, "id", 20, 1).collect()}
