@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 COST = "decimal(18,6)"
 
 
+def round_even(value: Column | str, digits: int) -> Column:
+    """Round to ``digits`` decimals, halves to even, on the binary value.
+
+    ``bround`` rounds the printed decimal instead: it turns the double 4.475, which is a little less than that, into 4.48.
+    """
+    number = F.col(value) if isinstance(value, str) else value
+    scale = F.lit(float(10**digits))
+    return F.rint(number * scale) / scale
+
+
 def week_index(date: Column, origin: Column) -> Column:
     """Whole weeks since ``origin``, rounded down."""
     days = F.datediff(date, origin)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..fixed import DIMENSIONS, FLAGS, NO_CATEGORY, SENTIMENTS
 from ..functions.labels import acceptable
+from ..functions.numbers import round_even
 from ..functions.text import normalise_yes_no
 
 ALL = "ALL"
@@ -35,7 +36,7 @@ def crosstab(rows: DataFrame, row: str, column: str, values: Sequence) -> DataFr
 
 
 def mean_text_length(rows: DataFrame, by: str, text: str) -> DataFrame:
-    return rows.groupBy(by).agg(F.bround(F.avg(F.length(text)), 1).alias("mean_chars"))
+    return rows.groupBy(by).agg(round_even(F.avg(F.length(text)), 1).alias("mean_chars"))
 
 
 def counts_by_levels(rows: DataFrame, by: Sequence[str], **extra: Column) -> DataFrame:
@@ -93,7 +94,7 @@ def cluster_summary(rows: DataFrame, cluster: str, topic: str, language: str) ->
         top.alias("_top"),
         F.map_from_entries(F.sort_array(spoken)).alias("languages"),
     )
-    purity = F.bround(-F.col("_top.minus") / F.col("size"), 2)
+    purity = round_even(-F.col("_top.minus") / F.col("size"), 2)
     return grouped.select(
         "cluster", "size", F.col("_top.topic").alias("dominant_topic"), purity.alias("topic_purity"), "languages"
     ).orderBy(F.desc("size"), F.asc("cluster"))
@@ -136,10 +137,10 @@ def _scores(cells: DataFrame, digits: int) -> DataFrame:
     f1 = 2 * F.col("hits") / (F.col("truth") + F.col("pred"))
     return cells.groupBy("group").agg(
         F.sum("truth").alias("n"),
-        F.bround(F.sum("hits") / F.sum("truth"), digits).alias("accuracy"),
-        F.bround(F.avg(f1), digits).alias("macro_f1"),
-        F.bround(F.try_divide(over(neutral, "hits"), over(neutral, "truth")), digits).alias("neutral_recall"),
-        F.bround(F.try_divide(over(decided, "hits"), over(decided, "truth")), digits).alias("binary_accuracy"),
+        round_even(F.sum("hits") / F.sum("truth"), digits).alias("accuracy"),
+        round_even(F.avg(f1), digits).alias("macro_f1"),
+        round_even(F.try_divide(over(neutral, "hits"), over(neutral, "truth")), digits).alias("neutral_recall"),
+        round_even(F.try_divide(over(decided, "hits"), over(decided, "truth")), digits).alias("binary_accuracy"),
     )
 
 
@@ -192,8 +193,8 @@ def judge_means(
     """Mean scores and acceptance rate overall, by sentiment and by language."""
     sums = {f"_{d}": F.sum(d) for d in DIMENSIONS}
     levels = counts_by_levels(rows, [sentiment, language], _ok=F.count_if(acceptable()), **sums)
-    means = [F.bround(F.col(f"_{d}") / F.col("n"), digits).alias(d) for d in DIMENSIONS]
-    rate = F.bround(F.col("_ok") / F.col("n"), digits).alias("acceptable")
+    means = [round_even(F.col(f"_{d}") / F.col("n"), digits).alias(d) for d in DIMENSIONS]
+    rate = round_even(F.col("_ok") / F.col("n"), digits).alias("acceptable")
     return levels.select("section", "value", "n", *means, rate)
 
 
@@ -216,8 +217,8 @@ def human_acceptance(
     )
     report = levels.select(
         "section", "value", F.col("n").alias("reviewed"),
-        F.bround(F.col("_yes") / F.col("n"), digits).alias("acceptance"),
-        F.bround(F.col("_same") / F.col("n"), digits).alias("agreement"),
+        round_even(F.col("_yes") / F.col("n"), digits).alias("acceptance"),
+        round_even(F.col("_same") / F.col("n"), digits).alias("agreement"),
     )
     # one row whose filter fails the job on an empty sheet, and which is never kept
     nobody = F.raise_error(F.lit("no rows have human_accept = Y or N yet")).cast("boolean")

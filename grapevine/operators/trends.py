@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed import EWMA_ALPHA, EWMA_LIMIT, MIN_COUNT, WINDOW, Z_THRESHOLD
-from ..functions.numbers import week_index, week_start
+from ..functions.numbers import round_even, week_index, week_start
 
 
 def daily_counts(events: DataFrame, group: str, date: str) -> DataFrame:
@@ -188,8 +188,8 @@ def score_series(
             "count",
             "prev_week",
             "wow_delta",
-            F.bround("baseline", digits).alias("baseline_mean"),
-            F.bround("raw_z", digits).alias("z"),
+            round_even("baseline", digits).alias("baseline_mean"),
+            round_even("raw_z", digits).alias("z"),
             ((F.col("raw_z") >= z_threshold) & enough).alias("flag_z"),
             ((F.col("ewma") > ceiling) & enough).alias("flag_ewma"),
         )

@@ -76,7 +76,7 @@ def trend_alerts(
 
 
 def alert_message(alerts: DataFrame, link: str | None = None) -> DataFrame:
-    """One row: number of alerts and the message, one line per alert, highest z first.
+    """One row: number of alerts and the message, one line per alert, highest z first; no alert, no message.
 
     Alerts are few by nature: a flag needs a week far above its own baseline.
     """
@@ -96,7 +96,7 @@ def alert_message(alerts: DataFrame, link: str | None = None) -> DataFrame:
     head = F.concat(F.lit("*Negative review spike detected* ("), F.col("alerts").cast("string"), noun, F.lit(")\n"))
     tail = F.lit(f"\n{link}" if link else "")
     return alerts.agg(F.count("*").alias("alerts"), lines.alias("lines")).select(
-        "alerts", F.concat(head, F.array_join("lines", "\n"), tail).alias("message")
+        "alerts", F.when(F.col("alerts") > 0, F.concat(head, F.array_join("lines", "\n"), tail)).alias("message")
     )
 
 

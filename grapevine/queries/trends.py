@@ -293,7 +293,7 @@ k AS (SELECT g, w FROM (SELECT "group" AS g, week AS w, z FROM scored ORDER BY z
 n AS (SELECT (SELECT count(*) FROM f JOIN p USING (g, w)) AS tp, (SELECT count(*) FROM f) AS nf,
   (SELECT count(*) FROM k JOIN p USING (g, w)) AS hit)
 SELECT 'flag_z' AS rule, tp, nf - tp AS fp, 4 - tp AS fn, nf AS n_flagged,
-  round(tp / nf, 6) AS "precision", round(tp / 4, 6) AS recall, round(hit / 4, 6) AS precision_at_k FROM n"""
+  round(tp / nullif(nf, 0), 6) AS "precision", round(tp / 4, 6) AS recall, round(hit / 4, 6) AS precision_at_k FROM n"""
 )
 def detector_scores_of_rule(spark, folder):
     rows = detector_scores(_scored(spark, folder), PAIRS, "flag_z")
