@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_runs
+from . import fingerprints, line_runs, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,3 +47,36 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE key IN (SELECT key FR
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE key NOT IN (SELECT key FROM common)), '')) AS kept_sha256
 FROM lines GROUP BY doc_id
 """)
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.with_edits(table(spark, sf_dir, "documents"), "doc_id", "text")
+    rows = rows.withColumn("edited_sketch", fingerprints.sketch(F.col("edited")))
+    return rows.select(
+        F.col("key").alias("doc_id"),
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.fingerprint(F.col("text"), F.col("sketch")).alias("fingerprint"),
+        fingerprints.fingerprint(F.col("edited"), F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("sketch"), F.col("edited_sketch"), F.col("text") == F.col("edited")).alias("near_edited"),
+        fingerprints.likeness(F.col("sketch"), F.col("next_sketch"), fingerprints.whole_hash(F.col("text")) == F.col("next_hash")).alias("near_next"),
+        fingerprints.containment(F.col("sketch"), F.col("edited_sketch")).alias("contained_in_edited"),
+    )
+
+
+query(op1_fingerprints)
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = F.col("doc_id").isNotNull() & (quality.fold(F.col("doc_id"), 4) != 2)
+    labels = table(spark, sf_dir, "labels").filter(learn)
+    model = quality.fit_rows(docs.filter(learn), labels, "doc_id", "text", "quality")
+    rows = quality.score(docs, "text", model, ["doc_id"])
+    return rows.select(
+        "doc_id", (quality.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
+query(op4_quality)
