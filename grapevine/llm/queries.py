@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, line_runs, quality
+from . import fingerprints, language, line_runs, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,3 +80,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query(op4_quality)
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learn = F.col("doc_id").isNotNull() & (quality.fold(F.col("doc_id"), 3) != 1)
+    model = language.learn(docs.filter(learn), "text", "lang")
+    rows = language.predict(docs, "text", model, ["doc_id"])
+    return rows.select("doc_id", (quality.fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "languages", "shares")
+
+
+query(op6_language)
