@@ -126,6 +126,27 @@ def windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(total), inside
 
 
+def byte_grams(chunk: Chunk, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes that start at each byte, where so many are left in the chunk; texts are not kept apart."""
+    value = BYTE_VALUE[chunk.data]
+    value *= powers(BASE, len(value))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+    n = max(len(value) - size + 1, 0)
+    return mix((total[size:size + n] - total[:n]) * powers(BASE_INVERSE, len(value))[:n])
+
+
+def sliding_least(values: np.ndarray, size: int) -> np.ndarray:
+    """The least of each ``size`` values in a row."""
+    width, least = 1, values
+    while 2 * width <= size:
+        least = np.minimum(least[:-width], least[width:]) if len(least) > width else least[:0]
+        width *= 2
+    gap = size - width
+    if len(least) <= gap:
+        return least[:0]
+    return np.minimum(least[:len(least) - gap], least[gap:]) if gap else least
+
+
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes text by text, each text's range in them), sorted inside a text.
 
@@ -137,12 +158,12 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     values = hashes[inside]
     short = np.flatnonzero((lengths > 0) & (lengths < size))
     if len(short):
-        whole = [np.uint64(0)] * len(short)
-        for at, row in enumerate(short):
-            part = words.hashes[words.offsets[row]:words.offsets[row + 1]]
-            whole[at] = (part * powers(BASE, len(part) + 1)[1:]).sum(dtype=np.uint64) + np.uint64(len(part)) * BYTE_VALUE[0]
+        whole = lengths[short].astype(np.uint64) * BYTE_VALUE[0]
+        for k in range(size - 1):
+            has = lengths[short] > k
+            whole[has] += words.hashes[words.offsets[short[has]] + k] * powers(BASE, size + 1)[k + 1]
         owner = np.concatenate([owner, short])
-        values = np.concatenate([values, mix(np.array(whole, dtype=np.uint64))])
+        values = np.concatenate([values, mix(whole)])
     order = np.lexsort((values, owner))
     owner, values = owner[order], values[order]
     fresh = np.ones(len(values), dtype=bool)
