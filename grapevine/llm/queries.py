@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, language, line_runs, quality, signature_tree
+from . import bpe, chat, fingerprints, fm_index, language, line_runs, quality, signature_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -150,3 +150,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query(op7_ngram_jaccard)
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fm_index.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+query(op8_substring_dedup)
