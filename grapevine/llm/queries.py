@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, fm_index, language, line_runs, quality, signature_tree
+from . import bpe, chat, fingerprints, fm_index, language, line_runs, quality, signature_tree, suffix_blocks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -157,3 +157,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query(op8_substring_dedup)
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_blocks.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+query(op9_suffix_dedup)
