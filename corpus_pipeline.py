@@ -1,8 +1,76 @@
-"""A corpus pipeline of five stages."""
+"""From raw documents to token ids in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. The first four return the columns of
+``documents``, with ``n_chars`` as the length of the text as it now is; the last returns token ids.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from grapevine.llm import bpe, decontaminate, line_runs, quality, signature_tree
+from grapevine.storage import materialise
+
+MIN_QUALITY = 0.5
+MIN_LINE_DOCS = 10
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under ``MIN_QUALITY`` go; the model learns from those of ``labels``."""
+    model = quality.fit_rows(docs, _table(spark, sf_dir, "labels"), "doc_id", "text", "quality")
+    rows = quality.score(docs, "text", model, docs.columns, name="_score")
+    return rows.filter(F.col("_score") >= MIN_QUALITY).drop("_score")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in ``MIN_LINE_DOCS`` documents or more go, everywhere; every document stays."""
+    rows = line_runs.drop_repeated_lines(docs, "text", MIN_LINE_DOCS)
+    kept = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast(docs.schema["n_chars"].dataType)}
+    return rows.withColumns(kept).select(*docs.columns)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates stays. Rows without an id, and without words, stay."""
+    rows = signature_tree.near_duplicates(docs.select("doc_id", "text"))
+    gone = rows.filter(F.col("component") != F.col("doc_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    found = decontaminate.leaks(docs.select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    gone = materialise(found.select("doc_id").distinct(), name="leaks")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    rows = bpe.encode(docs, path, public_tokenizers.PATTERN, "text", ["doc_id", "lang", "source"])
+    return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("byte-level BPE", byte_level_bpe),
+]
+
+# A trained classifier and a latent search have no SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's rows are written before the next reads them."""
+    docs = _table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name="pipeline")
+    return STAGES[-1][1](spark, docs, sf_dir)
