@@ -120,8 +120,11 @@ def packed_shingles(docs: DataFrame, text: str, size: int, parts: int) -> DataFr
     return docs.select(F.col(text).alias("_text")).mapInArrow(pack, schema)
 
 
-def shared_shingles(packed: DataFrame) -> DataFrame:
-    """(class, n, tokens, ranks): each class's shingles that another class has too, with floor(log2(classes that have it))."""
+def shared_shingles(packed: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, classes, sizes, counts, tokens, ranks): each class's shingles that another class has too.
+
+    Ranks are floor(log2(classes that have the shingle)). Classes are dealt to buckets by their digest and packed as before.
+    """
     def shared(rows: pa.Table) -> pa.Table:
         keys, _ = concatenated(rows["classes"], np.dtype(f"V{CLASS}"))
         sizes, _ = concatenated(rows["sizes"], np.uint32)
@@ -142,18 +145,21 @@ def shared_shingles(packed: DataFrame) -> DataFrame:
         keep = np.repeat(df >= 2, df)
         rank = np.repeat(np.floor(np.log2(np.maximum(df, 1))).astype(np.uint8), df)[keep]
         tokens, owner = tokens[keep], owner[keep]
-        order = np.argsort(owner, kind="stable")
+        halves = np.frombuffer(keys.tobytes(), dtype=np.uint64).reshape(-1, 2)[first]
+        bucket = (halves[:, 0] % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((owner, bucket[owner]))
         tokens, owner, rank = tokens[order], owner[order], rank[order]
-        some, starts = np.unique(owner, return_index=True)
-        offsets = np.append(starts, len(owner))
-        names = keys[first[some]]
-        return pa.Table.from_arrays(
-            [binaries(np.frombuffer(names.tobytes(), np.uint8), np.arange(len(some) + 1) * CLASS),
-             pa.array(sizes[first[some]].astype(np.int64)), binaries(tokens, offsets), binaries(rank, offsets)],
-            names=["class", "n", "tokens", "ranks"],
-        )
+        at = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+        ends = np.append(at, len(owner))
+        cuts = np.searchsorted(bucket[owner[at]], np.arange(buckets + 1))
+        some = pa.array(np.flatnonzero(np.diff(cuts) > 0).astype(np.int32))
+        names = np.frombuffer(keys[first[owner[at]]].tobytes(), np.uint8)
+        arrays = [(names, cuts * CLASS), (sizes[first[owner[at]]], cuts), (np.diff(ends).astype(np.uint32), cuts),
+                  (tokens, ends[cuts]), (rank, ends[cuts])]
+        return pa.Table.from_arrays([some, *(binaries(x, o).take(some) for x, o in arrays)],
+                                    names=["bucket", "classes", "sizes", "counts", "tokens", "ranks"])
 
-    return packed.groupBy("part").applyInArrow(shared, "class binary, n bigint, tokens binary, ranks binary")
+    return packed.groupBy("part").applyInArrow(shared, "bucket int, classes binary, sizes binary, counts binary, tokens binary, ranks binary")
 
 
 def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -180,25 +186,32 @@ def long_tokens(data: np.ndarray) -> np.ndarray:
 
 def candidates(shared: DataFrame, percent: int) -> DataFrame:
     """(class, n, tokens, prefix): classes that share enough to link, all their shared shingles and their prefix."""
-    whole = shared.groupBy("class", "n").agg(
-        F.sum(F.octet_length("ranks")).alias("c"), F.collect_list("tokens").alias("tokens"), F.collect_list("ranks").alias("ranks"))
-    whole = whole.filter(F.col("c") * 100 >= F.col("n") * percent)
-
-    def ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_tokens, prefixes = [], []
-            for n, tokens, ranks in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                tokens = np.frombuffer(b"".join(tokens), dtype=np.uint64)
-                ranks = np.frombuffer(b"".join(ranks), dtype=np.uint8)
-                order = np.lexsort((tokens, ranks))
-                prefixes.append(tokens[order][:len(tokens) - least_overlap(n, percent) + 1].view(np.int64))
-                all_tokens.append(np.sort(tokens).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(all_tokens, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["class", "n", "tokens", "prefix"],
-            )
+    def gather(rows: pa.Table) -> pa.Table:
+        keys, _ = concatenated(rows["classes"], np.dtype(f"V{CLASS}"))
+        sizes, counts = (concatenated(rows[c], np.uint32)[0].astype(np.int64) for c in ("sizes", "counts"))
+        tokens, ranks = concatenated(rows["tokens"], np.uint64)[0], concatenated(rows["ranks"], np.uint8)[0]
+        first, number = numbered(keys)
+        owner = np.repeat(number, counts)
+        total = np.bincount(owner, minlength=len(first))
+        n = sizes[first]
+        enough = total * 100 >= n * percent
+        keep = enough[owner]
+        tokens, ranks, owner = tokens[keep], ranks[keep], owner[keep]
+        order = np.lexsort((tokens, ranks, owner))
+        some = np.flatnonzero(enough)
+        ends = np.append(0, np.cumsum(total[some]))
+        length = np.where(enough, total - least_overlap(n, percent) + 1, 0)
+        place = np.arange(len(owner)) - np.repeat(ends[:-1], total[some])
+        in_prefix = place < np.repeat(length[some], total[some])
+        starts = np.append(0, np.cumsum(np.minimum(length, total)[some])).astype(np.int32)
+        prefix = pa.ListArray.from_arrays(pa.array(starts), pa.array(tokens[order][in_prefix].view(np.int64)))
+        by_token = np.lexsort((tokens, owner))
+        names = np.frombuffer(keys[first[some]].tobytes(), np.uint8)
+        return pa.Table.from_arrays(
+            [binaries(names, np.arange(len(some) + 1) * CLASS), pa.array(n[some]), binaries(tokens[by_token], ends), prefix],
+            names=["class", "n", "tokens", "prefix"])
 
-    return whole.select("class", "n", "tokens", "ranks").mapInArrow(ordered, "class binary, n bigint, tokens binary, prefix array<bigint>")
+    return shared.groupBy("bucket").applyInArrow(gather, "class binary, n bigint, tokens binary, prefix array<bigint>")
 
 
 class Tree:
@@ -324,14 +337,15 @@ def links_within(rows: DataFrame, percent: int, by: list[str]) -> DataFrame:
         return pa.Table.from_arrays(
             [pa.array([keys[i] for i, _ in pairs], pa.binary()), pa.array([keys[j] for _, j in pairs], pa.binary())], names=["a", "b"])
 
-    return rows.groupBy(*by).applyInArrow(joined, "a binary, b binary")
+    # dealt by all of ``by``: what came before may have left a forest's blocks in one task
+    return rows.repartition(*by).groupBy(*by).applyInArrow(joined, "a binary, b binary")
 
 
 def class_components(docs: DataFrame, text: str, size: int, percent: int, block: int = BLOCK) -> DataFrame:
     """(class, component): components of linked classes; classes without a link have no row."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = materialise(candidates(shared_shingles(packed_shingles(docs, text, size, parts)), percent), name="jaccard-candidates")
+    found = materialise(candidates(shared_shingles(packed_shingles(docs, text, size, parts), parts), percent), name="jaccard-candidates")
     # forests: classes that share a prefix shingle, by way of the shingle's smallest class
     prefixes = found.select("class", F.explode("prefix").alias("token"))
     leaders = prefixes.groupBy("token").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
