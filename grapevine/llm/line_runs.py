@@ -133,8 +133,8 @@ def texts_with_keys(docs: DataFrame, text: str, batches: int) -> DataFrame:
     )
 
 
-def repeated_line_flags(docs: DataFrame, text: str = "text", min_docs: int = 10, batches: int = 4) -> DataFrame:
-    """Distinct texts (t, u, flags): for each line in order whether its key is in ``min_docs`` documents or more."""
+def repeated_line_spots(docs: DataFrame, text: str = "text", min_docs: int = 10, batches: int = 4) -> DataFrame:
+    """(t, u, spots) of distinct texts: ascending places of the lines whose key is in ``min_docs`` documents or more."""
     spark = docs.sparkSession
     table = materialise(texts_with_keys(docs, text, batches), name="line-keys")
     runs = LineRuns(spark, min_docs)
@@ -155,7 +155,8 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", min_docs: int = 10,
 
     Every row is kept, texts without lines left become empty. An empty table gives an empty table.
     """
-    spots = repeated_line_flags(docs, text, min_docs, batches)
+    # written first: the join then reads two plain exchanges, and a text with very many copies can be split
+    spots = materialise(repeated_line_spots(docs, text, min_docs, batches), name="repeated-spots")
     spots = spots.withColumnsRenamed({"t": "_t", "u": "_u", "spots": "_spots"})
     digest = text_digest(F.col(text))
     rows = docs.withColumns({"_t": digest["t"], "_u": digest["u"]}).join(spots, ["_t", "_u"], "left")
