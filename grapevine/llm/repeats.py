@@ -124,8 +124,11 @@ def packed_runs(rows: DataFrame, unit: Unit, parts: int) -> DataFrame:
     return rows.select("text", "t", "u").mapInArrow(pack, schema)
 
 
-def repeated_runs(packed: DataFrame) -> DataFrame:
-    """(t, u, runs): for each text its runs (start, n, anchor, hot) whose anchor another run has too."""
+def repeated_runs(packed: DataFrame, buckets: int) -> DataFrame:
+    """(t, u, runs): for each text its runs (start, n, anchor, hot) whose anchor another run has too.
+
+    Parts pass them on packed by buckets of texts, and a bucket puts each text's runs together.
+    """
     def repeated(rows: pa.Table) -> pa.Table:
         names, _ = concatenated(rows["texts"], np.dtype(f"V{DIGEST}"))
         counts, starts, lengths = (concatenated(rows[c], np.uint32)[0] for c in ("counts", "starts", "lengths"))
@@ -144,18 +147,38 @@ def repeated_runs(packed: DataFrame) -> DataFrame:
         times = np.repeat(n, n)
         keep = (times > 1) | (lengths & 1 == 1)  # a run may repeat windows of its own
         anchors, owner, starts, lengths, hot = anchors[keep], owner[keep], starts[keep], lengths[keep] >> 1, times[keep] > HOT_RUNS
-        order = np.argsort(owner, kind="stable")
-        owner = owner[order]
-        some, cuts = np.unique(owner, return_index=True)
-        offsets = np.append(cuts, len(owner))
-        halves = np.frombuffer(names.tobytes(), dtype=np.int64).reshape(-1, 2)[first[some]]
+        halves = np.frombuffer(names.tobytes(), dtype=np.uint64).reshape(-1, 2)[first]
+        bucket = (halves[:, 0] % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((owner, bucket[owner]))
+        owner, starts, lengths, anchors, hot = owner[order], starts[order], lengths[order], anchors[order], hot[order]
+        at = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+        ends = np.append(at, len(owner))
+        cuts = np.searchsorted(bucket[owner[at]], np.arange(buckets + 1))
+        some = pa.array(np.flatnonzero(np.diff(cuts) > 0).astype(np.int32))
+        own = np.frombuffer(names[first[owner[at]]].tobytes(), np.uint8)
+        arrays = [(own, cuts * DIGEST), (np.diff(ends).astype(np.uint32), cuts), (starts, ends[cuts]), (lengths, ends[cuts]),
+                  (anchors, ends[cuts]), (hot.astype(np.uint8), ends[cuts])]
+        return pa.Table.from_arrays([some, *(binaries(x, o).take(some) for x, o in arrays)],
+                                    names=["bucket", "texts", "counts", "starts", "lengths", "anchors", "hot"])
+
+    def gathered(rows: pa.Table) -> pa.Table:
+        names, _ = concatenated(rows["texts"], np.dtype(f"V{DIGEST}"))
+        counts, starts, lengths = (concatenated(rows[c], np.uint32)[0] for c in ("counts", "starts", "lengths"))
+        anchors, hot = concatenated(rows["anchors"], np.int64)[0], concatenated(rows["hot"], np.uint8)[0]
+        first, number = numbered(names)
+        owner = np.repeat(number, counts)
+        order = np.lexsort((starts, owner))
+        halves = np.frombuffer(names.tobytes(), dtype=np.int64).reshape(-1, 2)[first]
+        offsets = np.append(0, np.cumsum(np.bincount(owner, minlength=len(first)))).astype(np.int32)
         runs = pa.StructArray.from_arrays(
-            [pa.array(starts[order].astype(np.int32)), pa.array(lengths[order].astype(np.int32)), pa.array(anchors[order].view(np.int64)),
-             pa.array(hot[order])], names=["start", "n", "anchor", "hot"])
+            [pa.array(starts[order].astype(np.int32)), pa.array(lengths[order].astype(np.int32)), pa.array(anchors[order]),
+             pa.array(hot[order].astype(bool))], names=["start", "n", "anchor", "hot"])
         return pa.Table.from_arrays(
-            [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), runs)], names=["t", "u", "runs"])
+            [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.ListArray.from_arrays(pa.array(offsets), runs)], names=["t", "u", "runs"])
 
-    return packed.groupBy("part").applyInArrow(repeated, f"t bigint, u bigint, runs array<{RUN}>")
+    schema = "bucket int, texts binary, counts binary, starts binary, lengths binary, anchors binary, hot binary"
+    buckets_of = packed.groupBy("part").applyInArrow(repeated, schema)
+    return buckets_of.groupBy("bucket").applyInArrow(gathered, f"t bigint, u bigint, runs array<{RUN}>")
 
 
 RUN = "struct<start:int,n:int,anchor:bigint,hot:boolean>"
@@ -164,7 +187,7 @@ RUN = "struct<start:int,n:int,anchor:bigint,hot:boolean>"
 def with_repeats(rows: DataFrame, unit: Unit) -> DataFrame:
     """(key, text, t, u, runs) of the first row of each text that has runs with repeated anchors."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = repeated_runs(packed_runs(rows, unit, parts)).groupBy("t", "u").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    runs = repeated_runs(packed_runs(rows, unit, parts), parts)
     first = rows.select("key", "t", "u").groupBy("t", "u").agg(F.min("key").alias("key"))
     runs = runs.join(first, ["t", "u"])
     runs = runs.withColumnsRenamed({"t": "_t", "u": "_u", "key": "_key"})
