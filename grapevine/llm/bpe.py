@@ -1,9 +1,9 @@
 """Byte-level BPE by folding ranked merges over the bytes of distinct words.
 
-Texts are split into pieces by the tokenizer's pattern. A batch of texts is kept as numbers of its own distinct pieces; the
-distinct pieces of the corpus are encoded once each by Spark's higher-order functions, with the ranks as a literal, and decoded
-from their ids by concatenating the tokens' bytes; each batch then gets the ids of its pieces back. Ids and
-decoded bytes of a text are those of its pieces, in order.
+Texts are split into pieces by the tokenizer's pattern. A batch of texts is written as numbers of its own distinct pieces, bucketed by
+batch; the distinct pieces go, packed, to parts of the hash range, where each is encoded once by Spark's higher-order
+functions, with the ranks as a literal; the parts send every batch the ids of its pieces. Texts themselves never move: only
+a batch's word list does. Decoding concatenates the bytes of the tokens that the ids name.
 
 Every rank file must hold all single bytes. Null and empty texts have no ids. Each input row is one output row.
 """
@@ -13,26 +13,29 @@ from __future__ import annotations
 import base64
 import json
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
-    ArrayType, BinaryType, IntegerType, StringType, StructField, StructType,
+    ArrayType, BinaryType, IntegerType, LongType, StructField, StructType,
 )
 
-from ..storage import materialise
+from ..storage import materialise, new_folder
 from .line_runs import bound
 
 BUCKETS = 1 << 14
 SPREAD, ID_LIMIT = 7919, 1 << 24
-BATCH_CHARS = 1 << 23
+BATCH_BYTES = 1 << 24
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -128,14 +131,11 @@ def merged(ranks: RankMap, piece: Column) -> Column:
 
 
 def encoded_pieces(pieces: DataFrame, tokens: list[bytes]) -> DataFrame:
-    """(piece, ids, decoded) of distinct pieces: the piece's own rank if it has one, else the ids after its merges."""
+    """``pieces`` with the ids of each ``piece``: its own rank if it has one, else the ids after its merges."""
     ranks = RankMap(tokens)
-    by_rank = literal([base64.b64encode(token).decode() for token in tokens], "array<binary>")
     piece = F.col("piece").cast("binary")
-    rows = pieces.withColumn("rank", ranks.of_bytes(piece))
-    rows = rows.select("piece", F.when(F.col("rank").isNotNull(), F.array("rank")).otherwise(merged(ranks, piece)).alias("ids"))
-    decoded = F.aggregate("ids", F.lit(b""), lambda done, rank: F.concat(done, F.get(by_rank, rank)))
-    return rows.withColumn("decoded", decoded)
+    rows = pieces.withColumn("_rank", ranks.of_bytes(piece))
+    return rows.withColumn("ids", F.when(F.col("_rank").isNotNull(), F.array("_rank")).otherwise(merged(ranks, piece))).drop("_rank")
 
 
 class Numbers(dict):
@@ -162,86 +162,158 @@ class Stretches(dict):
 STRETCH = r"\s*(?:\S++(?! \S)\s++(?=\S))*\S++|\s+"
 
 
-def split_batches(docs: DataFrame, text: str, pattern: str, keep: list[str], stretch: str | None = STRETCH) -> DataFrame:
-    """Texts as numbers of pieces: rows (origin, keep.., cells) and, for each origin, one row with its ``pieces``.
+def split_batches(docs: DataFrame, text: str, pattern: str, keep: list[str], parts: int, stretch: str | None = STRETCH) -> DataFrame:
+    """Texts as numbers of pieces, and each batch's distinct pieces by part of the hash range.
 
-    The pattern runs once on each distinct ``stretch`` of a batch; None runs it on whole texts.
+    Rows are (_origin, keep.., _cells) or (_origin, _part, _numbers, _lengths, _bytes), with nulls in the other columns. The pattern
+    runs once on each distinct ``stretch`` of a batch; None runs it on whole texts.
     """
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         stretches = re.compile(stretch).findall if stretch else lambda text: [text]
         task, made = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            sizes = np.cumsum([len(t or "") for t in texts])
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             first = 0
-            while first < len(texts):
-                limit = (sizes[first - 1] if first else 0) + BATCH_CHARS
+            while first < len(batch):
+                limit = (sizes[first - 1] if first else 0) + BATCH_BYTES
                 last = max(int(np.searchsorted(sizes, limit, side="right")), first + 1)
                 numbers = Numbers()
                 pieces_of = Stretches(find, numbers).__getitem__
                 cells = [
                     np.fromiter(chain.from_iterable(map(pieces_of, stretches(t or ""))), dtype=np.uint32).tobytes()
-                    for t in texts[first:last]
+                    for t in batch.column(0).slice(first, last - first).to_pylist()
                 ]
                 origin = task << 32 | made
                 kept = [column.slice(first, last - first) for column in batch.columns[1:]]
-                n = last - first
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([origin] * n, pa.int64()), *kept, pa.array(cells, pa.binary()), pa.nulls(n, pa.list_(pa.string()))],
-                    names=["_origin", *keep, "_cells", "_pieces"],
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([origin], pa.int64()), *(pa.nulls(1, k.type) for k in kept), pa.nulls(1, pa.binary()),
-                     pa.array([list(numbers)], pa.list_(pa.string()))],
-                    names=["_origin", *keep, "_cells", "_pieces"],
-                )
+                yield rows_of(last - first, origin, kept, cells, None)
+                yield rows_of(None, origin, kept, None, list(numbers))
                 first, made = last, made + 1
 
-    fields = [StructField(docs.schema[c].name, docs.schema[c].dataType) for c in keep]
-    schema = StructType([StructField("_origin", docs.sparkSession.range(0).schema["id"].dataType), *fields,
-                         StructField("_cells", BinaryType()), StructField("_pieces", ArrayType(StringType()))])
+    def rows_of(n, origin, kept, cells, pieces):
+        if cells is not None:
+            lists = [pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in range(3))]
+            cells = pa.array(cells, pa.binary())
+        else:
+            bodies = [piece.encode() for piece in pieces]
+            part = np.array([zlib.crc32(body) % parts for body in bodies], dtype=np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            some = np.flatnonzero(np.diff(cuts) > 0)
+            sorted_bodies = [bodies[i] for i in order]
+            lengths = np.array([len(body) for body in sorted_bodies], dtype=np.uint32)
+            lists = [
+                pa.array(some.astype(np.int32)),
+                *(pa.array([x[cuts[p]:cuts[p + 1]].astype(np.uint32).tobytes() for p in some], pa.binary()) for x in (order, lengths)),
+                pa.array([b"".join(sorted_bodies[cuts[p]:cuts[p + 1]]) for p in some], pa.binary()),
+            ]
+            n, cells, kept = len(some), pa.nulls(len(some), pa.binary()), [pa.nulls(len(some), k.type) for k in kept]
+        return pa.RecordBatch.from_arrays([pa.array([origin] * n, pa.int64()), *kept, cells, *lists], names=["_origin", *keep, "_cells", *LISTS])
+
+    schema = StructType([
+        StructField("_origin", LongType()), *(StructField(c, docs.schema[c].dataType) for c in keep), StructField("_cells", BinaryType()),
+        StructField("_part", IntegerType()), *(StructField(c, BinaryType()) for c in LISTS[1:]),
+    ])
     return docs.select(F.col(text).alias("_split_text"), *keep).mapInArrow(split, schema)
 
 
+LISTS = ["_part", "_numbers", "_lengths", "_bytes"]
+
+
+def cut_pieces(lengths: bytes, body: bytes) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(lengths, dtype=np.uint32).astype(np.int64)).tolist()
+    return [body[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905 - one start more than ends
+
+
+def distinct_pieces(lists: DataFrame) -> DataFrame:
+    """(part, piece): the distinct pieces of all batches."""
+    def distinct(rows: pa.Table) -> pa.Table:
+        found: set[bytes] = set()
+        for lengths, body in zip(rows["_lengths"].to_pylist(), rows["_bytes"].to_pylist(), strict=True):
+            found.update(cut_pieces(lengths, body))
+        pieces = pa.array(sorted(found), pa.binary()).cast(pa.string())
+        return pa.table({"part": pa.array(np.full(len(pieces), rows["_part"][0].as_py(), np.int32)), "piece": pieces})
+
+    return lists.select("_part", "_lengths", "_bytes").groupBy("_part").applyInArrow(distinct, "part int, piece string")
+
+
+def ids_of_batches(lists: DataFrame, known: DataFrame) -> DataFrame:
+    """(batch, numbers, sizes, ids): for each batch the ids of its pieces, part by part."""
+    def look_up(rows: pa.Table, known: pa.Table) -> pa.Table:
+        places = {piece: i for i, piece in enumerate(known["piece"].cast(pa.binary()).to_pylist())}
+        starts, values = flat_lists(known["ids"])
+        sizes, ids = [], []
+        for lengths, body in zip(rows["_lengths"].to_pylist(), rows["_bytes"].to_pylist(), strict=True):
+            own = np.array([places[piece] for piece in cut_pieces(lengths, body)], dtype=np.int64)
+            taken, n = take_lists(starts, values, own)
+            sizes.append(n.astype(np.uint16 if not len(n) or n.max() < 1 << 16 else np.uint32).tobytes())
+            ids.append(taken.astype(np.uint32).tobytes())
+        return pa.table({"batch": rows["_origin"], "numbers": rows["_numbers"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
+
+    return lists.groupBy("_part").cogroup(known.groupBy("part")).applyInArrow(look_up, "batch bigint, numbers binary, sizes binary, ids binary")
+
+
+def flat_lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each list starts and the last ends, all values) of a list column."""
+    values, starts = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+    for part in column.chunks:
+        offsets = part.offsets.to_numpy().astype(np.int64)
+        values.append(part.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]])
+        starts.append(offsets[1:] - offsets[0] + starts[-1][-1])
+    return np.concatenate(starts), np.concatenate(values)
+
+
+def take_lists(starts: np.ndarray, values: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values of the lists ``which`` one after another, the length of each)."""
+    lengths = np.diff(starts)[which]
+    ends = np.cumsum(lengths)
+    at = np.repeat(starts[which] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+    return values[at], lengths
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) of every row, its token ``ids`` and the bytes ``decoded`` from them."""
-    keep = [c for c in docs.columns] if keep is None else keep
-    tokens = read_ranks(ranks_path)
-    split = materialise(split_batches(docs, text, pattern, keep), name="pieces")
-    pieces = split.filter(F.col("_pieces").isNotNull()).select("_origin", F.posexplode("_pieces").alias("_at", "piece"))
-    known = materialise(encoded_pieces(pieces.select("piece").distinct(), tokens), name="encoded-pieces")
-    own = pieces.join(known, "piece").select(F.col("_origin").alias("_batch"), "_at", "ids", "decoded")
-    texts = split.filter(F.col("_cells").isNotNull()).select("_origin", *keep, "_cells")
+    spark = docs.sparkSession
+    keep = list(docs.columns) if keep is None else keep
+    names = [f"_k{i}" for i in range(len(keep))]  # whatever the columns are called
+    docs = docs.select(F.col(text).alias("_text"), *(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)))
+    tokens, parts = read_ranks(ranks_path), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # bucketed by batch, so that the cells of a batch stay where they are when its ids come
+    table = f"bpe_cells_{uuid.uuid4().hex}"
+    split_batches(docs, "_text", pattern, names, parts).write.bucketBy(parts, "_origin").option("path", new_folder(spark, "cells")).option(
+        "compression", "zstd").format("parquet").saveAsTable(table)
+    split = spark.table(table)
+    lists = split.filter(F.col("_part").isNotNull()).select("_origin", *LISTS)
+    known = materialise(encoded_pieces(distinct_pieces(lists), tokens), name="encoded-pieces")
+    ids = ids_of_batches(lists, known)
+    texts = split.filter(F.col("_cells").isNotNull()).select("_origin", *names, "_cells")
+    spelled = spark.sparkContext.broadcast(tokens)  # the vocabulary
 
     def put_together(texts: pa.Table, words: pa.Table) -> pa.Table:
-        words = words.sort_by("_at").combine_chunks()
-        ids, decoded = words["ids"].combine_chunks(), words["decoded"].combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        starts, values = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False)
-        lengths = np.diff(starts)
-        decoded = decoded.to_pylist()
-        out_ids, out_sizes, out_bytes = [np.zeros(0, np.int32)], [], []
+        numbers = np.frombuffer(b"".join(words["numbers"].to_pylist()), dtype=np.uint32)
+        sizes = np.concatenate([np.zeros(0, np.int64), *(
+            np.frombuffer(s, np.uint16 if len(s) < len(n) else np.uint32).astype(np.int64)
+            for s, n in zip(words["sizes"].to_pylist(), words["numbers"].to_pylist(), strict=True))])
+        values = np.frombuffer(b"".join(words["ids"].to_pylist()), dtype=np.uint32)
+        order = np.argsort(numbers, kind="stable")
+        values, sizes = take_lists(np.append(0, np.cumsum(sizes)), values, order)
+        starts = np.append(0, np.cumsum(sizes))
+        spell = spelled.value
+        ids, counts, decoded = [np.zeros(0, np.uint32)], [], []
         for cells in texts["_cells"].to_pylist():
-            own = np.frombuffer(cells, dtype=np.uint32)
-            sizes = lengths[own]
-            ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            # positions of all ids of all pieces: each piece's start, counted up inside the piece
-            at = np.repeat(starts[:-1][own] - (ends - sizes), sizes) + np.arange(total)
-            out_ids.append(values[at].astype(np.int32))
-            out_sizes.append(total)
-            out_bytes.append(b"".join([decoded[i] for i in own]))
-        offsets = np.concatenate([[0], np.cumsum(out_sizes)]).astype(np.int32)
+            own, _ = take_lists(starts, values, np.frombuffer(cells, dtype=np.uint32))
+            ids.append(own)
+            counts.append(len(own))
+            decoded.append(b"".join([spell[i] for i in own.tolist()]))
+        offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
         return pa.Table.from_arrays(
-            [*(texts[c] for c in keep), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out_ids))),
-             pa.array(out_bytes, pa.binary())],
-            names=[*keep, "ids", "decoded"],
-        )
+            [*(texts[c] for c in names), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32))),
+             pa.array(decoded, pa.binary())], names=[*names, "ids", "decoded"])
 
-    fields = [StructField(docs.schema[c].name, docs.schema[c].dataType) for c in keep]
-    schema = StructType([*fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())])
-    return texts.groupBy("_origin").cogroup(own.groupBy("_batch")).applyInArrow(put_together, schema)
+    schema = StructType([*(StructField(n, docs.schema[n].dataType) for n in names), StructField("ids", ArrayType(IntegerType())),
+                         StructField("decoded", BinaryType())])
+    out = texts.groupBy("_origin").cogroup(ids.groupBy("batch")).applyInArrow(put_together, schema)
+    return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "ids", "decoded")
 
 
 def decode(ids: Column, ranks_path: str) -> Column:
