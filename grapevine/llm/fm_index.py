@@ -160,7 +160,7 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     open_rows = materialise(with_repeats(rows, unit), name="repeat-texts")
     found = repeated_windows(open_rows, unit, lambda segments: later_windows(segments, window))
     found = found.groupBy("t", "u").agg(F.collect_list(F.struct("start", "n")).alias("windows"))
-    texts = open_rows.select("t", "u", "text").join(found, ["t", "u"])
+    texts = open_rows.select("t", "u", "text").dropDuplicates(["t", "u"]).join(found, ["t", "u"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
