@@ -29,6 +29,8 @@ from .textarrays import (
 
 FLUSH_RUNS = 1 << 19
 HOT_RUNS = 4096
+HELD_SEGMENTS = 1 << 15
+SHARDS = 8  # per shuffle partition: an index is built for one shard at a time
 DIGEST = 16
 
 
@@ -196,9 +198,10 @@ def with_repeats(rows: DataFrame, unit: Unit) -> DataFrame:
 
 
 def segments(rows: DataFrame, unit: Unit) -> DataFrame:
-    """(route, key, t, u, start, n, units, copies) of distinct segments, first ones in order of (key, t, u, start) in a task.
+    """(route, key, t, u, start, n, units, copies) of distinct segments, the first in order of (key, t, u, start).
 
-    Rows without ``units`` are windows of later copies of a segment in the task, neighbours in one row. A run of a hot anchor is
+    Copies are told apart from the first among ``HELD_SEGMENTS`` at a time; the shards do it for all. Rows without ``units`` are windows
+    of later copies, neighbours in one row. A run of a hot anchor is
     cut into windows, and a window's route depends on its first and last gram, so that a frequent passage with different
     surroundings does not meet in one shard.
     """
@@ -220,6 +223,9 @@ def segments(rows: DataFrame, unit: Unit) -> DataFrame:
                         continue
                     done.add((t[row], u[row]))
                     own = (keys[row] is not None, keys[row], t[row], u[row])
+                    if len(best) >= HELD_SEGMENTS or len(later) >= HELD_SEGMENTS:
+                        yield from drained(best, later)
+                        best, later = {}, []
                     for r in range(ends[row], ends[row + 1]):
                         base, n = offsets[i] + starts[r], int(counts[r])
                         cuts = [(0, n, int(anchors[r].view(np.int64)))]
@@ -239,6 +245,9 @@ def segments(rows: DataFrame, unit: Unit) -> DataFrame:
                             if found < held[0]:
                                 held[0], found = found, held[0]
                             later.append(found)
+        yield from drained(best, later)
+
+    def drained(best, later):
         yield from emit([(*head, body, copies) for head, body, copies in best.values()])
         yield from emit([(own, start, n, route, None, 0) for own, start, n, route in joined(sorted(later))])
 
@@ -274,7 +283,7 @@ def repeated_windows(rows: DataFrame, unit: Unit, shard) -> DataFrame:
     ``shard`` maps a table of segments, in order of (key, t, u, start), to one boolean per window, segment by segment; a segment
     of ``copies`` over 1 was found more than once.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = SHARDS * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [("key", "ascending"), ("t", "ascending"), ("u", "ascending"), ("start", "ascending")]
 
     def found(table: pa.Table) -> pa.Table:
