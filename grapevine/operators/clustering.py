@@ -95,56 +95,32 @@ def silhouette_squared(rows: DataFrame, embedding: str, cluster: str) -> float:
     return ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(data)
 
 
-def silhouette_exact(rows: DataFrame, id_column: str, embedding: str, cluster: str, block_rows: int = 2000) -> DataFrame:
-    """Silhouette per row on Euclidean distances: (id, cluster, silhouette); 0 for a cluster of one row.
+def silhouette_exact(rows: DataFrame, id_column: str, embedding: str, cluster: str) -> DataFrame:
+    """Silhouette per row on squared Euclidean distances: (id, cluster, silhouette); 0 for a cluster of one row.
 
-    It needs every distance, so the work grows with the square of the rows; ``silhouette_squared`` is linear. Rows are
-    packed into blocks, each block is compared with each block inside a task, and what leaves the task is one sum per row
-    and cluster, not a distance. A block's size does not grow with the table.
+    The mean squared distance to a cluster follows from its size, its sum and its sum of squares, so one pass counts these per
+    cluster and a second compares each row with each cluster. The clusters, a few numbers each, are put in the plan.
     """
-    kinds = dict(rows.dtypes)
-    number = rows.agg(F.greatest(F.ceil(F.count("*") / block_rows), F.lit(1))).scalar()
-    member = F.struct(F.col(id_column).alias("id"), F.col(cluster).alias("cluster"), F.col(embedding).alias("vector"))
-    packed = rows.groupBy(F.pmod(F.xxhash64(id_column), number).alias("block")).agg(F.collect_list(member).alias("members"))
-    blocks = materialise(
-        packed.select("block", *[F.col(f"members.{f}").alias(f) for f in ("id", "cluster", "vector")]), name="blocks"
-    )
-    last = blocks.agg(F.max("block")).scalar()
-    left = blocks.select(F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("other"), "id", "cluster", "vector")
-    right = blocks.select(F.col("block").alias("other"), F.col("cluster").alias("clusters"), F.col("vector").alias("vectors"))
-
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for ids, own, vectors, theirs, others in zip(
-                frame["id"], frame["cluster"], frame["vector"], frame["clusters"], frame["vectors"], strict=True
-            ):
-                mine, target = np.stack(vectors).astype(np.float64), np.stack(others).astype(np.float64)
-                names, codes = np.unique(theirs, return_inverse=True)
-                gaps = (mine**2).sum(axis=1)[:, None] + (target**2).sum(axis=1)[None, :] - 2 * mine @ target.T
-                sums = np.sqrt(np.maximum(gaps, 0)) @ np.eye(len(names))[codes]
-                size, width = len(ids), len(names)
-                yield pd.DataFrame(
-                    {
-                        "id": np.repeat(ids, width), "cluster": np.repeat(own, width), "near": np.tile(names, size),
-                        "total": sums.ravel(), "n": np.tile(np.bincount(codes), size),
-                    }
-                )
-
-    kind = kinds[cluster]
-    schema = f"id {kinds[id_column]}, cluster {kind}, near {kind}, total double, n bigint"
-    sums = left.join(right, "other").drop("other").mapInPandas(compare, schema)
-    means = sums.groupBy("id", "cluster", "near").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    home = F.col("near") == F.col("cluster")
-    return (
-        means.groupBy("id", "cluster")
-        .agg(
-            F.max(F.when(home, F.try_divide("total", F.col("n") - 1))).alias("inner"),
-            F.min(F.when(~home, F.col("total") / F.col("n"))).alias("outer"),
-        )
-        .select("id", "cluster", F.coalesce(
-            F.try_divide(F.col("outer") - F.col("inner"), F.greatest("inner", "outer")), F.lit(0.0)
-        ).alias("silhouette"))
-    )
+    vector = F.col(embedding).cast("array<double>")
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda total, x: total + x * x)
+    each = rows.select(F.col(cluster).alias("k"), F.posexplode(vector).alias("at", "x"))
+    sums = each.groupBy("k", "at").agg(F.sum("x").alias("x")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("s"))
+    sizes = rows.groupBy(F.col(cluster).alias("k")).agg(F.count("*").alias("n"), F.sum(square(vector)).alias("q"))
+    found = sizes.join(sums, "k").select("k", "n", "q", F.col("s.x").alias("s")).collect()
+    clusters = F.array(*[
+        F.struct(F.lit(r.k).alias("k"), F.lit(float(r.n)).alias("n"), F.lit(r.q).alias("q"), F.lit(r.s).alias("s")) for r in found
+    ])
+
+    def gap(c: Column) -> Column:
+        both = F.aggregate(F.zip_with(F.col("_v"), c["s"], lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+        return (F.col("_q") + c["q"] / c["n"] - 2 * both / c["n"]) * F.when(c["k"] == F.col("_k"), F.try_divide(c["n"], c["n"] - 1)).otherwise(1.0)
+
+    placed = rows.select(F.col(id_column).alias("id"), F.col(cluster).alias("_k"), vector.alias("_v"), square(vector).alias("_q"))
+    own = F.array_max(F.transform(F.filter(clusters, lambda c: c["k"] == F.col("_k")), gap))
+    other = F.array_min(F.transform(F.filter(clusters, lambda c: c["k"] != F.col("_k")), gap))
+    value = F.try_divide(F.col("outer") - F.col("inner"), F.greatest("inner", "outer"))
+    scored = placed.select("id", F.col("_k").alias("cluster"), own.alias("inner"), other.alias("outer"))
+    return scored.select("id", "cluster", F.when(F.col("inner").isNotNull(), F.coalesce(value, F.lit(0.0))).otherwise(0.0).alias("silhouette"))
 
 
 def pca_reduce(rows: DataFrame, embedding: str, k: int = 20, name: str = "reduced") -> DataFrame:
@@ -181,7 +157,7 @@ def _cells(vector: str, width: float, tables: int, cuts: int, seed: int) -> Colu
     return assign(F.col(vector))
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each connected part. ``edges`` has (a, b), ``nodes`` has (node).
 
     Every round takes the smallest label among the neighbours and then follows labels one step further, so long
@@ -189,7 +165,7 @@ def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 6
     """
     both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = cut_lineage(nodes.select("node", F.col("node").alias("component")).distinct())
-    for _ in range(max_rounds):
+    while True:
         seen = both.join(labels, both["a"] == labels["node"]).groupBy("b").agg(F.min("component").alias("near"))
         lower = labels.join(seen, labels["node"] == seen["b"], "left").select(
             "node", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("step")
@@ -203,7 +179,6 @@ def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 6
         labels = moved.select("node", "component")
         if moved.where(F.col("component") != F.col("old")).isEmpty():
             return labels
-    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
 def density_clusters(

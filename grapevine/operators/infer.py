@@ -189,13 +189,17 @@ def answers_by_id(
     return flat.withColumn("answer", answer).select("row.*", "answer", error.alias("error"))
 
 
-def single_answers(responses: DataFrame, schema: str, needed: str) -> DataFrame:
-    """Every row of a one-row request with its parsed answer; ``needed`` names a field that must be there."""
+def single_answers(responses: DataFrame, schema: str, needed: str, usage: bool = False) -> DataFrame:
+    """Every row of a one-row request with its parsed answer; ``needed`` names a field that must be there.
+
+    With ``usage`` the tokens of its call come as ``tin`` and ``tout``.
+    """
     parsed = parse_model_json(first_text_block(F.col("response.content")), schema)
-    flat = responses.select(F.get("rows", F.lit(0)).alias("row"), parsed.alias("answer"), call_error().alias("call_error"))
+    used = [F.coalesce(F.col(f"response.tokens_{way}"), F.lit(0)).alias(f"t{way}") for way in ("in", "out")] if usage else []
+    flat = responses.select(F.get("rows", F.lit(0)).alias("row"), parsed.alias("answer"), call_error().alias("call_error"), *used)
     bad = F.col("answer").isNull() | F.col("answer")[needed].isNull()
     error = F.coalesce(F.col("call_error"), F.when(bad, "malformed response"))
-    return flat.select("row.*", "answer", error.alias("error"))
+    return flat.select("row.*", "answer", error.alias("error"), *(["tin", "tout"] if usage else []))
 
 
 def call_ledger(responses: DataFrame, caller: Caller, prompt_version: str) -> DataFrame:

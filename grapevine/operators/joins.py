@@ -123,9 +123,14 @@ def latest_per_key(cache: DataFrame, key: str = "key", seq: str = "seq") -> Data
     return keep_last(cache, key, seq)
 
 
+def _last_records(cache: DataFrame, key: str) -> DataFrame:
+    """One record per key: the last of those with a ``seq``; without one, the records are taken as they are."""
+    return latest_per_key(cache, key) if "seq" in cache.columns else cache
+
+
 def with_predictions(rows: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
-    """Rows that have a cached classification, with its label, confidence and stars as numbers."""
-    answers = cache.select(
+    """Rows that have a cached classification, with its label, confidence and stars as numbers; of a key's records the last."""
+    answers = _last_records(cache, key).select(
         key,
         F.col("sentiment").alias("pred"),
         F.col("topic").alias("pred_topic"),
@@ -138,8 +143,8 @@ def with_predictions(rows: DataFrame, cache: DataFrame, key: str = "key") -> Dat
 def attach_cached(
     rows: DataFrame, cache: DataFrame, fields: Mapping[str, str], key: str = "key"
 ) -> DataFrame:
-    """Left join of cached fields, renamed as ``fields`` says; rows without an answer keep nulls."""
-    answers = cache.select(key, *[F.col(old).alias(new) for old, new in fields.items()])
+    """Left join of cached fields, renamed as ``fields`` says; rows without an answer keep nulls. The last record of a key counts."""
+    answers = _last_records(cache, key).select(key, *[F.col(old).alias(new) for old, new in fields.items()])
     return rows.join(answers, key, "left")
 
 

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +11,7 @@ from ..fixed import WINDOW
 from ..storage import materialise
 from .joins import literal_table
 from .positions import first_n, nth_value, seeded_hash
-from .trends import detect_spikes, score_series
+from .trends import detect_spikes
 
 Spike = tuple  # (group, week, factor)
 
@@ -52,102 +49,64 @@ def plant_spikes(
     for turn in rounds:
         need = F.broadcast(_needs(rows, group, turn, weeks).where(F.col("_need") > 0))
         movable = rows.join(need, group).where(F.col("week") != F.col("_target"))
-        cuts = nth_value(movable, [group, "_target"], order, "_need")
+        # written once: a later round, and the result, apply the cut-offs instead of finding them again
+        cuts = materialise(nth_value(movable, [group, "_target"], order, "_need"), name="cuts")
         marked = rows.join(F.broadcast(cuts), group, "left")
         moves = F.col("cut").isNotNull() & (order <= F.col("cut"))
         rows = marked.withColumn("week", F.when(moves, F.col("_target")).otherwise(F.col("week"))).drop("_target", "cut")
     return rows
 
 
-def _draw(colors: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
-    """How many of ``size`` rows drawn without replacement fall into each week."""
-    taken = np.zeros_like(colors)
-    left, open_rows = size, int(colors.sum())
-    for i, n in enumerate(colors):
-        if left == 0:
-            break
-        rest = open_rows - int(n)
-        if open_rows < 1_000_000_000:
-            k = int(rng.hypergeometric(int(n), rest, left)) if n else 0
-        else:  # beyond the generator's range the draw splits by expectation plus a binomial spread
-            k = min(int(n), max(left - rest, int(rng.binomial(left, n / open_rows))))
-        taken[i] = k
-        left -= k
-        open_rows = rest
-    return taken
-
-
-def seeded_timelines(
-    counts: DataFrame, spikes: Sequence[Spike], n_weeks: int, runs: int, first_seed: int = 0
-) -> DataFrame:
-    """(seed, group, counts): the zero-filled weekly counts after planting, once per seed.
+def planted_counts(rows: DataFrame, group: str, id_column: str, spikes: Sequence[Spike], n_weeks: int, runs: int, first_seed: int = 0) -> DataFrame:
+    """(seed, group, week, count) after planting, once per seed; at most one spike per group.
 
-    Works on weekly counts, not on reviews: which reviews move does not matter to the detector, only how many
-    leave each week, and that is drawn here with the same distribution as picking rows. The table is
-    runs x groups x weeks however many reviews there are.
+    Each seed orders a group's rows by its own hash and moves those below a cut-off, as ``plant_spikes`` does. Only the id, group and
+    week of rows in groups with a spike are multiplied by the seeds, and only counts leave that table.
     """
-    kind = dict(counts.dtypes)["group"]
-    seeds = F.explode(F.sequence(F.lit(first_seed), F.lit(first_seed + runs - 1))).alias("seed")
-    cells = F.array_sort(F.collect_list(F.struct(F.col("week").cast("int").alias("week"), F.col("count"))))
-    series = counts.groupBy("group").agg(cells.alias("cells")).select(seeds, "group", "cells")
-    wanted = {}
-    for group, week, factor in spikes:
-        wanted.setdefault(group, []).append((int(week), float(factor)))
-
-    def plant(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            planted = []
-            for seed, group, cells_ in zip(frame["seed"], frame["group"], frame["cells"], strict=True):
-                weekly = np.zeros(n_weeks, dtype=np.int64)
-                for cell in cells_:
-                    weekly[cell["week"]] = cell["count"]
-                for turn, (week, factor) in enumerate(wanted.get(group, [])):
-                    rng = np.random.default_rng([int(seed), turn, zlib.crc32(str(group).encode())])
-                    goal = int(np.rint(factor * weekly.sum() / n_weeks))
-                    movable = weekly.copy()
-                    movable[week] = 0
-                    moved = min(max(goal - int(weekly[week]), 0), int(movable.sum()))
-                    weekly -= _draw(movable, moved, rng)
-                    weekly[week] += moved
-                planted.append(weekly)
-            yield pd.DataFrame({"seed": frame["seed"], "group": frame["group"], "counts": planted})
-
-    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = series.repartition(tasks, "seed", "group")
-    return dealt.mapInPandas(plant, f"seed int, group {kind}, counts array<bigint>")
+    if len({s[0] for s in spikes}) < len(spikes):
+        raise ValueError("a backtest plants one spike per group")
+    narrow = rows.select(F.col(id_column).cast("string").alias("_id"), group, F.col("week").cast("int").alias("week"))
+    need = F.broadcast(_needs(narrow, group, spikes, F.lit(n_weeks)).where(F.col("_need") > 0))
+    seeds = F.explode(F.sequence(F.lit(first_seed), F.lit(first_seed + runs - 1)))
+    movable = narrow.join(need, group).where(F.col("week") != F.col("_target")).withColumn("seed", seeds)
+    ordered = materialise(movable.select("seed", group, "week", "_target", "_need", seeded_hash(F.col("_id"), F.col("seed")).alias("_order")), name="movable")
+    cuts = nth_value(ordered, ["seed", group], F.col("_order"), "_need")
+    moved = ordered.join(cuts, ["seed", group]).where(F.col("_order") <= F.col("cut"))
+    gone = moved.groupBy("seed", group, "week").agg((-F.count("*")).alias("count"))
+    come = moved.groupBy("seed", group, F.col("_target").alias("week")).agg(F.count("*").alias("count"))
+    base = rows.groupBy(group, F.col("week").cast("int").alias("week")).agg(F.count("*").alias("count")).withColumn("seed", seeds)
+    parts = base.select("seed", group, "week", "count").unionByName(gone).unionByName(come)
+    return parts.groupBy("seed", group, "week").agg(F.sum("count").alias("count"))
 
 
 def backtest(
-    counts: DataFrame, spikes: Sequence[Spike], n_weeks: int, runs: int = 200, window: int = WINDOW, **rule_options
+    rows: DataFrame, group: str, id_column: str, spikes: Sequence[Spike], n_weeks: int, runs: int = 200, window: int = WINDOW, **rule_options
 ) -> DataFrame:
-    """Per rule: mean precision, recall, precision at k and false alarms over ``runs`` seeded timelines.
+    """Per rule: mean precision, recall, precision at k and false alarms over ``runs`` seeded plants in ``rows`` (with ``week``).
 
-    A last row ``quiet`` gives the false alarms of the z rule on the counts without a plant. All
-    timelines go through the detector in one job, with the seed as part of the group key.
+    A last row ``quiet`` gives the false alarms of the z rule without a plant. All timelines go through the detector in
+    one job, with the seed as part of the group key.
     """
-    spark = counts.sparkSession
-    kind = dict(counts.dtypes)["group"]
+    spark = rows.sparkSession
+    kind = dict(rows.dtypes)[group]
     pairs = sorted({(g, int(w)) for g, w, _ in spikes})
-    planted = literal_table(spark, [(*p, True) for p in pairs], f"group {kind}, week int, planted boolean")
-    timelines = seeded_timelines(counts, spikes, n_weeks, runs)
-    flags = materialise(score_series(timelines, ["seed", "group"], window, **rule_options), name="timelines")
-    marked = flags.join(planted, ["group", "week"], "left").withColumn("planted", F.coalesce("planted", F.lit(False)))
+    planted = literal_table(spark, [(*p, True) for p in pairs], f"{group} {kind}, week int, planted boolean")
+    timelines = planted_counts(rows, group, id_column, spikes, n_weeks, runs)
+    flags = materialise(detect_spikes(timelines, F.lit(n_weeks), ["seed", group], window, **rule_options), name="timelines")
+    marked = flags.join(planted, [group, "week"], "left").withColumn("planted", F.coalesce("planted", F.lit(False)))
     k = len(pairs)
     rules = ["flag_z", "flag_ewma"]
     per_seed = marked.groupBy("seed").agg(
         *[F.count_if(F.col(r) & F.col("planted")).alias(f"tp_{r}") for r in rules],
         *[F.count_if(F.col(r) & ~F.col("planted")).alias(f"fp_{r}") for r in rules],
     )
-    order = [F.desc("z"), F.asc("group"), F.asc("week")]
-    tops = first_n(marked, ["seed"], order, k, [F.col("group"), F.col("week")])
-    hits = tops.groupBy("seed").agg(F.count_if("planted").alias("hits"))
+    order = [F.desc("z"), F.asc(group), F.asc("week")]
+    hits = first_n(marked, ["seed"], order, k, [F.col(group), F.col("week")]).groupBy("seed").agg(F.count_if("planted").alias("hits"))
     cells = F.array(
         *[F.struct(F.lit(r).alias("rule"), F.col(f"tp_{r}").alias("tp"), F.col(f"fp_{r}").alias("fp")) for r in rules]
     )
     measured = (
-        per_seed.join(hits, "seed")
-        .select(F.inline(cells), "hits")
-        .groupBy("rule")
+        per_seed.join(hits, "seed").select(F.inline(cells), "hits").groupBy("rule")
         .agg(
             F.avg(F.try_divide("tp", F.col("tp") + F.col("fp"))).alias("precision"),
             F.avg(F.col("tp") / F.lit(k)).alias("recall"),
@@ -156,9 +115,9 @@ def backtest(
         )
     )
     none = F.lit(None).cast("double")
-    calm = detect_spikes(counts, F.lit(n_weeks), ["group"], window, **rule_options)
+    counts = rows.groupBy(group, F.col("week").cast("int").alias("week")).agg(F.count("*").alias("count"))
+    calm = detect_spikes(counts, F.lit(n_weeks), [group], window, **rule_options)
     quiet = calm.agg(F.count_if("flag_z").cast("double").alias("false_alarms")).select(
-        F.lit("quiet").alias("rule"), none.alias("precision"), none.alias("recall"),
-        none.alias("precision_at_k"), "false_alarms",
+        F.lit("quiet").alias("rule"), none.alias("precision"), none.alias("recall"), none.alias("precision_at_k"), "false_alarms",
     )
     return measured.unionByName(quiet)

@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORDINAL_SHIFT = 16  # 65,536 consecutive ordinals per block
-HASH_SHIFT = 52  # 4,096 equal ranges of a 64-bit hash
+HASH_SHIFT = 40  # 2**20 equal ranges of a 60-bit hash
 
 
-def seeded_hash(column: Column, seed: int) -> Column:
-    """A reproducible pseudo-random bigint per value."""
-    return F.xxhash64(column, F.lit(seed))
+def seeded_hash(column: Column, seed: int | Column) -> Column:
+    """A reproducible pseudo-random bigint per value: the first 60 bits of an md5 that other engines have too."""
+    digest = F.md5(F.concat(column.cast("string"), F.lit("|"), seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def _blocks(df: DataFrame, order: Column, within: Sequence[str], shift: int) -> DataFrame:
@@ -47,14 +48,15 @@ def with_position(
     within: Sequence[str] = (),
     name: str = "position",
     shift: int = ORDINAL_SHIFT,
+    ties: Sequence[Column] = (),
 ) -> DataFrame:
     """0-based position of each row in ``order``, per ``within`` group or over the whole table.
 
-    ``order`` must be a whole number that is unique inside a group: a file ordinal, or a hash with
+    ``order`` must be a whole number that is unique inside a group, or is with ``ties``: a file ordinal, or a hash with
     ``shift=HASH_SHIFT``. No task ever sorts more than the blocks dealt to it.
     """
     rows = _blocks(df, order, within, shift)
-    inside = Window.partitionBy("_block").orderBy("_order")
+    inside = Window.partitionBy("_block").orderBy("_order", *ties)
     placed = rows.withColumn("_here", F.row_number().over(inside) - 1)
     joined = placed.join(_offsets(rows, within, F.lit(1)), F.col("_block") == F.col("_at"))
     position = F.coalesce(F.col("_before"), F.lit(0)) + F.col("_here")
@@ -95,8 +97,8 @@ def first_n(
     """The first ``n`` rows of each group in ``order``; ``n`` may be a column (a quota per group).
 
     Ranked twice: first inside random slices of a group, then over what the slices kept, so the final
-    task of a hot group sees at most ``n`` rows per slice. With a literal ``n`` Spark also
-    cuts each input partition before the shuffle. ``spread`` names what deals rows to slices (default: the order
+    task of a hot group sees at most ``n`` rows per slice. With a literal ``n`` of up to 1,000 Spark also
+    cuts each input partition before the shuffle; large ``n`` belong to ``with_position``. ``spread`` names what deals rows to slices (default: the order
     columns); it must differ between the rows of a group. ``at_most`` is the largest quota, given when ``n`` is a
     column, so that the early cut works there too.
     """

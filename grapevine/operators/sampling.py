@@ -23,56 +23,41 @@ def dev_test_split(
     return marked.withColumn(name, F.when(F.col("_dev").isNotNull(), "dev").otherwise("test")).drop("_dev")
 
 
-SMALL_SAMPLE = 10_000
+def _take(rows: DataFrame, strata: Sequence[str], id_column: str, quota: int | Column | None, seed: int) -> DataFrame:
+    """The first ``quota`` rows per stratum in a seeded random order, all for None; ids must be unique in a stratum.
 
-
-def _take(
-    rows: DataFrame, strata: Sequence[str], id_column: str, quota: int | Column, seed: int, at_most: int | None
-) -> DataFrame:
-    """The first ``quota`` rows per stratum in a seeded random order; ids must be unique in a stratum.
-
-    A small sample is cut early, before any shuffle. A large one, which may be most of a hot stratum, is read off the
-    positions instead, which never bring a stratum into one task.
+    Rows are read off their positions, which never bring a stratum into one task, however large it or the quota is.
     """
-    order = seeded_hash(F.col(id_column), seed)
-    largest = quota if isinstance(quota, int) else at_most
-    if largest is not None and largest <= SMALL_SAMPLE:
-        return first_n(rows, strata, [order, F.col(id_column)], quota, at_most=largest)
-    placed = with_position(rows, order, strata, "_position", HASH_SHIFT)
+    if quota is None:
+        return rows
+    placed = with_position(rows, seeded_hash(F.col(id_column), seed), strata, "_position", HASH_SHIFT, [F.col(id_column)])
     return placed.where(F.col("_position") < quota).drop("_position")
 
 
 def stratified_sample(
-    rows: DataFrame, strata: Sequence[str], id_column: str, n: int, seed: int = 42, strict: bool = False
+    rows: DataFrame, strata: Sequence[str], id_column: str, n: int | None, seed: int = 42, strict: bool = False
 ) -> DataFrame:
-    """``n`` rows per stratum in a seeded random order; a short stratum gives what it has.
+    """``n`` rows per stratum in a seeded random order, all for None; a short stratum gives what it has.
 
     ``strict`` refuses short strata instead, after one counting pass.
     """
-    if strict:
+    if strict and n is not None:
         short = rows.groupBy(*strata).agg(F.count("*").alias("n")).where(F.col("n") < n).limit(1).collect()
         if short:
             raise ValueError(f"a stratum has fewer than {n} rows: {short[0].asDict()}")
-    return _take(rows, strata, id_column, n, seed, n)
+    return _take(rows, strata, id_column, n, seed)
 
 
 def sample_per_group(
-    rows: DataFrame,
-    groups: Sequence[str],
-    id_column: str,
-    quota: int | Column,
-    seed: int = 0,
-    at_most: int | None = None,
+    rows: DataFrame, groups: Sequence[str], id_column: str, quota: int | Column | None, seed: int = 0
 ) -> DataFrame:
-    """Up to ``quota`` rows per group. The quota may be a column; then ``at_most`` names its largest value."""
-    return _take(rows, groups, id_column, quota, seed, at_most)
+    """Up to ``quota`` rows per group, all for None. The quota may be a column."""
+    return _take(rows, groups, id_column, quota, seed)
 
 
-def sample_n(rows: DataFrame, id_column: str, n: int, seed: int = 1) -> DataFrame:
-    """``n`` random rows of the table."""
-    if n > SMALL_SAMPLE:
-        return _take(rows, [], id_column, n, seed, n)
-    return rows.orderBy(seeded_hash(F.col(id_column), seed), F.col(id_column)).limit(n)
+def sample_n(rows: DataFrame, id_column: str, n: int | None, seed: int = 1) -> DataFrame:
+    """``n`` random rows of the table, all for None."""
+    return _take(rows, [], id_column, n, seed)
 
 
 def first_examples(rows: DataFrame, condition: Column, ordinal: str, n: int = 6) -> DataFrame:
@@ -90,7 +75,8 @@ def stratified_folds(
     rows: DataFrame, label: str, id_column: str, folds: int = 5, seed: int = 0, name: str = "fold"
 ) -> DataFrame:
     """Fold numbers whose sizes differ by at most one row within every label."""
-    placed = with_position(rows, seeded_hash(F.col(id_column), seed), [label], "_position", HASH_SHIFT)
+    order = seeded_hash(F.col(id_column), seed)
+    placed = with_position(rows, order, [label], "_position", HASH_SHIFT, [F.col(id_column)])
     return placed.withColumn(name, (F.col("_position") % folds).cast("int")).drop("_position")
 
 

@@ -73,8 +73,8 @@ def sentiment_eval(
     }
 
 
-def issue_assignment_eval(clusters: DataFrame, caller: Caller, n: int = 100, seed: int = 1) -> dict[str, DataFrame]:
-    """How far the model's category agrees with the cluster of a review, on ``n`` seeded rows."""
+def issue_assignment_eval(clusters: DataFrame, caller: Caller, n: int | None = 100, seed: int = 1) -> dict[str, DataFrame]:
+    """How far the model's category agrees with the cluster of a review, on ``n`` seeded rows, all for None."""
     sample = sample_n(clusters, "review_id", n, seed)
     assigned, responses = assign_issues(sample, caller)
     differ = F.col("category").isNotNull() & (F.col("cluster") != F.col("category"))

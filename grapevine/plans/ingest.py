@@ -17,13 +17,15 @@ from .stages import translate_all
 def ingest(
     raw: DataFrame,
     lookup: DataFrame | None = None,
-    per_star: int = 40,
+    per_star: int | None = 40,
     seed: int = 42,
     prefix: str = ID_PREFIX,
     source: str = SOURCE,
 ) -> DataFrame:
     """Stratified sample of raw (id, text, label, language) as unified reviews with category and time stamp.
 
+    ``per_star`` rows per language and label, all for None.
+
     Reviews without text leave after sampling. Without a lookup the category stays null.
     """
     sample = stratified_sample(raw, ["language", "label"], "id", per_star, seed)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..fixed import CUSTOMER_NAMES, DIMENSIONS, FLAG_NAMES, FLAGS, PENDING, SENTIMENTS
+from ..fixed import DIMENSIONS, FLAG_NAMES, FLAGS, PENDING, SENTIMENTS
 from ..functions.labels import acceptable, queue_status, queue_status_nojudge, raised_flags, stars_to_label
 from ..functions.text import cache_key, one_line, reply_digest
 from ..operators import aggregates as a
@@ -20,18 +20,16 @@ from ..operators.sampling import assign_round_robin, first_examples, sample_per_
 from ..operators.sets import union_by_name
 from ..sources.readers import read_cache
 from ..sources.writers import append_cache
-from ..storage import materialise
+from ..storage import exists, materialise
 from .stages import assign_issues, classify, draft_replies, issue_phrases, judge_replies, translate_all
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A cache that may not exist before its first run."""
-    from pyspark.errors import AnalysisException
+USED = ["tin", "tout"]
+
 
-    try:
-        return read_cache(spark, path, schema)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A cache that may not exist before its first run. A path that is there but cannot be read is an error."""
+    return read_cache(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def draft_response(
@@ -84,11 +82,12 @@ class CacheFiles:
 
 
 def evaluation_set(
-    rows: DataFrame, n: int = 2, names: Mapping[str, Sequence[str]] = CUSTOMER_NAMES, ordinal: str = "ordinal"
+    rows: DataFrame, names: Mapping[str, Sequence[str]], n: int | None = 2, ordinal: str = "ordinal"
 ) -> DataFrame:
-    """Per language 2n negative, n neutral and n positive reviews, with a customer name dealt in turn."""
-    quota = F.when(F.col("sentiment") == "negative", 2 * n).when(F.col("sentiment").isin(SENTIMENTS), n).otherwise(0)
-    picked = sample_per_group(rows, ["detected_language", "sentiment"], "review_id", quota, at_most=2 * n)
+    """Per language 2n negative, n neutral and n positive reviews, all for None, with a customer name dealt in turn."""
+    known = rows.where(F.col("sentiment").isin(SENTIMENTS))
+    quota = None if n is None else F.when(F.col("sentiment") == "negative", 2 * n).otherwise(n)
+    picked = sample_per_group(known, ["detected_language", "sentiment"], "review_id", quota)
     return assign_round_robin(picked, ordinal, "detected_language", names, "customer_name")
 
 
@@ -99,33 +98,35 @@ def reply_evaluation(
     playbooks: DataFrame,
     files: CacheFiles,
     seq: int,
-    n: int = 2,
+    names: Mapping[str, Sequence[str]],
+    n: int | None = 2,
     reply_prompt: str = "response_v2",
     judge_prompt: str = "judge_v1n",
     ordinal: str = "ordinal",
 ) -> dict[str, DataFrame]:
     """Draft and judge an evaluation set, reusing cached answers; failed calls are retried by the next run.
 
-    Returns ``evaluation``, ``means``, ``flags``, ``not_acceptable`` and ``queue``.
+    Returns ``evaluation``, ``means``, ``flags``, ``not_acceptable``, ``queue``, and ``spent``: calls, tokens and cost of
+    this run per stage.
     """
     spark = rows.sparkSession
-    chosen = materialise(evaluation_set(rows, n, ordinal=ordinal), name="evaluation-set")
+    chosen = materialise(evaluation_set(rows, names, n, ordinal), name="evaluation-set")
     reply_key = cache_key(F.lit(reply_prompt), F.lit(drafter.model), F.col("review_id"), F.col("customer_name"))
     keyed = chosen.withColumn("key", reply_key)
     known = read_or_empty(spark, files.replies, schemas.REPLY_CACHE)
-    drafted, calls = draft_replies(pending_rows(keyed, known), drafter, playbooks)
+    drafted, calls = draft_replies(pending_rows(keyed, known), drafter, playbooks, usage=True)
     fresh = drafted.where(F.col("reply").isNotNull())
-    append_cache(fresh.select("key", "reply", F.lit(0).alias("tin"), F.lit(0).alias("tout")), files.replies, seq)
+    append_cache(fresh.select("key", "reply", *USED), files.replies, seq)
     replies = latest_per_key(read_cache(spark, files.replies, schemas.REPLY_CACHE))
     with_reply = drop_missing_predictions(attach_cached(keyed, replies, {"reply": "reply"}).drop("key"), "reply")
 
     score_key = cache_key(F.lit(judge_prompt), F.lit(judge.model), F.col("review_id"), reply_digest(F.col("reply")))
     asked = with_reply.withColumn("key", score_key)
     scored_before = read_or_empty(spark, files.scores, schemas.JUDGE_CACHE)
-    judged, more = judge_replies(pending_rows(asked, scored_before), judge)
+    judged, more = judge_replies(pending_rows(asked, scored_before), judge, usage=True)
     good = judged.where(F.col("error").isNull())
     fields = [*DIMENSIONS, *FLAGS, "reason"]
-    append_cache(good.select("key", *fields, F.lit(0).alias("tin"), F.lit(0).alias("tout")), files.scores, seq)
+    append_cache(good.select("key", *fields, *USED), files.scores, seq)
     scores = latest_per_key(read_cache(spark, files.scores, schemas.JUDGE_CACHE))
     scored = drop_missing_predictions(attach_cached(asked, scores, {f: f for f in fields}).drop("key"), "empathy")
 
@@ -146,6 +147,7 @@ def reply_evaluation(
         "flags": a.flag_counts(done),
         "not_acceptable": first_examples(shown, ~F.col("acceptable"), ordinal),
         "queue": queue_table(done),
+        "spent": run_usage({"draft_response": calls, "judge": more}, {"draft_response": drafter, "judge": judge}),
         "drafting_calls": calls,
         "judging_calls": more,
     }
@@ -153,7 +155,7 @@ def reply_evaluation(
 
 def full_run(
     reviews: DataFrame, translator: Caller, classifier: Caller, assigner: Caller, drafter: Caller,
-    playbooks: DataFrame, names: Mapping[str, Sequence[str]] = CUSTOMER_NAMES, ordinal: str = "ordinal",
+    playbooks: DataFrame, names: Mapping[str, Sequence[str]], ordinal: str = "ordinal",
 ) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Translate, classify, name the issue of negatives, draft replies and set their state.
 

@@ -134,17 +134,19 @@ def judge_payload(rows: Column) -> Column:
     )
 
 
-def draft_replies(rows: DataFrame, caller: Caller, playbooks: DataFrame, id_column: str = "review_id") -> Stage:
-    """One reply per review from its playbook."""
+def draft_replies(
+    rows: DataFrame, caller: Caller, playbooks: DataFrame, id_column: str = "review_id", usage: bool = False
+) -> Stage:
+    """One reply per review from its playbook; with ``usage`` also the tokens of its call."""
     guided = pick_playbook(rows, playbooks)
     responses = infer_batches(guided, caller, id_column, draft_payload, 1, "draft_response")
-    answered = single_answers(responses, schemas.REPLY, "reply")
+    answered = single_answers(responses, schemas.REPLY, "reply", usage)
     return answered.withColumn("reply", strip_text(F.col("answer")["reply"])).drop("answer", "playbook"), responses
 
 
-def judge_replies(rows: DataFrame, caller: Caller, id_column: str = "review_id") -> Stage:
-    """Scores, flags, reason and the acceptance that follows from them."""
+def judge_replies(rows: DataFrame, caller: Caller, id_column: str = "review_id", usage: bool = False) -> Stage:
+    """Scores, flags, reason and the acceptance that follows from them; with ``usage`` also the tokens of the call."""
     responses = infer_batches(rows, caller, id_column, judge_payload, 1, "judge")
-    answered = single_answers(responses, schemas.JUDGE_ANSWER, "empathy")
+    answered = single_answers(responses, schemas.JUDGE_ANSWER, "empathy", usage)
     named = answered.select(*[c for c in answered.columns if c not in ("answer",)], "answer.*")
     return named.withColumn("acceptable", acceptable()), responses

@@ -56,7 +56,7 @@ def silhouette_squared(spark, folder):
 
 @query(
     """WITH e AS (SELECT vec_id AS i, label AS k, embedding::DOUBLE[] AS v FROM embeddings),
-p AS (SELECT a.i, a.k, b.k AS other, sum(list_distance(a.v, b.v)) AS s, count(*) FILTER (WHERE a.i <> b.i) AS n FROM e a, e b GROUP BY ALL),
+p AS (SELECT a.i, a.k, b.k AS other, sum(list_distance(a.v, b.v) ** 2) AS s, count(*) FILTER (WHERE a.i <> b.i) AS n FROM e a, e b GROUP BY ALL),
 q AS (SELECT i, k, max(s / n) FILTER (WHERE k = other) AS inner_, min(s / n) FILTER (WHERE k <> other) AS outer_ FROM p GROUP BY ALL)
 SELECT i AS id, k AS cluster, round((outer_ - inner_) / greatest(outer_, inner_), 6) AS silhouette FROM q"""
 )
@@ -94,5 +94,5 @@ def cluster_examples(spark, folder):
 def cluster_issues(spark, folder):
     """The clustering job on all reviews: embed, search k, density, summary."""
     rows = reviews(spark, folder).select("review_id", "review_text", "topic", "detected_language")
-    found = issues.cluster_issues(rows, "review_text", hashed_words, new_folder(spark, "embeddings"), ks=(6, 8), restarts=2)
+    found = issues.cluster_issues(rows, "review_text", hashed_words, new_folder(spark, "embeddings"))
     return found["summary"].select("cluster", "size", "dominant_topic", "topic_purity")

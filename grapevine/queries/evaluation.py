@@ -61,5 +61,5 @@ def issue_assignment_eval(spark, folder):
     rows = cluster_rows(spark, folder).select(
         "review_id", "cluster", F.concat(F.lit("text "), F.repeat(F.lit("x"), (F.col("review_id") % 40).cast("int"))).alias("review_text")
     )
-    found = jobs.issue_assignment_eval(rows, rules.caller(rules.assign), n=1_000_000_000)["agreement"]
+    found = jobs.issue_assignment_eval(rows, rules.caller(rules.assign), n=None)["agreement"]
     return found.withColumns({c: F.round(c, 6) for c in ("agreement", "none_share")})

@@ -12,7 +12,7 @@ from ..operators import reviews as r
 from ..operators import sets
 from ..plans import ingest as jobs
 from .registry import query
-from .standins import PREDICTIONS, REVIEWS, estimate_sql, label_sql, predictions, reviews, table, topic_sql
+from .standins import PREDICTIONS, REVIEWS, estimate_sql, label_sql, predictions, reviews, seeded_sql, table, topic_sql
 
 # whitespace of any script, as both engines' expressions name it
 SPACE = r"[\s\v\x{{85}}\p{{Z}}]".replace("{{", "{").replace("}}", "}")
@@ -308,18 +308,19 @@ def drop_missing_predictions(spark, folder):
 FROM raw LEFT JOIN lookup k USING (doc_id)"""
 )
 def ingest(spark, folder):
-    """The ingest job with a quota no stratum reaches; ``ingest_counts`` checks the sizes of a real sample."""
-    rows = jobs.ingest(_raw(spark, folder), _lookup(spark, folder), per_star=1_000_000_000, seed=42).drop("ingested_at")
+    """The ingest job without a quota; ``ingest_counts`` checks the members of a sample."""
+    rows = jobs.ingest(_raw(spark, folder), _lookup(spark, folder), per_star=None, seed=42).drop("ingested_at")
     return rows.withColumns({"review_text": F.md5("review_text"), "review_date": F.col("review_date").cast("string")})
 
 
 @query(
-    """SELECT lang AS detected_language, ((doc_id * 7 + n_chars) % 5 + 1)::INTEGER AS rating, least(count(*), 5)::BIGINT AS n
-FROM documents GROUP BY ALL"""
+    f"""SELECT lang AS detected_language, ((doc_id * 7 + n_chars) % 5 + 1)::INTEGER AS rating, 'marc-' || doc_id AS review_id
+FROM documents QUALIFY row_number() OVER (PARTITION BY lang, (doc_id * 7 + n_chars) % 5 ORDER BY {seeded_sql("doc_id", 42)}) <= 5"""
 )
 def ingest_counts(spark, folder):
+    """The members of a sample of five per language and star."""
     rows = jobs.ingest(_raw(spark, folder), _lookup(spark, folder), per_star=5, seed=42)
-    return rows.groupBy("detected_language", "rating").agg(F.count("*").alias("n"))
+    return rows.select("detected_language", "rating", "review_id")
 
 
 @query(

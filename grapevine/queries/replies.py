@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..fixed import ISSUE_CATEGORIES
 from ..functions.text import canonical_topic
 from ..operators.reviews import output_table
 from ..operators.infer import Caller
 from ..plans import replies as jobs
+from ..sources.readers import read_cache
 from ..storage import new_folder
 from . import rules
 from .measures import TRUTH, _levels, _truth, playbooks
 from .registry import query
 from .stages import ANSWERED, CLASSIFIED, N, SHORT, T_STATUS, TRANSLATED
-from .standins import REVIEWS, label_sql, reviews, topic_sql
+from .standins import CUSTOMER_SQL, CUSTOMERS, REVIEWS, label_sql, reviews, seeded_sql, topic_sql
 
 # requests: every second one brings a sentiment, every third a topic, every fifth an issue
 ASKED = f"""asked AS (SELECT review_id, ordinal, review_text, 'Kim' AS customer_name,
@@ -72,7 +74,7 @@ def draft_response_without_judge(spark, folder):
 
 FULL = f"""run AS (SELECT ordinal, review_id, source, rating, review_text, detected_language, {TRANSLATED} AS translated_text,
   {T_STATUS} AS translation_status, {CLASSIFIED}, CASE WHEN {ANSWERED} THEN 'ok' ELSE 'failed' END AS classification_status,
-  ['Emma', 'Daniel', 'Priya', 'Marcus', 'Anna', 'Lukas', 'Sabine', 'Jonas', 'Lucia', 'Carlos', 'Marta', 'Diego', 'Camille', 'Louis', 'Claire', 'Hugo']
+  {CUSTOMER_SQL}
     [CASE detected_language WHEN 'en' THEN 0 WHEN 'de' THEN 4 WHEN 'es' THEN 8 ELSE 12 END + (row_number() OVER (ORDER BY ordinal) - 1) % 4 + 1] AS customer_name
   FROM reviews),
 cat AS (SELECT *, coalesce(sentiment = 'negative', false) AS neg, {SHORT} % 11 > 0 AS has FROM run),
@@ -92,7 +94,7 @@ def _run(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, DataFra
     rows = reviews(spark, folder).drop("topic", "stars_estimate").withColumns(
         {"product_category": F.lit(None).cast("string"), "review_date": F.lit(None).cast("date")}
     )
-    return jobs.full_run(rows, *_callers().values(), playbooks(spark))
+    return jobs.full_run(rows, *_callers().values(), playbooks(spark), CUSTOMERS)
 
 
 def _full(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,10 +146,8 @@ def full_run_usage(spark, folder):
     return jobs.run_usage(_run(spark, folder)[1], _callers())
 
 
-EVERYONE = 1_000_000_000  # a quota no group reaches: the whole table is evaluated, so SQL can state the result
-
 EVALUATED = f"""named AS (SELECT *, label AS sentiment, {topic_sql("topic")} AS known_topic,
-  ['Emma', 'Daniel', 'Priya', 'Marcus', 'Anna', 'Lukas', 'Sabine', 'Jonas', 'Lucia', 'Carlos', 'Marta', 'Diego', 'Camille', 'Louis', 'Claire', 'Hugo']
+  {CUSTOMER_SQL}
     [CASE detected_language WHEN 'en' THEN 0 WHEN 'de' THEN 4 WHEN 'es' THEN 8 ELSE 12 END + (row_number() OVER (ORDER BY ordinal) - 1) % 4 + 1] AS customer_name
   FROM truth),
 drafted AS (SELECT *, 'Dear ' || customer_name || ': ' || sentiment || ' playbook for ' || known_topic ||
@@ -166,8 +166,8 @@ def _evaluated(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     base = new_folder(spark, "reply-evaluation")
     files = jobs.CacheFiles(f"{base}/replies", f"{base}/scores")
     drafter, judge = rules.caller(rules.reply), rules.caller(rules.judge, "rule-large")
-    jobs.reply_evaluation(rows, drafter, judge, playbooks(spark), files, seq=1, n=EVERYONE)
-    return jobs.reply_evaluation(rows, drafter, judge, playbooks(spark), files, seq=2, n=EVERYONE)
+    jobs.reply_evaluation(rows, drafter, judge, playbooks(spark), files, 1, CUSTOMERS, n=None)
+    return jobs.reply_evaluation(rows, drafter, judge, playbooks(spark), files, 2, CUSTOMERS, n=None) | {"files": files}
 
 
 @query(
@@ -188,13 +188,33 @@ def reply_queue(spark, folder):
     return queue.withColumns({"review_text": F.md5("review_text"), "topic": canonical_topic(F.col("topic"))})
 
 
-@query()
+PAYLOAD = """length(to_json(substr(review_text, 1, 1500))::VARCHAR) + length(customer_name) + length(sentiment) + length(known_topic)
+  + CASE WHEN sentiment = 'negative' THEN 6 ELSE 4 END + length(sentiment || ' playbook for ' || known_topic) + 79"""
+
+
+@query(
+    f"""WITH {REVIEWS}, {TRUTH}, {EVALUATED} SELECT review_id, ({PAYLOAD})::BIGINT AS tin, (length(reply) + 15)::BIGINT AS tout FROM seen"""
+)
+def reply_cache_usage(spark, folder):
+    """Tokens kept with each cached reply; the rule model counts characters."""
+    cache = read_cache(spark, _evaluated(spark, folder)["files"].replies, schemas.REPLY_CACHE)
+    return cache.select(F.split("key", r"\|")[2].alias("review_id"), "tin", "tout")
+
+
+PICKED = f"""FROM (SELECT * FROM truth QUALIFY row_number() OVER (PARTITION BY detected_language, label ORDER BY {seeded_sql("review_id", 0)})
+  <= CASE WHEN label = 'negative' THEN 4 ELSE 2 END)),"""
+SAMPLED = EVALUATED.replace("FROM truth),", PICKED).replace("(late)", "(None)")
+
+
+@query(
+    f"""WITH {REVIEWS}, {TRUTH}, {SAMPLED} {_levels("sentiment", "detected_language", "count(*) AS n, round_even(avg(empathy), 2) AS empathy, round_even(avg(specificity), 2) AS specificity, round_even(avg(correctness), 2) AS correctness, round_even(avg(tone), 2) AS tone, round_even(avg(acceptable::INTEGER), 2) AS acceptable", "seen")}"""
+)
 def reply_sample_means(spark, folder):
     """The evaluation as it is used: two to four reviews per language and sentiment."""
     rows = _truth(spark, folder).withColumnRenamed("label", "sentiment").withColumn("issue", F.lit(None).cast("string"))
     base = new_folder(spark, "reply-sample")
     found = jobs.reply_evaluation(
         rows.drop("pred", "stars_estimate"), rules.caller(rules.reply), rules.caller(rules.judge, "rule-large"), playbooks(spark),
-        jobs.CacheFiles(f"{base}/replies", f"{base}/scores"), seq=1,
+        jobs.CacheFiles(f"{base}/replies", f"{base}/scores"), 1, CUSTOMERS,
     )
     return found["means"]

@@ -38,7 +38,7 @@ def classify(payload: str) -> dict:
 
 def translate(payload: str) -> dict:
     out = [
-        {"id": i["id"], "language": ["de", "es", "fr"][len(i["text"]) % 3], "english": "EN: " + i["text"][:20]}
+        {"id": i["id"], "language": ["de", "es", "fr"][len(i["text"]) % 3], "english": "EN: " + i["text"]}
         for i in json.loads(payload)
         if len(i["text"]) % 13
     ]

@@ -8,7 +8,7 @@ from ..operators import sampling as s
 from ..operators import spend
 from ..operators.joins import pending_rows
 from .registry import query
-from .standins import LEDGER, PREDICTIONS, PRICES, REVIEWS, ledger, predictions, reviews, table
+from .standins import LEDGER, PREDICTIONS, PRICES, REVIEWS, ledger, predictions, reviews, seeded_sql, table
 
 STRATA = ["detected_language", "rating"]
 
@@ -21,25 +21,27 @@ def dev_test_split(spark, folder):
     return s.dev_test_split(reviews(spark, folder), STRATA, "ordinal").select("review_id", "split")
 
 
-@query(f"WITH {REVIEWS} SELECT detected_language, rating, least(count(*), 12)::BIGINT AS n FROM reviews GROUP BY ALL")
+@query(
+    f"""WITH {REVIEWS} SELECT detected_language, rating, review_id FROM reviews
+QUALIFY row_number() OVER (PARTITION BY detected_language, rating ORDER BY {seeded_sql("review_id", 42)}) <= 12"""
+)
 def stratified_sample(spark, folder):
-    sample = s.stratified_sample(reviews(spark, folder), STRATA, "review_id", 12)
-    return sample.groupBy(*STRATA).agg(F.count_distinct("review_id").alias("n"))
+    return s.stratified_sample(reviews(spark, folder), STRATA, "review_id", 12).select(*STRATA, "review_id")
 
 
 @query(
-    f"""WITH {REVIEWS} SELECT detected_language, rating, least(count(*), CASE WHEN rating <= 2 THEN 4 ELSE 2 END)::BIGINT AS n
-FROM reviews GROUP BY detected_language, rating"""
+    f"""WITH {REVIEWS} SELECT detected_language, rating, review_id FROM reviews
+QUALIFY row_number() OVER (PARTITION BY detected_language, rating ORDER BY {seeded_sql("review_id", 0)})
+  <= CASE WHEN rating <= 2 THEN 4 ELSE 2 END"""
 )
 def sample_per_group(spark, folder):
     quota = F.when(F.col("rating") <= 2, 4).otherwise(2)
-    sample = s.sample_per_group(reviews(spark, folder), STRATA, "review_id", quota, at_most=4)
-    return sample.groupBy(*STRATA).agg(F.count_distinct("review_id").alias("n"))
+    return s.sample_per_group(reviews(spark, folder), STRATA, "review_id", quota).select(*STRATA, "review_id")
 
 
-@query(f"WITH {REVIEWS} SELECT least(count(*), 100)::BIGINT AS n FROM reviews")
+@query(f"WITH {REVIEWS} SELECT review_id FROM reviews QUALIFY row_number() OVER (ORDER BY {seeded_sql('review_id', 1)}) <= 100")
 def sample_n(spark, folder):
-    return s.sample_n(reviews(spark, folder), "review_id", 100).agg(F.count_distinct("review_id").alias("n"))
+    return s.sample_n(reviews(spark, folder), "review_id", 100).select("review_id")
 
 
 @query(f"WITH {REVIEWS} SELECT review_id FROM reviews WHERE rating = 3 AND stars_estimate > 4 ORDER BY ordinal LIMIT 6")
@@ -54,12 +56,11 @@ def top_groups(spark, folder):
 
 
 @query(
-    f"""WITH {REVIEWS}, n AS (SELECT rating, count(*) AS c FROM reviews GROUP BY rating), f AS (SELECT unnest(range(0, 5)) AS fold)
-SELECT rating, fold::INTEGER AS fold, (c // 5 + CASE WHEN fold < c % 5 THEN 1 ELSE 0 END)::BIGINT AS n FROM n, f"""
+    f"""WITH {REVIEWS} SELECT review_id, rating,
+  ((row_number() OVER (PARTITION BY rating ORDER BY {seeded_sql("review_id", 0)}) - 1) % 5)::INTEGER AS fold FROM reviews"""
 )
 def stratified_folds(spark, folder):
-    rows = s.stratified_folds(reviews(spark, folder), "rating", "review_id")
-    return rows.groupBy("rating", "fold").agg(F.count("*").alias("n"))
+    return s.stratified_folds(reviews(spark, folder), "rating", "review_id").select("review_id", "rating", "fold")
 
 
 @query(f"WITH {REVIEWS} SELECT review_id, ((row_number() OVER (ORDER BY ordinal) - 1) // 10)::BIGINT AS batch FROM reviews")

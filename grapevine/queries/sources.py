@@ -12,7 +12,7 @@ from ..plans.replies import read_or_empty
 from ..sources import readers, writers
 from ..storage import new_folder
 from .clusters import hashed_words
-from .measures import _truth
+from .measures import TRUTH, _truth
 from .registry import query
 from .replies import FULL, CATEGORIES, _full
 from .samples import LEDGER, PRICES, ledger
@@ -135,13 +135,31 @@ def write_labels_json(spark, folder):
 
 @query("SELECT doc_id::VARCHAR AS key, md5(text) AS value_md5 FROM documents")
 def read_json_map(spark, folder):
-    """One JSON object per file of the folder, as a lookup table."""
+    """Whole-file JSON objects of about a hundred texts each, as a lookup table."""
     path = new_folder(spark, "json-map")
-    docs = table(spark, folder, "documents")
-    entry = F.to_json(F.create_map(F.col("doc_id").cast("string"), F.col("text")))
-    docs.select(entry.alias("value")).repartition(8).write.text(path)
-    lines = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
-    return lines.select("key", F.md5("value").alias("value_md5"))
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("value"))
+    _whole_files(docs, lambda rows: F.map_from_entries(rows), path)
+    return readers.read_json_map(spark, path).select("key", F.md5("value").alias("value_md5"))
+
+
+def _whole_files(rows, document, path):
+    """Write ``rows`` as one JSON document per file, a hundred rows or so in each."""
+    files = -(-rows.count() // 100)
+    bucket = F.pmod(F.xxhash64(rows.columns[0]), F.lit(files)).alias("bucket")
+    packed = rows.groupBy(bucket).agg(F.to_json(document(F.collect_list(F.struct(*rows.columns)))).alias("value"))
+    packed.write.partitionBy("bucket").text(path)
+
+
+@query(
+    f"""WITH {REVIEWS}, {TRUTH} SELECT DISTINCT label AS sentiment, topic, label || ' reply about ' || topic AS playbook FROM truth"""
+)
+def read_playbooks(spark, folder):
+    """Guidance texts keyed by sentiment and topic, from whole-file JSON objects."""
+    path = new_folder(spark, "playbooks")
+    rows = _truth(spark, folder).select(
+        F.concat_ws("/", "label", "topic").alias("key"), F.concat(F.col("label"), F.lit(" reply about "), F.col("topic")).alias("value")).distinct()
+    _whole_files(rows, lambda pairs: F.map_from_entries(pairs), path)
+    return readers.read_playbooks(spark, path)
 
 
 @query(
@@ -152,8 +170,9 @@ def read_examples(spark, folder):
     path = new_folder(spark, "examples")
     rows = _truth(spark, folder)
     judge = F.struct(F.lit(5).alias("empathy"), F.lit(True).alias("acceptable"))
-    rows.select(F.col("review_id").alias("id"), "review_text", "stars_estimate", judge.alias("judge")).write.json(path)
-    back = spark.read.schema(schemas.SAVED_EXAMPLE).json(path).where("judge.acceptable and judge.empathy = 5")
+    rows = rows.select(F.col("review_id").alias("id"), "review_text", "stars_estimate", judge.alias("judge"))
+    _whole_files(rows, lambda items: items, path)
+    back = readers.read_examples(spark, path).where("judge.acceptable and judge.empathy = 5")
     return back.select(F.col("id").alias("review_id"), F.md5("review_text").alias("text_md5"), "stars_estimate")
 
 

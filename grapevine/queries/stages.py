@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..operators.infer import call_ledger
 from ..plans import stages as jobs
 from . import rules
-from .ingest import _raw
+from .ingest import _raw, strip_sql
 from .registry import query
-from .standins import CLUSTER_ROWS, REVIEWS, cluster_rows, estimate_sql, reviews, table, topic_sql
+from .standins import CLUSTER_ROWS, REVIEWS, cluster_rows, estimate_sql, reviews, seeded_sql, table, topic_sql
 
 _STRAY = "[" + ", ".join(f"'{t}'" for t in rules.STRAY) + "]"
 N = "length(review_text)"
@@ -59,7 +59,7 @@ def assign_issue(spark, folder):
     return rows.select("review_id", "issue", "category", "cluster_label")
 
 
-TRANSLATED = f"""CASE WHEN detected_language = 'en' THEN review_text ELSE {answered("'EN: ' || substr(review_text, 1, 20)")} END"""
+TRANSLATED = f"""CASE WHEN detected_language = 'en' THEN review_text ELSE {answered("'EN: ' || review_text")} END"""
 T_STATUS = f"CASE WHEN detected_language = 'en' THEN 'not_needed' WHEN {ANSWERED} THEN 'ok' ELSE 'failed' END"
 
 
@@ -90,44 +90,62 @@ def label_clusters(spark, folder):
 
 
 @query(
-    """WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang)
-SELECT 'translate' AS purpose, 'translate_v1' AS prompt_version, 'rule-small' AS model, (SELECT count(*) FROM documents WHERE lang <> 'en') AS rows_asked"""
+    """WITH t AS (SELECT length(to_json(text)::VARCHAR) + length('rv-' || doc_id) + 19 AS tokens_in, length(text) % 13 > 0 AS ok,
+    length(to_json('EN: ' || text)::VARCHAR) + length('rv-' || doc_id) AS said FROM documents WHERE lang <> 'en')
+SELECT 'translate' AS purpose, 'translate_v1' AS prompt_version, 'rule-small' AS model, tokens_in, tokens_out, count(*) AS calls,
+  round(sum(tokens_in + 5 * tokens_out) / 1e6, 6)::DOUBLE AS cost_usd
+FROM (SELECT tokens_in::BIGINT AS tokens_in, (CASE WHEN ok THEN said + 73 ELSE 32 END)::BIGINT AS tokens_out FROM t) GROUP BY tokens_in, tokens_out"""
 )
 def call_ledger_of_stage(spark, folder):
-    """Ledger of a translation run; the number of calls depends on how ids fall into batches, so it is not compared."""
+    """Ledger of a translation run with one text per call: tokens and cost, which the rule model counts in characters."""
     who = rules.caller(rules.translate)
     others = _plain(spark, folder).where(F.col("detected_language") != "en")
-    _, responses = jobs.translate(others, who)
-    asked = responses.agg(F.sum(F.size("rows"))).scalar()
+    _, responses = jobs.translate(others, who, size=1)
     ledger = call_ledger(responses, who, "translate_v1")
-    return ledger.groupBy("purpose", "prompt_version", "model").agg(F.count("*").alias("calls")).select(
-        "purpose", "prompt_version", "model", asked.alias("rows_asked")
-    )
+    return ledger.groupBy("purpose", "prompt_version", "model", "tokens_in", "tokens_out").agg(
+        F.count("*").alias("calls"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+
+
+def _turns(spark: SparkSession, folder: str) -> DataFrame:
+    c = table(spark, folder, "conversations")
+    return c.select(F.concat_ws("-", "conv_id", "turn").alias("review_id"), F.col("text").alias("review_text"))
 
 
 @query(
-    f"""WITH c AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations)
-SELECT id::VARCHAR AS review_id, 'deferred: spend cap reached' AS error FROM c WHERE false"""
+    """SELECT conv_id || '-' || turn AS review_id, 'deferred: spend cap reached' AS error, NULL::VARCHAR AS sentiment FROM conversations"""
 )
 def no_call_below_zero_budget(spark, folder):
-    """With a cap of zero every request is deferred: no row comes back answered."""
-    c = table(spark, folder, "conversations")
-    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("review_id"), F.col("text").alias("review_text"))
-    done, _ = jobs.classify(rows, rules.caller(rules.classify, cap_usd=0.0, est_call_usd=0.01))
-    return done.where(F.col("error") != "deferred: spend cap reached").select("review_id", "error")
+    """With a cap of zero every request is deferred."""
+    done, _ = jobs.classify(_turns(spark, folder), rules.caller(rules.classify, cap_usd=0.0, est_call_usd=0.01))
+    return done.select("review_id", "error", "sentiment")
+
+
+@query(
+    """WITH c AS (SELECT count(*) AS n, ceil(count(*) / 2)::BIGINT AS cap FROM conversations)
+SELECT unnest(['answered or failed', 'deferred']) AS state, unnest([least(n, cap), greatest(n - cap, 0)])::BIGINT AS n FROM c"""
+)
+def spend_cap_in_the_middle(spark, folder):
+    """One call per turn, a budget for half of them: as many are sent as the budget pays, the others wait."""
+    rows = _turns(spark, folder).withColumns(
+        {"reply": F.lit("ok"), "sentiment": F.lit("neutral"), "topic": F.lit("other"), "customer_name": F.lit("Kim")}
+    )
+    half = -(-rows.count() // 2)
+    done, _ = jobs.judge_replies(rows, rules.caller(rules.judge, cap_usd=half * 0.01, est_call_usd=0.01))
+    waits = F.coalesce(F.col("error") == "deferred: spend cap reached", F.lit(False))
+    return done.groupBy(F.when(waits, "deferred").otherwise("answered or failed").alias("state")).agg(F.count("*").alias("n"))
 
 
 @query(
-    f"""WITH s AS (SELECT lang, least(count(*), 25) AS n FROM documents GROUP BY lang, (doc_id * 7 + n_chars) % 5)
-SELECT lang AS detected_language, CASE WHEN lang = 'en' THEN 'not_needed' ELSE 'ok or failed' END AS state, sum(n)::BIGINT AS n
-FROM s GROUP BY lang"""
+    f"""WITH s AS (SELECT * FROM documents
+  QUALIFY row_number() OVER (PARTITION BY lang, (doc_id * 7 + n_chars) % 5 ORDER BY {seeded_sql("doc_id", 42)}) <= 25)
+SELECT lang AS detected_language, CASE WHEN lang = 'en' THEN 'not_needed' WHEN length({strip_sql("text")}) % 13 > 0 THEN 'ok' ELSE 'failed' END AS state,
+  count(*) AS n FROM s GROUP BY ALL"""
 )
 def ingest_translate(spark, folder):
     from ..plans.ingest import ingest_translate as job
 
     rows, _ = job(_raw(spark, folder), rules.caller(rules.translate), per_star=25)
-    state = F.when(F.col("translation_status") == "not_needed", "not_needed").otherwise("ok or failed")
-    return rows.groupBy("detected_language", state.alias("state")).agg(F.count("*").alias("n"))
+    return rows.groupBy("detected_language", F.col("translation_status").alias("state")).agg(F.count("*").alias("n"))
 
 
 @query(

@@ -188,3 +188,14 @@ PREDICTIONS = f"""predictions AS (
     CASE WHEN quality = 1 THEN 'negative' ELSE 'positive' END AS sentiment, {_TOPIC_LIST}[doc_id % 8 + 1] AS topic,
     ((doc_id % 100) / 100.0)::DOUBLE AS confidence, ((doc_id % 11) / 2.0)::DOUBLE AS stars
   FROM labels)"""
+
+
+def seeded_sql(column: str, seed: int) -> str:
+    """The pseudo-random number that seeded samples and folds are ordered by."""
+    return f"('0x' || substr(md5({column}::VARCHAR || '|{seed}'), 1, 15))::BIGINT"
+
+
+# Invented names for replies.
+CUSTOMERS = {"en": ["Nora", "Theo", "Iris", "Walt"], "de": ["Heidi", "Bernd", "Ulla", "Kurt"], "es": ["Pilar", "Hector", "Nuria", "Ramon"],
+             "fr": ["Odile", "Remi", "Maud", "Yvan"]}
+CUSTOMER_SQL = "[" + ", ".join(f"'{name}'" for names in CUSTOMERS.values() for name in names) + "]"

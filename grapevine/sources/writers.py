@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.reviews import output_table
+from ..storage import exists
 
 
 def append_cache(records: DataFrame, path: str, seq: int) -> None:
@@ -34,26 +35,24 @@ def write_labels_json(labels: DataFrame, path: str, mode: str = "error") -> None
 
 
 def stored_embeddings(spark: SparkSession, path: str) -> DataFrame | None:
-    """The (id, embedding) table, or None when nothing was stored yet."""
-    from pyspark.errors import AnalysisException
+    """The (id, version, embedding) table, or None when nothing was stored yet."""
+    return spark.read.schema("id string, version string, embedding array<float>").parquet(path) if exists(spark, path) else None
 
-    try:
-        return spark.read.schema("id string, embedding array<float>").parquet(path)
-    except AnalysisException:
-        return None
 
+def embedding_store(rows: DataFrame, id_column: str, path: str, embed, text: str | None = None, encoder: str = "") -> DataFrame:
+    """Embeddings of ``rows``, computing and storing only those not stored yet for this id, text and encoder.
 
-def embedding_store(rows: DataFrame, id_column: str, path: str, embed) -> DataFrame:
-    """Embeddings of ``rows``, computing and storing only those whose id is not stored yet.
-
-    ``embed`` maps a DataFrame to the same rows with an ``embedding`` column.
+    ``embed`` maps a DataFrame to the same rows with an ``embedding`` column. ``text`` names the column that it reads: a changed
+    text, or another ``encoder``, is embedded anew.
     """
     spark = rows.sparkSession
+    version = F.md5(F.concat_ws("|", F.lit(encoder), F.coalesce(F.col(text), F.lit("")) if text else F.lit("")))
+    keyed = rows.withColumns({"_id": F.col(id_column).cast("string"), "_version": version})
     known = stored_embeddings(spark, path)
-    todo = rows
+    todo = keyed
     if known is not None:
-        todo = rows.join(known.select(F.col("id").alias(id_column)), id_column, "left_anti")
-    fresh = embed(todo).select(F.col(id_column).cast("string").alias("id"), F.col("embedding").cast("array<float>"))
+        todo = keyed.join(known.select(F.col("id").alias("_id"), F.col("version").alias("_version")), ["_id", "_version"], "left_anti")
+    fresh = embed(todo).select(F.col("_id").alias("id"), F.col("_version").alias("version"), F.col("embedding").cast("array<float>"))
     fresh.write.mode("append").parquet(path)
-    vectors = stored_embeddings(spark, path)
-    return rows.join(vectors.withColumnRenamed("id", id_column), id_column)
+    vectors = stored_embeddings(spark, path).withColumnsRenamed({"id": "_id", "version": "_version"})
+    return keyed.join(vectors, ["_id", "_version"]).drop("_id", "_version")

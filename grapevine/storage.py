@@ -27,6 +27,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/grapevine/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is at ``path``, in whatever file system it names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def materialise(df: DataFrame, path: str | None = None, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet and read it back.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..fixed import LOOKBACK_WEEKS, MIN_COUNT, WINDOW, Z_THRESHOLD
+from ..storage import exists
 from ..functions.numbers import week_index
 from ..operators import trends as t
 from ..operators.joins import keep_last
@@ -127,13 +128,9 @@ def run_alerts(
 
 def read_alerts(spark: SparkSession, folder: str) -> DataFrame:
     """All alerts sent so far."""
-    from pyspark.errors import AnalysisException
-
     schema = f"{ALERTS}, batch bigint"
-    try:
-        return spark.read.schema(schema).parquet(f"{folder}/alerts")
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    path = f"{folder}/alerts"
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def drop_copies_in_batches(rows: DataFrame, id_column: str) -> DataFrame:

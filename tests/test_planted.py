@@ -1,5 +1,3 @@
-import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from grapevine.operators import aggregates as a
@@ -32,36 +30,28 @@ def test_two_spikes_of_one_group_apply_in_order(spark):
     assert counts[9] == 20 and counts[7] <= 15 and sum(counts.values()) == 60
 
 
-def counts(spark, n=60, groups=4):
-    rows = [(f"g{g}", w, n // 12) for g in range(groups) for w in range(12)]
-    return spark.createDataFrame(rows, "`group` string, week int, `count` bigint")
+def reviews(spark, groups=4, n=240, weeks=12):
+    return spark.range(groups * n).select(
+        F.col("id").alias("rid"), F.concat(F.lit("g"), F.col("id") % groups).alias("topic"), (F.col("id") / groups % weeks).cast("int").alias("week"))
 
 
 SPIKES = [("g0", 7, 5.0), ("g1", 9, 4.0), ("g2", 10, 3.5)]
 
 
-def test_timelines_keep_group_totals(spark):
-    rows = p.seeded_timelines(counts(spark), SPIKES, 12, runs=20).collect()
-    assert len(rows) == 80 and all(sum(r.counts) == 60 for r in rows)
-    assert {r.counts[7] for r in rows if r.group == "g0"} == {25}
-    assert all(r.counts == [5] * 12 for r in rows if r.group == "g3")
-    assert len({tuple(r.counts) for r in rows if r.group == "g0"}) > 5
-
-
-def test_draws_without_replacement():
-    rng = np.random.default_rng(0)
-    weeks = np.array([5, 0, 3, 10])
-    for size in (0, 4, 18):
-        taken = p._draw(weeks, size, rng)
-        assert taken.sum() == size and (taken <= weeks).all()
-    mean = np.mean([p._draw(weeks, 9, rng) for _ in range(4000)], axis=0)
-    assert mean == pytest.approx(weeks / 2, abs=0.1)
-    huge = np.array([3 * 10**9, 10**9])
-    assert p._draw(huge, 10**9, rng).sum() == 10**9
+def test_planted_counts_keep_totals_and_follow_the_plant(spark):
+    got = p.planted_counts(reviews(spark), "topic", "rid", SPIKES, 12, runs=6).collect()
+    totals = {}
+    for r in got:
+        totals[r.seed, r.topic] = totals.get((r.seed, r.topic), 0) + r["count"]
+    assert len(totals) == 24 and set(totals.values()) == {240}
+    assert {r["count"] for r in got if (r.topic, r.week) == ("g0", 7)} == {100}
+    assert {r["count"] for r in got if r.topic == "g3"} == {20}
+    one = p.plant_spikes(reviews(spark), "topic", "rid", SPIKES, 12, seed=4).groupBy("topic", "week").count().collect()
+    assert {(r.topic, r.week, r["count"]) for r in one} == {(r.topic, r.week, r["count"]) for r in got if r.seed == 4 and r["count"]}
 
 
 def test_backtest_of_clear_spikes(spark):
-    got = {r.rule: r for r in p.backtest(counts(spark), SPIKES, 12, runs=25).collect()}
+    got = {r.rule: r for r in p.backtest(reviews(spark), "topic", "rid", SPIKES, 12, runs=10).collect()}
     assert got["flag_z"].recall == 1.0 and got["flag_z"].precision > 0.9 and got["flag_z"].precision_at_k == 1.0
     assert got["quiet"].false_alarms == 0.0 and got["quiet"].precision is None
 
