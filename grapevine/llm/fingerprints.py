@@ -90,23 +90,22 @@ def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", share:
     edited, next_sketch and next_hash are null.
     """
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_sketch", sketch(F.col("_text")))
+    # both joins read these very rows, so that one exchange of the texts serves both
+    keyed = rows.filter(F.col("_key").isNotNull()).withColumn("_sketch", sketch(F.col("_text")))
     ids = rows.filter(F.col("_key").isNotNull()).groupBy("_key").agg((F.max(F.length("_text")) / share).cast("int").alias("_need"))
     pairs = following(ids, "_key").select(F.col("_key").alias("_to"), F.col("_next").alias("_key"), "_need")
-    heads = (
-        rows.join(pairs, "_key")
-        .select("_to", F.struct(F.expr("substring(_text, 1, _need)").alias("head"), F.col("_sketch").alias("sketch"), whole_hash(F.col("_text")).alias("whole")).alias("_n"))
-        .groupBy("_to").agg(F.max("_n").alias("_n"))
-        .withColumnRenamed("_to", "_key")
+    start = F.struct(
+        F.expr("substring(_text, 1, _need)").alias("head"), F.col("_sketch").alias("sketch"), whole_hash(F.col("_text")).alias("whole")
     )
-    n = F.length("_text")
-    cut = F.floor(n / share).cast("int")
-    return (
-        rows.join(heads, "_key", "left")
-        .withColumns({"_n_chars": n.cast("long"), "_cut": cut})
-        .select(
-            F.col("_key").alias("key"), F.col("_text").alias("text"), F.col("_n_chars").alias("n_chars"), F.col("_sketch").alias("sketch"),
-            F.when(F.col("_n").isNotNull(), F.expr("concat(substring(_text, 1, _n_chars - _cut), substring(_n.head, 1, _cut))")).alias("edited"),
-            F.col("_n.sketch").alias("next_sketch"), F.col("_n.whole").alias("next_hash"),
-        )
+    heads = keyed.join(pairs, "_key").groupBy(F.col("_to").alias("_key")).agg(F.max(start).alias("_n"))
+    cut = F.floor(F.length("_text") / share).cast("int")
+    edited = F.expr("concat(substring(_text, 1, _n_chars - _cut), substring(_n.head, 1, _cut))")
+    done = keyed.join(heads, "_key", "left").withColumns({"_n_chars": F.length("_text"), "_cut": cut}).select(
+        "_key", "_text", "_sketch", F.when(F.col("_n").isNotNull(), edited).alias("edited"), F.col("_n.sketch").alias("next_sketch"),
+        F.col("_n.whole").alias("next_hash"),
+    )
+    alone = rows.filter(F.col("_key").isNull()).withColumn("_sketch", sketch(F.col("_text")))
+    return done.unionByName(alone, allowMissingColumns=True).select(
+        F.col("_key").alias("key"), F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"), F.col("_sketch").alias("sketch"),
+        "edited", "next_sketch", "next_hash",
     )
