@@ -2,7 +2,7 @@
 
 Features say whether an n-gram occurs in a text: words, pairs of words, word shapes and triples of them, hashed to ``2**BITS`` columns. Each
 indicator is scaled by its log-count ratio between the classes, and a linear model with hinge loss is fitted by dual
-coordinate descent. Scores are the margins through a logistic curve fitted on held-back training rows.
+coordinate descent. Scores are the margins through a logistic curve fitted on cross-validated margins of the same rows.
 
 The fit takes a bounded sample of labelled rows (``max_rows``, chosen by the hash of the key); scoring runs on every row. Null and empty texts have no feature and get the score of the intercept.
 """
@@ -21,7 +21,7 @@ from .textarrays import Chunk, Words, chunks, mix, windows, words_of
 
 BITS = 18
 MAX_ROWS = 8_000
-MIN_ROWS = 3
+MIN_ROWS, FOLDS = 3, 5
 # 0 upper case, 1 lower case, 2 digit, 3 other letters' bytes, otherwise the byte itself
 KINDS = np.arange(256, dtype=np.uint64)
 KINDS[ord("A"):ord("Z") + 1] = 0
@@ -60,7 +60,7 @@ def log_count_ratio(columns: np.ndarray, offsets: np.ndarray, good: np.ndarray,
     return np.where(p + q - 2 * alpha >= MIN_ROWS, np.log((p / p.sum()) / (q / q.sum())), 0.0)
 
 
-def dual_coordinate_descent(columns, offsets, scale, sign, cost: float = 0.1, rounds: int = 20, seed: int = 7):
+def dual_coordinate_descent(columns, offsets, scale, sign, cost: float = 0.3, rounds: int = 20, seed: int = 7):
     """Weights and intercept of the L1-loss linear machine on rows of unit length."""
     n = len(sign)
     weights, intercept, alpha = np.zeros(len(scale)), 0.0, np.zeros(n)
@@ -122,16 +122,23 @@ def fit(texts: pa.Array, good: np.ndarray, bits: int = BITS) -> dict:
         share = (good.sum() + 1.0) / (len(good) + 2.0)
         return {"scale": np.zeros(width, np.float32), "weights": np.zeros(width, np.float32), "intercept": 0.0,
                 "slope": 0.0, "offset": float(np.log(share / (1 - share)))}
-    sign = np.where(good, 1.0, -1.0)
-    fold = np.arange(len(good)) % 5 == 0  # rows that only fit the curve
-    if fold.all() or good[~fold].all() or not good[~fold].any() or good[fold].all() or not good[fold].any():
-        fold = np.zeros(len(good), dtype=bool)
-    keep = np.repeat(~fold, counts)
-    inner = np.concatenate([[0], np.cumsum(counts[~fold])])
-    scale = log_count_ratio(columns[keep], inner, good[~fold], width)
-    weights, intercept = dual_coordinate_descent(columns[keep], inner, scale, sign[~fold])
-    margin = margins(columns, offsets, scale, weights, intercept)
-    held = fold if fold.any() else np.ones(len(good), dtype=bool)
+
+    def machine(rows: np.ndarray):
+        keep, inner = np.repeat(rows, counts), np.concatenate([[0], np.cumsum(counts[rows])])
+        scale = log_count_ratio(columns[keep], inner, good[rows], width)
+        return scale, *dual_coordinate_descent(columns[keep], inner, scale, np.where(good[rows], 1.0, -1.0))
+
+    # the curve is fitted on margins of rows that the machine did not see: each fifth by a machine of the others
+    margin, held = np.zeros(len(good)), np.zeros(len(good), dtype=bool)
+    for fold in range(FOLDS):
+        out = np.arange(len(good)) % FOLDS == fold
+        if out.any() and good[~out].any() and not good[~out].all():
+            part, inner = np.repeat(out, counts), np.concatenate([[0], np.cumsum(counts[out])])
+            margin[out] = margins(columns[part], inner, *machine(~out))
+            held |= out
+    scale, weights, intercept = machine(np.ones(len(good), dtype=bool))
+    if not held.any() or good[held].all() or not good[held].any():
+        margin, held = margins(columns, offsets, scale, weights, intercept), np.ones(len(good), dtype=bool)
     slope, offset = logistic_curve(margin[held], good[held])
     return {"scale": scale.astype(np.float32), "weights": weights.astype(np.float32), "intercept": float(intercept),
             "slope": max(slope, 0.0), "offset": offset}
