@@ -178,6 +178,8 @@ def fit_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     schema = pa.schema([("text", pa.string()), ("good", pa.bool_()), ("h", pa.int64())])
     rows = rows.toDF("text", "good", "h").repartition(1)
     row = rows.mapInArrow(learn, "scale binary, weights binary, numbers array<double>").first()
+    if row is None:  # no labelled document: every score is one half
+        return fit(schema.empty_table()["text"], np.zeros(0, dtype=bool))
     intercept, slope, offset = row["numbers"]
     return {"scale": np.frombuffer(row["scale"], np.float32), "weights": np.frombuffer(row["weights"], np.float32),
             "intercept": intercept, "slope": slope, "offset": offset}
