@@ -28,19 +28,27 @@ Template = Callable[[list[Turn]], str]
 START, END = "<|im_start|>", "<|im_end|>"
 # Control strings of common chat formats, first character and rest.
 CONTROLS = [("<", "|"), ("<", "/s>"), ("<", "s>"), ("[", "INST]"), ("[", "/INST]"), ("<", "<SYS>>"), ("<", "</SYS>>")]
-_PAIRS = "|".join(f"(?<={re.escape(a)})(?=\\\\*{re.escape(b)})" for a, b in CONTROLS)
-_BACK = "|".join(f"(?<={re.escape(a)})\\\\(?=\\\\*{re.escape(b)})" for a, b in CONTROLS)
-ESCAPE, UNESCAPE = re.compile(_PAIRS), re.compile(_BACK)
-ROLE_ESCAPES = {"\\": "\\\\", "\n": "\\n"}
+
+
+def control_pattern(backslash: str) -> re.Pattern:
+    """A control string's first character, then ``backslash``, before its backslashes and its rest."""
+    rests: dict[str, list[str]] = {}
+    for first, rest in CONTROLS:
+        rests.setdefault(first, []).append(re.escape(rest))
+    return re.compile("|".join(rf"{re.escape(first)}{backslash}(?=\\*(?:{'|'.join(own)}))" for first, own in rests.items()))
+
+
+ESCAPE, UNESCAPE = control_pattern(""), control_pattern(r"\\")
+FIRSTS = sorted({first for first, _ in CONTROLS})
 
 
 def escape(text: str) -> str:
     """One backslash more after the first character of each control string, escaped or not: none is left, all can be undone."""
-    return ESCAPE.sub(r"\\", text)
+    return ESCAPE.sub(lambda found: found[0] + "\\", text) if any(first in text for first in FIRSTS) else text
 
 
 def unescape(text: str) -> str:
-    return UNESCAPE.sub("", text)
+    return UNESCAPE.sub(lambda found: found[0][0], text) if "\\" in text else text
 
 
 def marked(turns: list[Turn]) -> str:
