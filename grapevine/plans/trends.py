@@ -12,6 +12,7 @@ from ..functions.labels import is_negative_with_issue
 from ..functions.numbers import week_label
 from ..operators import trends as t
 from ..operators.reviews import alert_table, negative_with_issue
+from ..storage import materialise
 
 
 def trends(
@@ -43,12 +44,16 @@ class _Board:
 
 
 def _board(reviews: DataFrame) -> _Board:
-    """Daily counts per issue and the horizon of all reviews, from one pass over three columns."""
+    """Daily counts per issue and the horizon of all reviews, from one pass over three columns.
+
+    The counts are written: a filter on them would otherwise reach the reviews and make a second pass of the horizon.
+    """
     issue = F.when(is_negative_with_issue(F.col("sentiment"), F.col("issue_category")), F.col("issue_category"))
     cells = (
         reviews.groupBy(issue.alias("group"), F.col("review_date").cast("date").alias("date"))
         .agg(F.count("*").alias("events"))
     )
+    cells = materialise(cells, name="daily-counts")
     return _Board(cells, t.horizon_value(cells))
 
 
@@ -59,12 +64,13 @@ def trend_alerts(
     min_count: int = MIN_COUNT,
     lookback: int = LOOKBACK_WEEKS,
     digits: int = 2,
+    board: _Board | None = None,
 ) -> DataFrame:
     """Alerts of the last ``lookback`` weeks, highest z first.
 
-    Weeks run over all dated reviews, not only the negative ones.
+    Weeks run over all dated reviews, not only the negative ones. ``board`` holds daily counts that are there already.
     """
-    board = _board(reviews)
+    board = board or _board(reviews)
     origin, n_weeks = board.horizon["first_date"], board.horizon["n_weeks"]
     observed = board.cells.where(F.col("group").isNotNull() & F.col("date").isNotNull())
     counts = t.weekly_counts(observed, origin)
@@ -103,7 +109,7 @@ def alert_message(alerts: DataFrame, link: str | None = None) -> DataFrame:
 def trend_run_summary(reviews: DataFrame, **alert_options) -> DataFrame:
     """One row: reviews read, negatives with issue, weeks, issues, alerts, and what to do about them."""
     board = _board(reviews)
-    alerts = trend_alerts(reviews, **alert_options).agg(F.count("*")).scalar()
+    alerts = trend_alerts(reviews, board=board, **alert_options).agg(F.count("*")).scalar()
     totals = board.cells.agg(
         F.sum("events").alias("reviews_read"),
         F.coalesce(F.sum(F.when(F.col("group").isNotNull(), F.col("events"))), F.lit(0)).alias("negative_with_issue"),
@@ -129,7 +135,9 @@ def spike_report(
 ) -> dict[str, DataFrame]:
     """``message`` (one row), ``table`` (alerts) and ``chart`` (weekly counts of the groups to draw)."""
     negative = negative_with_issue(reviews)
-    scored = trends(negative, "issue_category", "review_date", z_threshold=z_threshold, min_count=min_count)
+    scored = materialise(
+        trends(negative, "issue_category", "review_date", z_threshold=z_threshold, min_count=min_count), name="scores"
+    )
     spikes = scored.where("flag_z")
     table = t.sort_alerts(spikes).select(
         F.col("group").alias("issue"), F.col("week_start").alias("week starting"), F.col("count").alias("negative reviews"),

@@ -12,7 +12,8 @@ from ..operators import clustering as c
 from ..plans import issues
 from ..storage import new_folder
 from .registry import query
-from .standins import CLUSTER_ROWS, cluster_rows, reviews, table
+from . import rules
+from .standins import CLUSTER_ROWS, PREDICTIONS, REVIEWS, cluster_rows, predictions, reviews, table
 
 
 def hashed_words(texts: list[str], size: int = 32) -> np.ndarray:
@@ -96,3 +97,19 @@ def cluster_issues(spark, folder):
     rows = reviews(spark, folder).select("review_id", "review_text", "topic", "detected_language")
     found = issues.cluster_issues(rows, "review_text", hashed_words, new_folder(spark, "embeddings"))
     return found["summary"].select("cluster", "size", "dominant_topic", "topic_purity")
+
+
+@query(
+    f"""WITH {REVIEWS}, {PREDICTIONS} SELECT detected_language, count(*) AS n, 1::BIGINT AS searches FROM reviews
+WHERE review_id IN (SELECT id FROM predictions WHERE sentiment = 'negative') GROUP BY detected_language"""
+)
+def cluster_negatives(spark, folder):
+    """The clustering job on reviews predicted negative, read back from its CSV: every one of them has one of the k clusters."""
+    rows = reviews(spark, folder).withColumn("key", F.concat(F.lit("p1|m1|"), F.col("review_id"))).drop("topic")
+    out = new_folder(spark, "negatives")
+    found = issues.cluster_negatives(
+        rows, predictions(spark, folder), hashed_words, new_folder(spark, "embeddings"), out, rules.caller(rules.name_clusters))
+    k = found["search"].orderBy(F.desc("silhouette_squared"), "k").first()["k"]
+    back = spark.read.csv(f"{out}/rows", header=True, quote='"', escape='"', multiLine=True)
+    inside = F.count_if(F.col("cluster").cast("int").between(0, k - 1))
+    return back.groupBy("detected_language").agg(inside.alias("n"), F.lit(1).cast("long").alias("searches"))

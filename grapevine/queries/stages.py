@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.infer import call_ledger
 from ..plans import stages as jobs
+from ..plans.issues import cached_issue_phrases as cached
+from ..storage import new_folder
 from . import rules
 from .ingest import _raw, strip_sql
 from .registry import query
@@ -160,3 +162,12 @@ def label_summary(spark, folder):
 
     rows = cluster_rows(spark, folder).withColumn("review_text", F.concat(F.lit("text "), F.col("review_id").cast("string")))
     return job(rows, rules.caller(rules.name_clusters))
+
+
+@query(f"WITH {REVIEWS} SELECT review_id, CASE WHEN {SHORT} % 5 > 0 THEN 'issue ' || ({SHORT} % 7) END AS issue FROM reviews")
+def cached_issue_phrases(spark, folder):
+    """Half of the reviews first, then all: the second run asks for what is not cached, with another model it would ask for all."""
+    path, rows = new_folder(spark, "issue-cache"), _plain(spark, folder)
+    who = rules.caller(rules.issue)
+    cached(rows.where(F.col("ordinal") % 2 == 0), who, path, "issue_v1", seq=1)
+    return cached(rows, who, path, "issue_v1", seq=2).select("review_id", "issue")

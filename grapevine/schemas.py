@@ -32,6 +32,7 @@ SAVED_EXAMPLE = (
 PREDICTION_CACHE = (
     "key string, id string, sentiment string, topic string, confidence double, stars double, seq bigint"
 )
+ISSUE_CACHE = "key string, id string, issue string, seq bigint"
 REPLY_CACHE = "key string, reply string, tin bigint, tout bigint, seq bigint"
 JUDGE_CACHE = (
     "key string, empathy int, specificity int, correctness int, tone int, promises_outcome boolean, "
