@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark import Broadcast
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialise, spread
@@ -59,7 +59,8 @@ def vocabulary(
     """(language, gram, df, total, idf): terms in at least ``min_rows`` rows, the most frequent ``max_terms``.
 
     idf = ln((1 + N) / (1 + df)) + 1 with N rows of that language. Equal totals keep the smaller gram. Counts are
-    combined before the shuffle, so what moves is one row per term and input partition.
+    combined before the shuffle, so what moves is one row per term and input partition. The terms are cut by the total of the
+    last one that fits, found from how many terms have which total; only terms with that very total are ranked.
     """
     terms = (
         counted.select(language, F.inline(F.arrays_zip(f"{grams}.gram", f"{grams}.tf")).alias("gram", "tf"))
@@ -67,7 +68,14 @@ def vocabulary(
         .agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
         .where(F.col("df") >= min_rows)
     )
-    kept = first_n(terms, [language], [F.desc("total"), F.asc("gram")], max_terms, [F.col("gram")])
+    terms = materialise(terms, name="terms")
+    falling = Window.partitionBy(language).orderBy(F.desc("total")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = terms.groupBy(language, "total").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(falling))
+    room = upto.select(language, "total", "_n", (max_terms - F.col("_upto") + F.col("_n")).alias("_room"))
+    placed = terms.join(room.where(F.col("_room") > 0), [language, "total"])
+    whole = placed.where(F.col("_room") >= F.col("_n"))
+    last = first_n(placed.where(F.col("_room") < F.col("_n")), [language], [F.asc("gram")], F.col("_room"), [F.col("gram")])
+    kept = whole.unionByName(last).drop("_room", "_n")
     sizes = counted.groupBy(language).agg(F.count("*").alias("_rows"))
     idf = F.log((1 + F.col("_rows")) / (1 + F.col("df"))) + 1
     return kept.join(sizes, language).select(language, "gram", "df", "total", idf.alias("idf"))

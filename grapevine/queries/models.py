@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models as m
 from ..operators import text_features as f
+from ..storage import materialise
 from .measures import _truth
 from .registry import query
 from .standins import table
@@ -44,7 +45,7 @@ SELECT d.doc_id, coalesce(terms, 0)::INTEGER AS terms, round(coalesce(total / le
 FROM documents d LEFT JOIN norm USING (doc_id)"""
 )
 def char_tfidf(spark, folder):
-    counted = _counted(spark, folder)
+    counted = materialise(_counted(spark, folder), name="grams")  # read twice, counted once
     weighed = f.tfidf_weights(counted, f.vocabulary(counted, "lang"), "lang")
     total = F.aggregate("tfidf.weights", F.lit(0.0), lambda s, x: s + x)
     return weighed.select(

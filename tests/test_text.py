@@ -86,3 +86,17 @@ def test_weeks(spark):
 def test_cost_is_exact(spark):
     cost = n.call_cost(F.lit(12_436), F.lit(9_426), F.lit(1.0), F.lit(5.0))
     assert str(one(spark, cost)) == "0.059566"
+
+
+def test_vocabulary_is_cut_by_total_and_then_by_gram(spark):
+    from grapevine.operators import text_features as f
+
+    rows = spark.createDataFrame([("en", "a b c d"), ("en", "a b c d"), ("en", "a b e"), ("de", "a")] * 2, "lang string, text string")
+    counted = f.char_gram_counts(rows, "text")
+    every = f.vocabulary(counted, "lang").collect()
+    for n in (1, 3, 7, 1000):
+        wanted = set()
+        for lang in ("en", "de"):
+            own = sorted((r for r in every if r.lang == lang), key=lambda r: (-r.total, r.gram))
+            wanted |= {(r.lang, r.gram) for r in own[:n]}
+        assert {(r.lang, r.gram) for r in f.vocabulary(counted, "lang", max_terms=n).collect()} == wanted
