@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,10 +124,12 @@ def silhouette_exact(rows: DataFrame, id_column: str, embedding: str, cluster: s
 
 
 def pca_reduce(rows: DataFrame, embedding: str, k: int = 20, name: str = "reduced") -> DataFrame:
-    """The first ``k`` principal components of the vectors."""
-    data = rows.withColumn("_features", array_to_vector(F.col(embedding).cast("array<double>")))
-    model = PCA(k=k, inputCol="_features", outputCol="_reduced").fit(data)
-    return model.transform(data).withColumn(name, vector_to_array("_reduced")).drop("_features", "_reduced")
+    """The first ``k`` principal components of the vectors, less their mean."""
+    data = rows.withColumn("_vector", array_to_vector(F.col(embedding).cast("array<double>")))
+    centre = StandardScaler(withMean=True, withStd=False, inputCol="_vector", outputCol="_features").fit(data)
+    centred = centre.transform(data)
+    model = PCA(k=k, inputCol="_features", outputCol="_reduced").fit(centred)
+    return model.transform(centred).withColumn(name, vector_to_array("_reduced")).drop("_vector", "_features", "_reduced")
 
 
 def _cells(vector: str, width: float, tables: int, cuts: int, seed: int) -> Column:

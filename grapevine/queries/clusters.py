@@ -113,3 +113,17 @@ def cluster_negatives(spark, folder):
     back = spark.read.csv(f"{out}/rows", header=True, quote='"', escape='"', multiLine=True)
     inside = F.count_if(F.col("cluster").cast("int").between(0, k - 1))
     return back.groupBy("detected_language").agg(inside.alias("n"), F.lit(1).cast("long").alias("searches"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id AS review_id, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS d FROM e),
+m AS (SELECT list(x ORDER BY d) AS m FROM (SELECT d, avg(x) AS x FROM u GROUP BY d))
+SELECT review_id, len(v)::INTEGER AS dims, round(list_dot_product(v, v) - 2 * list_dot_product(v, m) + list_dot_product(m, m), 6) AS square
+FROM e, m"""
+)
+def pca_keeps_lengths(spark, folder):
+    """With as many components as dimensions the reduction is a rotation: each centred vector keeps its length."""
+    rows = c.pca_reduce(cluster_rows(spark, folder), "embedding", 64)
+    squares = F.aggregate("reduced", F.lit(0.0), lambda s, x: s + x * x)
+    return rows.select("review_id", F.size("reduced").alias("dims"), F.round(squares, 6).alias("square"))
