@@ -16,6 +16,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     ArrayType, BinaryType, IntegerType, LongType, StructField, StructType,
@@ -271,6 +272,18 @@ def take_lists(starts: np.ndarray, values: np.ndarray, which: np.ndarray) -> tup
     return values[at], lengths
 
 
+@contextmanager
+def short_plans(spark: SparkSession, length: int = 10_000):
+    """Plan descriptions are cut meanwhile: each of the many that a query leaves would spell out the rank map."""
+    setting = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, length)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) of every row, its token ``ids`` and the bytes ``decoded`` from them."""
     spark = docs.sparkSession
@@ -284,7 +297,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
         "compression", "zstd").format("parquet").saveAsTable(table)
     split = spark.table(table)
     lists = split.filter(F.col("_part").isNotNull()).select("_origin", *LISTS)
-    known = materialise(encoded_pieces(distinct_pieces(lists), tokens), name="encoded-pieces")
+    with short_plans(spark):
+        known = materialise(encoded_pieces(distinct_pieces(lists), tokens), name="encoded-pieces")
     ids = ids_of_batches(lists, known)
     texts = split.filter(F.col("_cells").isNotNull()).select("_origin", *names, "_cells")
     spelled = spark.sparkContext.broadcast(tokens)  # the vocabulary

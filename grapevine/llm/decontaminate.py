@@ -29,7 +29,7 @@ from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, St
 
 from .textarrays import chunks, words_of
 
-BITS, RANK, EXTRA = 15, 96, 8
+BITS, RANK, EXTRA = 14, 96, 8
 PASSAGE, STEP = 32, 16
 COSINE, SHARE, ANSWERED_SHARE, ANSWER = 0.5, 0.75, 0.6, 6
 BLOCK, GATHER = 1024, 1 << 14
@@ -136,8 +136,9 @@ def latent_space(docs: DataFrame, text: str, idf: np.ndarray, seed: int = 11) ->
     found = dict(summed(texts.mapInArrow(ranged, "block int, sums binary"), np.float32).collect())
     if not found:
         return np.zeros((width, RANK), dtype=np.float32)
-    basis, _ = np.linalg.qr(np.stack([np.frombuffer(found[b], np.float32) for b in range(size)]).T.astype(np.float64))
-    shared = spark.sparkContext.broadcast(basis.astype(np.float32))
+    basis, _ = np.linalg.qr(np.stack([np.frombuffer(found[b], np.float32) for b in range(size)]).T)
+    del found
+    shared = spark.sparkContext.broadcast(basis)
 
     def squared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, size))
@@ -147,6 +148,8 @@ def latent_space(docs: DataFrame, text: str, idf: np.ndarray, seed: int = 11) ->
         yield pa.RecordBatch.from_pydict({"block": pa.array([0], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     product = np.frombuffer(summed(texts.mapInArrow(squared, "block int, sums binary"), np.float64).first()["sums"]).reshape(size, size)
+    shared.destroy()
+    weights.destroy()
     values, vectors = np.linalg.eigh(product)
     values, vectors = values[::-1][:RANK], vectors[:, ::-1][:, :RANK]
     singular = np.sqrt(np.maximum(values, 1e-9 * max(values[0], 1e-12)))
