@@ -36,7 +36,7 @@ from .line_runs import bound
 
 BUCKETS = 1 << 14
 SPREAD, ID_LIMIT = 7919, 1 << 24
-BATCH_BYTES = 1 << 24
+BATCH_BYTES = 1 << 25
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -166,7 +166,7 @@ STRETCH = r"\s*(?:\S++(?! \S)\s++(?=\S))*\S++|\s+"
 def split_batches(docs: DataFrame, text: str, pattern: str, keep: list[str], parts: int, stretch: str | None = STRETCH) -> DataFrame:
     """Texts as numbers of pieces, and each batch's distinct pieces by part of the hash range.
 
-    Rows are (_origin, keep.., _cells) or (_origin, _part, _numbers, _lengths, _bytes), with nulls in the other columns. The pattern
+    Rows are (_origin, keep.., three planes of cells) or (_origin, _part, _numbers, _lengths, _bytes), with nulls in the other columns. The pattern
     runs once on each distinct ``stretch`` of a batch; None runs it on whole texts.
     """
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def split_batches(docs: DataFrame, text: str, pattern: str, keep: list[str], par
                 numbers = Numbers()
                 pieces_of = Stretches(find, numbers).__getitem__
                 cells = [
-                    np.fromiter(chain.from_iterable(map(pieces_of, stretches(t or ""))), dtype=np.uint32).tobytes()
+                    planes(np.fromiter(chain.from_iterable(map(pieces_of, stretches(t or ""))), dtype=np.uint32))
                     for t in batch.column(0).slice(first, last - first).to_pylist()
                 ]
                 origin = task << 32 | made
@@ -194,7 +194,7 @@ def split_batches(docs: DataFrame, text: str, pattern: str, keep: list[str], par
     def rows_of(n, origin, kept, cells, pieces):
         if cells is not None:
             lists = [pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in range(3))]
-            cells = pa.array(cells, pa.binary())
+            cells = [pa.array(plane, pa.binary()) for plane in zip(*cells, strict=True)]
         else:
             bodies = [piece.encode() for piece in pieces]
             part = np.array([zlib.crc32(body) % parts for body in bodies], dtype=np.int64)
@@ -205,24 +205,47 @@ def split_batches(docs: DataFrame, text: str, pattern: str, keep: list[str], par
             lengths = np.array([len(body) for body in sorted_bodies], dtype=np.uint32)
             lists = [
                 pa.array(some.astype(np.int32)),
-                *(pa.array([x[cuts[p]:cuts[p + 1]].astype(np.uint32).tobytes() for p in some], pa.binary()) for x in (order, lengths)),
+                pa.array([narrow(np.diff(order[cuts[p]:cuts[p + 1]], prepend=0)) for p in some], pa.binary()),
+                pa.array([narrow(lengths[cuts[p]:cuts[p + 1]]) for p in some], pa.binary()),
                 pa.array([b"".join(sorted_bodies[cuts[p]:cuts[p + 1]]) for p in some], pa.binary()),
             ]
-            n, cells, kept = len(some), pa.nulls(len(some), pa.binary()), [pa.nulls(len(some), k.type) for k in kept]
-        return pa.RecordBatch.from_arrays([pa.array([origin] * n, pa.int64()), *kept, cells, *lists], names=["_origin", *keep, "_cells", *LISTS])
+            n, kept = len(some), [pa.nulls(len(some), k.type) for k in kept]
+            cells = [pa.nulls(n, pa.binary()) for _ in CELLS]
+        return pa.RecordBatch.from_arrays([pa.array([origin] * n, pa.int64()), *kept, *cells, *lists], names=["_origin", *keep, *CELLS, *LISTS])
 
     schema = StructType([
-        StructField("_origin", LongType()), *(StructField(c, docs.schema[c].dataType) for c in keep), StructField("_cells", BinaryType()),
+        StructField("_origin", LongType()), *(StructField(c, docs.schema[c].dataType) for c in keep), *(StructField(c, BinaryType()) for c in CELLS),
         StructField("_part", IntegerType()), *(StructField(c, BinaryType()) for c in LISTS[1:]),
     ])
     return docs.select(F.col(text).alias("_split_text"), *keep).mapInArrow(split, schema)
 
 
 LISTS = ["_part", "_numbers", "_lengths", "_bytes"]
+CELLS = ["_low", "_middle", "_high"]  # bytes of the piece numbers; apart they compress best. A batch has less than 2**24 pieces.
+
+
+def planes(numbers: np.ndarray) -> list[bytes]:
+    return [plane.tobytes() for plane in numbers.view(np.uint8).reshape(-1, 4).T[:3]]
+
+
+def joined_planes(low: bytes, middle: bytes, high: bytes) -> np.ndarray:
+    parts = (np.frombuffer(plane, dtype=np.uint8).astype(np.int64) for plane in (low, middle, high))
+    return sum(part << 8 * i for i, part in enumerate(parts))
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in the narrowest of 1, 2 or 4 bytes, which the first byte names."""
+    most = int(values.max()) if len(values) else 0
+    kind = np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes()
+
+
+def widened(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 def cut_pieces(lengths: bytes, body: bytes) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(lengths, dtype=np.uint32).astype(np.int64)).tolist()
+    ends = np.cumsum(widened(lengths)).tolist()
     return [body[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905 - one start more than ends
 
 
@@ -239,7 +262,7 @@ def distinct_pieces(lists: DataFrame) -> DataFrame:
 
 
 def ids_of_batches(lists: DataFrame, known: DataFrame) -> DataFrame:
-    """(batch, numbers, sizes, ids): for each batch the ids of its pieces, part by part."""
+    """(batch, part, sizes, ids): for each batch the ids of its pieces, part by part."""
     def look_up(rows: pa.Table, known: pa.Table) -> pa.Table:
         places = {piece: i for i, piece in enumerate(known["piece"].cast(pa.binary()).to_pylist())}
         starts, values = flat_lists(known["ids"])
@@ -247,11 +270,12 @@ def ids_of_batches(lists: DataFrame, known: DataFrame) -> DataFrame:
         for lengths, body in zip(rows["_lengths"].to_pylist(), rows["_bytes"].to_pylist(), strict=True):
             own = np.array([places[piece] for piece in cut_pieces(lengths, body)], dtype=np.int64)
             taken, n = take_lists(starts, values, own)
-            sizes.append(n.astype(np.uint16 if not len(n) or n.max() < 1 << 16 else np.uint32).tobytes())
-            ids.append(taken.astype(np.uint32).tobytes())
-        return pa.table({"batch": rows["_origin"], "numbers": rows["_numbers"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
+            sizes.append(narrow(n))
+            ids.append(narrow(taken))
+        return pa.table({"batch": rows["_origin"], "place": rows["_part"], "sizes": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
-    return lists.groupBy("_part").cogroup(known.groupBy("part")).applyInArrow(look_up, "batch bigint, numbers binary, sizes binary, ids binary")
+    lists = lists.select("_origin", "_part", "_lengths", "_bytes")
+    return lists.groupBy("_part").cogroup(known.groupBy("part")).applyInArrow(look_up, "batch bigint, place int, sizes binary, ids binary")
 
 
 def flat_lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,33 +324,33 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
     with short_plans(spark):
         known = materialise(encoded_pieces(distinct_pieces(lists), tokens), name="encoded-pieces")
     ids = ids_of_batches(lists, known)
-    texts = split.filter(F.col("_cells").isNotNull()).select("_origin", *names, "_cells")
+    rows = split.select("_origin", *names, *CELLS, "_part", "_numbers")
     spelled = spark.sparkContext.broadcast(tokens)  # the vocabulary
 
     def put_together(texts: pa.Table, words: pa.Table) -> pa.Table:
-        numbers = np.frombuffer(b"".join(words["numbers"].to_pylist()), dtype=np.uint32)
-        sizes = np.concatenate([np.zeros(0, np.int64), *(
-            np.frombuffer(s, np.uint16 if len(s) < len(n) else np.uint32).astype(np.int64)
-            for s, n in zip(words["sizes"].to_pylist(), words["numbers"].to_pylist(), strict=True))])
-        values = np.frombuffer(b"".join(words["ids"].to_pylist()), dtype=np.uint32)
+        listed = texts.filter(pc.is_valid(texts["_part"])).sort_by("_part")
+        texts, words = texts.filter(pc.is_null(texts["_part"])), words.sort_by("place")
+        none = np.zeros(0, np.int64)
+        numbers = np.concatenate([none, *(np.cumsum(widened(n)) for n in listed["_numbers"].to_pylist())])
+        sizes, values = (np.concatenate([none, *map(widened, words[c].to_pylist())]) for c in ("sizes", "ids"))
         order = np.argsort(numbers, kind="stable")
         values, sizes = take_lists(np.append(0, np.cumsum(sizes)), values, order)
         starts = np.append(0, np.cumsum(sizes))
         spell = spelled.value
-        ids, counts, decoded = [np.zeros(0, np.uint32)], [], []
-        for cells in texts["_cells"].to_pylist():
-            own, _ = take_lists(starts, values, np.frombuffer(cells, dtype=np.uint32))
-            ids.append(own)
+        ids, counts, decoded = [np.zeros(0, np.int32)], [], []
+        for cells in zip(*(texts[c].to_pylist() for c in CELLS), strict=True):
+            own, _ = take_lists(starts, values, joined_planes(*cells))
+            ids.append(own.astype(np.int32))
             counts.append(len(own))
             decoded.append(b"".join([spell[i] for i in own.tolist()]))
         offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
         return pa.Table.from_arrays(
-            [*(texts[c] for c in names), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32))),
+            [*(texts[c] for c in names), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))),
              pa.array(decoded, pa.binary())], names=[*names, "ids", "decoded"])
 
     schema = StructType([*(StructField(n, docs.schema[n].dataType) for n in names), StructField("ids", ArrayType(IntegerType())),
                          StructField("decoded", BinaryType())])
-    out = texts.groupBy("_origin").cogroup(ids.groupBy("batch")).applyInArrow(put_together, schema)
+    out = rows.groupBy("_origin").cogroup(ids.groupBy("batch")).applyInArrow(put_together, schema)
     return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "ids", "decoded")
 
 
