@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise
-from .repeats import Unit, digests, keyed, merged_spans, repeated_windows, with_repeats
+from .repeats import Unit, keyed, merged_spans, repeated_windows, with_repeats
 from .textarrays import chunks, words_of
 
 WINDOW, GRAM = 20, 6
@@ -108,9 +108,9 @@ def later_windows(segments: pa.Table, window: int = WINDOW) -> np.ndarray:
         more = high - low > 1  # others have no occurrence but their own
         at, active, low, high = at[more], active[more], low[more], high[more]
         low, high = index.left(low, high, text[at + k])
-    # the earliest place of each interval: order of the windows is the order of documents and places
+    # the earliest place of each interval: segments come in order of documents and places, and so do their windows
     age = np.full(len(text) + 1, len(text), dtype=np.int64)
-    age[place] = rank_of_windows(segments, n)
+    age[place] = np.arange(len(place))
     aged = np.append(age[index.order], len(text))
     flags = np.zeros(len(place), dtype=bool)
     if len(active):
@@ -120,12 +120,7 @@ def later_windows(segments: pa.Table, window: int = WINDOW) -> np.ndarray:
     return flags
 
 
-def rank_of_windows(segments: pa.Table, n: np.ndarray) -> np.ndarray:
-    """The rank of every window by (document, start): segments are in that order and do not overlap inside a document."""
-    return np.arange(int(n.sum()))
-
-
-def whole_texts(rows: DataFrame, window: int) -> DataFrame:
+def whole_texts(rows: DataFrame) -> DataFrame:
     """(key, t, u, n_words, whole_sha256 of the words joined by one space) of every row."""
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,7 +174,7 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) of every row: the digest of the kept words joined by one space."""
     rows = keyed(docs, key, text)
-    all_rows = materialise(whole_texts(rows, window), name="whole-texts")
+    all_rows = materialise(whole_texts(rows), name="whole-texts")
     first = all_rows.groupBy("t", "u").agg(F.min("key").alias("first"), F.count(F.when(F.col("key").isNull(), 1)).alias("nulls"))
     first = first.select("t", "u", F.when(F.col("nulls") == 0, F.col("first")).alias("first"))
     cut = kept_words(repeated_spans(rows, window, gram))
