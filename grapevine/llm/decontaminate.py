@@ -3,8 +3,10 @@
 Documents are read as passages of ``PASSAGE`` words. Passages are TF-IDF vectors over hashed words. A randomised singular value
 decomposition of all of them takes two passes: random signed sums of passages span the range, and the passages' products
 in that range give singular values and vectors. The latent space gives its directions equal weight. Windows that overlap by half are compared with the passages of the benchmark items in it; pairs above ``cosine`` are
-candidates. A candidate is checked on the words: the longest common subsequence of the item and the document around the window, as a
-share of the item, and the item's answer.
+candidates. In a window of ``PASSAGE`` words a word that repeats beside a short item outweighs it, so items of up to ``PASSAGE`` words are
+also compared by windows of ``SHORT`` words. An item that stands whole in a document is a candidate whatever its cosine: its words but
+the first and last, which punctuation may touch, are looked up by their hashes. A candidate is checked on the words: the longest common
+subsequence of the item and the document around the window, as a share of the item, and the item's answer.
 
 What comes to the driver or is broadcast has a fixed size (``2**BITS`` numbers by ``RANK + EXTRA``) or follows the benchmark. The
 benchmark is a list of test items, so it is collected; it must be small against a task's memory.
@@ -27,10 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from .textarrays import chunks, words_of
+from .textarrays import Chunk, Words, chunks, windows, words_of
 
 BITS, RANK, EXTRA = 14, 96, 8
 PASSAGE, STEP = 32, 16
+SHORT, SHORT_STEP = 16, 8
+SEED = 4  # words of a whole item that are looked up before the others are compared
 COSINE, SHARE, ANSWERED_SHARE, ANSWER = 0.5, 0.75, 0.6, 6
 BLOCK, GATHER = 1024, 1 << 14
 EDGES = re.compile(r"^[^\w]+|[^\w]+$")
@@ -184,8 +188,8 @@ class Items:
     """The benchmark: words, answers, and latent passages."""
 
     def __init__(self, rows: list[tuple], space: np.ndarray):
-        self.ids, self.words, self.answers = [], [], []
-        vectors, owner = [], []
+        self.ids, self.words, self.answers, self.inner = [], [], [], []
+        vectors, owner, short_vectors, short_owner = [], [], [], []
         for key, text, answer in rows:
             words = plain_words(text)
             if not words:
@@ -195,13 +199,38 @@ class Items:
             self.words.append(words)
             self.answers.append(plain_words(answer) or words[-ANSWER:])
             chunk = next(chunks(pa.array([text], pa.string())))
-            columns = columns_of(words_of(chunk, lower=True).hashes)
-            for start in range(0, max(len(columns) - PASSAGE, 0) + STEP, STEP) if len(columns) > PASSAGE else [0]:
+            hashes = words_of(chunk, lower=True).hashes
+            self.inner.append(hashes[1:-1] if len(hashes) > 2 else hashes)
+            columns = columns_of(hashes)
+            for start in passage_starts(len(columns), PASSAGE, STEP):
                 vectors.append(space[columns[start:start + PASSAGE]].sum(axis=0))
                 owner.append(number)
-        self.vectors = unit(np.array(vectors, dtype=np.float32)) if vectors else np.zeros((0, space.shape[1]), np.float32)
-        self.owner = np.array(owner, dtype=np.int64)
+            if len(columns) <= PASSAGE:
+                parts = [columns[start:start + SHORT] for start in passage_starts(len(columns), SHORT, SHORT_STEP)]
+                for part in [columns, *parts] if len(parts) > 1 else parts:
+                    short_vectors.append(space[part].sum(axis=0))
+                    short_owner.append(number)
+        self.vectors, self.owner = stacked(vectors, space), np.array(owner, dtype=np.int64)
+        self.short_vectors, self.short_owner = stacked(short_vectors, space), np.array(short_owner, dtype=np.int64)
         self.sets = [set(words) for words in self.words]
+        self.seeds = self._seeds()
+
+    def _seeds(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By number of words: (ascending hashes of the first so many of ``inner``, their items)."""
+        own: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for number, inner in enumerate(self.inner):
+            size = min(len(inner), SEED)
+            hashes, _ = windows(Words(inner, inner, inner, np.array([0, len(inner)])), size)
+            own[size].append((int(hashes[0]), number))
+        return {size: (np.array([h for h, _ in sorted(pairs)], np.uint64), np.array([i for _, i in sorted(pairs)])) for size, pairs in own.items()}
+
+
+def passage_starts(words: int, size: int, step: int) -> range | list[int]:
+    return range(0, words - size + step, step) if words > size else [0]
+
+
+def stacked(vectors: list[np.ndarray], space: np.ndarray) -> np.ndarray:
+    return unit(np.array(vectors, dtype=np.float32)) if vectors else np.zeros((0, space.shape[1]), np.float32)
 
 
 def read_items(benchmark: DataFrame, key: str, text: str, answer: str | None) -> list[tuple]:
@@ -209,18 +238,77 @@ def read_items(benchmark: DataFrame, key: str, text: str, answer: str | None) ->
     return [tuple(row) for row in benchmark.select(F.col(key), F.col(text), extra).collect()]
 
 
-def candidates(words, space: np.ndarray, items: Items, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, item, cosine) of windows near an item's passage."""
-    starts, owner = blocks_of(words.offsets, STEP)
-    none = np.zeros(0, np.int64)
-    if not len(starts) or not len(items.owner):
-        return none, none, none, np.zeros(0)
-    sums = gathered(space, columns_of(words.hashes), None, starts)
+def with_next(sums: np.ndarray, owner: np.ndarray, step: int) -> np.ndarray:
+    """Each block's sums and those ``step`` blocks on, where that is the same text."""
     joined = sums.copy()
-    joined[:-1] += np.where((owner[1:] == owner[:-1])[:, None], sums[1:], 0)
-    near = unit(joined) @ items.vectors.T
-    window, passage = np.nonzero(near >= cosine)
-    return owner[window], starts[window] - words.offsets[owner[window]], items.owner[passage], near[window, passage]
+    joined[:-step] += np.where((owner[step:] == owner[:-step])[:, None], sums[step:], 0)
+    return joined
+
+
+def candidates(words: Words, space: np.ndarray, items: Items, cosine: float) -> Iterator[tuple[int, int, int, int, float]]:
+    """(text, first word, words, item, cosine) of windows near an item's passage, each window and item once."""
+    starts, owner = blocks_of(words.offsets, SHORT_STEP)
+    if not len(starts) or not len(items.owner):
+        return
+    first = starts - words.offsets[owner]
+    short = with_next(gathered(space, columns_of(words.hashes), None, starts), owner, 1)
+    wide = np.flatnonzero(first % STEP == 0)
+    sizes = [(PASSAGE, wide, with_next(short, owner, 2)[wide], items.vectors, items.owner)]
+    if len(items.short_owner):
+        sizes.append((SHORT, np.arange(len(starts)), short, items.short_vectors, items.short_owner))
+    for size, places, sums, vectors, numbers in sizes:
+        near = unit(sums) @ vectors.T
+        window, passage = np.nonzero(near >= cosine)
+        best: dict[tuple[int, int], float] = {}
+        for pair, value in zip(zip(places[window].tolist(), numbers[passage].tolist(), strict=True), near[window, passage].tolist(), strict=True):
+            best[pair] = max(value, best.get(pair, value))
+        for (place, item), value in best.items():
+            yield int(owner[place]), int(first[place]), size, item, value
+
+
+def whole_items(words: Words, space: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int, float]]:
+    """(text, first word, words, item, cosine) where all of an item's inner words stand in a row."""
+    for size, (seeds, numbers) in items.seeds.items():
+        hashes, inside = windows(words, size)
+        low, high = np.searchsorted(seeds, hashes), np.searchsorted(seeds, hashes, side="right")
+        for place in np.flatnonzero(inside & (high > low)).tolist():
+            row = int(np.searchsorted(words.offsets, place, side="right")) - 1
+            for item in numbers[low[place]:high[place]].tolist():
+                inner = items.inner[item]
+                if place + len(inner) > words.offsets[row + 1] or (words.hashes[place:place + len(inner)] != inner).any():
+                    continue
+                columns = columns_of(words.hashes[place:place + len(inner)])
+                near = unit(space[columns].sum(axis=0)[None]) @ items.vectors[items.owner == item].T
+                start = max(place - 1, int(words.offsets[row]))
+                yield row, start - int(words.offsets[row]), len(inner) + 2, item, float(near.max())
+
+
+def found_in(
+    chunk: Chunk, words: Words, space: np.ndarray, items: Items, cosine: float, share: float, answered_share: float,
+) -> dict[tuple[int, int], tuple[int, float, int, bool]]:
+    """(common words, cosine, -first word, answered) of the best window, by text of the chunk and item."""
+    best: dict[tuple[int, int], tuple[int, float, int, bool]] = {}
+
+    def check(row: int, start: int, size: int, item: int, near: float) -> None:
+        whole = items.words[item]
+        low = words.offsets[row] + max(start - len(whole), 0)
+        high = min(words.offsets[row] + start + size + len(whole), words.offsets[row + 1])
+        around = plain_words(chunk.data[words.starts[low]:words.ends[high - 1]].tobytes().decode())
+        if len(items.sets[item].intersection(around)) < answered_share * len(items.sets[item]) / 2:
+            return
+        common = subsequence(whole, around)
+        answered = subsequence(items.answers[item], around) == len(items.answers[item])
+        if common >= share * len(whole) or (answered and common >= answered_share * len(whole)):
+            found = (common, near, -start, answered)
+            if (row, item) not in best or found > best[row, item]:
+                best[row, item] = found
+
+    for window in candidates(words, space, items, cosine):
+        check(*window)
+    for row, start, size, item, near in whole_items(words, space, items):
+        if (row, item) not in best:
+            check(row, start, size, item, near)
+    return best
 
 
 def leaks(
@@ -247,21 +335,8 @@ def matches(spark: SparkSession, docs, items: Items, space, key, text, item_key,
         for batch in batches:
             best: dict[tuple[int, int], tuple] = {}
             for chunk in chunks(batch.column(0)):
-                words = words_of(chunk, lower=True)
-                for row, start, item, near in zip(*candidates(words, space, items, cosine), strict=True):
-                    whole = items.words[item]
-                    low = words.offsets[row] + max(start - len(whole), 0)
-                    high = min(words.offsets[row] + start + PASSAGE + len(whole), words.offsets[row + 1])
-                    around = plain_words(chunk.data[words.starts[low]:words.ends[high - 1]].tobytes().decode())
-                    if len(items.sets[item].intersection(around)) < answered_share * len(items.sets[item]) / 2:
-                        continue
-                    common = subsequence(whole, around)
-                    answered = subsequence(items.answers[item], around) == len(items.answers[item])
-                    if common >= share * len(whole) or (answered and common >= answered_share * len(whole)):
-                        place = (chunk.first + row, item)
-                        found = (common, float(near), -int(start), answered)
-                        if place not in best or found > best[place]:
-                            best[place] = found
+                found = found_in(chunk, words_of(chunk, lower=True), space, items, cosine, share, answered_share)
+                best |= {(chunk.first + row, item): value for (row, item), value in found.items()}
             places = sorted(best)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1).take(pa.array([row for row, _ in places], pa.int64())),

@@ -149,6 +149,21 @@ def test_all_planted_items_are_found(spark):
     assert got == truth and truth
 
 
+def test_short_items_in_repetitive_text(spark):
+    items = [(i, prose(900 + i, 3 + i)) for i in range(20)]
+    docs = [(i, prose(i, 150)) for i in range(150)]
+    places = random.Random(3)
+    for i, text in items:
+        for n in range(5):
+            filler = [places.choice(["no", "the,", "na na"])] * 90
+            filler.insert(places.randint(0, 90), f'"{text}"')
+            docs.append((1000 + 10 * i + n, " ".join(filler)))
+    found = decontaminate.leaks(frame(spark, docs), frame(spark, items, "item_id bigint, text string")).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert got == {(1000 + 10 * i + n, i) for i in range(20) for n in range(5)}
+    assert all(r.common == r.item_words for r in found)
+
+
 def test_decontamination_of_empty_tables(spark):
     docs, items = frame(spark, corpus()[:5]), frame(spark, [(1, "a b c")], "item_id bigint, text string")
     assert decontaminate.leaks(docs.limit(0), items).count() == 0
