@@ -339,13 +339,13 @@ def plant_spikes_totals(spark, folder):
 
 @query()
 def detector_backtest(spark, folder):
-    """Precision, recall and false alarms of both rules over 50 seeded plants in the reviews."""
+    """Precision, recall and false alarms of both rules over 200 seeded plants in the reviews."""
     rows = _negative(spark, folder)
     edges = rows.agg(F.struct(F.min("review_date").alias("a"), F.max("review_date").alias("b"))).scalar()
     dated = rows.withColumn("week", week_index(F.col("review_date"), edges["a"]))
     last = rows.select(week_index(edges["b"], edges["a"])).first()[0]
     spikes = [("F", last - 40, 5.0), ("O", last - 25, 4.0), ("P", last - 10, 3.0)]
-    return backtest(dated, "issue_category", "review_id", spikes, last + 1, runs=50)
+    return backtest(dated, "issue_category", "review_id", spikes, last + 1, runs=200)
 
 
 @query(

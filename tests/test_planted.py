@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from grapevine.operators import aggregates as a
 from grapevine.operators import planted as p
+from grapevine.queries import trends
 
 
 def timeline(spark, n=60, weeks=12):
@@ -56,6 +57,18 @@ def test_backtest_of_clear_spikes(spark):
     assert got["quiet"].false_alarms == 0.0 and got["quiet"].precision is None
 
 
+def test_registered_backtest_has_all_timelines(spark, monkeypatch):
+    seeds = []
+
+    def seen(rows, group, id_column, spikes, n_weeks, runs):
+        seeds.append(runs)
+        return p.planted_counts(rows, group, id_column, spikes, n_weeks, runs).select("seed").distinct()
+
+    monkeypatch.setattr(trends, "backtest", seen)
+    got = trends.detector_backtest(spark, "/root/testdata/sf0.001")
+    assert seeds == [200] and got.count() == 200
+
+
 def test_scores_without_any_flag(spark):
     flags = spark.createDataFrame([("a", 5, 1.0, False)], "`group` string, week int, z double, flag_z boolean")
     row = a.detector_scores(flags, [("a", 5), ("b", 6)], "flag_z").first()
