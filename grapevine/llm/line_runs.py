@@ -3,10 +3,11 @@
 A line's key is the line without outer white space and with A-Z lower-cased; an empty key is no key. ``LineRuns`` keeps
 (key hash, number of documents) in runs that are bucketed and sorted by hash. A batch is counted, merge-anti-joined with the
 keys that already reached the threshold, and added as a run of level 0; ``fan_out`` runs of a level are compacted
-into one run of the next. Buckets of all runs line up, so neither the anti-join nor compaction moves a run again.
+into one run of the next. Buckets of all runs line up, so the anti-join does not move a run again; compaction deals its rows anew.
 
-Texts are counted once each with their number of copies, before lines are exploded: what is dropped depends only on the
-text, so copies, repeated rows and rows with null ids need no identity of their own. A null or empty text is one empty line.
+Documents are distinct ids; rows with a null id count as none, and lose lines as others do. Texts are counted once each with the number
+of ids that have no other text, before lines are exploded; ids with several texts are counted by line and id. A null or empty text
+is one empty line.
 All steps are DataFrame operations.
 """
 
@@ -99,7 +100,8 @@ class LineRuns:
 
     def _compact(self, levels: list[int], into: int) -> None:
         tables = [table for level in levels for table in self.levels.pop(level, [])]
-        totals = self._all(tables).groupBy("a", "b").agg(F.sum("n_docs").alias("n_docs"))
+        # dealt by both columns: Spark 4.1 takes a union of bucketed runs as dealt by "a" and leaves a key in two rows
+        totals = self._all(tables).repartition(self.buckets, "a", "b").groupBy("a", "b").agg(F.sum("n_docs").alias("n_docs"))
         for table in self.closed:
             totals = totals.join(self.spark.table(table).select("a", "b"), ["a", "b"], "left_anti")
         merged = self._write(totals)
@@ -123,25 +125,46 @@ class LineRuns:
         self.closed, self.levels = [], {}
 
 
-def texts_with_keys(docs: DataFrame, text: str, batches: int) -> DataFrame:
-    """Distinct texts (t, u, copies, keys, batch): the key hash of every line, in order."""
+def ids_of_texts(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """Distinct (id, t, u) of rows with an id."""
+    digest = text_digest(F.col(text))
+    rows = docs.filter(F.col(key).isNotNull())
+    return rows.select(F.col(key).alias("id"), digest["t"].alias("t"), digest["u"].alias("u")).distinct()
+
+
+def texts_with_keys(docs: DataFrame, text: str, batches: int, by_id: DataFrame) -> DataFrame:
+    """Distinct texts (t, u, copies, keys, batch): the ids with this text alone, and the key hash of every line, in order."""
     keys = F.transform(lines_of(F.col(text)), lambda line: bound(line_key(line), key_hash))
+    alone = by_id.filter(F.col("n") == 1).groupBy("d.t", "d.u").agg(F.count(F.lit(1)).alias("copies"))
     return (
-        docs.select(text_digest(F.col(text)).alias("_d"), keys.alias("keys"))
-        .groupBy("_d.t", "_d.u").agg(F.count(F.lit(1)).alias("copies"), F.any_value("keys").alias("keys"))
+        docs.select(text_digest(F.col(text)).alias("_d"), keys.alias("keys")).select("_d.t", "_d.u", "keys")
+        .unionByName(alone, allowMissingColumns=True)
+        .groupBy("t", "u").agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("copies"), F.any_value("keys", F.lit(True)).alias("keys"))
         .withColumn("batch", F.pmod(F.col("u"), F.lit(batches)).cast("int"))
     )
 
 
-def repeated_line_spots(docs: DataFrame, text: str = "text", min_docs: int = 10, batches: int = 4) -> DataFrame:
+def distinct_keys(keys: Column) -> Column:
+    return F.explode(F.array_distinct(F.filter(keys, lambda k: k.isNotNull())))
+
+
+def repeated_line_spots(docs: DataFrame, text: str = "text", min_docs: int = 10, batches: int = 4, key: str = "doc_id") -> DataFrame:
     """(t, u, spots) of distinct texts: ascending places of the lines whose key is in ``min_docs`` documents or more."""
     spark = docs.sparkSession
-    table = materialise(texts_with_keys(docs, text, batches), name="line-keys")
+    pairs = ids_of_texts(docs, text, key)
+    by_id = pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("t", "u")).alias("d"))
+    by_id = materialise(by_id, name="ids")
+    table = materialise(texts_with_keys(docs, text, batches, by_id), name="line-keys")
     runs = LineRuns(spark, min_docs)
     for batch in range(batches):
-        own = table.filter(F.col("batch") == batch)
-        keys = own.select("copies", F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("k"))
+        own = table.filter((F.col("batch") == batch) & (F.col("copies") > 0))
+        keys = own.select("copies", distinct_keys(F.col("keys")).alias("k"))
         runs.add(keys.select("k.a", "k.b", F.col("copies").alias("n_docs")))
+    several = by_id.filter(F.col("n") > 1).select("id")
+    if not several.isEmpty():
+        found = pairs.join(several, "id", "left_semi").join(table.select("t", "u", "keys"), ["t", "u"])
+        lines = found.select("id", distinct_keys(F.col("keys")).alias("k")).select("id", "k.a", "k.b").distinct()
+        runs.add(lines.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_docs")))
     repeated = materialise(runs.repeated().distinct(), name="repeated-lines")
     runs.drop()
     lines = table.select("t", "u", F.posexplode("keys").alias("at", "k")).select("t", "u", "at", "k.a", "k.b")
@@ -150,13 +173,13 @@ def repeated_line_spots(docs: DataFrame, text: str = "text", min_docs: int = 10,
     return spots
 
 
-def drop_repeated_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, batches: int = 4) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, batches: int = 4, key: str = "doc_id") -> DataFrame:
     """``docs`` with two more columns: ``_kept`` (kept lines joined by \\n) and ``_dropped`` (how many lines went).
 
     Every row is kept, texts without lines left become empty. An empty table gives an empty table.
     """
     # written first: the join then reads two plain exchanges, and a text with very many copies can be split
-    spots = materialise(repeated_line_spots(docs, text, min_docs, batches), name="repeated-spots")
+    spots = materialise(repeated_line_spots(docs, text, min_docs, batches, key), name="repeated-spots")
     spots = spots.withColumnsRenamed({"t": "_t", "u": "_u", "spots": "_spots"})
     digest = text_digest(F.col(text))
     rows = docs.withColumns({"_t": digest["t"], "_u": digest["u"]}).join(spots, ["_t", "_u"], "left")

@@ -277,3 +277,21 @@ def test_cover_takes_every_pair_of_places():
             k = suffix_blocks.SHIFT[a, b]
             places[a, b] |= {(a + k) % 31, (b + k) % 31}
     assert all(p <= set(suffix_blocks.COVER.tolist()) for p in places.values())
+
+
+def test_lines_are_counted_by_distinct_ids_as_in_sql(spark, tmp_path):
+    rows = [(1, "a row\nof one id") for n in range(12)]  # a row that occurs twelve times
+    rows += [(2, f"line of one id\nown {n}") for n in range(12)]  # an id with twelve texts
+    rows += [(100 + n, f"Line of ten\nown {n}") for n in range(9)] + [(2, "line of ten")]
+    rows += [(200 + n, "line of nine ids") for n in range(9)] + [(200, "line of nine ids"), (201, "line of nine ids\nmore")]
+    rows += [(300 + n, "line of nine and null") for n in range(9)] + [(None, "line of nine and null")] * 3 + [(None, "line of ten")]
+    docs = frame(spark, rows)
+    lines = {}
+    for i, t in rows:
+        for line in t.split("\n"):
+            lines.setdefault(line.lower(), set()).add(i)
+    common = {k for k, ids in lines.items() if len(ids - {None}) >= 10}
+    assert common == {"line of ten"}
+    got = line_runs.drop_repeated_lines(docs, "text", 10).collect()
+    expected = [(i, t, "\n".join(x for x in t.split("\n") if x.lower() not in common)) for i, t in rows]
+    assert sorted(map(str, [(r.doc_id, r.text, r._kept) for r in got])) == sorted(map(str, expected))
