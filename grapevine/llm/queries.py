@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, fingerprints, fm_index, language, line_runs, quality, signature_tree, suffix_blocks
+from . import (
+    bpe, chat, decontaminate, fingerprints, fm_index, language, line_runs, quality, signature_tree, suffix_blocks, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -172,3 +174,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query(op3_decontamination)
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+query(op11_whitening)
