@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, chat, decontaminate, fingerprints, fm_index, language, line_runs, quality, signature_tree, suffix_blocks, whitening,
+    bpe, chat, decontaminate, fingerprints, fm_index, language, line_runs, periodic, quality, signature_tree, suffix_blocks, whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,23 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query(op11_whitening)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", periodic.with_planted_period(F.col("text"), F.col("doc_id")).alias("text"))
+    rows = periodic.find_runs(docs, "text", ["doc_id"]).withColumn("_longest", periodic.longest_run(F.col("runs")))
+    spelled = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("_longest.start").alias("start"),
+        F.col("_longest.length").alias("length"),
+        F.col("_longest.period").alias("period"),
+        F.floor(F.col("_longest.length") * 1000 / F.col("_longest.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(spelled, lambda r: F.concat(r, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+query(op12_periodic_runs)
