@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, chat, decontaminate, fingerprints, fm_index, language, line_runs, periodic, quality, signature_tree, suffix_blocks, whitening,
+    article, bpe, chat, decontaminate, fingerprints, fm_index, language, line_runs, periodic, quality, signature_tree, suffix_blocks,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +202,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query(op12_periodic_runs)
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = article.extract(table(spark, sf_dir, "pages"), "html", ["page_id", "url"])
+    rows = rows.withColumn("text", F.array_join("blocks", "\n\n"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "container")
+
+
+query(op13_html_extraction)
