@@ -5,14 +5,17 @@ batch; the distinct pieces go, packed, to parts of the hash range, where each is
 functions, with the ranks as a literal; the parts send every batch the ids of its pieces. Texts themselves never move: only
 a batch's word list does. Decoding concatenates the bytes of the tokens that the ids name.
 
-Every rank file must hold all single bytes. Null and empty texts have no ids. Each input row is one output row.
+A step of the fold copies the piece, so pieces over ``LONG`` bytes are merged by a heap of ranked pairs instead, in the same order.
+
+Every rank file must hold all single bytes. Null and empty texts have no ids. Each input row is one output row. A very long text is a
+batch of its own.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,10 +35,12 @@ from pyspark.sql.types import (
 
 from ..storage import materialise, new_folder
 from .line_runs import bound
+from .textarrays import binaries, concatenated
 
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 SPREAD, ID_LIMIT = 7919, 1 << 24
 BATCH_BYTES = 1 << 25
+LONG = 256
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -54,74 +58,57 @@ def literal(value, schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), schema)
 
 
-class RankMap:
-    """The ranks of a tokenizer as literals: of single bytes, and of pairs of tokens whose bytes together are a token.
-
-    Pairs lie in short lists by hash, so that a look-up compares a few keys.
+def rank_map(tokens: list[bytes]) -> Column:
+    """The ranks of a tokenizer as one literal: ``single`` of the 256 bytes; of pairs of tokens whose bytes together are a token, ``keys``
+    and the ranks ``found``, in short lists by hash, so that a look-up compares a few keys.
     """
-
-    def __init__(self, tokens: list[bytes]):
-        ranks = {token: rank for rank, token in enumerate(tokens)}
-        missing = [i for i in range(256) if bytes([i]) not in ranks]
-        if missing or len(tokens) >= ID_LIMIT:
-            raise ValueError(f"the ranks lack the single bytes {missing} or count {ID_LIMIT} or more")
-        keys: list[list[int]] = [[] for _ in range(BUCKETS)]
-        found: list[list[int]] = [[] for _ in range(BUCKETS)]
-        for rank, token in enumerate(tokens):
-            for cut in range(1, len(token)):
-                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
-                if a is not None and b is not None:
-                    bucket = (a * SPREAD + b) % BUCKETS
-                    keys[bucket].append(a * ID_LIMIT + b)
-                    found[bucket].append(rank)
-        whole = sorted(ranks.items())
-        self.single = literal([ranks[bytes([i])] for i in range(256)], "array<int>")
-        self.keys, self.found = literal(keys, "array<array<bigint>>"), literal(found, "array<array<int>>")
-        buckets = [{"k": [], "r": []} for _ in range(BUCKETS)]
-        for token, rank in whole:
-            bucket = buckets[xxhash.xxh64_intdigest(token, 42) % BUCKETS]
-            bucket["k"].append(base64.b64encode(token).decode())
-            bucket["r"].append(rank)
-        self.whole = literal(buckets, "array<struct<k:array<binary>,r:array<int>>>")
-
-    def of_bytes(self, token: Column) -> Column:
-        """The rank of a byte string, or null."""
-        own = F.get(self.whole, F.xxhash64(token).bitwiseAND(BUCKETS - 1).cast("int"))
-        return bound(own, lambda b: F.get(b["r"], (F.array_position(b["k"], token) - 1).cast("int")))
-
-    def of_pair(self, a: Column, b: Column) -> Column:
-        """The rank of two tokens' bytes together, or null."""
-        a = a.cast("long")
-        bucket = ((a * SPREAD + b) % BUCKETS).cast("int")
-        return F.get(F.get(self.found, bucket), (F.array_position(F.get(self.keys, bucket), a * ID_LIMIT + b) - 1).cast("int"))
-
-
-def merged(ranks: RankMap, piece: Column) -> Column:
+    ranks = {token: rank for rank, token in enumerate(tokens)}
+    missing = [i for i in range(256) if bytes([i]) not in ranks]
+    if missing or len(tokens) >= ID_LIMIT:
+        raise ValueError(f"the ranks lack the single bytes {missing} or count {ID_LIMIT} or more")
+    keys: list[list[int]] = [[] for _ in range(BUCKETS)]
+    found: list[list[int]] = [[] for _ in range(BUCKETS)]
+    for rank, token in enumerate(tokens):
+        for cut in range(1, len(token)):
+            a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if a is not None and b is not None:
+                bucket = (a * SPREAD + b) % BUCKETS
+                keys[bucket].append(a * ID_LIMIT + b)
+                found[bucket].append(rank)
+    single = [ranks[bytes([i])] for i in range(256)]
+    return literal({"single": single, "keys": keys, "found": found}, "struct<single:array<int>,keys:array<array<bigint>>,found:array<array<int>>>")
+
+
+def rank_of_pair(ranks: Column, a: Column, b: Column) -> Column:
+    """The rank of two tokens' bytes together, or null."""
+    a = a.cast("long")
+    bucket = ((a * SPREAD + b) % BUCKETS).cast("int")
+    return F.get(F.get(ranks["found"], bucket), (F.array_position(F.get(ranks["keys"], bucket), a * ID_LIMIT + b) - 1).cast("int"))
+
+
+def merged(ranks: Column, piece: Column) -> Column:
     """Token ids of the bytes of ``piece`` after all ranked merges.
 
     The fold's state is the tokens so far and the ranks of neighbours taken together, which are the ids that merging gives. A
     step merges the leftmost pair of the lowest rank and looks up its two new neighbours; without a ranked pair the state stays.
     """
     n = F.octet_length(piece)
-    digits = F.hex(piece)
-    code = lambda i: F.conv(F.substr(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("int")
-    single = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(ranks.single, code(i)))
     none = F.array().cast("array<int>")
+    one_by_one = F.split(F.decode(piece, "ISO-8859-1"), "")  # a character per byte
+    single = F.transform(F.slice(one_by_one, F.lit(1), n), lambda byte: F.get(ranks["single"], F.ascii(byte)))
 
     def with_ranks(ids: Column) -> Column:
-        pairs = F.zip_with(F.slice(ids, F.lit(1), n - 1), F.slice(ids, F.lit(2), n - 1), ranks.of_pair)
+        pairs = F.zip_with(F.slice(ids, F.lit(1), n - 1), F.slice(ids, F.lit(2), n - 1), lambda a, b: rank_of_pair(ranks, a, b))
         return F.struct(ids.alias("ids"), F.when(n > 1, pairs).otherwise(none).alias("ranks"))
 
     def put(ids: Column, old: Column, low: Column, at: Column) -> Column:
         before, after = F.get(ids, at - 1), F.get(ids, at + 2)
-        new = F.transform(
-            F.filter(F.array(F.struct(before.alias("a"), low.alias("b")), F.struct(low.alias("a"), after.alias("b"))),
-                     lambda pair: pair["a"].isNotNull() & pair["b"].isNotNull()),
-            lambda pair: ranks.of_pair(pair["a"], pair["b"]))
+        left = F.when(at > 0, F.array(rank_of_pair(ranks, before, low))).otherwise(none)
+        right = F.when(after.isNotNull(), F.array(rank_of_pair(ranks, low, after))).otherwise(none)
         size = F.size(ids)
         return F.struct(
             F.concat(F.slice(ids, F.lit(1), at), F.array(low), F.slice(ids, at + 3, size)).alias("ids"),
-            F.concat(F.slice(old, F.lit(1), F.greatest(at - 1, F.lit(0))), new, F.slice(old, at + 3, size)).alias("ranks"),
+            F.concat(F.slice(old, F.lit(1), F.greatest(at - 1, F.lit(0))), left, right, F.slice(old, at + 3, size)).alias("ranks"),
         )
 
     def step(state: Column, _: Column) -> Column:
@@ -132,85 +119,119 @@ def merged(ranks: RankMap, piece: Column) -> Column:
 
 
 def encoded_pieces(pieces: DataFrame, tokens: list[bytes]) -> DataFrame:
-    """``pieces`` with the ids of each ``piece``: its own rank if it has one, else the ids after its merges."""
-    ranks = RankMap(tokens)
+    """``pieces`` with the ids of each ``piece`` where they are null: those after its merges."""
     piece = F.col("piece").cast("binary")
-    rows = pieces.withColumn("_rank", ranks.of_bytes(piece))
-    return rows.withColumn("ids", F.when(F.col("_rank").isNotNull(), F.array("_rank")).otherwise(merged(ranks, piece))).drop("_rank")
-
-
-class Numbers(dict):
-    """Numbers words in order of their first look-up."""
-
-    def __missing__(self, word):
-        self[word] = number = len(self)
-        return number
-
-
-class Stretches(dict):
-    """The piece numbers of a stretch of text, found once."""
-
-    def __init__(self, find, numbers: Numbers):
-        self.find, self.numbers = find, numbers
-
-    def __missing__(self, stretch):
-        self[stretch] = own = [self.numbers[piece] for piece in self.find(stretch)]
-        return own
+    # bound, so that the plan holds the map once
+    own = bound(rank_map(tokens), lambda ranks: merged(ranks, piece))
+    return pieces.withColumn("ids", F.when(F.col("ids").isNull(), own).otherwise(F.col("ids")))
 
 
-# Stretches that end before a space between two other characters, or at white space that ends the text. No piece of a pattern whose
-# pieces hold white space only in front (one space) or throughout reaches over such a place.
-STRETCH = r"\s*(?:\S++(?! \S)\s++(?=\S))*\S++|\s+"
+def heap_merged(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:
+    """Token ids of a piece after all ranked merges: the leftmost pair of the lowest rank first, as in the fold.
 
-
-def split_batches(docs: DataFrame, text: str, pattern: str, keep: list[str], parts: int, stretch: str | None = STRETCH) -> DataFrame:
+    A heap holds the ranked pairs; a pair that a merge has changed is passed over when its turn comes. No token has over ``longest`` bytes.
+    """
+    n = len(piece)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # where the next and the previous token start
+    ids = [ranks[piece[i:i + 1]] for i in range(n)]
+
+    def pair(start: int) -> tuple[int, int, int] | None:
+        """(rank, start, end) of a token and the next together."""
+        middle = after[start]
+        if middle >= n or after[middle] - start > longest:
+            return None
+        rank = ranks.get(piece[start:after[middle]])
+        return None if rank is None else (rank, start, after[middle])
+
+    pairs = [found for start in range(n - 1) if (found := pair(start))]
+    heapq.heapify(pairs)
+    while pairs:
+        rank, start, end = heapq.heappop(pairs)
+        middle = after[start]
+        if ids[start] < 0 or middle >= n or after[middle] != end:
+            continue
+        ids[start], ids[middle], after[start] = rank, -1, end
+        if end < n:
+            before[end] = start
+        for changed in (start, before[start]):
+            if changed >= 0 and (found := pair(changed)):
+                heapq.heappush(pairs, found)
+    return [i for i in ids if i >= 0]
+
+
+def white_bytes(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 belong to white space; control characters count as such."""
+    white = data <= 32
+    for lead, size, tails in WHITE:
+        at = np.flatnonzero(data == lead)
+        at = at[at + size <= len(data)]
+        tail = data[at + 1].astype(np.int64) if size == 2 else data[at + 1].astype(np.int64) << 8 | data[at + 2]
+        at = at[np.isin(tail, tails)]
+        for k in range(size):
+            white[at + k] = True
+    return white
+
+
+# White space beyond ASCII in UTF-8: first byte, bytes, and the others as a number.
+WHITE = [
+    (0xC2, 2, [0x85, 0xA0]), (0xE1, 3, [0x9A80, 0xA08E]), (0xE3, 3, [0x8080]),
+    (0xE2, 3, [*range(0x8080, 0x808B), 0x80A8, 0x80A9, 0x80AF, 0x819F]),
+]
+
+
+def stretch_starts(data: np.ndarray, offsets: np.ndarray, at_spaces: bool) -> np.ndarray:
+    """Where texts start, and the spaces between two other characters: no piece reaches over these."""
+    cuts = np.zeros(len(data) + 1, dtype=bool)
+    if at_spaces and len(data) > 2:
+        white = white_bytes(data)
+        cuts[1:-2] = (data[1:-1] == 32) & ~white[:-2] & ~white[2:]
+        ends = offsets[1:]
+        cuts[ends[ends > 0] - 1] = False  # a space that ends a text
+    cuts[offsets] = True
+    cuts[len(data)] = False
+    return np.flatnonzero(cuts)
+
+
+def numbered_pieces(data: np.ndarray, offsets: np.ndarray, find, at_spaces: bool) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(piece numbers of all texts, each text's range in them, the pieces). The pattern runs once on each distinct stretch."""
+    starts = stretch_starts(data, offsets, at_spaces)
+    stretches = binaries(data, np.append(starts, len(data))).dictionary_encode()
+    found = [find(stretch) for stretch in stretches.dictionary.cast(pa.string()).to_pylist()]
+    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    pieces = pa.array(list(chain.from_iterable(found)), pa.string()).dictionary_encode()
+    own = pieces.indices.to_numpy(zero_copy_only=False).astype(np.uint32)
+    numbers, lengths = take_lists(np.append(0, np.cumsum(sizes)), own, stretches.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+    ends = np.append(0, np.cumsum(lengths))
+    return numbers, ends[np.searchsorted(starts, offsets)], [piece.encode() for piece in pieces.dictionary.to_pylist()]
+
+
+def split_batches(docs: DataFrame, text: str, pattern: str, keep: list[str], parts: int, at_spaces: bool = True) -> DataFrame:
     """Texts as numbers of pieces, and each batch's distinct pieces by part of the hash range.
 
-    Rows are (_origin, keep.., three planes of cells) or (_origin, _part, _numbers, _lengths, _bytes), with nulls in the other columns. The pattern
-    runs once on each distinct ``stretch`` of a batch; None runs it on whole texts.
+    Rows are (_origin, keep.., four planes of cells) or (_origin, _part, _numbers, _lengths, _bytes), with nulls in the other columns.
+    ``at_spaces`` cuts texts before a space between two other characters. That holds for patterns whose pieces take white space only as
+    one leading space or throughout.
     """
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        stretches = re.compile(stretch).findall if stretch else lambda text: [text]
         task, made = TaskContext.get().partitionId(), 0
         for batch in batches:
-            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            data, offsets = concatenated(batch.column(0).fill_null(""), np.uint8)
             first = 0
             while first < len(batch):
-                limit = (sizes[first - 1] if first else 0) + BATCH_BYTES
-                last = max(int(np.searchsorted(sizes, limit, side="right")), first + 1)
-                numbers = Numbers()
-                pieces_of = Stretches(find, numbers).__getitem__
-                cells = [
-                    planes(np.fromiter(chain.from_iterable(map(pieces_of, stretches(t or ""))), dtype=np.uint32))
-                    for t in batch.column(0).slice(first, last - first).to_pylist()
-                ]
+                last = max(int(np.searchsorted(offsets, offsets[first] + BATCH_BYTES, side="right")) - 1, first + 1)
+                own = offsets[first:last + 1]
+                numbers, ranges, pieces = numbered_pieces(data[own[0]:own[-1]], own - own[0], find, at_spaces)
                 origin = task << 32 | made
                 kept = [column.slice(first, last - first) for column in batch.columns[1:]]
-                yield rows_of(last - first, origin, kept, cells, None)
-                yield rows_of(None, origin, kept, None, list(numbers))
+                yield rows_of(last - first, origin, kept, planes(numbers, ranges, len(pieces)), [pa.nulls(last - first, pa.int32()), *(
+                    pa.nulls(last - first, pa.binary()) for _ in LISTS[1:])])
+                lists = word_lists(pieces, parts)
+                n = len(lists[0])
+                yield rows_of(n, origin, [pa.nulls(n, k.type) for k in kept], [pa.nulls(n, pa.binary()) for _ in CELLS], lists)
                 first, made = last, made + 1
 
-    def rows_of(n, origin, kept, cells, pieces):
-        if cells is not None:
-            lists = [pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in range(3))]
-            cells = [pa.array(plane, pa.binary()) for plane in zip(*cells, strict=True)]
-        else:
-            bodies = [piece.encode() for piece in pieces]
-            part = np.array([zlib.crc32(body) % parts for body in bodies], dtype=np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            some = np.flatnonzero(np.diff(cuts) > 0)
-            sorted_bodies = [bodies[i] for i in order]
-            lengths = np.array([len(body) for body in sorted_bodies], dtype=np.uint32)
-            lists = [
-                pa.array(some.astype(np.int32)),
-                pa.array([narrow(np.diff(order[cuts[p]:cuts[p + 1]], prepend=0)) for p in some], pa.binary()),
-                pa.array([narrow(lengths[cuts[p]:cuts[p + 1]]) for p in some], pa.binary()),
-                pa.array([b"".join(sorted_bodies[cuts[p]:cuts[p + 1]]) for p in some], pa.binary()),
-            ]
-            n, kept = len(some), [pa.nulls(len(some), k.type) for k in kept]
-            cells = [pa.nulls(n, pa.binary()) for _ in CELLS]
+    def rows_of(n, origin, kept, cells, lists):
         return pa.RecordBatch.from_arrays([pa.array([origin] * n, pa.int64()), *kept, *cells, *lists], names=["_origin", *keep, *CELLS, *LISTS])
 
     schema = StructType([
@@ -221,16 +242,41 @@ def split_batches(docs: DataFrame, text: str, pattern: str, keep: list[str], par
 
 
 LISTS = ["_part", "_numbers", "_lengths", "_bytes"]
-CELLS = ["_low", "_middle", "_high"]  # bytes of the piece numbers; apart they compress best. A batch has less than 2**24 pieces.
-
-
-def planes(numbers: np.ndarray) -> list[bytes]:
-    return [plane.tobytes() for plane in numbers.view(np.uint8).reshape(-1, 4).T[:3]]
-
-
-def joined_planes(low: bytes, middle: bytes, high: bytes) -> np.ndarray:
-    parts = (np.frombuffer(plane, dtype=np.uint8).astype(np.int64) for plane in (low, middle, high))
-    return sum(part << 8 * i for i, part in enumerate(parts))
+CELLS = ["_low", "_middle", "_high", "_top"]  # bytes of the piece numbers; apart they compress best
+
+
+def word_lists(pieces: list[bytes], parts: int) -> list[pa.Array]:
+    """A batch's pieces by part: (part, their numbers, their lengths, their bytes)."""
+    part = np.fromiter((zlib.crc32(piece) % parts for piece in pieces), dtype=np.int64, count=len(pieces))
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    some = np.flatnonzero(np.diff(cuts) > 0)
+    bodies = [pieces[i] for i in order.tolist()]
+    lengths = np.fromiter(map(len, bodies), dtype=np.uint32, count=len(bodies))
+    return [
+        pa.array(some.astype(np.int32)),
+        pa.array([narrow(np.diff(order[cuts[p]:cuts[p + 1]], prepend=0)) for p in some], pa.binary()),
+        pa.array([narrow(lengths[cuts[p]:cuts[p + 1]]) for p in some], pa.binary()),
+        pa.array([zlib.compress(b"".join(bodies[cuts[p]:cuts[p + 1]]), 1) for p in some], pa.binary()),
+    ]
+
+
+def planes(numbers: np.ndarray, ranges: np.ndarray, limit: int) -> list[pa.Array]:
+    """The texts' numbers by bytes, a binary column per byte; bytes above the largest number are left out."""
+    by_byte = np.ascontiguousarray(numbers, dtype="<u4").view(np.uint8).reshape(-1, 4)
+    none = pa.array([b""] * (len(ranges) - 1), pa.binary())
+    return [binaries(np.ascontiguousarray(by_byte[:, i]), ranges) if i == 0 or limit > 1 << 8 * i else none for i in range(4)]
+
+
+def joined_planes(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """(the numbers of all texts, each text's range in them)."""
+    low, ranges = concatenated(columns[0], np.uint8)
+    numbers = low.astype(np.int64)
+    for i, column in enumerate(columns[1:], 1):
+        plane, _ = concatenated(column, np.uint8)
+        if len(plane):
+            numbers |= plane.astype(np.int64) << 8 * i
+    return numbers, ranges
 
 
 def narrow(values: np.ndarray) -> bytes:
@@ -244,21 +290,28 @@ def widened(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64)
 
 
-def cut_pieces(lengths: bytes, body: bytes) -> list[bytes]:
-    ends = np.cumsum(widened(lengths)).tolist()
+def cut_pieces(lengths: bytes, packed: bytes) -> list[bytes]:
+    ends, body = np.cumsum(widened(lengths)).tolist(), zlib.decompress(packed)
     return [body[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905 - one start more than ends
 
 
-def distinct_pieces(lists: DataFrame) -> DataFrame:
-    """(part, piece): the distinct pieces of all batches."""
+def distinct_pieces(lists: DataFrame, tokens: list[bytes], long: int = LONG) -> DataFrame:
+    """(part, piece, ids): the distinct pieces of all batches, with ids only where a piece is a token or has over ``long`` bytes."""
+    spelled = lists.sparkSession.sparkContext.broadcast(tokens)  # the vocabulary
+
     def distinct(rows: pa.Table) -> pa.Table:
         found: set[bytes] = set()
         for lengths, body in zip(rows["_lengths"].to_pylist(), rows["_bytes"].to_pylist(), strict=True):
             found.update(cut_pieces(lengths, body))
-        pieces = pa.array(sorted(found), pa.binary()).cast(pa.string())
-        return pa.table({"part": pa.array(np.full(len(pieces), rows["_part"][0].as_py(), np.int32)), "piece": pieces})
+        pieces = sorted(found)
+        ranks = {token: rank for rank, token in enumerate(spelled.value)}
+        longest = max(map(len, ranks))
+        ids = [[ranks[p]] if p in ranks else heap_merged(p, ranks, longest) if len(p) > long else None for p in pieces]
+        return pa.table({
+            "part": pa.array(np.full(len(pieces), rows["_part"][0].as_py(), np.int32)), "piece": pa.array(pieces, pa.binary()).cast(pa.string()),
+            "ids": pa.array(ids, pa.list_(pa.int32()))})
 
-    return lists.select("_part", "_lengths", "_bytes").groupBy("_part").applyInArrow(distinct, "part int, piece string")
+    return lists.select("_part", "_lengths", "_bytes").groupBy("_part").applyInArrow(distinct, "part int, piece string, ids array<int>")
 
 
 def ids_of_batches(lists: DataFrame, known: DataFrame) -> DataFrame:
@@ -308,7 +361,7 @@ def short_plans(spark: SparkSession, length: int = 10_000):
         spark.conf.set(setting, before)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: list[str] | None = None, at_spaces: bool = True) -> DataFrame:
     """The columns ``keep`` (default: all) of every row, its token ``ids`` and the bytes ``decoded`` from them."""
     spark = docs.sparkSession
     keep = list(docs.columns) if keep is None else keep
@@ -317,12 +370,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
     tokens, parts = read_ranks(ranks_path), int(spark.conf.get("spark.sql.shuffle.partitions"))
     # bucketed by batch, so that the cells of a batch stay where they are when its ids come
     table = f"bpe_cells_{uuid.uuid4().hex}"
-    split_batches(docs, "_text", pattern, names, parts).write.bucketBy(parts, "_origin").option("path", new_folder(spark, "cells")).option(
+    split_batches(docs, "_text", pattern, names, parts, at_spaces).write.bucketBy(parts, "_origin").option("path", new_folder(spark, "cells")).option(
         "compression", "zstd").format("parquet").saveAsTable(table)
     split = spark.table(table)
     lists = split.filter(F.col("_part").isNotNull()).select("_origin", *LISTS)
     with short_plans(spark):
-        known = materialise(encoded_pieces(distinct_pieces(lists), tokens), name="encoded-pieces")
+        known = materialise(encoded_pieces(distinct_pieces(lists, tokens), tokens), name="encoded-pieces")
     ids = ids_of_batches(lists, known)
     rows = split.select("_origin", *names, *CELLS, "_part", "_numbers")
     spelled = spark.sparkContext.broadcast(tokens)  # the vocabulary
@@ -335,18 +388,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
         sizes, values = (np.concatenate([none, *map(widened, words[c].to_pylist())]) for c in ("sizes", "ids"))
         order = np.argsort(numbers, kind="stable")
         values, sizes = take_lists(np.append(0, np.cumsum(sizes)), values, order)
-        starts = np.append(0, np.cumsum(sizes))
-        spell = spelled.value
-        ids, counts, decoded = [np.zeros(0, np.int32)], [], []
-        for cells in zip(*(texts[c].to_pylist() for c in CELLS), strict=True):
-            own, _ = take_lists(starts, values, joined_planes(*cells))
-            ids.append(own.astype(np.int32))
-            counts.append(len(own))
-            decoded.append(b"".join([spell[i] for i in own.tolist()]))
-        offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
+        cells, ranges = joined_planes([texts[c] for c in CELLS])
+        ids, lengths = take_lists(np.append(0, np.cumsum(sizes)), values.astype(np.int32), cells)
+        ends = np.append(0, np.cumsum(lengths))[ranges]
         return pa.Table.from_arrays(
-            [*(texts[c] for c in names), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))),
-             pa.array(decoded, pa.binary())], names=[*names, "ids", "decoded"])
+            [*(texts[c] for c in names), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), spelled_out(spelled.value, ids, ends)],
+            names=[*names, "ids", "decoded"])
 
     schema = StructType([*(StructField(n, docs.schema[n].dataType) for n in names), StructField("ids", ArrayType(IntegerType())),
                          StructField("decoded", BinaryType())])
@@ -354,6 +401,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
     return out.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "ids", "decoded")
 
 
+def spelled_out(tokens: list[bytes], ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of the tokens of each range of ``ids``, concatenated."""
+    taken = pa.array(tokens, pa.large_binary()).take(pa.array(ids))
+    body, starts = concatenated(taken, np.uint8)
+    return binaries(body, starts[ends])
+
+
 def decode(ids: Column, ranks_path: str) -> Column:
     """The bytes of token ids: their tokens, concatenated."""
     by_rank = literal([base64.b64encode(token).decode() for token in read_ranks(ranks_path)], "array<binary>")

@@ -8,12 +8,13 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
 import tiktoken
-from grapevine.llm import bpe, chat, decontaminate, language, quality, queries, signature_tree
+from grapevine.llm import bpe, chat, decontaminate, language, quality, queries, signature_tree, textarrays
 
 from .helpers import ODD_TEXTS, clashing, corpus, frame, prose
 from .test_text_operators import plain_components, plain_lines
@@ -229,6 +230,40 @@ def test_tokens_of_odd_texts(spark, encoding):
     assert bpe.encode(docs.limit(0), path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_long_pieces_by_fold_and_heap(encoding):
+    ranks = {encoding.decode_single_token_bytes(i): i for i in range(encoding.n_vocab)}
+    longest = max(map(len, ranks))
+    dice = random.Random(4)
+    for size in (1, 2, 9, 256, 257, 3000):
+        for letters in ("ab", "abcdefghijklmnopqrstuvwxyz", "é中a"):
+            piece = "".join(dice.choice(letters) for _ in range(size)).encode()
+            expected = [ranks[piece]] if piece in ranks else encoding._encode_single_piece(piece)
+            assert ([ranks[piece]] if piece in ranks else bpe.heap_merged(piece, ranks, longest)) == expected
+
+
+def test_a_piece_of_a_million_bytes(spark, encoding):
+    dice = random.Random(6)
+    piece = "".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    row = bpe.encode(frame(spark, [(1, f"so {piece}."), (2, "b" * 250)]), path, public_tokenizers.PATTERN).orderBy("doc_id").collect()
+    assert row[0].ids == encoding.encode_ordinary(f"so {piece}.") and row[1].ids == encoding.encode_ordinary("b" * 250)
+    assert bytes(row[0].decoded) == f"so {piece}.".encode()
+
+
+def test_stretches_are_cut_where_no_piece_reaches():
+    find = regex.compile(public_tokenizers.PATTERN).findall
+    dice = random.Random(9)
+    parts = ["\x1c", " ", " ", "a", "é", "'s", "'ll", "\n", "  ", "\t", "1", "中文", "😀", "!", "\u0085", "\x00", "\u2003", "\u3000", "\xa0", "à", "\u180e", "\u2028"]
+    texts = ["".join(dice.choice(parts) for _ in range(dice.randint(0, 30))) for _ in range(2000)]
+    data, offsets = textarrays.concatenated(pa.array(texts), np.uint8)
+    for at_spaces in (True, False):
+        numbers, ranges, pieces = bpe.numbered_pieces(data, offsets, find, at_spaces)
+        for text, a, b in zip(texts, ranges[:-1], ranges[1:], strict=True):
+            assert [pieces[i].decode() for i in numbers[a:b]] == find(text)
+    planes = bpe.planes(numbers, ranges, 1 << 25)
+    assert (bpe.joined_planes(planes)[0] == numbers).all() and (bpe.joined_planes(bpe.planes(numbers, ranges, len(pieces)))[0] == numbers).all()
+
+
 def test_tokens_of_documents(spark, encoding):
     got = {r.doc_id: r for r in queries.op10_bpe(spark, "/root/testdata/sf0.001").collect()}
     for row in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
