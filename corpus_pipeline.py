@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. The first four return the columns of
 ``documents``, with ``n_chars`` as the length of the text as it now is; the last returns token ids.
+
+Ids may be null or repeated: where a stage decides on single rows, a row is named by its file and its place there.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from grapevine.llm import bpe, decontaminate, line_runs, quality, signature_tree
 from grapevine.storage import materialise
@@ -21,6 +24,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _with_places(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two more columns, and their names, that tell each row apart: its file (by a 64-bit hash) and its place in it.
+
+    Files give the same places whatever executors read them. Rows that do not come from files are written first.
+    """
+    names = ["_file", "_place"]
+    while set(names) & set(docs.columns):
+        names = [f"_{name}" for name in names]
+    try:
+        where = docs.metadataColumn("_metadata")
+        return docs.select("*", F.xxhash64(where["file_path"]).alias(names[0]), where["row_index"].alias(names[1])), names
+    except AnalysisException:
+        return _with_places(materialise(docs, name="pipeline-rows"))
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under ``MIN_QUALITY`` go; the model learns from those of ``labels``."""
     model = quality.fit_rows(docs, _table(spark, sf_dir, "labels"), "doc_id", "text", "quality")
@@ -36,17 +54,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates stays. Rows without an id, and without words, stay."""
-    rows = signature_tree.near_duplicates(docs.select("doc_id", "text"))
-    gone = rows.filter(F.col("component") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates stays: that with the smallest id, one without an id only where none has one.
+
+    Rows without words stay. Of rows that repeat id and text one stays.
+    """
+    placed, place = _with_places(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *place).alias("row")
+    rows = signature_tree.near_duplicates(placed.select(key, "text"), "row")
+    gone = rows.filter(F.col("component") != F.col("row")).select("row.*").select(*place)
+    return placed.join(gone, place, "left_anti").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
-    found = decontaminate.leaks(docs.select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
-    gone = materialise(found.select("doc_id").distinct(), name="leaks")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that leak a benchmark item go, with an id or without."""
+    placed, place = _with_places(docs)
+    found = decontaminate.leaks(placed.select(F.struct(*place).alias("row"), "text"), _table(spark, sf_dir, "benchmark"), "row")
+    gone = materialise(found.select("row.*").distinct(), name="leaks")
+    return placed.join(gone, place, "left_anti").select(*docs.columns)
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
