@@ -16,7 +16,7 @@ import public_tokenizers
 import tiktoken
 from grapevine.llm import bpe, chat, decontaminate, language, quality, queries, signature_tree, textarrays
 
-from .helpers import ODD_TEXTS, clashing, corpus, frame, prose
+from .helpers import ODD_TEXTS, clashing, corpus, edited, frame, prose
 from .test_text_operators import plain_components, plain_lines
 
 TABLES = "/root/testdata/sf0.01"
@@ -328,3 +328,34 @@ def test_stages_of_empty_and_repeated_documents(spark, tmp_path):
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == left
     assert signature_tree.PERCENT == 75 and signature_tree.SHINGLE == 5
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _file string, row string"
+
+
+def as_documents(spark, rows):
+    return frame(spark, [(i, t, "en", "s", len(t), "f", "r") for i, t in rows], SCHEMA)
+
+
+def test_near_duplicates_of_rows_whose_ids_repeat_or_miss(spark, tmp_path):
+    a, b, c, d = (prose(60 + i, 80) for i in range(4))
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (None, d), (None, d), (9, d), (None, ""), (None, ""), (None, edited(a, 1, 1)), (8, "few words")]
+    docs = as_documents(spark, rows)
+    docs.write.parquet(f"{tmp_path}/written.parquet")
+    for own in (docs, spark.read.parquet(f"{tmp_path}/written.parquet")):
+        got = corpus_pipeline.ngram_jaccard_join(spark, own, str(tmp_path))
+        assert got.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(
+            [(3, a), (5, b), (7, c), (9, d), (None, ""), (None, ""), (8, "few words")], key=repr)
+    alone = as_documents(spark, [(None, d), (None, d)])
+    assert [r.doc_id for r in corpus_pipeline.ngram_jaccard_join(spark, alone, "").collect()] == [None]
+
+
+def test_leaks_of_rows_whose_ids_repeat_or_miss(spark, tmp_path):
+    item = prose(901, 40)
+    frame(spark, [(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = [(i, prose(100 + i, 120)) for i in range(30)]
+    leaky = [(None, f"{prose(1, 30)} {item}"), (4, f"{item} {prose(2, 30)}"), (None, item)]
+    rows = clean + leaky + [(None, clean[0][1]), (4, clean[4][1])]
+    got = corpus_pipeline.benchmark_decontamination(spark, as_documents(spark, rows), str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([r for r in rows if r not in leaky], key=repr)
