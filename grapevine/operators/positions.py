@@ -116,6 +116,32 @@ def first_n(
     )
 
 
+def cut_points(df: DataFrame, within: Sequence[str], order: Column, n: Column, shift: int = HASH_SHIFT) -> DataFrame:
+    """(at, cut, room, ties): where the first ``n`` rows of each group end in ``order``; groups of fewer than ``n`` rows have no row.
+
+    ``at`` is a struct of the group columns (null equals null inside), ``cut`` the order value of the n-th row, ``ties`` how many rows have
+    it and ``room`` how many of these are among the first ``n``. ``n`` is one whole number per group. Only group, order and n move:
+    the rows of each hash block are counted, and those of the block that holds the n-th row are counted by value. Blocks are counted with
+    map-side combine, so neither a group of any size nor one value that most of its rows have comes into one task.
+    """
+    group = F.struct(*within) if within else F.struct(F.lit(0).alias("all"))
+    rows = df.select(group.alias("at"), n.cast("bigint").alias("_n"), order.cast("bigint").alias("_order"))
+    rows = rows.withColumn("_block", F.shiftright("_order", shift))
+
+    def holding(counts: DataFrame, value: str, before: Column) -> DataFrame:
+        """The value whose rows, after ``before`` and those of smaller values, include the n-th."""
+        upto = Window.partitionBy("at").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        counted = counts.withColumn("_upto", before + F.sum("_total").over(upto)).withColumn("_before", F.col("_upto") - F.col("_total"))
+        return counted.where((F.col("_upto") >= F.col("_n")) & (F.col("_before") < F.col("_n")))
+
+    blocks = rows.groupBy("at", "_block").agg(F.count("*").alias("_total"), F.max("_n").alias("_n"))
+    block = holding(blocks, "_block", F.lit(0)).select("at", "_block", F.col("_before").alias("_earlier"))
+    inside = rows.join(block, ["at", "_block"])
+    values = inside.groupBy("at", "_order", "_earlier").agg(F.count("*").alias("_total"), F.max("_n").alias("_n"))
+    last = holding(values, "_order", F.col("_earlier"))
+    return last.select("at", F.col("_order").alias("cut"), (F.col("_n") - F.col("_before")).alias("room"), F.col("_total").alias("ties"))
+
+
 def nth_value(
     df: DataFrame, within: Sequence[str], order: Column, n: str, shift: int = HASH_SHIFT
 ) -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .positions import HASH_SHIFT, ORDINAL_SHIFT, first_n, seeded_hash, with_position, with_total_before
+from ..storage import materialise
+from .positions import HASH_SHIFT, ORDINAL_SHIFT, cut_points, first_n, seeded_hash, with_position, with_total_before
 
 
 def dev_test_split(
@@ -24,14 +25,33 @@ def dev_test_split(
 
 
 def _take(rows: DataFrame, strata: Sequence[str], id_column: str, quota: int | Column | None, seed: int) -> DataFrame:
-    """The first ``quota`` rows per stratum in a seeded random order, all for None; ids must be unique in a stratum.
+    """The first ``quota`` rows per stratum in a seeded random order of their ids, all for None; a null quota takes none.
 
-    Rows are read off their positions, which never bring a stratum into one task, however large it or the quota is.
+    The order value of each stratum's last row is found from counts (``cut_points``) and written, one row per stratum; the table is
+    then filtered by it where it lies. Only strata, ids and quotas are read for the first pass, and no other column is shuffled.
+    Where rows share the last order value, which ids that repeat do, these rows are ranked by id.
     """
     if quota is None:
         return rows
-    placed = with_position(rows, seeded_hash(F.col(id_column), seed), strata, "_position", HASH_SHIFT, [F.col(id_column)])
-    return placed.where(F.col("_position") < quota).drop("_position")
+    names = ["_quota", "_order", "_at", "at", "cut", "room", "ties"]
+    if set(names) & set(rows.columns):
+        raise ValueError(f"columns {sorted(set(names) & set(rows.columns))} are used here")
+    wanted = (quota if isinstance(quota, Column) else F.lit(quota)).cast("bigint")
+    order = seeded_hash(F.col(id_column), seed)
+    cuts = materialise(cut_points(rows, strata, order, wanted), name="cuts")
+    asked = rows.withColumns({"_quota": wanted, "_order": order}).where(F.col("_quota") > 0)
+    if strata:
+        marked = asked.withColumn("_at", F.struct(*strata)).join(cuts, F.col("_at") == F.col("at"), "left")
+    else:  # at most one cut: a literal
+        row = cuts.first()
+        values = {c: F.lit(row[c] if row else None).cast("bigint") for c in ("cut", "room", "ties")}
+        marked = asked.withColumns(values)
+    whole = F.col("cut").isNull() | (F.col("_order") < F.col("cut")) | ((F.col("_order") == F.col("cut")) & (F.col("room") >= F.col("ties")))
+    taken = marked.where(whole)
+    if not cuts.where("room < ties").isEmpty():
+        some = marked.where((F.col("_order") == F.col("cut")) & (F.col("room") < F.col("ties")))
+        taken = taken.unionByName(first_n(some, strata, [F.col(id_column)], F.col("room")))
+    return taken.select(*[F.col(f"`{c}`") for c in rows.columns])
 
 
 def stratified_sample(

@@ -1,3 +1,4 @@
+import hashlib
 from decimal import Decimal
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from grapevine.operators import positions as p
 from grapevine.operators import sampling as s
+from grapevine.storage import new_folder
 
 
 def test_positions_over_sparse_and_negative_ordinals(spark):
@@ -95,3 +97,48 @@ def test_budget_gate_checks_before_the_call(spark):
     assert [r.admission for r in at_cap] == ["admit", "admit", "deferred", "deferred", "deferred"]
     spent = s.budget_gate(rows, "o", "c", cap_usd=1.0, spent=1.0)
     assert spent.where("admission = 'admit'").count() == 0
+
+
+def ranked(rows, strata, seed, quota):
+    """Plainly: the first ids of each stratum in the order of their hashes."""
+    found = {}
+    for row in rows:
+        found.setdefault(tuple(row[c] for c in strata), []).append(row.id)
+    order = lambda i: (int(hashlib.md5(f"{i}|{seed}".encode()).hexdigest()[:15], 16), i)
+    return {key: sorted(ids, key=order)[:quota(key)] for key, ids in found.items()}
+
+
+def test_samples_by_cut_off_have_the_ranked_members(spark):
+    rows = spark.range(5000).select(
+        "id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 100 == 1, None).otherwise(F.concat(F.lit("g"), F.col("id") % 40)).alias("g"),
+        (F.col("id") % 2).alias("h"), F.repeat(F.lit("x"), 50).alias("body"))
+    everything = rows.collect()
+    for n in (0, 1, 7, 300, 10_000):
+        got = {}
+        for row in s.stratified_sample(rows, ["g", "h"], "id", n, seed=3).collect():
+            got.setdefault((row.g, row.h), []).append(row.id)
+        expected = {k: v for k, v in ranked(everything, ["g", "h"], 3, lambda _, n=n: n).items() if v}
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in expected.items()}
+    quota = F.when(F.col("g") == "hot", 9).when(F.col("h") == 1, 2)
+    got = s.sample_per_group(rows, ["g"], "id", F.when(F.col("g") == "hot", 9).when(F.col("g") == "g1", 2), seed=1).collect()
+    assert sorted(r.g for r in got) == ["g1"] * 2 + ["hot"] * 9
+    assert s.sample_per_group(rows.where("h = 1"), ["g", "h"], "id", quota, seed=1).where("g = 'g1'").count() == 2
+    assert sorted(r.id for r in s.sample_n(rows, "id", 100, seed=5).collect()) == sorted(ranked(everything, [], 5, lambda _: 100)[()])
+    assert s.sample_n(rows, "id", 6000).count() == 5000 and s.sample_n(rows.limit(0), "id", 5).count() == 0
+
+
+def test_samples_of_repeated_ids_keep_their_size(spark):
+    rows = spark.range(900).select((F.col("id") % 3).alias("id"), F.lit("a").alias("g"))
+    assert s.sample_n(rows, "id", 350).count() == 350
+    assert s.stratified_sample(rows, ["g"], "id", 301).count() == 301
+
+
+def test_samples_move_keys_only(spark):
+    rows = spark.range(2000).select("id", (F.col("id") % 4).alias("g"), F.repeat(F.lit("x"), 99).alias("body"))
+    path = new_folder(spark, "sample-rows")
+    rows.write.parquet(path)
+    for sample in (s.stratified_sample(spark.read.parquet(path), ["g"], "id", 12), s.sample_n(spark.read.parquet(path), "id", 12)):
+        text = sample._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in text and "Window" not in text
+    cuts = p.cut_points(spark.read.parquet(path), ["g"], p.seeded_hash(F.col("id"), 1), F.lit(12))
+    assert "body" not in cuts._jdf.queryExecution().executedPlan().toString()
