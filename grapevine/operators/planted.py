@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed import WINDOW
@@ -57,24 +57,61 @@ def plant_spikes(
     return rows
 
 
+HASH_DIGITS, BLOCK_DIGITS = 15, 2  # hexadecimal digits of an order value, and of them those that one counting pass reads
+BLOCK_ROWS = 1 << 20
+
+
+def _seeded(rows: DataFrame, first_seed: int, runs: int) -> DataFrame:
+    """Each row once per seed with its order value: the digits that ``seeded_hash`` reads as a number, whose order text keeps."""
+    seeds = F.explode(F.sequence(F.lit(first_seed), F.lit(first_seed + runs - 1)))
+    digest = F.md5(F.concat(F.col("_id"), F.lit("|"), F.col("seed").cast("string")))
+    return rows.withColumn("seed", seeds).withColumn("_order", F.substring(digest, 1, HASH_DIGITS)).drop("_id")
+
+
 def planted_counts(rows: DataFrame, group: str, id_column: str, spikes: Sequence[Spike], n_weeks: int, runs: int, first_seed: int = 0) -> DataFrame:
     """(seed, group, week, count) after planting, once per seed; at most one spike per group.
 
-    Each seed orders a group's rows by its own hash and moves those below a cut-off, as ``plant_spikes`` does. Only the id, group and
-    week of rows in groups with a spike are multiplied by the seeds, and only counts leave that table.
+    Each seed orders a group's rows by its own hash and moves those up to a cut-off, as ``plant_spikes`` does. Rows meet the seeds inside the
+    tasks that read them, and what leaves a task are counts: first of the blocks of hash values, 256 per seed, group and pass, which
+    give the block that holds the cut-off; then per week of what lies below that block, and by value inside it. Passes follow
+    the seeds and the rows of the largest group, so that the values written are no more than the rows, however many the seeds are.
     """
     if len({s[0] for s in spikes}) < len(spikes):
         raise ValueError("a backtest plants one spike per group")
-    narrow = rows.select(F.col(id_column).cast("string").alias("_id"), group, F.col("week").cast("int").alias("week"))
-    need = F.broadcast(_needs(narrow, group, spikes, F.lit(n_weeks)).where(F.col("_need") > 0))
+    week = F.col("week").cast("int").alias("week")
+    narrow = rows.select(F.col(id_column).cast("string").alias("_id"), group, week)
+    need = materialise(_needs(narrow, group, spikes, F.lit(n_weeks)).where(F.col("_need") > 0), name="needs")  # at most a row per spike
+    movable = narrow.join(F.broadcast(need.select(group, "_target")), group).where(F.col("week") != F.col("_target"))
+    largest = narrow.join(F.broadcast(need.select(group)), group, "left_semi").groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    size, passes = 16**BLOCK_DIGITS, 1
+    while size**passes < max(runs, largest / BLOCK_ROWS):
+        passes += 1
+    seeded = _seeded(movable, first_seed, runs)
     seeds = F.explode(F.sequence(F.lit(first_seed), F.lit(first_seed + runs - 1)))
-    movable = narrow.join(need, group).where(F.col("week") != F.col("_target")).withColumn("seed", seeds)
-    ordered = materialise(movable.select("seed", group, "week", "_target", "_need", seeded_hash(F.col("_id"), F.col("seed")).alias("_order")), name="movable")
-    cuts = nth_value(ordered, ["seed", group], F.col("_order"), "_need")
-    moved = ordered.join(cuts, ["seed", group]).where(F.col("_order") <= F.col("cut"))
-    gone = moved.groupBy("seed", group, "week").agg((-F.count("*")).alias("count"))
-    come = moved.groupBy("seed", group, F.col("_target").alias("week")).agg(F.count("*").alias("count"))
-    base = rows.groupBy(group, F.col("week").cast("int").alias("week")).agg(F.count("*").alias("count")).withColumn("seed", seeds)
+    # (seed, group): the digits known of the cut-off, and how many rows are still to be taken from behind them
+    cuts = need.select(seeds.alias("seed"), group, F.lit("").alias("_known"), F.col("_need").alias("_left"))
+    running = Window.partitionBy("seed", group).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    for done in range(passes):
+        at = done * BLOCK_DIGITS
+        inside = seeded.join(F.broadcast(cuts), ["seed", group]).where(F.substring("_order", 1, at) == F.col("_known")) if done else seeded
+        blocks = inside.groupBy("seed", group, F.substring("_order", at + 1, BLOCK_DIGITS).alias("_block")).agg(F.count("*").alias("_total"))
+        holding = blocks.withColumn("_upto", F.sum("_total").over(running)).join(F.broadcast(cuts), ["seed", group]).where(
+            (F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_total") < F.col("_left")))
+        cuts = materialise(holding.select(
+            "seed", group, F.concat("_known", "_block").alias("_known"), (F.col("_left") - F.col("_upto") + F.col("_total")).alias("_left")), name="cuts")
+    start = F.substring("_order", 1, passes * BLOCK_DIGITS)
+    near = seeded.join(F.broadcast(cuts), ["seed", group]).where(start <= F.col("_known"))  # a row per seed and spike
+    value = F.when(start == F.col("_known"), F.col("_order"))
+    counted = materialise(
+        near.groupBy("seed", group, "week", "_target", "_left", value.alias("_value")).agg(F.count("*").alias("count")), name="near-cuts")
+    ranked = counted.where("_value IS NOT NULL").withColumn("_number", F.dense_rank().over(Window.partitionBy("seed", group).orderBy("_value")))
+    before = Window.partitionBy("seed", group).orderBy("_number").rangeBetween(Window.unboundedPreceding, -1)
+    ranked = ranked.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).where(F.col("_before") < F.col("_left"))
+    columns = ["seed", group, "week", "_target", "count"]
+    moved = counted.where("_value IS NULL").select(*columns).unionByName(ranked.select(*columns))
+    gone = moved.select("seed", group, "week", (-F.col("count")).alias("count"))
+    come = moved.select("seed", group, F.col("_target").alias("week"), "count")
+    base = rows.groupBy(group, week).agg(F.count("*").alias("count")).withColumn("seed", seeds)
     parts = base.select("seed", group, "week", "count").unionByName(gone).unionByName(come)
     return parts.groupBy("seed", group, "week").agg(F.sum("count").alias("count"))
 

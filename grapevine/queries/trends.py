@@ -337,7 +337,39 @@ def plant_spikes_totals(spark, folder):
     )
 
 
-@query()
+# all timelines, one per seed: rows move in the order of their seeded digests; seed -1 has no plant
+BACKTEST = f"""WITH {ORDER_REVIEWS},
+ev AS (SELECT review_id AS id, issue_category AS g, review_date AS d FROM order_reviews WHERE sentiment = 'negative'), hz AS ({OWN_HORIZON}),
+rw AS (SELECT id, g, (date_diff('day', t0, d) // 7)::INTEGER AS w FROM ev, hz),
+sp AS (SELECT g, (nw - 1 - back)::INTEGER AS target, factor FROM (VALUES ('F', 40, 5.0::DOUBLE), ('O', 25, 4.0), ('P', 10, 3.0)) v(g, back, factor), hz),
+sz AS (SELECT g, target, factor, count(*) AS n, count(*) FILTER (WHERE w = target) AS already FROM rw JOIN sp USING (g) GROUP BY ALL),
+nd AS (SELECT g, target, least(greatest(round_even(factor * n / nw, 0)::BIGINT - already, 0), n - already) AS need FROM sz, hz),
+sd AS (SELECT unnest(range(0, 200))::INTEGER AS seed),
+mv AS (SELECT seed, g, w, target FROM rw JOIN nd USING (g), sd WHERE w <> target
+  QUALIFY row_number() OVER (PARTITION BY seed, g ORDER BY substr(md5(id || '|' || seed), 1, 15)) <= need),
+ct AS (SELECT seed, g, w, sum(c)::BIGINT AS c FROM (
+  SELECT seed, g, w, count(*) AS c FROM rw, sd GROUP BY ALL UNION ALL SELECT seed, g, w, -count(*) FROM mv GROUP BY ALL
+  UNION ALL SELECT seed, g, target, count(*) FROM mv GROUP BY ALL) GROUP BY ALL
+  UNION ALL SELECT -1, g, w, count(*) FROM rw GROUP BY ALL),
+gr AS (SELECT seed, g, w FROM (SELECT DISTINCT seed, g FROM ct), (SELECT unnest(range(0, nw))::INTEGER AS w FROM hz)),
+dn AS (SELECT seed, g, w, coalesce(c, 0) AS c FROM gr LEFT JOIN ct USING (seed, g, w)),
+sc AS (SELECT seed, g, w, c, avg(c) OVER b AS mu, stddev_samp(c) OVER b AS sd, avg(c) FILTER (WHERE w < 4) OVER (PARTITION BY seed, g) AS m0,
+    sum(0.3::DOUBLE * c * 0.7::DOUBLE ** (-w - 1)) OVER o AS grown
+  FROM dn WINDOW b AS (PARTITION BY seed, g ORDER BY w ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), o AS (PARTITION BY seed, g ORDER BY w)),
+zz AS (SELECT *, greatest(sd, sqrt(greatest(mu, 1.0::DOUBLE))) AS spread, 0.7::DOUBLE ** (w + 1) * (m0 + grown) AS ew FROM sc WHERE w >= 4),
+fl AS (SELECT seed, zz.g, w, (c - mu) / spread AS z, ((c - mu) / spread >= 3.5 AND c >= 8) AS fz,
+    (ew > mu + 3.0::DOUBLE * spread * sqrt(0.3::DOUBLE / 1.7::DOUBLE) AND c >= 8) AS fe, sp.g IS NOT NULL AS planted
+  FROM zz LEFT JOIN sp ON sp.g = zz.g AND sp.target = zz.w),
+top AS (SELECT seed, count(*) FILTER (WHERE planted) AS hits FROM (
+  SELECT seed, planted FROM fl QUALIFY row_number() OVER (PARTITION BY seed ORDER BY round_even(z, 2) DESC, g, w) <= 3) GROUP BY seed),
+per AS (SELECT seed, 'flag_z' AS rule, count(*) FILTER (WHERE fz AND planted) AS tp, count(*) FILTER (WHERE fz AND NOT planted) AS fp FROM fl GROUP BY seed
+  UNION ALL SELECT seed, 'flag_ewma', count(*) FILTER (WHERE fe AND planted), count(*) FILTER (WHERE fe AND NOT planted) FROM fl GROUP BY seed)
+SELECT rule, round(avg(tp / nullif(tp + fp, 0)), 9) AS "precision", round(avg(tp / 3), 9) AS recall, round(avg(hits / 3), 9) AS precision_at_k,
+  round(avg(fp), 9) AS false_alarms FROM per JOIN top USING (seed) WHERE seed >= 0 GROUP BY rule
+UNION ALL SELECT 'quiet', NULL, NULL, NULL, count(*) FILTER (WHERE fz)::DOUBLE FROM fl WHERE seed = -1"""
+
+
+@query(BACKTEST)
 def detector_backtest(spark, folder):
     """Precision, recall and false alarms of both rules over 200 seeded plants in the reviews."""
     rows = _negative(spark, folder)
@@ -345,7 +377,8 @@ def detector_backtest(spark, folder):
     dated = rows.withColumn("week", week_index(F.col("review_date"), edges["a"]))
     last = rows.select(week_index(edges["b"], edges["a"])).first()[0]
     spikes = [("F", last - 40, 5.0), ("O", last - 25, 4.0), ("P", last - 10, 3.0)]
-    return backtest(dated, "issue_category", "review_id", spikes, last + 1, runs=200)
+    found = backtest(dated, "issue_category", "review_id", spikes, last + 1, runs=200)
+    return found.select("rule", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "precision_at_k", "false_alarms")])
 
 
 @query(

@@ -62,13 +62,27 @@ def test_registered_backtest_has_all_timelines(spark, monkeypatch):
 
     def seen(rows, group, id_column, spikes, n_weeks, runs):
         seeds.append(runs)
-        return p.planted_counts(rows, group, id_column, spikes, n_weeks, runs).select("seed").distinct()
+        counts = p.planted_counts(rows, group, id_column, spikes, n_weeks, runs)
+        none = [F.lit(None).cast("double").alias(c) for c in ("precision", "recall", "precision_at_k", "false_alarms")]
+        return counts.select(F.col("seed").alias("rule"), *none).distinct()
 
     monkeypatch.setattr(trends, "backtest", seen)
     got = trends.detector_backtest(spark, "/root/testdata/sf0.001")
     assert seeds == [200] and got.count() == 200
 
 
+def test_planted_counts_read_ever_smaller_blocks(spark, monkeypatch):
+    once = {tuple(r) for r in p.planted_counts(reviews(spark), "topic", "rid", SPIKES, 12, runs=4).collect()}
+    monkeypatch.setattr(p, "BLOCK_ROWS", 1 / 100)  # as if groups were larger: three passes
+    assert {tuple(r) for r in p.planted_counts(reviews(spark), "topic", "rid", SPIKES, 12, runs=4).collect()} == once
+
+
+def test_rows_that_repeat_an_id_move_together(spark):
+    rows = reviews(spark).withColumn("rid", F.lit(1))
+    got = {(r.topic, r.week): r["count"] for r in p.planted_counts(rows, "topic", "rid", SPIKES[:1], 12, runs=1).collect()}
+    assert got["g0", 7] == 240 and got["g1", 7] == 20
+
+
 def test_scores_without_any_flag(spark):
     flags = spark.createDataFrame([("a", 5, 1.0, False)], "`group` string, week int, z double, flag_z boolean")
     row = a.detector_scores(flags, [("a", 5), ("b", 6)], "flag_z").first()
