@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -36,7 +37,10 @@ RESPONSE = (
 
 @dataclass(frozen=True)
 class Caller:
-    """How a model is called: the function, its name, retries, and the spend limits of a run."""
+    """How a model is called: the function, its name, retries, calls in flight per task, and the spend limits of a run.
+
+    With more than one call in flight ``call_fn`` is run by several threads of a task at once.
+    """
 
     call_fn: CallFn
     model: str
@@ -47,40 +51,45 @@ class Caller:
     cap_usd: float | None = None
     spent_usd: float = 0.0
     est_call_usd: float = 0.0
+    in_flight: int = 4
 
 
 def request_column(caller: Caller) -> Callable[[Column], Column]:
-    """The call as a column function over request texts. A failing call yields an error text, not a failed job."""
-    call_fn, tries, wait_s = caller.call_fn, caller.tries, caller.wait_s
+    """The call as a column function over request texts. A failing call yields an error text, not a failed job.
+
+    A task keeps ``in_flight`` calls going at a time, since a call waits for its answer far longer than it computes; responses come in the
+    order of the requests. Retries wait in their own place, so one slow request does not hold up the others.
+    """
+    call_fn, tries, wait_s, in_flight = caller.call_fn, caller.tries, caller.wait_s, caller.in_flight
+
+    def answered(payload: str) -> tuple:
+        started, answer, error = time.time(), None, None
+        for attempt in range(tries):
+            try:
+                answer, error = call_fn(payload), None
+                break
+            except Exception as problem:  # noqa: BLE001 - whatever a client raises is recorded
+                error = (str(problem) or type(problem).__name__)[:200]
+                if attempt + 1 < tries:
+                    time.sleep(wait_s)
+        answer = answer or {}
+        return (
+            answer.get("content"),
+            answer.get("tokens_in"),
+            answer.get("tokens_out"),
+            round(time.time() - started, 2),
+            time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime(started)),
+            error,
+        )
 
     @F.pandas_udf(RESPONSE)
     def call(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for payloads in batches:
-            out = []
-            for payload in payloads:
-                started, answer, error = time.time(), None, None
-                for attempt in range(tries):
-                    try:
-                        answer, error = call_fn(payload), None
-                        break
-                    except Exception as problem:  # noqa: BLE001 - whatever a client raises is recorded
-                        error = (str(problem) or type(problem).__name__)[:200]
-                        if attempt + 1 < tries:
-                            time.sleep(wait_s)
-                answer = answer or {}
-                out.append(
-                    (
-                        answer.get("content"),
-                        answer.get("tokens_in"),
-                        answer.get("tokens_out"),
-                        round(time.time() - started, 2),
-                        time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime(started)),
-                        error,
-                    )
-                )
-            names = ["content", "tokens_in", "tokens_out", "latency_s", "ts", "call_error"]
-            frame = pd.DataFrame(out, columns=names)
-            yield frame.astype({"tokens_in": "Int64", "tokens_out": "Int64"})
+        with ThreadPoolExecutor(in_flight, thread_name_prefix="call") as pool:
+            for payloads in batches:
+                out = list(pool.map(answered, payloads))
+                names = ["content", "tokens_in", "tokens_out", "latency_s", "ts", "call_error"]
+                frame = pd.DataFrame(out, columns=names)
+                yield frame.astype({"tokens_in": "Int64", "tokens_out": "Int64"})
 
     return call.asNondeterministic()
 
@@ -131,7 +140,7 @@ def infer_batches(
     """Call the model once per request and store every response with the rows it was asked for.
 
     ``payload`` builds the request text from the array of rows. ``partitions`` spreads the requests; how
-    many run at once is the cluster's slots, and a lost executor repeats only its own small partition. With a
+    many run at once is the cluster's slots times ``Caller.in_flight``, and a lost executor repeats only its own small partition. With a
     spend cap, requests beyond the budget are stored as ``deferred`` and never sent.
     """
     requests = pack(rows, id_column, size).withColumn("payload", payload(F.col("rows")))

@@ -10,6 +10,7 @@ from ..operators import spend
 from ..operators.joins import label_lookup
 from ..plans.replies import read_or_empty
 from ..sources import readers, writers
+from ..sources.cache import KeyedCache
 from ..storage import new_folder
 from .clusters import hashed_words
 from .measures import TRUTH, _truth
@@ -64,6 +65,33 @@ def read_cache_latest(spark, folder):
     return readers.read_cache_latest(spark, path, schemas.PREDICTION_CACHE)
 
 
+def _cache_of_runs(spark, folder) -> KeyedCache:
+    """Six appended runs, merged by three: run r holds the keys whose review number is r or more modulo 6."""
+    fields = "key string, id string, sentiment string, topic string, confidence double, stars double"
+    cache = KeyedCache(spark, new_folder(spark, "keyed-cache"), fields, buckets=4, fan=3)
+    rows = predictions(spark, folder)
+    for run in range(6):
+        cache.append(rows.where(F.substring("id", 4, 20).cast("long") % 6 >= run).withColumn("sentiment", F.lit(f"run {run}")))
+    return cache
+
+
+@query(
+    f"""WITH {REVIEWS}, {PREDICTIONS} SELECT key, id, 'run ' || (substr(id, 4)::BIGINT % 6) AS sentiment, topic, confidence, stars FROM predictions"""
+)
+def keyed_cache_latest(spark, folder):
+    """The last answer of every key over merged runs."""
+    return _cache_of_runs(spark, folder).latest()
+
+
+@query(
+    f"""WITH {REVIEWS}, {PREDICTIONS} SELECT review_id FROM reviews WHERE 'p1|m1|' || review_id NOT IN (SELECT key FROM predictions)"""
+)
+def keyed_cache_pending(spark, folder):
+    """Reviews without an answer in the cache."""
+    rows = reviews(spark, folder).withColumn("_key", F.concat(F.lit("p1|m1|"), F.col("review_id")))
+    return _cache_of_runs(spark, folder).pending(rows, "_key").select("review_id")
+
+
 @query(f"WITH {PREDICTIONS} SELECT seq::BIGINT AS seq, count(*) AS n FROM predictions, (SELECT unnest([1, 2]) AS seq) GROUP BY ALL")
 def append_cache(spark, folder):
     path = new_folder(spark, "cache")

@@ -33,6 +33,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
+def folders(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in whatever file system it names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return [status.getPath().toString() for status in found or []]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder with all it holds; one that is not there is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialise(df: DataFrame, path: str | None = None, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet and read it back.
 

@@ -157,3 +157,27 @@ def test_costly_runs_need_a_confirmation(spark):
     rows = spark.range(3000).select(F.col("id").cast("string").alias("review_id"), F.lit("x").alias("review_text"), F.lit("negative").alias("label"))
     with pytest.raises(evaluation.ConfirmationNeeded):
         evaluation.sentiment_eval(rows, rules.caller(rules.classify), new_folder(spark, "cache"), "p", seq=1)
+
+
+def meets_three_others(payload):
+    """Passes only while four calls are in flight, and counts how many there are."""
+    import sys
+    import threading
+
+    place = vars(sys).setdefault("_calls", {"gate": threading.Barrier(4), "lock": threading.Lock(), "now": 0, "most": 0})
+    with place["lock"]:
+        place["now"] += 1
+        place["most"] = max(place["most"], place["now"])
+    place["gate"].wait(timeout=20)
+    with place["lock"]:
+        place["now"] -= 1
+    return {"content": [{"type": "text", "text": f"{payload}:{place['most']}"}], "tokens_in": 1, "tokens_out": 1}
+
+
+def test_four_calls_are_in_flight_and_answers_keep_their_rows(spark):
+    rows = spark.createDataFrame([(str(i), f"text {i}") for i in range(40)], "id string, text string").coalesce(1)
+    caller = infer.Caller(meets_three_others, "m", tries=1)
+    responses = rows.withColumn("response", infer.request_column(caller)(F.col("text"))).collect()
+    assert len(responses) == 40 and all(r.response.call_error is None for r in responses)
+    found = [r.response.content[0].text.split(":") for r in responses]
+    assert [text for text, _ in found] == [r.text for r in responses] and {int(most) for _, most in found} == {4}

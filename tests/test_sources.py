@@ -1,10 +1,12 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from grapevine.plans import ingest
 from grapevine.sources import readers, writers
+from grapevine.sources.cache import KeyedCache
 from grapevine.storage import materialise, new_folder, shared_folder
 
 
@@ -92,3 +94,33 @@ def test_output_is_appended(spark):
     writers.append_output(rows, path)
     back = spark.read.parquet(path)
     assert back.count() == 2 and back.columns == OUTPUT_COLUMNS
+
+
+def test_keyed_cache_over_many_runs(spark):
+    cache = KeyedCache(spark, new_folder(spark, "keyed"), "key string, answer int", buckets=4, fan=4)
+    expected = {}
+    for run in range(20):
+        rows = [(f"k{(run * 7 + i * i) % 40}", run * 100 + i) for i in range(3)] + [(None, -1)]
+        rows = list({k: (k, v) for k, v in rows}.values())
+        expected |= {k: v for k, v in rows if k is not None}
+        cache.append(spark.createDataFrame(rows, "key string, answer int").coalesce(1))
+    assert {r.key: r.answer for r in cache.latest().collect()} == expected
+    runs = cache.runs()
+    assert [(r.level, r.first, r.last) for r in runs] == [(2, 0, 15), (1, 16, 19)]  # of 20 appends
+    asked = spark.createDataFrame([("k1",), ("none",), (None,)], "asked string")
+    one = cache.latest(asked.where("asked = 'k1'"), "asked")
+    assert {r.key: r.answer for r in one.collect()} == {"k1": expected["k1"]}
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", one._jdf.queryExecution().executedPlan().toString())
+    assert sorted(str(r.asked) for r in cache.pending(asked, "asked").collect()) == ["None", "none"]
+
+
+def test_keyed_cache_after_a_merge_that_did_not_end(spark, monkeypatch):
+    from grapevine.sources import cache as module
+
+    cache = KeyedCache(spark, new_folder(spark, "keyed"), "key string, answer int", buckets=2, fan=2)
+    monkeypatch.setattr(module, "delete", lambda *_: None)  # dies before it removes what it merged
+    for run in range(3):
+        cache.append(spark.createDataFrame([("a", run), (f"b{run}", run)], "key string, answer int"))
+    assert {r.key: r.answer for r in cache.latest().collect()} == {"a": 2, "b0": 0, "b1": 1, "b2": 2}
+    assert [(r.level, r.first, r.last) for r in cache.runs()] == [(1, 0, 1), (0, 2, 2)]
+    assert KeyedCache(spark, new_folder(spark, "keyed"), "key string, answer int").latest().count() == 0
