@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixed import EXAMPLE_CHARS, NO_CATEGORY
@@ -21,6 +20,7 @@ from ..storage import cut_lineage, spread
 from .positions import HASH_SHIFT, first_n, seeded_hash, with_position
 
 Encoder = Callable[[list[str]], np.ndarray]
+CORESET_ROWS = 20_000  # rows that stand for all in the runs of a k-means search
 
 
 def l2_normalised(vector: Column) -> Column:
@@ -47,6 +47,125 @@ def embed_text(
     return spread(rows).withColumn("_raw", encode(F.col(text))).withColumn(name, l2_normalised(F.col("_raw"))).drop("_raw")
 
 
+def coreset(rows: DataFrame, id_column: str, embedding: str, size: int, seed: int = 0) -> DataFrame:
+    """(vector, weight): about ``size`` rows that stand for all in k-means costs; all of them, with weight 1, for up to half as many.
+
+    A row is taken with a probability that is half its share of the rows and half its share of the squared distances from the mean, and
+    weighs the inverse (a lightweight coreset). One pass gives the mean and the distances, a second takes the rows, by a hash of their id.
+    """
+    points = rows.where(F.col(embedding).isNotNull()).select(F.col(id_column).alias("_id"), F.col(embedding).cast("array<double>").alias("vector"))
+    if points.isEmpty():
+        return points.select("vector", F.lit(1.0).alias("weight"))
+    found = points.select(Summarizer.metrics("count", "mean", "variance").summary(array_to_vector("vector")).alias("s")).select("s.*").first()
+    n = found["count"]
+    total = float(sum(found["variance"])) * (n - 1)
+    squared = F.aggregate(F.zip_with("vector", F.lit([float(x) for x in found["mean"]]), lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda t, x: t + x)
+    share = F.lit(0.5 / n) + (0.5 * squared / total if total > 0 else F.lit(0.5 / n))
+    chance = F.least(F.lit(1.0), size * share)
+    draw = seeded_hash(F.col("_id"), seed) / float(1 << 60)
+    return points.withColumn("_chance", chance).where(draw < F.col("_chance")).select("vector", (1 / F.col("_chance")).alias("weight"))
+
+
+def squared_distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.maximum((points * points).sum(axis=1)[:, None] + (centres * centres).sum(axis=1) - 2 * points @ centres.T, 0.0)
+
+
+def weighted_kmeans(points: np.ndarray, weights: np.ndarray, k: int, seed: int, iterations: int = 20, tolerance: float = 1e-4) -> tuple[np.ndarray, float]:
+    """(centres, cost) of one run: spread-out starts, then Lloyd's steps until no centre moves by more than ``tolerance``."""
+    dice = np.random.default_rng(seed)
+    centres = points[dice.choice(len(points), p=weights / weights.sum())][None]
+    near = squared_distances(points, centres)[:, 0]
+    while len(centres) < min(k, len(points)):
+        pull = weights * near
+        total = pull.sum()
+        if total <= 0:  # fewer distinct points than centres
+            break
+        centres = np.vstack([centres, points[dice.choice(len(points), p=pull / total)]])
+        near = np.minimum(near, squared_distances(points, centres[-1:])[:, 0])
+    for _ in range(iterations):
+        label = squared_distances(points, centres).argmin(axis=1)
+        mass = np.bincount(label, weights, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, label, points * weights[:, None])
+        moved = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-300)[:, None], centres)
+        shift, centres = np.sqrt(((moved - centres) ** 2).sum(axis=1).max()), moved
+        if shift <= tolerance:
+            break
+    return centres, float((weights * squared_distances(points, centres).min(axis=1)).sum())
+
+
+def _matrix(column) -> np.ndarray:
+    return np.array(column.to_pylist(), dtype=np.float64).reshape(len(column), -1)
+
+
+def _fits(spark: SparkSession, points: np.ndarray, weights: np.ndarray, ks: Sequence[int], restarts: int, seed: int) -> dict[int, np.ndarray]:
+    """Per k the centres of the run of least cost, the earlier run of equal ones. Each run is a task."""
+    shared = spark.sparkContext.broadcast((points, weights))  # the coreset
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, turn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                centres, cost = weighted_kmeans(*shared.value, k, seed + turn)
+                yield pa.RecordBatch.from_pydict({"k": [k], "turn": [turn], "cost": [cost], "centres": [centres.tolist()]})
+
+    jobs = spark.createDataFrame([(k, r) for k in ks for r in range(restarts)], "k bigint, turn bigint").repartition(len(ks) * restarts, "k", "turn")
+    runs = jobs.mapInArrow(run, "k bigint, turn bigint, cost double, centres array<array<double>>")
+    best = runs.groupBy("k").agg(F.min_by("centres", F.struct("cost", "turn")).alias("centres")).collect()
+    shared.destroy()
+    return {r.k: np.array(r.centres) for r in best}
+
+
+def _scores(rows: DataFrame, embedding: str, centres: dict[int, np.ndarray]) -> dict[int, tuple[float, float]]:
+    """(mean silhouette on squared distances, cost) of each clustering over all rows, exact, in two passes for all of them."""
+    spark = rows.sparkSession
+    points = rows.where(F.col(embedding).isNotNull()).select(F.col(embedding).cast("array<double>").alias("v"))
+    shared = spark.sparkContext.broadcast(centres)  # a few vectors per clustering
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {k: np.zeros((len(c), c.shape[1] + 3)) for k, c in shared.value.items()}
+        for batch in batches:
+            if not len(batch):
+                continue
+            v = _matrix(batch.column(0))
+            row = np.column_stack([np.ones(len(v)), (v * v).sum(axis=1), v])
+            for k, c in shared.value.items():
+                distance = squared_distances(v, c)
+                label = distance.argmin(axis=1)
+                np.add.at(totals[k], label, np.column_stack([row, distance.min(axis=1)]))
+        cells = [(k, i, t.tolist()) for k, own in totals.items() for i, t in enumerate(own)]
+        yield pa.RecordBatch.from_pydict({"k": [c[0] for c in cells], "i": [c[1] for c in cells], "t": [c[2] for c in cells]})
+
+    parts = points.mapInArrow(summed, "k bigint, i bigint, t array<double>")
+    cells = parts.select("k", "i", F.posexplode("t").alias("at", "x")).groupBy("k", "i", "at").agg(F.sum("x").alias("x")).collect()
+    stats = {k: np.zeros((len(c), c.shape[1] + 3)) for k, c in centres.items()}
+    for r in cells:
+        stats[r.k][r.i, r["at"]] = r.x
+    measured = spark.sparkContext.broadcast(stats)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = dict.fromkeys(shared.value, 0.0)
+        for batch in batches:
+            if not len(batch):
+                continue
+            v = _matrix(batch.column(0))
+            for k, c in shared.value.items():
+                n, q, s = measured.value[k][:, 0], measured.value[k][:, 1], measured.value[k][:, 2:-1]
+                label, each = squared_distances(v, c).argmin(axis=1), np.arange(len(v))
+                mean = (v * v).sum(axis=1)[:, None] + q / np.maximum(n, 1) - 2 * v @ (s / np.maximum(n, 1)[:, None]).T
+                own = mean[each, label] * n[label] / np.maximum(n[label] - 1, 1)
+                mean[each, label], mean[:, n == 0] = np.inf, np.inf
+                other = mean.min(axis=1)
+                top = np.maximum(own, other)
+                value = np.where((n[label] > 1) & np.isfinite(other) & (top > 0), (other - own) / np.where(top > 0, top, 1), 0.0)
+                totals[k] += float(value.sum())
+        yield pa.RecordBatch.from_pydict({"k": list(totals), "total": list(totals.values())})
+
+    sums = dict(points.mapInArrow(compared, "k bigint, total double").groupBy("k").agg(F.sum("total")).collect())
+    shared.destroy()
+    measured.destroy()
+    return {k: (float(sums.get(k, 0.0) / max(stats[k][:, 0].sum(), 1)), float(stats[k][:, -1].sum())) for k in centres}
+
+
 def kmeans_search(
     rows: DataFrame,
     id_column: str,
@@ -54,36 +173,35 @@ def kmeans_search(
     ks: Sequence[int] = range(6, 15),
     restarts: int = 10,
     seed: int = 0,
-    parallelism: int = 8,
+    coreset_rows: int = CORESET_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows with the best clustering, table of k and score).
 
-    Per k the restart with the lowest training cost counts; the k with the highest silhouette wins and ties
-    keep the smaller k. The score is Spark's silhouette on squared distances, linear in the rows, and is named so.
+    All runs of all k are fitted on one coreset of about ``coreset_rows`` rows, a task each; tables of up to half as many rows are
+    their own coreset. Per k the run of least cost counts; its cost and silhouette are then measured on all rows, in two passes for all
+    k together. The k with the highest silhouette wins and ties keep the smaller k. The score is the silhouette on squared
+    distances, linear in the rows, and is named so. Rows without a vector have no cluster.
     """
     spark = rows.sparkSession
-    points = rows.select(id_column, array_to_vector(F.col(embedding).cast("array<double>")).alias("features"))
-    points = points.persist(StorageLevel.MEMORY_AND_DISK)
-    evaluator = ClusteringEvaluator(predictionCol="cluster", distanceMeasure="squaredEuclidean")
-
-    def fit(job: tuple[int, int]):
-        k, restart = job
-        model = KMeans(k=k, seed=seed + restart, predictionCol="cluster").fit(points)
-        return k, model.summary.trainingCost, restart, model
-
-    jobs = [(k, r) for k in ks for r in range(restarts)]
-    with ThreadPoolExecutor(parallelism) as pool:
-        fitted = list(pool.map(fit, jobs))
-        best = [min((f for f in fitted if f[0] == k), key=lambda f: (f[1], f[2])) for k in ks]
-        scores = list(pool.map(lambda f: evaluator.evaluate(f[3].transform(points)), best))
-    chosen = max(range(len(best)), key=lambda i: (scores[i], -best[i][0]))
-    table = spark.createDataFrame(
-        [(f[0], round(s, 4), float(f[1])) for f, s in zip(best, scores, strict=True)],
-        "k int, silhouette_squared double, training_cost double",
-    )
-    labels = best[chosen][3].transform(points).select(id_column, "cluster")
-    points.unpersist()
-    return rows.join(labels, id_column), table
+    sample = coreset(rows, id_column, embedding, coreset_rows, seed).toPandas()  # bounded by coreset_rows
+    schema = "k int, silhouette_squared double, training_cost double"
+    if sample.empty:
+        return rows.withColumn("cluster", F.lit(None).cast("int")), spark.createDataFrame([], schema)
+    points = np.array(sample["vector"].tolist(), dtype=np.float64)
+    centres = _fits(spark, points, sample["weight"].to_numpy(), ks, restarts, seed)
+    scores = _scores(rows, embedding, centres)
+    chosen = centres[max(ks, key=lambda k: (scores[k][0], -k))]
+
+    @F.pandas_udf("int")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        known = vectors.notna()
+        out = pd.Series([None] * len(vectors), dtype="Int32")
+        if known.any():
+            out[known] = squared_distances(np.array(vectors[known].tolist(), dtype=np.float64), chosen).argmin(axis=1)
+        return out
+
+    table = spark.createDataFrame([(k, round(scores[k][0], 4), scores[k][1]) for k in ks], schema)
+    return rows.withColumn("cluster", nearest(F.col(embedding).cast("array<double>"))), table
 
 
 def silhouette_squared(rows: DataFrame, embedding: str, cluster: str) -> float:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import StorageLevel
@@ -18,16 +19,23 @@ from ..fixed import SENTIMENTS
 from ..storage import materialise, new_folder
 from .aggregates import scores_from_counts
 from .sampling import stratified_folds
-from .text_features import as_vector, char_gram_counts, tfidf_weights, vocabulary
+from .text_features import char_gram_counts, tfidf_weights, vocabulary, with_vectors
 
 TOLERANCE = 1e-4
+INTERCEPT = 100.0  # the constant feature of a language's intercept; its penalty falls with the square
 
 
+@dataclass
 class LanguageModel:
-    """A fitted model of one language and the classes it has seen."""
+    """A model of several languages that have seen the same classes: each language's terms are a block of its features.
 
-    def __init__(self, model: LogisticRegressionModel, classes: Sequence[str], size: int):
-        self.model, self.classes, self.size = model, list(classes), size
+    ``offsets`` gives the first feature of each language; its last is the language's own intercept.
+    """
+
+    model: LogisticRegressionModel
+    classes: list[str]
+    offsets: dict[str, int]
+    size: int
 
 
 def _stored(model: LogisticRegressionModel, spark: SparkSession) -> LogisticRegressionModel:
@@ -44,6 +52,18 @@ def _class_index(label: Column, classes: Sequence[str]) -> Column:
     return index
 
 
+def _by_language(language: str, values: Mapping[str, int]) -> Column:
+    pairs = [part for name, value in values.items() for part in (F.lit(name), F.lit(value))]
+    return F.try_element_at(F.create_map(*pairs), F.col(language))
+
+
+def _in_blocks(weighed: DataFrame, language: str, offsets: Mapping[str, int], ends: Mapping[str, int], size: int) -> DataFrame:
+    """Add ``features``: a row's terms in the block of its language, and ``INTERCEPT`` in the block's last place."""
+    start, end = _by_language(language, offsets), _by_language(language, ends)
+    places = F.concat(F.transform("tfidf.indices", lambda i: i + start), F.array(end))
+    return with_vectors(weighed, places, F.concat("tfidf.weights", F.array(F.lit(INTERCEPT))), size)
+
+
 def train_by_language(
     rows: DataFrame,
     language: str,
@@ -53,37 +73,41 @@ def train_by_language(
     c: float = 3.0,
     iterations: int = 1000,
     classes: Sequence[str] = tuple(SENTIMENTS),
-    parallelism: int = 4,
 ) -> tuple[dict[str, LanguageModel], DataFrame]:
-    """One multinomial model per language on character TF-IDF. Returns the models and their term table."""
-    counted = char_gram_counts(rows.where(F.col(language).isin(list(languages))), text)
-    counted = counted.persist(StorageLevel.DISK_ONLY)
-    try:
-        terms = materialise(vocabulary(counted, language), name="vocabulary")
-        weighed = tfidf_weights(counted, terms, language)
-        sizes = {r[0]: r[1] for r in terms.groupBy(language).count().collect()}
-        present: dict[str, dict[str, int]] = {}
-        for lang, name, n in counted.groupBy(language, label).count().collect():
-            present.setdefault(lang, {})[name] = n
-
-        def fit(lang: str) -> tuple[str, LanguageModel] | None:
-            seen = [k for k in classes if present.get(lang, {}).get(k)]
-            if len(seen) < 2 or lang not in sizes:
-                return None
-            n = sum(present[lang][k] for k in seen)
-            data = weighed.where(F.col(language) == lang).select(
-                as_vector("tfidf.indices", "tfidf.weights", sizes[lang]).alias("features"),
-                _class_index(F.col(label), seen).alias("label"),
-            ).where(F.col("label").isNotNull())
-            estimator = LogisticRegression(
-                regParam=1 / (c * n), standardization=False, maxIter=iterations, tol=TOLERANCE, family="multinomial"
-            )
-            return lang, LanguageModel(_stored(estimator.fit(data), rows.sparkSession), seen, sizes[lang])
-
-        with ThreadPoolExecutor(parallelism) as pool:
-            return dict(found for found in pool.map(fit, languages) if found), terms
-    finally:
-        counted.unpersist()
+    """One multinomial model per language on character TF-IDF. Returns the models and their term table.
+
+    Languages that have seen the same classes are fitted together: with a block of features each, the sum of their losses and penalties falls
+    apart into theirs, so one pass over the rows per iteration sums the gradients of them all. A language's intercept is the
+    weight of a large constant feature, which the penalty hardly touches.
+    """
+    counted = char_gram_counts(rows.where(F.col(language).isin(list(languages))).select(language, text, label), text).drop(text)
+    counted = materialise(counted, name="grams")
+    terms = materialise(vocabulary(counted, language), name="vocabulary")
+    weighed = tfidf_weights(counted, terms, language).drop("grams")
+    sizes = {r[0]: r[1] for r in terms.groupBy(language).count().collect()}
+    present: dict[str, dict[str, int]] = {}
+    for lang, name, n in counted.groupBy(language, label).count().collect():
+        present.setdefault(lang, {})[name] = n
+    alike: dict[tuple[str, ...], list[str]] = {}
+    for lang in languages:
+        seen = tuple(k for k in classes if present.get(lang, {}).get(k))
+        if len(seen) >= 2 and lang in sizes:
+            alike.setdefault(seen, []).append(lang)
+    models: dict[str, LanguageModel] = {}
+    for seen, members in alike.items():
+        n = sum(present[lang][k] for lang in members for k in seen)
+        offsets, ends, size = {}, {}, 0
+        for lang in members:
+            offsets[lang], ends[lang] = size, size + sizes[lang]
+            size += sizes[lang] + 1
+        mine = weighed.where(F.col(language).isin(members)).withColumn("label", _class_index(F.col(label), seen))
+        data = _in_blocks(mine.where(F.col("label").isNotNull()), language, offsets, ends, size).select("features", "label")
+        estimator = LogisticRegression(
+            regParam=1 / (c * n), standardization=False, maxIter=iterations, tol=TOLERANCE, family="multinomial"
+        )
+        fitted = _stored(estimator.fit(data), rows.sparkSession)
+        models |= dict.fromkeys(members, LanguageModel(fitted, list(seen), offsets, size))
+    return models, terms
 
 
 def predict_by_language(
@@ -96,10 +120,9 @@ def predict_by_language(
 ) -> DataFrame:
     """Label and one probability column per class, by the model of the row's language.
 
-    A class the model never saw stays null. Rows of a language without a model keep null predictions.
+    A class the model never saw stays null. Rows of a language without a model keep null predictions. Rows are read once per model, of which
+    there is one for all languages that have seen the same classes.
     """
-    known = rows.where(F.col(language).isin(list(models)))
-    weighed = tfidf_weights(char_gram_counts(known, text), terms, language)
     none = F.lit(None)
     other = ~F.coalesce(F.col(language).isin(list(models)), F.lit(False))
     parts = [
@@ -107,10 +130,13 @@ def predict_by_language(
             "*", none.cast("string").alias("predicted"), *[none.cast("double").alias(f"p_{k}") for k in classes]
         )
     ]
-    for lang, fitted in models.items():
-        data = weighed.where(F.col(language) == lang).withColumn(
-            "features", as_vector("tfidf.indices", "tfidf.weights", fitted.size)
-        )
+    if not models:
+        return parts[0]
+    known = char_gram_counts(rows.where(~other), text, name="_grams")
+    weighed = tfidf_weights(known, terms, language, "_grams").drop("_grams")
+    for fitted in {id(m): m for m in models.values()}.values():
+        ends = {lang: end - 1 for lang, end in zip(fitted.offsets, [*list(fitted.offsets.values())[1:], fitted.size], strict=True)}
+        data = _in_blocks(weighed.where(F.col(language).isin(list(fitted.offsets))), language, fitted.offsets, ends, fitted.size)
         scored = fitted.model.transform(data).withColumn("_p", vector_to_array("probability"))
         name = F.element_at(F.array(*[F.lit(k) for k in fitted.classes]), F.col("prediction").cast("int") + 1)
         chances = [

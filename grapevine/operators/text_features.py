@@ -6,18 +6,16 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
-from pyspark import Broadcast
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ..storage import materialise, spread
+from ..storage import materialise, new_folder, spread
 from .positions import first_n
 
 GRAMS = "gram array<string>, tf array<int>"
-BROADCAST_TERMS = 2_000_000
 
 
 @lru_cache(maxsize=200_000)
@@ -81,22 +79,13 @@ def vocabulary(
     return kept.join(sizes, language).select(language, "gram", "df", "total", idf.alias("idf"))
 
 
-def _weigher(shipped: Broadcast):
-    """Column function (language, grams) -> (indices, weights) over a shipped term table."""
+def numbered_terms(terms: DataFrame, language: str) -> DataFrame:
+    """(language, gram, idf, index): grams of a language are numbered from 0 in ascending order. Written, as joins read it again.
 
-    @F.pandas_udf("indices array<int>, weights array<double>")
-    def weigh(batches: Iterator[tuple[pd.Series, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
-        for langs, counts in batches:
-            indices, weights = [], []
-            for lang, grams, tfs in zip(langs, counts["gram"], counts["tf"], strict=True):
-                known = shipped.value.get(lang, {})
-                found = sorted((*known[gram], tf) for gram, tf in zip(grams, tfs, strict=True) if gram in known)
-                values = (1 + np.log([tf for _, _, tf in found])) * [idf for _, idf, _ in found]
-                indices.append([i for i, _, _ in found])
-                weights.append(values / (np.linalg.norm(values) or 1.0))
-            yield pd.DataFrame({"indices": indices, "weights": weights})
-
-    return weigh
+    A language has at most the ``max_terms`` of its vocabulary.
+    """
+    index = F.row_number().over(Window.partitionBy(language).orderBy("gram")) - 1
+    return materialise(terms.select(language, "gram", "idf", index.alias("index")), name="terms")
 
 
 def tfidf_weights(
@@ -104,43 +93,33 @@ def tfidf_weights(
 ) -> DataFrame:
     """Add (indices, weights): 1 + ln(tf) times idf, scaled to length 1, over the terms of the row's language.
 
-    Indices number the grams of a language in ascending order. The term table is at most ``max_terms`` rows per
-    language; it is shipped to the tasks in groups of languages that together stay below ``BROADCAST_TERMS``
-    rows, one pass over the matching rows each.
+    Indices number the grams of a language in ascending order. Rows get a number for the time being and are written; their grams meet the
+    term table in a join on language and gram, and come together again by row. A gram that most rows have is one row of
+    the term table, so where that table is too large to be copied to every task the join's crowded partitions are split. No term passes the driver.
+    """
+    rows = materialise(counted.withColumn("_row", F.monotonically_increasing_id()), name="counted")
+    known = numbered_terms(terms, language).withColumnRenamed(language, "_language")
+    pieces = rows.select("_row", F.col(language).alias("_lang"), F.inline(F.arrays_zip(f"{grams}.gram", f"{grams}.tf")).alias("gram", "tf"))
+    found = pieces.join(known, (pieces["gram"] == known["gram"]) & pieces["_lang"].eqNullSafe(known["_language"]))
+    weight = (1 + F.log("tf")) * F.col("idf")
+    weighed = found.select("_row", F.struct("index", weight.alias("weight")).alias("term")).groupBy("_row").agg(F.sort_array(F.collect_list("term")).alias("_terms"))
+    length = F.sqrt(F.aggregate("_terms", F.lit(0.0), lambda total, t: total + t["weight"] * t["weight"]))
+    scaled = weighed.withColumn("_length", length).select(
+        F.col("_row").alias("_at"),
+        F.struct(F.col("_terms.index").alias("indices"), F.transform("_terms", lambda t: t["weight"] / F.col("_length")).alias("weights")).alias(name))
+    none = F.struct(F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("weights"))
+    joined = rows.join(scaled, F.col("_row") == F.col("_at"), "left")
+    return joined.withColumn(name, F.coalesce(F.col(name), none)).drop("_row", "_at")
+
+
+def with_vectors(rows: DataFrame, indices: Column, values: Column, size: int, name: str = "features") -> DataFrame:
+    """Add sparse ML vectors of ascending ``indices``.
+
+    Their parts are written as Parquet, and read back as vectors: no function is called per row.
     """
-    spark = counted.sparkSession
-    terms = materialise(terms.select(language, "gram", "idf"), name="terms")
-    sizes = {r[0]: r[1] for r in terms.groupBy(language).count().collect()}
-    parts: list[list[str]] = [[]]
-    room = BROADCAST_TERMS
-    for lang, n in sorted(sizes.items(), key=lambda item: str(item[0])):
-        if n > BROADCAST_TERMS:
-            raise ValueError(f"{n} terms for {lang}; lower max_terms to at most {BROADCAST_TERMS}")
-        if n > room:
-            parts.append([])
-            room = BROADCAST_TERMS
-        parts[-1].append(lang)
-        room -= n
-    out = None
-    for langs in parts:
-        table: dict[str, dict[str, tuple[int, float]]] = {}
-        listed = terms.where(F.col(language).isin(langs)).select(language, "gram", "idf").orderBy(language, "gram")
-        for lang, gram, idf in listed.collect():
-            known = table.setdefault(lang, {})
-            known[gram] = (len(known), idf)
-        weigh = _weigher(spark.sparkContext.broadcast(table))
-        mine = F.col(language).isin(langs)
-        if len(parts) == 1:
-            mine = F.lit(True)
-        part = counted.where(mine).withColumn(name, weigh(F.col(language), F.col(grams)))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def as_vector(indices: str, weights: str, size: int):
-    """Sparse ML vector of a row."""
-
-    def build(positions, values):
-        return Vectors.sparse(size, positions, values)
-
-    return F.udf(build, VectorUDT())(F.col(indices), F.col(weights))
+    kind = VectorUDT()
+    parts = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), indices.alias("indices"), values.alias("values"))
+    folder = new_folder(rows.sparkSession, "vectors")
+    rows.withColumn(name, parts).write.parquet(folder)
+    schema = StructType([*(field for field in rows.schema if field.name != name), StructField(name, kind)])
+    return rows.sparkSession.read.schema(schema).parquet(folder)

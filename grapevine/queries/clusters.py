@@ -40,6 +40,16 @@ def kmeans_search(spark, folder):
     return c.kmeans_search(cluster_rows(spark, folder), "review_id", "embedding")[1]
 
 
+@query("SELECT vec_id AS review_id, min(vec_id) OVER (PARTITION BY vec_id % 9) AS first_of_cluster FROM embeddings")
+def kmeans_of_separate_groups(spark, folder):
+    """The search finds nine groups that lie far apart, each row by the centre next to it: the first row of its cluster."""
+    lifted = F.transform("embedding", lambda x, i: x.cast("double") + F.when(i == F.col("review_id") % 9, 10.0).otherwise(0.0))
+    rows = cluster_rows(spark, folder).select("review_id", lifted.alias("embedding"))
+    found = c.kmeans_search(rows, "review_id", "embedding")[0]
+    firsts = found.groupBy("cluster").agg(F.min("review_id").alias("first_of_cluster"))
+    return found.join(firsts, "cluster").select("review_id", "first_of_cluster")
+
+
 @query(
     """WITH e AS (SELECT vec_id AS i, label AS k, embedding::DOUBLE[] AS v FROM embeddings),
 u AS (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM e),

@@ -71,6 +71,25 @@ def predict_by_language(spark, folder):
     return rows.select("doc_id", "lang", "predicted", *[F.round(f"p_{k}", 4).alias(f"p_{k}") for k in ("negative", "neutral", "positive")])
 
 
+# Every word keeps its first character, followed by the mark of the text's label; the models have to learn the marks in every language.
+MARKS = {"negative": "777", "neutral": "888", "positive": "999"}
+
+
+@query(
+    """SELECT doc_id, lang, CASE (doc_id // 3) % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END AS predicted FROM documents"""
+)
+def predict_marked_words(spark, folder):
+    """Models of the languages learn, on three quarters of the documents, a label that marks in the words decide; they give it for all."""
+    names, marks = F.array(*map(F.lit, MARKS)), F.array(*map(F.lit, MARKS.values()))
+    number = (F.floor(F.col("doc_id") / 3) % 3).cast("int")
+    words = F.regexp_replace(F.concat(F.coalesce("text", F.lit("")), F.lit(" end")), F.lit(r"(\S)\S*"), F.concat(F.lit("$1"), F.get(marks, number)))
+    docs = table(spark, folder, "documents").select("doc_id", "lang", words.alias("text"), F.get(names, number).alias("label"))
+    docs = materialise(docs, name="marked")
+    train = docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 0)
+    fitted, terms = m.train_by_language(train, "lang", "text", "label", ["en", "de", "es", "fr"])
+    return m.predict_by_language(fitted, terms, docs, "lang", "text").select("doc_id", "lang", "predicted")
+
+
 def _stack_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = _truth(spark, folder).select(
         "review_id", "label", "pred", ((F.col("ordinal") % 100) / 100.0).alias("conf"), F.col("stars_estimate").alias("stars_pred")

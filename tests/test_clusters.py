@@ -114,6 +114,25 @@ def test_language_models_route_and_leave_unseen_classes_null(spark):
     assert got[100].predicted is None and len(got) == 26
 
 
+def test_languages_fitted_together_equal_each_alone(spark):
+    words = {"en": ("good fine nice well", "bad poor awful broken"), "de": ("gut schön prima toll", "schlecht übel kaputt mies")}
+    rows = []
+    for lang, (good, bad) in words.items():
+        for i in range(40):
+            mine, label = ((good, "positive"), (bad, "negative"))[(i + (i % 7 == 0)) % 2]
+            rows.append((len(rows), lang, " ".join((mine.split() * 2)[i % 4:i % 4 + 3]) + f" {i % 5}", label))
+    table = spark.createDataFrame(rows, "id int, lang string, text string, label string")
+
+    def chances(languages):
+        fitted, terms = m.train_by_language(table.where(F.col("lang").isin(languages)), "lang", "text", "label", languages)
+        assert len({id(model) for model in fitted.values()}) == 1
+        return {r.id: r.p_positive for r in m.predict_by_language(fitted, terms, table, "lang", "text").collect() if r.p_positive is not None}
+
+    together, alone = chances(["en", "de"]), chances(["en"]) | chances(["de"])
+    assert set(together) == set(alone) == set(range(80))
+    assert max(abs(together[i] - alone[i]) for i in alone) < 0.02
+
+
 def test_stacker_picks_the_first_of_the_best(spark):
     rows = spark.range(90).select(
         F.col("id").alias("review_id"), F.get(F.array(*map(F.lit, ("negative", "neutral", "positive"))), (F.col("id") % 3).cast("int")).alias("label"),
@@ -138,3 +157,35 @@ def test_issue_clustering_reuses_stored_vectors(spark):
     again = issues.cluster_issues(rows, "text", never, store, ks=(2, 3), restarts=2, pca_dims=4, min_cluster_size=3)
     assert sorted(r["size"] for r in first["summary"].collect()) == sorted(r["size"] for r in again["summary"].collect())
     assert first["noise"].first().n_clusters >= 1
+
+
+def test_coreset_costs_stand_for_those_of_all_rows(spark):
+    dice = np.random.default_rng(2)
+    points = np.vstack([dice.normal(c, 1.0, (1500, 6)) for c in (0.0, 4.0, 9.0, 30.0)])
+    rows = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id long, v array<double>")
+    taken = c.coreset(rows, "id", "v", 800, seed=3).toPandas()
+    assert 500 < len(taken) < 1100
+    sample, weights = np.array(taken["vector"].tolist()), taken["weight"].to_numpy()
+    assert weights.sum() == pytest.approx(len(points), rel=0.15)
+    for k in (3, 4, 6):
+        small, cost = c.weighted_kmeans(sample, weights, k, seed=1)
+        full = min(c.weighted_kmeans(points, np.ones(len(points)), k, seed=s)[1] for s in range(5))
+        everywhere = c.squared_distances(points, small).min(axis=1).sum()
+        assert cost == pytest.approx(everywhere, rel=0.15)
+        best = min(c.squared_distances(points, c.weighted_kmeans(sample, weights, k, seed=s)[0]).min(axis=1).sum() for s in range(5))
+        assert best <= 1.1 * full
+    whole = c.coreset(rows.limit(300), "id", "v", 800).toPandas()
+    assert len(whole) == 300 and (whole["weight"] == 1).all()
+
+
+def test_search_measures_all_rows(spark):
+    dice = np.random.default_rng(4)
+    points = np.vstack([dice.normal(x, 1.0, (120, 3)) for x in (0.0, 8.0, 20.0)])
+    rows = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)] + [(-1, None)], "id long, v array<double>")
+    found, table = c.kmeans_search(rows, "id", "v", ks=range(2, 5), restarts=4, coreset_rows=150)
+    labels = {r.id: r.cluster for r in found.collect()}
+    assert labels.pop(-1) is None and len(labels) == 360 and len({labels[i] for i in range(120)}) == 1
+    scores = {r.k: r for r in table.collect()}
+    best = found.where("id >= 0").withColumn("c", F.col("cluster"))
+    assert scores[3].silhouette_squared == round(c.silhouette_squared(best, "v", "c"), 4) == max(r.silhouette_squared for r in scores.values())
+    assert c.kmeans_search(rows.limit(0), "id", "v")[1].count() == 0
