@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are read as passages of ``PASSAGE`` words. Passages are TF-IDF vectors over hashed words. A randomised singular value
-decomposition of all of them takes two passes: random signed sums of passages span the range, and the passages' products
+Documents are read as passages of ``PASSAGE`` words. Passages are TF-IDF vectors over hashed words, written once. A randomised singular
+value decomposition of all of them takes two passes over these: random signed sums of passages span the range, and the passages' products
 in that range give singular values and vectors. The latent space gives its directions equal weight. Windows that overlap by half are compared with the passages of the benchmark items in it; pairs above ``cosine`` are
 candidates. In a window of ``PASSAGE`` words a word that repeats beside a short item outweighs it, so items of up to ``PASSAGE`` words are
 also compared by windows of ``SHORT`` words. An item that stands whole in a document is a candidate whatever its cosine: its words but
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
+from ..storage import materialise
 from .textarrays import Chunk, Words, chunks, windows, words_of
 
 BITS, RANK, EXTRA = 14, 96, 8
@@ -60,24 +61,47 @@ def entries_of(columns: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.
     return both >> BITS, both & ((1 << BITS) - 1), times
 
 
-def passage_frequencies(docs: DataFrame, text: str) -> tuple[int, np.ndarray]:
-    """(passages, in how many each column occurs) over all texts."""
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << BITS, dtype=np.int64), 0
+def passages(docs: DataFrame, text: str) -> DataFrame:
+    """(first, columns, times) of the passages of each chunk of texts: where each passage's entries start, and the entries.
+
+    Written once, since three passes read them: the words are cut and hashed a single time.
+    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(0)):
                 words = words_of(chunk, lower=True)
                 starts, _ = blocks_of(words.offsets, PASSAGE)
-                _, columns, _ = entries_of(columns_of(words.hashes), starts)
+                if len(starts):
+                    passage, columns, times = entries_of(columns_of(words.hashes), starts)
+                    first = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+                    yield pa.RecordBatch.from_pydict({
+                        name: pa.array([values.astype(kind).tobytes()], pa.binary())
+                        for name, values, kind in (("first", first, np.uint32), ("columns", columns, np.uint16), ("times", times, np.uint8))})
+
+    return materialise(docs.select(F.col(text).alias("_text")).mapInArrow(cut, "first binary, columns binary, times binary"), name="passages")
+
+
+def read_passages(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, columns, times) chunk by chunk."""
+    for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+        first, columns, times = (np.frombuffer(data, kind) for data, kind in zip(row, (np.uint32, np.uint16, np.uint8), strict=True))
+        yield first.astype(np.int64), columns.astype(np.int64), times
+
+
+def passage_frequencies(cut: DataFrame) -> tuple[int, np.ndarray]:
+    """(passages, in how many each column occurs)."""
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(1 << BITS, dtype=np.int64), 0
+        for batch in batches:
+            for first, columns, _ in read_passages(batch):
                 total += np.bincount(columns, minlength=1 << BITS)
-                n += len(starts)
+                n += len(first)
         blocks = total.reshape(-1, BLOCK)
         yield pa.RecordBatch.from_pydict({
             "block": pa.array(np.arange(-1, len(blocks)), pa.int32()),
             "sums": pa.array([np.array([n]).tobytes(), *(b.tobytes() for b in blocks)], pa.binary())})
 
-    parts = docs.select(F.col(text).alias("_text")).mapInArrow(counted, "block int, sums binary")
-    found = dict(summed(parts, np.int64).collect())
+    found = dict(summed(cut.mapInArrow(counted, "block int, sums binary"), np.int64).collect())
     if not found:
         return 0, np.zeros(1 << BITS, dtype=np.int64)
     n = int(np.frombuffer(found[-1], np.int64)[0])
@@ -94,17 +118,12 @@ def summed(parts: DataFrame, dtype) -> DataFrame:
 
 
 def unit_passages(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(first entry of each passage, columns, values) of the passages of a chunk, each of length 1."""
+    """(first entry of each passage, columns, values) chunk by chunk, each passage of length 1."""
     for batch in batches:
-        for chunk in chunks(batch.column(0)):
-            words = words_of(chunk, lower=True)
-            starts, _ = blocks_of(words.offsets, PASSAGE)
-            if len(starts):
-                passage, columns, times = entries_of(columns_of(words.hashes), starts)
-                value = (times * idf[columns]).astype(np.float32)
-                first = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-                norm = np.sqrt(np.maximum(np.add.reduceat(value * value, first), 1e-12))
-                yield first, columns, value / np.repeat(norm, np.diff(np.append(first, len(columns))))
+        for first, columns, times in read_passages(batch):
+            value = (times * idf[columns]).astype(np.float32)
+            norm = np.sqrt(np.maximum(np.add.reduceat(value * value, first), 1e-12))
+            yield first, columns, value / np.repeat(norm, np.diff(np.append(first, len(columns))))
 
 
 def gathered(table: np.ndarray, columns: np.ndarray, values: np.ndarray | None, first: np.ndarray) -> np.ndarray:
@@ -121,11 +140,10 @@ def gathered(table: np.ndarray, columns: np.ndarray, values: np.ndarray | None,
     return out
 
 
-def latent_space(docs: DataFrame, text: str, idf: np.ndarray, seed: int = 11) -> np.ndarray:
+def latent_space(cut: DataFrame, idf: np.ndarray, seed: int = 11) -> np.ndarray:
     """One vector per column: idf times right singular vectors of the passage matrix, each over its singular value."""
-    spark, width, size = docs.sparkSession, 1 << BITS, RANK + EXTRA
+    spark, width, size = cut.sparkSession, 1 << BITS, RANK + EXTRA
     weights = spark.sparkContext.broadcast(idf.astype(np.float32))
-    texts = docs.select(F.col(text).alias("_text"))
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dice = np.random.default_rng((seed, TaskContext.get().partitionId()))
@@ -137,7 +155,7 @@ def latent_space(docs: DataFrame, text: str, idf: np.ndarray, seed: int = 11) ->
         rows = total.reshape(size, width)
         yield pa.RecordBatch.from_pydict({"block": pa.array(np.arange(size), pa.int32()), "sums": pa.array([r.tobytes() for r in rows], pa.binary())})
 
-    found = dict(summed(texts.mapInArrow(ranged, "block int, sums binary"), np.float32).collect())
+    found = dict(summed(cut.mapInArrow(ranged, "block int, sums binary"), np.float32).collect())
     if not found:
         return np.zeros((width, RANK), dtype=np.float32)
     basis, _ = np.linalg.qr(np.stack([np.frombuffer(found[b], np.float32) for b in range(size)]).T)
@@ -151,7 +169,7 @@ def latent_space(docs: DataFrame, text: str, idf: np.ndarray, seed: int = 11) ->
             total += inside.T @ inside
         yield pa.RecordBatch.from_pydict({"block": pa.array([0], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
-    product = np.frombuffer(summed(texts.mapInArrow(squared, "block int, sums binary"), np.float64).first()["sums"]).reshape(size, size)
+    product = np.frombuffer(summed(cut.mapInArrow(squared, "block int, sums binary"), np.float64).first()["sums"]).reshape(size, size)
     shared.destroy()
     weights.destroy()
     values, vectors = np.linalg.eigh(product)
@@ -322,8 +340,9 @@ def leaks(
     """
     spark = docs.sparkSession
     rows = read_items(benchmark, item_key, item_text, answer)
-    n, df = passage_frequencies(docs, text)
-    space = latent_space(docs, text, np.log((1.0 + n) / (1.0 + df)))
+    cut = passages(docs, text)
+    n, df = passage_frequencies(cut)
+    space = latent_space(cut, np.log((1.0 + n) / (1.0 + df)))
     return matches(spark, docs, Items(rows, space), space, key, text, item_key, benchmark.schema[item_key].dataType, cosine, share, answered_share)
 
 

@@ -38,6 +38,30 @@ def test_ratio_and_descent_on_a_small_problem():
     assert ((quality.margins(columns, offsets, ratio, weights, intercept) > 0) == good).all()
 
 
+def test_descent_reaches_the_objective_of_a_plain_dual_solver():
+    dice = np.random.default_rng(5)
+    n, width, cost = 80, 25, 0.3
+    rows = [np.sort(dice.choice(width, dice.integers(1, 8), replace=False)) for _ in range(n)]
+    sign = np.where(np.array([r[0] for r in rows]) + dice.integers(0, 9, n) < 8, 1.0, -1.0)
+    scale = dice.normal(0, 1, width)
+    columns, offsets = np.concatenate(rows), np.append(0, np.cumsum([len(r) for r in rows]))
+    x = np.zeros((n, width + 1))
+    for i, r in enumerate(rows):
+        x[i, r] = scale[r] / np.sqrt((scale[r] ** 2).sum())
+    x[:, width] = 1.0
+
+    def objective(w):
+        return 0.5 * (w @ w) + cost * np.maximum(0.0, 1.0 - sign * (x @ w)).sum()
+
+    signed = x * sign[:, None]
+    gram = signed @ signed.T
+    alpha, step = np.zeros(n), 1.0 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(30_000):  # plain projected gradient on the dual
+        alpha = np.clip(alpha + step * (1.0 - gram @ alpha), 0.0, cost)
+    weights, intercept = quality.dual_coordinate_descent(columns, offsets, scale, sign, cost=cost, rounds=2000)
+    assert objective(np.append(weights, intercept)) == pytest.approx(objective(alpha @ signed), rel=1e-3)
+
+
 def test_held_out_quality(spark):
     got = {r.doc_id: r for r in queries.op4_quality(spark, TABLES).collect()}
     assert len(got) == 1000
@@ -273,6 +297,69 @@ def test_tokens_of_documents(spark, encoding):
         assert got[row.doc_id].decoded_sha256 == hashlib.sha256(row.text.encode()).hexdigest()
 
 
+# language sets against all sets
+
+
+def test_language_sets_against_all_sets():
+    alphabets = {"a": "abcdefgh", "b": "efghijkl", "c": "ijklmnop", "d": "mnopqrst"}
+    dice = random.Random(12)
+
+    def text(names, words):
+        return " ".join("".join(dice.choice(alphabets[names[i * len(names) // words]]) for _ in range(5)) for i in range(words))
+
+    table = np.full((4, 1 << 13), 0.5)
+    for row, name in zip(table, alphabets, strict=True):
+        columns, counts, _ = language.trigram_counts([text([name], 4000)])
+        row[columns] += counts
+    table /= table.sum(axis=1, keepdims=True)
+    texts = [text(list(names), 120) for names in ("a", "b", "c", "d", "ab", "ac", "ad", "bd", "cd", "abd", "acd", "abcd")]
+    columns, counts, offsets = language.trigram_counts(texts)
+    _, alive = language.mixtures(columns, counts, offsets, table)
+    for i, mine in enumerate(alive):
+        part = slice(offsets[i], offsets[i + 1])
+        n, likely = counts[part], table[:, columns[part]]
+        best = (-np.inf, None)
+        for members in range(1, 16):
+            chosen = [k for k in range(4) if members >> k & 1]
+            share = np.full(len(chosen), 1 / len(chosen))
+            for _ in range(60):
+                pull = share[:, None] * likely[chosen]
+                share = (pull / pull.sum(axis=0) * n).sum(axis=1) / n.sum()
+            value = 2 * (n * np.log((share[:, None] * likely[chosen]).sum(axis=0))).sum() - (len(chosen) - 1) * np.log(n.sum())
+            best = max(best, (value, tuple(chosen)))
+        assert tuple(np.flatnonzero(mine)) == best[1]
+
+
+# decontamination against all pairs
+
+
+def test_search_against_all_documents_and_items(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    docs += [(100_000 + i, edited(f"{prose(i, 50)} {t} {prose(50 + i, 50)}", i, 12)) for i, (_, t) in enumerate(items)]
+    plain = {key: decontaminate.plain_words(t) for key, t in items}
+    expected = set()
+    for doc, text in docs:
+        words = decontaminate.plain_words(text)
+        have = set(words)
+        for key, item in plain.items():
+            if not item or len(set(item) & have) < 0.3 * len(set(item)):
+                continue
+            answer = item[-decontaminate.ANSWER:]
+            for start in range(0, max(len(words) - 8, 1), 8):  # every window, whatever its cosine
+                around = words[max(start - len(item), 0):start + decontaminate.PASSAGE + len(item)]
+                common = decontaminate.subsequence(item, around)
+                if common >= 0.75 * len(item) or (common >= 0.6 * len(item) and decontaminate.subsequence(answer, around) == len(answer)):
+                    expected.add((doc, key))
+                    break
+    benchmark = frame(spark, items, "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, docs), benchmark).collect()}
+    lost = sorted(expected - found)
+    print(f"{len(expected)} pairs by brute force, {len(found)} found, lost {lost}")
+    assert len(expected) >= len(items) / 2 and len(lost) <= 0.03 * len(expected)
+    assert found <= expected
+
+
 # pipeline
 
 
