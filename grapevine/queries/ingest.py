@@ -216,13 +216,12 @@ def _source(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sample(spark: SparkSession, folder: str) -> DataFrame:
-    labelled = table(spark, folder, "labels").select(F.concat(F.lit("rv-"), F.col("doc_id").cast("string")).alias("review_id"))
-    return reviews(spark, folder).drop("topic", "stars_estimate").join(labelled, "review_id", "left_semi")
+    return reviews(spark, folder).drop("topic", "stars_estimate")
 
 
 @query(
     f"""WITH {REVIEWS} SELECT review_id, 'p' || (ordinal % 50) AS product_id, source AS product_category,
-  'kaggle-marc' AS source FROM reviews WHERE ordinal IN (SELECT doc_id FROM labels)"""
+  'kaggle-marc' AS source FROM reviews"""
 )
 def verified_enrich(spark, folder):
     rows = j.verified_enrich(_sample(spark, folder), _source(spark, folder), "rv-")
@@ -240,7 +239,7 @@ def _damaged(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     """SELECT count(*) AS reviews, count(*) FILTER (WHERE doc_id % 10 = 1) AS missing,
   count(*) FILTER (WHERE doc_id % 10 = 2) AS different_stars, count(*) FILTER (WHERE doc_id % 10 = 3) AS different_text
-FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"""
+FROM documents"""
 )
 def verification_counts(spark, folder):
     return j.verification_counts(_sample(spark, folder), _damaged(spark, folder), "rv-")
@@ -254,7 +253,7 @@ def missing_ids(spark, folder):
 
 @query("SELECT role, conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) = 1")
 def keep_first(spark, folder):
-    c = table(spark, folder, "conversations").withColumn("ordinal", F.col("conv_id") * 1000 + F.col("turn"))
+    c = table(spark, folder, "conversations").withColumn("ordinal", F.col("conv_id") * 4294967296 + F.col("turn"))
     return j.keep_first(c, "role", "ordinal").select("role", "conv_id", "turn")
 
 
@@ -325,8 +324,8 @@ def ingest_counts(spark, folder):
 
 @query(
     """SELECT 'product_category' AS kind, count(DISTINCT source) AS n, NULL::VARCHAR AS value
-FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
-UNION ALL (SELECT 'top', count(*), source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
+FROM documents
+UNION ALL (SELECT 'top', count(*), source FROM documents
   GROUP BY source ORDER BY count(*) DESC, source LIMIT 4)"""
 )
 def enrich_samples(spark, folder):

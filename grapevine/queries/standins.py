@@ -87,7 +87,7 @@ def judged(spark: SparkSession, folder: str) -> DataFrame:
     conv, turn, n = F.col("conv_id"), F.col("turn"), F.length("text")
     return c.select(
         F.concat(F.lit("rp-"), conv.cast("string"), F.lit("-"), turn.cast("string")).alias("review_id"),
-        (conv * 1000 + turn).alias("ordinal"),
+        (conv * 4294967296 + turn).alias("ordinal"),
         F.element_at(F.array(F.lit("en"), F.lit("de"), F.lit("fr")), (n % 3).cast("int") + 1).alias("detected_language"),
         F.element_at(
             F.array(F.lit("negative"), F.lit("neutral"), F.lit("positive")), (conv % 3).cast("int") + 1
@@ -110,7 +110,7 @@ def judged(spark: SparkSession, folder: str) -> DataFrame:
 
 
 JUDGED = f"""judged AS (
-  SELECT 'rp-' || conv_id || '-' || turn AS review_id, conv_id * 1000 + turn AS ordinal,
+  SELECT 'rp-' || conv_id || '-' || turn AS review_id, conv_id * 4294967296 + turn AS ordinal,
     ['en', 'de', 'fr'][length(text) % 3 + 1] AS detected_language,
     ['negative', 'neutral', 'positive'][conv_id % 3 + 1] AS sentiment, {_TOPIC_LIST}[conv_id % 8 + 1] AS topic,
     text AS review_text, 'Re: ' || text AS reply,
@@ -131,7 +131,7 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
     """Model calls from ``conversations``: tokens from lengths, model from the role."""
     c = table(spark, folder, "conversations")
     return c.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("ordinal"),
+        (F.col("conv_id") * 4294967296 + F.col("turn")).alias("ordinal"),
         F.col("role").alias("model"),
         F.concat(F.lit("purpose "), (F.col("conv_id") % 3).cast("string")).alias("purpose"),
         F.length("text").cast("bigint").alias("tokens_in"),
@@ -141,7 +141,7 @@ def ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 # amounts are whole millionths of a dollar per token, so plain integers keep them exact
 LEDGER = """ledger AS (
-  SELECT conv_id * 1000 + turn AS ordinal, role AS model, 'purpose ' || (conv_id % 3) AS purpose,
+  SELECT conv_id * 4294967296 + turn AS ordinal, role AS model, 'purpose ' || (conv_id % 3) AS purpose,
     length(text)::BIGINT AS tokens_in, turn + 1 AS tokens_out,
     length(text) * CASE role WHEN 'user' THEN 1 ELSE 2 END
       + (turn + 1) * CASE role WHEN 'user' THEN 5 ELSE 10 END AS micro

@@ -22,9 +22,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where this run of Spark keeps what it writes for its own use."""
+    return f"{shared_folder(spark)}/grapevine/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/grapevine/{name}-{uuid.uuid4().hex}"
+    """A path in the run's folder that nothing else uses."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Delete all that this run has written for its own use, once its results are read or written elsewhere.
+
+    Tables that jobs keep in the catalog lie in that folder too and are dropped with it.
+    """
+    folder = run_folder(spark)
+    for table in spark.catalog.listTables():
+        if table.tableType == "EXTERNAL" and folder in (spark.sql(f"DESCRIBE TABLE EXTENDED `{table.name}`").where("col_name = 'Location'").first() or [""] * 2)[1]:
+            spark.sql(f"DROP TABLE `{table.name}`")
+    delete(spark, folder)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from grapevine.plans import ingest
 from grapevine.sources import readers, writers
 from grapevine.sources.cache import KeyedCache
-from grapevine.storage import materialise, new_folder, shared_folder
+from grapevine.storage import exists, materialise, new_folder, remove_work, run_folder, shared_folder
 
 
 def test_language_comes_from_the_path_and_blank_lines_are_skipped(spark, tmp_path):
@@ -124,3 +124,12 @@ def test_keyed_cache_after_a_merge_that_did_not_end(spark, monkeypatch):
     assert {r.key: r.answer for r in cache.latest().collect()} == {"a": 2, "b0": 0, "b1": 1, "b2": 2}
     assert [(r.level, r.first, r.last) for r in cache.runs()] == [(1, 0, 1), (0, 2, 2)]
     assert KeyedCache(spark, new_folder(spark, "keyed"), "key string, answer int").latest().count() == 0
+
+
+def test_work_of_a_run_is_removed(spark):
+    session = spark.newSession()
+    rows = materialise(session.range(5), name="kept")
+    session.range(3).write.option("path", new_folder(session, "work")).saveAsTable("work_table_of_run")
+    assert exists(session, rows.inputFiles()[0]) and session.catalog.tableExists("work_table_of_run")
+    remove_work(session)
+    assert not exists(session, run_folder(session)) and not session.catalog.tableExists("work_table_of_run")
