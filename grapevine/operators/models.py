@@ -194,6 +194,13 @@ def stack_select(
     The selected variant has the highest cross-validated macro-F1; the first one wins ties. ``train`` and ``test`` have
     label, pred, conf, stars_pred and the three baseline probabilities.
     """
+    return stack_variants(train, test, id_column, folds, seed, parallelism)[0]
+
+
+def stack_variants(
+    train: DataFrame, test: DataFrame, id_column: str, folds: int = 5, seed: int = 0, parallelism: int = 8
+) -> tuple[DataFrame, DataFrame]:
+    """(scores as ``stack_select`` gives them, confusion of the selected variant on the test rows: label, stacked, n)."""
     spark = train.sparkSession
     base = stratified_folds(train, "label", id_column, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
     held = test.persist(StorageLevel.MEMORY_AND_DISK)
@@ -237,4 +244,6 @@ def stack_select(
         "model string, split string, accuracy double, macro_f1 double, neutral_recall double, "
         "binary_accuracy double, selected boolean"
     )
-    return spark.createDataFrame([(*r, r[0] == best) for r in results], schema)
+    table = spark.createDataFrame([(*r, r[0] == best) for r in results], schema)
+    cells_of_best = [row for (v, fold), rows in zip(jobs, cells, strict=True) if variant_name(*v) == best and fold is None for row in rows]
+    return table, spark.createDataFrame(cells_of_best, "label string, stacked string, n bigint")

@@ -14,7 +14,7 @@ from ..functions.labels import acceptable, queue_status, queue_status_nojudge, r
 from ..functions.text import cache_key, one_line, reply_digest
 from ..operators import aggregates as a
 from ..operators.infer import Caller, call_ledger
-from ..operators.joins import attach_cached, latest_per_key, pending_rows
+from ..operators.joins import attach_cached, latest_per_key, pending_rows, with_predictions
 from ..operators.reviews import drop_missing_predictions, fill_missing_labels, issue_gate, queue_table
 from ..operators.sampling import assign_round_robin, first_examples, sample_per_group
 from ..operators.sets import union_by_name
@@ -91,6 +91,18 @@ def evaluation_set(
     return assign_round_robin(picked, ordinal, "detected_language", names, "customer_name")
 
 
+def evaluation_rows(rows: DataFrame, predictions: DataFrame, issues: DataFrame, prompt: str, model: str) -> DataFrame:
+    """Reviews with the sentiment and topic of their cached classification and the issue of their cached phrase.
+
+    Reviews that were never classified are left out; of several cached records the last counts. ``predictions`` are keyed by prompt,
+    model and review, ``issues`` by the review's id.
+    """
+    keyed = rows.drop("sentiment", "topic", "issue").withColumn("key", cache_key(F.lit(prompt), F.lit(model), F.col("review_id")))
+    known = with_predictions(keyed, predictions).withColumnsRenamed({"pred": "sentiment", "pred_topic": "topic"}).drop("key", "conf", "stars_pred")
+    phrases = latest_per_key(issues.where(F.col("id").isNotNull()), "id").select(F.col("id").alias("_issue_of"), "issue")
+    return known.join(phrases, F.col("review_id") == F.col("_issue_of"), "left").drop("_issue_of")
+
+
 def reply_evaluation(
     rows: DataFrame,
     drafter: Caller,

@@ -13,7 +13,7 @@ from ..plans import issues
 from ..storage import new_folder
 from .registry import query
 from . import rules
-from .standins import CLUSTER_ROWS, PREDICTIONS, REVIEWS, cluster_rows, predictions, reviews, table
+from .standins import CLUSTER_ROWS, PREDICTIONS, REVIEWS, cluster_rows, predictions, reviews, seeded_sql, table
 
 
 def hashed_words(texts: list[str], size: int = 32) -> np.ndarray:
@@ -34,6 +34,23 @@ def embed_text(spark, folder):
     return rows.select("doc_id", F.size("embedding").alias("dims"), unit.alias("unit_length"))
 
 
+def counted(texts: list[str]) -> np.ndarray:
+    """An encoder whose vectors SQL can state: characters (1 at least) and spaces."""
+    return np.array([[max(len(text), 1), text.count(" ")] for text in texts], dtype=np.float32).reshape(len(texts), 2)
+
+
+def spaces_of(embedding: str, text: str):
+    """The spaces that a vector of ``counted`` tells, from the ratio that scaling to length 1 keeps."""
+    return F.round(F.get(embedding, F.lit(1)) / F.get(embedding, F.lit(0)) * F.greatest(F.length(text), F.lit(1))).cast("bigint")
+
+
+@query("SELECT doc_id, (length(text) - length(replace(text, ' ', '')))::BIGINT AS spaces FROM documents")
+def embed_text_values(spark, folder):
+    """Each vector belongs to its own text."""
+    rows = c.embed_text(table(spark, folder, "documents").select("doc_id", "text"), "text", counted)
+    return rows.select("doc_id", spaces_of("embedding", "text").alias("spaces"))
+
+
 @query()
 def kmeans_search(spark, folder):
     """Score of every k from 6 to 14, ten restarts each."""
@@ -101,6 +118,18 @@ def cluster_examples(spark, folder):
     return found.select("id", "size", F.size("examples").alias("examples"), F.coalesce(short, F.lit(True)).alias("short"))
 
 
+@query(
+    f"""WITH {CLUSTER_ROWS} SELECT cluster AS id, (row_number() OVER (PARTITION BY cluster ORDER BY {seeded_sql("review_id", 0)}) - 1)::INTEGER AS place,
+  md5(substr(text, 1, 180)) AS text_md5
+FROM cluster_rows LEFT JOIN documents ON doc_id = review_id QUALIFY place < 8"""
+)
+def cluster_example_texts(spark, folder):
+    """The examples themselves, in their order."""
+    texts = table(spark, folder, "documents").select(F.col("doc_id").alias("review_id"), "text")
+    found = c.cluster_examples(cluster_rows(spark, folder).join(texts, "review_id", "left"), "cluster", "review_id", "text")
+    return found.select("id", F.posexplode("examples").alias("place", "_text")).select("id", "place", F.md5("_text").alias("text_md5"))
+
+
 @query()
 def cluster_issues(spark, folder):
     """The clustering job on all reviews: embed, search k, density, summary."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import models as m
 from ..operators import text_features as f
+from ..plans import stacker
 from ..storage import materialise
 from .measures import _truth
 from .registry import query
@@ -75,16 +76,20 @@ def predict_by_language(spark, folder):
 MARKS = {"negative": "777", "neutral": "888", "positive": "999"}
 
 
+def _marked(spark: SparkSession, folder: str) -> DataFrame:
+    names, marks = F.array(*map(F.lit, MARKS)), F.array(*map(F.lit, MARKS.values()))
+    number = (F.floor(F.col("doc_id") / 3) % 3).cast("int")
+    words = F.regexp_replace(F.concat(F.coalesce("text", F.lit("")), F.lit(" end")), F.lit(r"(\S)\S*"), F.concat(F.lit("$1"), F.get(marks, number)))
+    docs = table(spark, folder, "documents").select("doc_id", "lang", words.alias("text"), F.get(names, number).alias("label"))
+    return materialise(docs, name="marked")
+
+
 @query(
     """SELECT doc_id, lang, CASE (doc_id // 3) % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END AS predicted FROM documents"""
 )
 def predict_marked_words(spark, folder):
     """Models of the languages learn, on three quarters of the documents, a label that marks in the words decide; they give it for all."""
-    names, marks = F.array(*map(F.lit, MARKS)), F.array(*map(F.lit, MARKS.values()))
-    number = (F.floor(F.col("doc_id") / 3) % 3).cast("int")
-    words = F.regexp_replace(F.concat(F.coalesce("text", F.lit("")), F.lit(" end")), F.lit(r"(\S)\S*"), F.concat(F.lit("$1"), F.get(marks, number)))
-    docs = table(spark, folder, "documents").select("doc_id", "lang", words.alias("text"), F.get(names, number).alias("label"))
-    docs = materialise(docs, name="marked")
+    docs = _marked(spark, folder)
     train = docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 0)
     fitted, terms = m.train_by_language(train, "lang", "text", "label", ["en", "de", "es", "fr"])
     return m.predict_by_language(fitted, terms, docs, "lang", "text").select("doc_id", "lang", "predicted")
@@ -119,3 +124,28 @@ def stack_features(spark, folder):
     names = ["is_negative", "is_neutral", "is_positive"]
     hot = [F.get("v", F.lit(i)).cast("int").alias(name) for i, name in enumerate(names)]
     return rows.select("review_id", *hot, F.get("v", F.lit(3)).alias("conf"), F.get("v", F.lit(4)).alias("stars"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, (doc_id // 3) % 3 AS k, ((doc_id // 3) % 3 + (doc_id % 4 = 0)::INTEGER) % 3 AS said FROM documents WHERE doc_id % 5 = 4),
+t AS (SELECT ['negative', 'neutral', 'positive'][k + 1] AS label, ['negative', 'neutral', 'positive'][said + 1] AS pred FROM d)
+SELECT label AS row, label AS value, count(*)::DOUBLE AS n FROM t GROUP BY label
+UNION ALL SELECT unnest(['label of the answer', 'label of the estimated stars']), 'accuracy', round_even(avg((label = pred)::INTEGER), 3) FROM t
+UNION ALL SELECT 'baseline', 'accuracy', 1.0 UNION ALL SELECT 'stacker + baseline', 'selected', 1.0"""
+)
+def stacker_evaluation(spark, folder):
+    """The stacker end to end on texts whose words give the label away, with cached answers that are wrong for a quarter."""
+    docs = _marked(spark, folder).withColumns({"review_id": F.col("doc_id").cast("string"), "key": F.concat(F.lit("k|"), F.col("doc_id"))})
+    number = (F.floor(F.col("doc_id") / 3) + F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0)) % 3
+    said = number.cast("int")
+    cache = docs.select(
+        "key", F.get(F.array(*map(F.lit, MARKS)), said).alias("sentiment"), F.lit("other").alias("topic"), F.lit(0.9).alias("confidence"),
+        (1.0 + 2 * said).alias("stars"), F.lit(1).alias("seq"))
+    part = F.col("doc_id") % 5
+    found = stacker.stacker_evaluation(
+        docs.where(part < 3), docs.where(part == 3), docs.where(part == 4), cache, ["en", "de", "es", "fr"], language="lang", text="text")
+    scores = found["scores"].where("split = 'test'")
+    accuracy = scores.where("model NOT LIKE 'stacker%'").select(F.col("model").alias("row"), F.lit("accuracy").alias("value"), F.col("accuracy").alias("n"))
+    chosen = scores.where("selected").select(F.col("model").alias("row"), F.lit("selected").alias("value"), F.col("accuracy").alias("n"))
+    cells = found["confusion"].select(F.col("label").alias("row"), F.col("stacked").alias("value"), F.col("n").cast("double").alias("n"))
+    return cells.unionByName(accuracy).unionByName(chosen)

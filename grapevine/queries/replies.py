@@ -17,7 +17,7 @@ from . import rules
 from .measures import TRUTH, _levels, _truth, playbooks
 from .registry import query
 from .stages import ANSWERED, CLASSIFIED, N, SHORT, T_STATUS, TRANSLATED
-from .standins import CUSTOMER_SQL, CUSTOMERS, REVIEWS, label_sql, reviews, seeded_sql, topic_sql
+from .standins import CUSTOMER_SQL, CUSTOMERS, PREDICTIONS, REVIEWS, label_sql, predictions, reviews, seeded_sql, topic_sql
 
 # requests: every second one brings a sentiment, every third a topic, every fifth an issue
 ASKED = f"""asked AS (SELECT review_id, ordinal, review_text, 'Kim' AS customer_name,
@@ -218,3 +218,22 @@ def reply_sample_means(spark, folder):
         jobs.CacheFiles(f"{base}/replies", f"{base}/scores"), 1, CUSTOMERS,
     )
     return found["means"]
+
+
+@query(
+    f"""WITH {REVIEWS}, {PREDICTIONS},
+base AS (SELECT r.review_id, ordinal, detected_language, p.sentiment, p.topic, CASE WHEN ordinal % 2 = 0 THEN 'issue ' || (ordinal % 5) END AS issue
+  FROM reviews r JOIN predictions p ON p.key = 'p1|m1|' || r.review_id),
+pick AS (SELECT * FROM base QUALIFY row_number() OVER (PARTITION BY detected_language, sentiment ORDER BY {seeded_sql("review_id", 0)})
+  <= CASE WHEN sentiment = 'negative' THEN 4 ELSE 2 END)
+SELECT review_id, sentiment, topic, issue,
+  {CUSTOMER_SQL}[4 * (list_position(['en', 'de', 'es', 'fr'], detected_language) - 1) + (row_number() OVER (ORDER BY ordinal) - 1) % 4 + 1] AS customer_name
+FROM pick"""
+)
+def evaluation_set_from_caches(spark, folder):
+    """The set to be drafted and judged, with labels and issues from the caches of earlier runs; issue phrases were cached twice."""
+    rows = reviews(spark, folder)
+    even = rows.where("ordinal % 2 = 0").select(F.col("review_id").alias("id"), F.concat(F.lit("issue "), F.col("ordinal") % 5).alias("issue"))
+    issues = even.withColumn("seq", F.lit(2)).unionByName(even.withColumns({"issue": F.lit("old"), "seq": F.lit(1)}))
+    chosen = jobs.evaluation_set(jobs.evaluation_rows(rows, predictions(spark, folder), issues, "p1", "m1"), CUSTOMERS)
+    return chosen.select("review_id", "sentiment", "topic", "issue", "customer_name")

@@ -12,7 +12,7 @@ from ..plans.replies import read_or_empty
 from ..sources import readers, writers
 from ..sources.cache import KeyedCache
 from ..storage import new_folder
-from .clusters import hashed_words
+from .clusters import counted, hashed_words, spaces_of
 from .measures import TRUTH, _truth
 from .registry import query
 from .replies import FULL, CATEGORIES, _full
@@ -140,6 +140,25 @@ def embedding_store(spark, folder):
     return done.select("review_id", F.size("embedding").alias("dims"))
 
 
+@query(
+    """SELECT doc_id::VARCHAR AS review_id, (length(text) - length(replace(text, ' ', '')) + 2 * (doc_id % 3 = 0)::INTEGER)::BIGINT AS spaces,
+  (1 + (doc_id % 3 = 0)::INTEGER)::BIGINT AS versions FROM documents"""
+)
+def embedding_store_of_changed_texts(spark, folder):
+    """A third of the texts change after they were stored: only these are embedded again, and the store gives the new vectors."""
+    path = new_folder(spark, "embeddings")
+    rows = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("review_id"), "text", (F.col("doc_id") % 3 == 0).alias("changes"))
+
+    def embed(todo):
+        return c.embed_text(todo, "text", counted)
+
+    writers.embedding_store(rows, "review_id", path, embed, text="text")
+    changed = rows.withColumn("text", F.when(F.col("changes"), F.concat("text", F.lit(" x x"))).otherwise(F.col("text")))
+    done = writers.embedding_store(changed, "review_id", path, embed, text="text")
+    versions = writers.stored_embeddings(spark, path).groupBy(F.col("id").alias("review_id")).agg(F.count("*").alias("versions"))
+    return done.join(versions, "review_id").select("review_id", spaces_of("embedding", "text").alias("spaces"), "versions")
+
+
 @query(
     f"""WITH {REVIEWS}, {FULL} SELECT review_id, sentiment, topic, CASE WHEN category = -1 THEN 'none' ELSE label END AS cluster_label, reply_status
 FROM state LEFT JOIN (VALUES {CATEGORIES}) v(id, label) ON id = category"""
