@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..fixed import LOOKBACK_WEEKS, MIN_COUNT, WINDOW, Z_THRESHOLD
-from ..storage import exists
 from ..functions.numbers import week_index
 from ..operators import trends as t
-from ..operators.joins import keep_last
+from ..sources.cache import KeyedCache
+from ..storage import delete, exists, folders, materialise
 
 WEEK = "7 days"
 MONDAY = "4 days"  # windows align to the epoch, a Thursday
-WEEKLY = "week_start date, `group` string, `count` bigint, batch bigint"
 
 
 def stream_weekly_counts(
@@ -31,13 +30,19 @@ def stream_weekly_counts(
     return counts.select(F.to_date("window.start").alias("week_start"), "group", "count")
 
 
+def _counts(spark: SparkSession, folder: str) -> KeyedCache:
+    return KeyedCache(spark, f"{folder}/counts", "key string, week_start date, `group` string, `count` bigint")
+
+
 def run_weekly_counts(counts: DataFrame, folder: str) -> StreamingQuery:
     """Keep the newest count of every (week, group) in ``folder``/counts.
 
-    Each micro-batch replaces its own part, so a batch that is run again after a failure changes nothing.
+    Each micro-batch is a run of a keyed cache, so runs are merged as they grow in number, and a batch that is run again after a failure
+    puts the same counts on top of themselves.
     """
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/counts/batch={batch_id}")
+        key = F.concat_ws("|", F.col("week_start").cast("string"), "group")
+        _counts(batch.sparkSession, folder).append(batch.withColumn("key", key))
 
     return (
         counts.writeStream.outputMode("update")
@@ -50,9 +55,7 @@ def run_weekly_counts(counts: DataFrame, folder: str) -> StreamingQuery:
 
 def current_counts(spark: SparkSession, folder: str) -> DataFrame:
     """The newest count per (week, group)."""
-    parts = spark.read.schema(WEEKLY).parquet(f"{folder}/counts")
-    keyed = parts.withColumn("key", F.concat_ws("|", F.col("week_start").cast("string"), "group"))
-    return keep_last(keyed, "key", "batch").select("week_start", "group", "count")
+    return _counts(spark, folder).latest().drop("key")
 
 
 def closed_week_alerts(
@@ -70,6 +73,7 @@ def closed_week_alerts(
     return found.select("group", "week_start", "count", "prev_week", "wow_delta", "baseline_mean", "z")
 
 
+TRAILING = "week_start date, `group` string, `count` bigint, first date, last date"
 ALERTS = (
     "`group` string, week_start date, `count` bigint, prev_week bigint, wow_delta bigint, "
     "baseline_mean double, z double"
@@ -87,32 +91,39 @@ def run_alerts(
     """Alert once per (group, week) as weeks close.
 
     ``counts`` is a ``stream_weekly_counts`` result; in append mode a week arrives when the watermark has
-    passed it. Closed counts are stored per micro-batch, the detector looks at the stored weeks it
-    needs (the z rule uses only its trailing window), and alerts that were sent before are left out.
+    passed it. What later weeks need of the past is carried from batch to batch as one table: the closed counts of the trailing
+    weeks, and the first and last week of all. So a batch reads that table and its own rows, however long the stream has run. A
+    batch that is run again starts from the table of the batch before it and writes the same. Alerts that were sent
+    before are left out.
     """
-    closed, sent = f"{folder}/closed", f"{folder}/alerts"
+    kept, sent = f"{folder}/trailing", f"{folder}/alerts"
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{closed}/batch={batch_id}")
-        stored = spark.read.schema(WEEKLY).parquet(closed).where(F.col("batch") <= batch_id)
-        first, last, newest = stored.agg(
-            F.min("week_start"),
-            F.max("week_start"),
-            F.min(F.when(F.col("batch") == batch_id, F.col("week_start"))),
-        ).first()
+        known = sorted(int(path.rsplit("=", 1)[1]) for path in folders(spark, f"{kept}/batch=*"))
+        earlier = [number for number in known if number < batch_id]
+        trailing = spark.read.schema(TRAILING).parquet(f"{kept}/batch={earlier[-1]}") if earlier else spark.createDataFrame([], TRAILING)
+        fresh = materialise(batch.select("week_start", "group", "count"), name="closed-weeks")  # read several times below
+        newest, last = fresh.agg(F.min("week_start"), F.max("week_start")).first()
         if newest is None:
             return
-        scored = (last - newest).days // 7 + 1
-        weeks = max(scored, lookback) + window
+        first, before = trailing.agg(F.min("first"), F.max("last")).first()
+        first, last = min(first or newest, newest), max(before or last, last)
+        weeks = max((last - newest).days // 7 + 1, lookback) + window
         total = (last - first).days // 7 + 1
         skip = max(total - weeks, 0)
         origin = F.date_add(F.lit(first), 7 * skip)
-        recent = stored.where(F.col("week_start") >= origin)
+        closed = trailing.where("week_start IS NOT NULL").select("week_start", "group", "count").unionByName(fresh)
+        recent = closed.where(F.col("week_start") >= origin)
         found = closed_week_alerts(recent, origin, F.lit(total - skip), window, z_threshold, min_count)
-        before = read_alerts(spark, folder).where(F.col("batch") < batch_id)
-        fresh = found.join(before, ["group", "week_start"], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{sent}/batch={batch_id}")
+        sent_before = read_alerts(spark, folder).where((F.col("batch") < batch_id) & (F.col("week_start") >= origin))
+        found.join(sent_before, ["group", "week_start"], "left_anti").write.mode("overwrite").parquet(f"{sent}/batch={batch_id}")
+        oldest = F.date_sub(F.lit(last), 7 * (lookback + window))
+        edges = spark.createDataFrame([(first, last)], "first date, last date")  # kept also when no week is recent
+        rows = closed.where(F.col("week_start") >= oldest).unionByName(edges, allowMissingColumns=True)
+        rows.select("week_start", "group", "count", "first", "last").write.mode("overwrite").parquet(f"{kept}/batch={batch_id}")
+        for number in earlier[:-1]:
+            delete(spark, f"{kept}/batch={number}")
 
     return (
         counts.writeStream.outputMode("append")

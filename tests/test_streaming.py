@@ -3,7 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from grapevine.operators import trends as t
-from grapevine.storage import new_folder
+from grapevine.storage import folders, new_folder
 from grapevine.streaming import weekly as w
 
 MONDAY = dt.datetime(2026, 6, 1)
@@ -55,6 +55,23 @@ def test_each_week_alerts_once_and_as_the_batch_does(spark):
     ).collect()
     assert sorted((r.group, r.week_start, r["count"], r.z) for r in sent) == sorted((r.group, r.week_start, r["count"], r.z) for r in batch)
     assert len(sent) == 3
+    kept = folders(spark, f"{home}/trailing/batch=*")
+    rows = spark.read.parquet(kept[-1]).where("week_start IS NOT NULL")
+    assert len(kept) <= 2 and rows.select("week_start").distinct().count() <= 2 + 4 + 1  # lookback, window, the last week
+    # a batch that is run again starts from the one before it
+    before = {tuple(r) for r in w.read_alerts(spark, home).collect()}
+    w.run_alerts(w.stream_weekly_counts(stream(spark, source), "ts", "g"), home, lookback=2).awaitTermination()
+    assert {tuple(r) for r in w.read_alerts(spark, home).collect()} == before
+
+
+def test_counts_of_many_batches_are_read_from_few_runs(spark):
+    source, home = new_folder(spark, "events"), new_folder(spark, "counts")
+    for i in range(9):
+        write(spark, source, f"f{i}", {i // 3: {"x": 2, "y": 1}})
+    w.run_weekly_counts(w.stream_weekly_counts(stream(spark, source), "ts", "g"), home).awaitTermination()
+    got = {(str(r.week_start), r.group): r["count"] for r in w.current_counts(spark, home).collect()}
+    assert got == {(f"2026-06-{1 + 7 * k:02d}", g): n for k in range(3) for g, n in (("x", 6), ("y", 3))}
+    assert len(folders(spark, f"{home}/counts/level=*/first=*/last=*")) <= 8
 
 
 def test_repeated_ids_are_dropped(spark):
