@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -37,7 +36,7 @@ from ..storage import materialise, new_folder
 from .line_runs import bound
 from .textarrays import binaries, concatenated
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 15
 SPREAD, ID_LIMIT = 7919, 1 << 24
 BATCH_BYTES = 1 << 25
 LONG = 256
@@ -53,30 +52,29 @@ def read_ranks(path: str) -> list[bytes]:
     return tokens
 
 
-def literal(value, schema: str) -> Column:
-    """A literal that the optimizer builds once from JSON, where Python would make one call per entry."""
-    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), schema)
-
-
 def rank_map(tokens: list[bytes]) -> Column:
     """The ranks of a tokenizer as one literal: ``single`` of the 256 bytes; of pairs of tokens whose bytes together are a token, ``keys``
     and the ranks ``found``, in short lists by hash, so that a look-up compares a few keys.
+
+    The optimizer builds the literal once from JSON, where Python would make one call per entry.
     """
     ranks = {token: rank for rank, token in enumerate(tokens)}
     missing = [i for i in range(256) if bytes([i]) not in ranks]
     if missing or len(tokens) >= ID_LIMIT:
         raise ValueError(f"the ranks lack the single bytes {missing} or count {ID_LIMIT} or more")
-    keys: list[list[int]] = [[] for _ in range(BUCKETS)]
-    found: list[list[int]] = [[] for _ in range(BUCKETS)]
-    for rank, token in enumerate(tokens):
-        for cut in range(1, len(token)):
-            a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
-            if a is not None and b is not None:
-                bucket = (a * SPREAD + b) % BUCKETS
-                keys[bucket].append(a * ID_LIMIT + b)
-                found[bucket].append(rank)
-    single = [ranks[bytes([i])] for i in range(256)]
-    return literal({"single": single, "keys": keys, "found": found}, "struct<single:array<int>,keys:array<array<bigint>>,found:array<array<int>>>")
+    pairs = np.array([
+        (a * ID_LIMIT + b, rank) for rank, token in enumerate(tokens) for cut in range(1, len(token))
+        if (a := ranks.get(token[:cut])) is not None and (b := ranks.get(token[cut:])) is not None], dtype=np.int64).reshape(-1, 2)
+    bucket = ((pairs[:, 0] // ID_LIMIT) * SPREAD + pairs[:, 0] % ID_LIMIT) % BUCKETS
+    order = np.argsort(bucket, kind="stable")
+    pairs, cuts = pairs[order], np.searchsorted(bucket[order], np.arange(BUCKETS + 1)).tolist()
+
+    def lists(values: np.ndarray) -> str:
+        return ",".join(f"[{','.join(map(str, values[a:b].tolist()))}]" for a, b in zip(cuts, cuts[1:]))  # noqa: B905
+
+    single = ",".join(str(ranks[bytes([i])]) for i in range(256))
+    text = f'{{"single":[{single}],"keys":[{lists(pairs[:, 0])}],"found":[{lists(pairs[:, 1])}]}}'
+    return F.from_json(F.lit(text), "struct<single:array<int>,keys:array<array<bigint>>,found:array<array<int>>>")
 
 
 def rank_of_pair(ranks: Column, a: Column, b: Column) -> Column:
@@ -410,5 +408,6 @@ def spelled_out(tokens: list[bytes], ids: np.ndarray, ends: np.ndarray) -> pa.Ar
 
 def decode(ids: Column, ranks_path: str) -> Column:
     """The bytes of token ids: their tokens, concatenated."""
-    by_rank = literal([base64.b64encode(token).decode() for token in read_ranks(ranks_path)], "array<binary>")
+    spelled = ",".join(f'"{base64.b64encode(token).decode()}"' for token in read_ranks(ranks_path))
+    by_rank = F.from_json(F.lit(f"[{spelled}]"), "array<binary>")
     return F.aggregate(ids, F.lit(b""), lambda done, rank: F.concat(done, F.get(by_rank, rank)))
