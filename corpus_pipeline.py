@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from grapevine.llm import bpe, decontaminate, line_runs, quality, signature_tree
-from grapevine.storage import materialise
+from grapevine.storage import materialise, release
 
 MIN_QUALITY = 0.5
 MIN_LINE_DOCS = 10
@@ -48,6 +48,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ``MIN_LINE_DOCS`` documents or more go, everywhere; every document stays."""
+    release(spark)
     rows = line_runs.drop_repeated_lines(docs, "text", MIN_LINE_DOCS)
     kept = {"text": F.col("_kept"), "n_chars": F.length("_kept").cast(docs.schema["n_chars"].dataType)}
     return rows.withColumns(kept).select(*docs.columns)
@@ -58,6 +59,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows without words stay. Of rows that repeat id and text one stays.
     """
+    release(spark)
     placed, place = _with_places(docs)
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *place).alias("row")
     rows = signature_tree.near_duplicates(placed.select(key, "text"), "row")
@@ -67,6 +69,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that leak a benchmark item go, with an id or without."""
+    release(spark)
     placed, place = _with_places(docs)
     found = decontaminate.leaks(placed.select(F.struct(*place).alias("row"), "text"), _table(spark, sf_dir, "benchmark"), "row")
     gone = materialise(found.select("row.*").distinct(), name="leaks")
@@ -75,6 +78,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
+    release(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rows = bpe.encode(docs, path, public_tokenizers.PATTERN, "text", ["doc_id", "lang", "source"])
     return rows.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,15 @@ def delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Between the stages of a long job: let go of plans, broadcasts and shuffle files that nothing uses any more.
+
+    Spark's cleaner learns of them only when the driver collects garbage: Python first, whose frames hold on to plans, then the JVM.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialise(df: DataFrame, path: str | None = None, name: str = "table") -> DataFrame:
     """Write ``df`` once as Parquet and read it back.
 
