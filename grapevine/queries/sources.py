@@ -9,7 +9,7 @@ from ..operators import clustering as c
 from ..operators import spend
 from ..operators.joins import label_lookup
 from ..plans.replies import read_or_empty
-from ..sources import readers, writers
+from ..sources import readers, split_csv, writers
 from ..sources.cache import KeyedCache
 from ..storage import new_folder
 from .clusters import counted, hashed_words, spaces_of
@@ -126,6 +126,16 @@ def write_csv(spark, folder):
     return back.select("review_id", "rating", F.md5("review_text").alias("text_md5"))
 
 
+@query(f"WITH {REVIEWS} SELECT review_id, rating, md5(review_text) AS text_md5 FROM reviews")
+def read_quoted_csv(spark, folder):
+    """The same round trip, read by as many tasks as the files have cuts."""
+    path = new_folder(spark, "quoted")
+    rows = reviews(spark, folder).select("review_id", "rating", "review_text")
+    writers.write_csv(rows, path)
+    back = split_csv.read_quoted_csv(spark, path, "review_id string, rating int, review_text string")
+    return back.select("review_id", "rating", F.md5("review_text").alias("text_md5"))
+
+
 @query("SELECT doc_id::VARCHAR AS review_id, 32 AS dims FROM documents")
 def embedding_store(spark, folder):
     """Half of the texts are stored first; the second call embeds only the others."""

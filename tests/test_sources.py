@@ -1,4 +1,5 @@
 import json
+import random
 import re
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from grapevine.plans import ingest
 from grapevine.sources import readers, writers
 from grapevine.sources.cache import KeyedCache
+from grapevine.sources.split_csv import quoted_records, read_quoted_csv
 from grapevine.storage import exists, materialise, new_folder, remove_work, run_folder, shared_folder
 
 
@@ -133,3 +135,28 @@ def test_work_of_a_run_is_removed(spark):
     assert exists(session, rows.inputFiles()[0]) and session.catalog.tableExists("work_table_of_run")
     remove_work(session)
     assert not exists(session, run_folder(session)) and not session.catalog.tableExists("work_table_of_run")
+
+
+def test_quoted_csv_is_read_by_many_tasks_as_by_one(spark, tmp_path):
+    dice = random.Random(7)
+    parts = ["plain", 'say ""hi""', "two\nlines", "a,b", "\n\n", "é中", '""', " x ", "three\n\"\"quoted\"\"\nlines", "z" * 150]
+    for name, end in (("a.csv", "\n"), ("b.csv", "\n"), ("c.csv", "\r\n")):
+        rows = []
+        for i in range(120):
+            fields = [f"{name}{i}", str(i), "".join(dice.choice(parts) for _ in range(dice.randint(0, 4)))]
+            rows.append(",".join([fields[0], fields[1], f'"{fields[2]}"']))
+        (tmp_path / name).write_bytes((end.join(["id,n,body", *rows]) + (end if name != "b.csv" else "")).encode())
+    schema = "id string, n int, body string"
+    expected = spark.read.schema(schema).options(header=True, multiLine=True, escape='"').csv(str(tmp_path))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("300b", "2k", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = read_quoted_csv(spark, str(tmp_path), schema)
+            assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, expected.collect()), key=repr)
+            if size == "300b":
+                assert quoted_records(spark, str(tmp_path)).select("file", "cut").distinct().count() > 40
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
