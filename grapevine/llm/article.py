@@ -49,14 +49,14 @@ SCOPE = frozenset("table td th caption button object template html body".split()
 
 # other than text, wherever they are
 NEVER = RAW | frozenset(
-    "head nav footer aside button select noscript template svg math canvas object embed audio video dialog menu search map".split())
+    "head nav footer aside button select noscript template svg canvas object embed audio video dialog menu search".split())
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form status tablist toolbar".split())
 # words of class and id; comments may hold most of a page's text, the others are passed over if they do
 COMMENTS = frozenset("comment comments disqus respond replies discussion".split())
 OTHER = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted banner cookie cookies consent gdpr notice notices "
+    "ad ads adsbygoogle advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted banner cookie cookies consent gdpr notice notices "
     "popup modal overlay newsletter subscribe subscription signup login menu nav navbar navigation breadcrumb breadcrumbs topbar toolbar masthead "
-    "footer sidebar sidebars rail widget widgets related recommended recommendations share sharing social pagination pager tags alert "
+    "footer sidebar sidebars rail related recommended recommendations share sharing social pagination pager tags alert "
     "disclaimer skip paywall survey".split())
 TITLES = frozenset(["header"])  # of the page, or of the article: then only its headings are text
 GOOD = frozenset("article body content entry main post story text page blog hentry".split())
@@ -198,9 +198,9 @@ class Scored:
             parent = parents[node]
             inside[node] = inside[parent] or self.is_article(node)
             self.gone[node] = self.gone[parent] or self.is_other(node)
-            if not self.gone[node] and self.is_title(node):
+            if not self.gone[node] and self.is_title(node) and not self.is_most(node):
                 self.titles[node] = inside[parent]
-                self.gone[node] = not inside[parent] and not self.is_most(node)
+                self.gone[node] = not inside[parent]
         own, links, points = [0.0] * n, [0.0] * n, [0.0] * n
         chars, commas = [0] * n, [0] * n
         for node, size, marks in self.texts:

@@ -77,6 +77,13 @@ def test_page_wrapped_in_a_form_and_in_a_named_layout():
     assert text_of(page) == PLAIN
 
 
+def test_layout_names_that_sound_like_other_parts():
+    parts = "".join(f"<div class='elementor-widget'><p>{x}</p></div>" for x in LOREM)
+    page = f"<body><article class='post'><div class='with-header cookie-free'>{parts}</div></article><ins class='adsbygoogle'>Buy, buy, buy.</ins></body>"
+    assert text_of(page) == PLAIN
+    assert text_of(f"<article>{PARAGRAPHS}<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></article>") == [*PLAIN, "so x=1"]
+
+
 def test_tables_lists_and_definitions_inside_a_text():
     page = f"<article>{PARAGRAPHS}<ul><li>one<li>two</ul><table><tr><td>a<td>b<tr><th>c</table><dl><dt>t<dd>d</dl><pre>x\n  y</pre></article>"
     assert text_of(page) == [*PLAIN, "one", "two", "a", "b", "c", "t", "d", "x y"]
