@@ -7,7 +7,6 @@ from grapevine.queries import QUERIES, SQL
 from .oracle import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"stack_select", "kmeans_search", "predict_by_language"}  # their operators have tests of their own
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +20,7 @@ def test_agrees_with_sql(spark, tables, name):
     assert not problems
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     result = QUERIES[name](spark, FOLDER)
     assert result.columns
