@@ -104,9 +104,10 @@ def tfidf_weights(
     weight = (1 + F.log("tf")) * F.col("idf")
     weighed = found.select("_row", F.struct("index", weight.alias("weight")).alias("term")).groupBy("_row").agg(F.sort_array(F.collect_list("term")).alias("_terms"))
     length = F.sqrt(F.aggregate("_terms", F.lit(0.0), lambda total, t: total + t["weight"] * t["weight"]))
-    scaled = weighed.withColumn("_length", length).select(
-        F.col("_row").alias("_at"),
-        F.struct(F.col("_terms.index").alias("indices"), F.transform("_terms", lambda t: t["weight"] / F.col("_length")).alias("weights")).alias(name))
+    # the length is bound once per row: as a column it would be worked out again inside the function, for every term
+    weights = F.get(F.transform(F.array(length), lambda whole: F.transform("_terms", lambda t: t["weight"] / whole)), F.lit(0))
+    scaled = weighed.select(
+        F.col("_row").alias("_at"), F.struct(F.col("_terms.index").alias("indices"), weights.alias("weights")).alias(name))
     none = F.struct(F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("weights"))
     joined = rows.join(scaled, F.col("_row") == F.col("_at"), "left")
     return joined.withColumn(name, F.coalesce(F.col(name), none)).drop("_row", "_at")

@@ -86,6 +86,14 @@ def sentences(spark):
     return spark.createDataFrame(rows, "id int, lang string, text string, label string")
 
 
+def test_the_length_of_a_row_is_not_worked_out_per_term(spark):
+    rows = spark.createDataFrame([(1, "en", "ab cd"), (2, "en", "ab ef")], "id int, lang string, text string")
+    counted = f.char_gram_counts(rows, "text")
+    weighed = f.tfidf_weights(counted, f.vocabulary(counted, "lang"), "lang")
+    plan = weighed._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "sqrt(aggregate(" in plan and "/ sqrt(aggregate(" not in plan
+
+
 def test_tfidf_equals_the_formula(spark):
     rows = spark.createDataFrame([(1, "en", "Ab ab"), (2, "en", "b"), (3, "en", " ")], "id int, lang string, text string")
     counted = f.char_gram_counts(rows, "text")
