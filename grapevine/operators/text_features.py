@@ -12,13 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..storage import materialise, new_folder, spread
+from ..storage import in_slices, materialise, new_folder, spread
 from .positions import first_n
 
 GRAMS = "gram array<string>, tf array<int>"
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def _word_grams(word: str, longest: int) -> tuple[str, ...]:
     """The 1..longest character pieces of a word that has one space on each side."""
     padded = f" {word} "
@@ -44,7 +44,7 @@ def char_gram_counts(rows: DataFrame, text: str, longest: int = 3, name: str = "
 
     @F.pandas_udf(GRAMS)
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in in_slices(batches):
             counted = [_char_grams(t or "", longest) for t in texts]
             yield pd.DataFrame({"gram": [list(c) for c in counted], "tf": [list(c.values()) for c in counted]})
 

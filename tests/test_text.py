@@ -100,3 +100,13 @@ def test_vocabulary_is_cut_by_total_and_then_by_gram(spark):
             own = sorted((r for r in every if r.lang == lang), key=lambda r: (-r.total, r.gram))
             wanted |= {(r.lang, r.gram) for r in own[:n]}
         assert {(r.lang, r.gram) for r in f.vocabulary(counted, "lang", max_terms=n).collect()} == wanted
+
+
+def test_values_come_in_slices_and_in_order():
+    import pandas as pd
+
+    from grapevine.storage import in_slices
+
+    parts = list(in_slices([pd.Series(range(600)), pd.Series([], dtype=int), pd.Series([7])], 256))
+    assert [len(p) for p in parts] == [256, 256, 88, 1]
+    assert [v for p in parts for v in p] == [*range(600), 7]
