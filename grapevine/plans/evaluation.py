@@ -44,22 +44,25 @@ def sentiment_eval(
     """Classify what is not cached, then score the label and the star-derived label.
 
     ``rows`` have a ``label``. A failed batch is left out of the measures and retried by the next run; ``missing``
-    counts such rows.
+    counts such rows. Texts go to the model and nowhere else: responses keep the keys, and the measures are taken without them;
+    ``rows`` has all columns and is joined when it is read.
     """
     spark = rows.sparkSession
     key = cache_key(F.lit(prompt), F.lit(caller.model), F.col("review_id"))
     keyed = rows.withColumn("key", key)
-    todo = materialise(pending_rows(keyed, read_or_empty(spark, cache_path, schemas.PREDICTION_CACHE)), name="pending")
+    asked = keyed.select("key", "review_id", "review_text")
+    todo = materialise(pending_rows(asked, read_or_empty(spark, cache_path, schemas.PREDICTION_CACHE)), name="pending")
     plan = estimate_cost(todo)
     if not confirmed and plan.first()["needs_confirmation"]:
         raise ConfirmationNeeded("the estimated cost is above the limit; confirm the run first")
-    responses = infer_batches(todo, caller, "review_id", batch_payload("review_id", "review_text"), 10, "classify")
+    responses = infer_batches(
+        todo, caller, "review_id", batch_payload("review_id", "review_text"), 10, "classify", keep=["key", "review_id"])
     answered = answers_by_id(responses, schemas.CLASSIFICATIONS, "classifications", "review_id")
     fresh = answered.where(F.col("answer").isNotNull()).select("key", "answer.*")
     append_cache(fresh, cache_path, seq)
     cache = latest_per_key(read_cache(spark, cache_path, schemas.PREDICTION_CACHE))
     fields = {"sentiment": "pred", "topic": "topic", "confidence": "conf", "stars": "stars_pred"}
-    attached = materialise(attach_cached(keyed, cache, fields), name="sentiment-eval")
+    attached = materialise(attach_cached(keyed.drop("review_text"), cache, fields), name="sentiment-eval")
     scored = label_from_stars(drop_missing_predictions(attached, "pred"))
     with_stars = scored.where(F.col("pred_from_stars").isNotNull())
     return {
@@ -69,7 +72,7 @@ def sentiment_eval(
         "report_from_stars": a.classification_report(with_stars, pred="pred_from_stars", languages=languages),
         "topics": a.value_counts(scored, "topic"),
         "confusion": a.crosstab(scored, "label", "pred", SENTIMENTS),
-        "rows": scored,
+        "rows": label_from_stars(drop_missing_predictions(attach_cached(keyed, cache, fields), "pred")),
     }
 
 

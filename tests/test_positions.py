@@ -142,3 +142,9 @@ def test_samples_move_keys_only(spark):
         assert "Exchange hashpartitioning" not in text and "Window" not in text
     cuts = p.cut_points(spark.read.parquet(path), ["g"], p.seeded_hash(F.col("id"), 1), F.lit(12))
     assert "body" not in cuts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_rows_of_a_split_are_marked_where_they_lie(spark):
+    rows = spark.createDataFrame([(i, "en", "text") for i in range(30)], "id bigint, lang string, text string")
+    plan = s.dev_test_split(rows, ["lang"], "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
