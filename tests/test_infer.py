@@ -181,3 +181,30 @@ def test_four_calls_are_in_flight_and_answers_keep_their_rows(spark):
     assert len(responses) == 40 and all(r.response.call_error is None for r in responses)
     found = [r.response.content[0].text.split(":") for r in responses]
     assert [text for text, _ in found] == [r.text for r in responses] and {int(most) for _, most in found} == {4}
+
+
+def test_responses_keep_only_the_named_columns(spark):
+    rows = reviews(spark)
+    payload = infer.batch_payload("review_id", "review_text")
+    responses = infer.infer_batches(rows, rules.caller(rules.classify), "review_id", payload, 10, "classify", keep=["review_id"])
+    assert "payload" not in responses.columns
+    kept = responses.select(F.explode("rows").alias("row")).select("row.*")
+    assert kept.columns == ["review_id"]
+    assert sorted(r.review_id for r in kept.collect()) == sorted(r.review_id for r in rows.select("review_id").collect())
+
+
+def test_reply_evaluation_shows_whole_texts_and_stores_none_with_its_calls(spark):
+    texts = {f"r{i}": "x" * (1600 + i) for i in range(12)} | {"r3": "short"}
+    rows = spark.createDataFrame(
+        [(k, i, "en", ["negative", "neutral", "positive"][i % 3], "shipping", None, t) for i, (k, t) in enumerate(texts.items())],
+        "review_id string, ordinal bigint, detected_language string, sentiment string, topic string, issue string, review_text string")
+    rows = rows.unionByName(rows.where("ordinal = 3").withColumn("ordinal", F.lit(99)))  # an id twice
+    base = new_folder(spark, "evaluation")
+    found = replies.reply_evaluation(
+        rows, rules.caller(rules.reply), rules.caller(rules.judge), playbooks(spark), replies.CacheFiles(f"{base}/r", f"{base}/s"), 1,
+        {"en": ["Nora"]}, n=None)
+    got = found["evaluation"].collect()
+    assert found["evaluation"].columns[:7] == rows.columns and {r.review_id for r in got} == {k for k, t in texts.items() if min(len(t), 1500) % 17}
+    assert all(r.review_text == texts[r.review_id] for r in got) and sum(r.review_id == "r3" for r in got) == 2
+    for calls in ("drafting_calls", "judging_calls"):
+        assert found[calls].select(F.col("rows")[0].alias("r")).select("r.*").columns == ["key"]
