@@ -202,8 +202,10 @@ def stack_variants(
 ) -> tuple[DataFrame, DataFrame]:
     """(scores as ``stack_select`` gives them, confusion of the selected variant on the test rows: label, stacked, n)."""
     spark = train.sparkSession
-    base = stratified_folds(train, "label", id_column, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    held = test.persist(StorageLevel.MEMORY_AND_DISK)
+    # the fits pass over these few numbers per row a thousand times, and each task of a pass reports to the driver: a task per core does
+    cores = spark.sparkContext.defaultParallelism
+    base = stratified_folds(train, "label", id_column, folds, seed).coalesce(cores).persist(StorageLevel.MEMORY_AND_DISK)
+    held = test.coalesce(cores).persist(StorageLevel.MEMORY_AND_DISK)
     sizes: dict[int, dict[str, int]] = {f: {} for f in range(folds)}
     for f, label, n in base.groupBy("fold", "label").count().collect():
         sizes[f][label] = n

@@ -197,3 +197,14 @@ def test_search_measures_all_rows(spark):
     best = found.where("id >= 0").withColumn("c", F.col("cluster"))
     assert scores[3].silhouette_squared == round(c.silhouette_squared(best, "v", "c"), 4) == max(r.silhouette_squared for r in scores.values())
     assert c.kmeans_search(rows.limit(0), "id", "v")[1].count() == 0
+
+
+def test_a_stacker_fit_has_a_task_per_core(spark, monkeypatch):
+    rows = spark.range(96).select(
+        F.col("id").cast("string").alias("review_id"), F.element_at(F.array(*map(F.lit, ["negative", "positive"])), (F.col("id") % 2 + 1).cast("int")).alias("label"),
+        F.lit("negative").alias("pred"), F.lit(0.5).alias("conf"), (F.col("id") % 5).cast("double").alias("stars_pred"),
+        *[F.lit(0.3).alias(f"p_{k}") for k in ("negative", "neutral", "positive")]).repartition(40)
+    seen, predict = [], m._predict
+    monkeypatch.setattr(m, "_predict", lambda model, data, classes: seen.append(data.rdd.getNumPartitions()) or predict(model, data, classes))
+    m.stack_select(rows, rows, "review_id", folds=2)
+    assert seen and max(seen) <= spark.sparkContext.defaultParallelism
