@@ -208,3 +208,21 @@ def test_reply_evaluation_shows_whole_texts_and_stores_none_with_its_calls(spark
     assert all(r.review_text == texts[r.review_id] for r in got) and sum(r.review_id == "r3" for r in got) == 2
     for calls in ("drafting_calls", "judging_calls"):
         assert found[calls].select(F.col("rows")[0].alias("r")).select("r.*").columns == ["key"]
+
+
+def test_the_full_run_hands_no_texts_from_stage_to_stage_and_keeps_repeated_and_null_ids(spark):
+    rows = reviews(spark, 30).withColumns({
+        "source": F.lit("s"), "rating": F.lit(1), "product_category": F.lit(None).cast("string"), "review_date": F.lit(None).cast("date"),
+        "review_id": F.when(F.col("ordinal") == 3, "r002").when(F.col("ordinal") != 5, F.col("review_id")),
+    })
+    callers = [rules.caller(f) for f in (rules.translate, rules.classify, rules.assign, rules.reply)]
+    whole, calls = replies.full_run(rows, *callers, playbooks(spark), {"en": ["Kim"], "de": ["Ulf"]})
+    stored = {stage: set(table.schema["rows"].dataType.elementType.names) for stage, table in calls.items()}
+    assert not [stage for stage, names in stored.items() if names & {"review_text", "translated_text"}]
+    got = {r.ordinal: r for r in whole.collect()}
+    assert len(got) == whole.count() == 30 and got[5].review_id is None and got[3].review_id == "r002"
+    for i, row in got.items():
+        assert row.review_text == "a" * (i + 1)
+        assert row.translation_status == ("not_needed" if i % 2 == 0 else row.translation_status)
+        assert i % 2 or row.translated_text == row.review_text
+    assert whole.columns[:len(rows.columns)] == rows.columns and "_row" not in whole.columns
