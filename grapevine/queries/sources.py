@@ -12,7 +12,7 @@ from ..plans.replies import read_or_empty
 from ..sources import readers, split_csv, writers
 from ..sources.cache import KeyedCache
 from ..storage import new_folder
-from .clusters import counted, hashed_words, spaces_of
+from .clusters import counted, hashed_words, spaces_of_chars
 from .measures import TRUTH, _truth
 from .registry import query
 from .replies import FULL, CATEGORIES, _full
@@ -164,9 +164,11 @@ def embedding_store_of_changed_texts(spark, folder):
 
     writers.embedding_store(rows, "review_id", path, embed, text="text")
     changed = rows.withColumn("text", F.when(F.col("changes"), F.concat("text", F.lit(" x x"))).otherwise(F.col("text")))
-    done = writers.embedding_store(changed, "review_id", path, embed, text="text")
+    # measured where the texts lie: neither join to the vectors nor that to the versions moves a text
+    measured = changed.withColumn("chars", F.length("text"))
+    done = writers.embedding_store(measured, "review_id", path, embed, text="text")
     versions = writers.stored_embeddings(spark, path).groupBy(F.col("id").alias("review_id")).agg(F.count("*").alias("versions"))
-    return done.join(versions, "review_id").select("review_id", spaces_of("embedding", "text").alias("spaces"), "versions")
+    return done.join(versions, "review_id").select("review_id", spaces_of_chars("embedding", F.col("chars")).alias("spaces"), "versions")
 
 
 @query(
