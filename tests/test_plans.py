@@ -70,8 +70,13 @@ def test_only_literal_tables_are_marked_for_broadcast(spark):
 def test_texts_stay_where_they_lie_when_their_stored_vectors_are_read(spark, tmp_path):
     rows = spark.range(40).select("id", F.format_string("doc %d", "id").alias("doc"))
     rows.select(F.col("id").alias("doc_id"), F.col("doc").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
-    found = QUERIES["embedding_store_of_changed_texts"](spark, str(tmp_path))
-    lines = plan(found).splitlines()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables too large for it
+    try:
+        found = QUERIES["embedding_store_of_changed_texts"](spark, str(tmp_path))
+        lines = plan(found).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     below = [lines[i + 1] for i, line in enumerate(lines[:-1]) if "Exchange hashpartitioning" in line]
     assert below and not [line for line in below if re.search(r"AS text#|(\[|, )text#\d+(,|\])", line)]
     assert {(r.spaces, r.versions) for r in found.collect()} == {(1, 1), (3, 2)}
