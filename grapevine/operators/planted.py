@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed import WINDOW
-from ..storage import materialise
+from ..storage import materialise, spread
 from .joins import literal_table
 from .positions import first_n, nth_value, seeded_hash
 from .trends import detect_spikes
@@ -59,41 +59,53 @@ def plant_spikes(
 
 HASH_DIGITS, BLOCK_DIGITS = 15, 2  # hexadecimal digits of an order value, and of them those that one counting pass reads
 BLOCK_ROWS = 1 << 20
+REACH = 8  # standard deviations to each side of where a cut-off should be, within which values are counted one by one
 
 
 def _seeded(rows: DataFrame, first_seed: int, runs: int) -> DataFrame:
     """Each row once per seed with its order value: the digits that ``seeded_hash`` reads as a number, whose order text keeps."""
-    seeds = F.explode(F.sequence(F.lit(first_seed), F.lit(first_seed + runs - 1)))
-    digest = F.md5(F.concat(F.col("_id"), F.lit("|"), F.col("seed").cast("string")))
-    return rows.withColumn("seed", seeds).withColumn("_order", F.substring(digest, 1, HASH_DIGITS)).drop("_id")
+    salts = F.array(*[F.lit(f"|{seed}") for seed in range(first_seed, first_seed + runs)])
+    salted = rows.select("*", F.posexplode(salts).alias("_at", "_salt"))
+    order = F.substring(F.md5(F.concat("_id", "_salt")), 1, HASH_DIGITS)
+    return salted.withColumns({"seed": F.col("_at") + F.lit(first_seed), "_order": order}).drop("_id", "_at", "_salt")
 
 
-def planted_counts(rows: DataFrame, group: str, id_column: str, spikes: Sequence[Spike], n_weeks: int, runs: int, first_seed: int = 0) -> DataFrame:
-    """(seed, group, week, count) after planting, once per seed; at most one spike per group.
+def _digits(share: Column) -> Column:
+    """The order value that this share (0 to 1) of all possible values lies below."""
+    inside = F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
+    number = F.least(F.floor(inside * F.lit(float(16**HASH_DIGITS))), F.lit(16**HASH_DIGITS - 1))
+    return F.lower(F.lpad(F.hex(number), HASH_DIGITS, "0"))
+
+
+def _brackets(need: DataFrame) -> DataFrame:
+    """``need`` with the order values ``_low`` and ``_high`` that its cut-offs should lie between, whatever the seed.
 
-    Each seed orders a group's rows by its own hash and moves those up to a cut-off, as ``plant_spikes`` does. Rows meet the seeds inside the
-    tasks that read them, and what leaves a task are counts: first of the blocks of hash values, 256 per seed, group and pass, which
-    give the block that holds the cut-off; then per week of what lies below that block, and by value inside it. Passes follow
-    the seeds and the rows of the largest group, so that the values written are no more than the rows, however many the seeds are.
+    Of n even values the k-th is near k / (n + 1), with a deviation of about sqrt(k (n - k) / n^3).
+    """
+    n, k = F.col("_movable").cast("double"), F.col("_need").cast("double")
+    wide = F.lit(float(REACH)) * (F.sqrt(k * (n - k) / (n * n * n)) + 4 / n)
+    return need.withColumns({"_low": _digits(k / (n + 1) - wide), "_high": _digits(k / (n + 1) + wide)})
+
+
+def _first_ones(counted: DataFrame, group: str) -> DataFrame:
+    """Of (seed, group, week, target, left, value, count): all without a value, and the ``_left`` rows of the smallest values."""
+    ranked = counted.where("_value IS NOT NULL").withColumn("_number", F.dense_rank().over(Window.partitionBy("seed", group).orderBy("_value")))
+    before = Window.partitionBy("seed", group).orderBy("_number").rangeBetween(Window.unboundedPreceding, -1)
+    ranked = ranked.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).where(F.col("_before") < F.col("_left"))
+    columns = ["seed", group, "week", "_target", "count"]
+    return counted.where("_value IS NULL").select(*columns).unionByName(ranked.select(*columns))
+
+
+def _moved_by_blocks(seeded: DataFrame, cuts: DataFrame, group: str, passes: int) -> DataFrame:
+    """(seed, group, week, target, count) of the rows up to each cut-off, which is found from counts of ever smaller blocks.
+
+    ``cuts`` holds (seed, group, the digits known of the cut-off, how many rows are still to be taken from behind them); only its seeds and
+    groups are read. A pass counts the blocks of hash values, 256 per seed and group.
     """
-    if len({s[0] for s in spikes}) < len(spikes):
-        raise ValueError("a backtest plants one spike per group")
-    week = F.col("week").cast("int").alias("week")
-    narrow = rows.select(F.col(id_column).cast("string").alias("_id"), group, week)
-    need = materialise(_needs(narrow, group, spikes, F.lit(n_weeks)).where(F.col("_need") > 0), name="needs")  # at most a row per spike
-    movable = narrow.join(F.broadcast(need.select(group, "_target")), group).where(F.col("week") != F.col("_target"))
-    largest = narrow.join(F.broadcast(need.select(group)), group, "left_semi").groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    size, passes = 16**BLOCK_DIGITS, 1
-    while size**passes < max(runs, largest / BLOCK_ROWS):
-        passes += 1
-    seeded = _seeded(movable, first_seed, runs)
-    seeds = F.explode(F.sequence(F.lit(first_seed), F.lit(first_seed + runs - 1)))
-    # (seed, group): the digits known of the cut-off, and how many rows are still to be taken from behind them
-    cuts = need.select(seeds.alias("seed"), group, F.lit("").alias("_known"), F.col("_need").alias("_left"))
     running = Window.partitionBy("seed", group).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
     for done in range(passes):
         at = done * BLOCK_DIGITS
-        inside = seeded.join(F.broadcast(cuts), ["seed", group]).where(F.substring("_order", 1, at) == F.col("_known")) if done else seeded
+        inside = seeded.join(F.broadcast(cuts), ["seed", group]).where(F.substring("_order", 1, at) == F.col("_known"))
         blocks = inside.groupBy("seed", group, F.substring("_order", at + 1, BLOCK_DIGITS).alias("_block")).agg(F.count("*").alias("_total"))
         holding = blocks.withColumn("_upto", F.sum("_total").over(running)).join(F.broadcast(cuts), ["seed", group]).where(
             (F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_total") < F.col("_left")))
@@ -102,13 +114,48 @@ def planted_counts(rows: DataFrame, group: str, id_column: str, spikes: Sequence
     start = F.substring("_order", 1, passes * BLOCK_DIGITS)
     near = seeded.join(F.broadcast(cuts), ["seed", group]).where(start <= F.col("_known"))  # a row per seed and spike
     value = F.when(start == F.col("_known"), F.col("_order"))
-    counted = materialise(
-        near.groupBy("seed", group, "week", "_target", "_left", value.alias("_value")).agg(F.count("*").alias("count")), name="near-cuts")
-    ranked = counted.where("_value IS NOT NULL").withColumn("_number", F.dense_rank().over(Window.partitionBy("seed", group).orderBy("_value")))
-    before = Window.partitionBy("seed", group).orderBy("_number").rangeBetween(Window.unboundedPreceding, -1)
-    ranked = ranked.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).where(F.col("_before") < F.col("_left"))
-    columns = ["seed", group, "week", "_target", "count"]
-    moved = counted.where("_value IS NULL").select(*columns).unionByName(ranked.select(*columns))
+    counted = near.groupBy("seed", group, "week", "_target", "_left", value.alias("_value")).agg(F.count("*").alias("count"))
+    return _first_ones(materialise(counted, name="near-cuts"), group)
+
+
+def planted_counts(rows: DataFrame, group: str, id_column: str, spikes: Sequence[Spike], n_weeks: int, runs: int, first_seed: int = 0) -> DataFrame:
+    """(seed, group, week, count) after planting, once per seed; at most one spike per group.
+
+    Each seed orders a group's rows by its own hash and moves those up to a cut-off, as ``plant_spikes`` does. Rows meet the seeds once, inside
+    the tasks that read them. Hash values are even, so a cut-off lies near a known share of them: rows beyond are left at once,
+    rows before are counted per week, those between by value. Whether a cut-off was among these is seen from the counts; where it
+    was not (ids that many rows repeat), that seed and group are read again, block by block. Values written are no more than the rows.
+    """
+    if len({s[0] for s in spikes}) < len(spikes):
+        raise ValueError("a backtest plants one spike per group")
+    week = F.col("week").cast("int").alias("week")
+    narrow = rows.select(F.col(id_column).cast("string").alias("_id"), group, week)
+    need = materialise(_needs(narrow, group, spikes, F.lit(n_weeks)).where(F.col("_need") > 0), name="needs")  # at most a row per spike
+    movable = spread(narrow).join(F.broadcast(need.select(group, "_target")), group).where(F.col("week") != F.col("_target"))
+    # rows without an id stay where they are, and count as the first ones
+    sizes = movable.groupBy(group).agg(F.count("_id").alias("_movable"), F.count_if(F.col("_id").isNull()).alias("_none"))
+    need = need.join(sizes, group).withColumn("_need", F.col("_need") - F.col("_none")).where(F.col("_need") > 0).drop("_none")
+    need = materialise(_brackets(need), name="brackets")
+    seeds = F.explode(F.sequence(F.lit(first_seed), F.lit(first_seed + runs - 1)))
+    within = movable.join(F.broadcast(need.select(group, "_low", "_high")), group)
+    value = F.when(F.col("_order") >= F.col("_low"), F.col("_order"))
+    near = _seeded(within, first_seed, runs).where(F.col("_order") <= F.col("_high"))
+    counted = materialise(near.groupBy("seed", group, "week", "_target", value.alias("_value")).agg(F.count("*").alias("count")), name="near-cuts")
+    # (seed, group): the rows before the bracket and up to its end; the cut-off is inside if the need is between them
+    upto = counted.groupBy("seed", group).agg(
+        F.coalesce(F.sum(F.when(F.col("_value").isNull(), F.col("count"))), F.lit(0)).alias("_under"), F.sum("count").alias("_upto"))
+    cuts = need.select(seeds.alias("seed"), group, "_need").join(upto, ["seed", group], "left")
+    inside = (F.col("_under") < F.col("_need")) & (F.col("_need") <= F.col("_upto"))
+    cuts = materialise(cuts.withColumn("_inside", F.coalesce(inside, F.lit(False))), name="cut-offs")
+    good = cuts.where("_inside").select("seed", group, (F.col("_need") - F.col("_under")).alias("_left"))
+    moved = _first_ones(counted.join(F.broadcast(good), ["seed", group]), group)
+    missed = cuts.where("NOT _inside").select("seed", group, F.lit("").alias("_known"), F.col("_need").alias("_left"))
+    if not missed.isEmpty():
+        largest = need.agg(F.max("_movable")).first()[0]
+        size, passes = 16**BLOCK_DIGITS, 1
+        while size**passes < max(runs, largest / BLOCK_ROWS):
+            passes += 1
+        moved = moved.unionByName(_moved_by_blocks(_seeded(movable, first_seed, runs), missed, group, passes))
     gone = moved.select("seed", group, "week", (-F.col("count")).alias("count"))
     come = moved.select("seed", group, F.col("_target").alias("week"), "count")
     base = rows.groupBy(group, week).agg(F.count("*").alias("count")).withColumn("seed", seeds)

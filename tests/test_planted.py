@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from grapevine.operators import aggregates as a
 from grapevine.operators import planted as p
 from grapevine.queries import trends
+from grapevine.storage import materialise
 
 
 def timeline(spark, n=60, weeks=12):
@@ -77,6 +78,36 @@ def test_planted_counts_read_ever_smaller_blocks(spark, monkeypatch):
     assert {tuple(r) for r in p.planted_counts(reviews(spark), "topic", "rid", SPIKES, 12, runs=4).collect()} == once
 
 
+def stored_names(monkeypatch):
+    names = []
+
+    def seen(df, path=None, name="table"):
+        names.append((name, "md5(" in df._jdf.queryExecution().optimizedPlan().toString()))
+        return materialise(df, path, name)
+
+    monkeypatch.setattr(p, "materialise", seen)
+    return names
+
+
+def test_rows_meet_the_seeds_once(spark, monkeypatch):
+    names = stored_names(monkeypatch)
+    rows = reviews(spark, n=4800)
+    got = {tuple(r) for r in p.planted_counts(rows, "topic", "rid", SPIKES, 12, runs=5).collect()}
+    assert [name for name, hashed in names if hashed] == ["near-cuts"]
+    monkeypatch.setattr(p, "REACH", -8)  # no cut-off is where it should be: all are found from blocks
+    names.clear()
+    assert {tuple(r) for r in p.planted_counts(rows, "topic", "rid", SPIKES, 12, runs=5).collect()} == got
+    assert len([name for name, hashed in names if hashed]) > 1
+
+
+def test_rows_without_an_id_stay_and_count_as_the_first(spark):
+    rows = reviews(spark).withColumn("rid", F.when(F.col("rid") % 8 != 0, F.col("rid")))  # g0: all rows of even weeks are without
+    some = rows.where("rid IS NOT NULL OR week < 2")  # g0: 140 rows, 20 a week, those of week 0 without an id
+    moved = {r.week: r["count"] for r in p.planted_counts(some, "topic", "rid", SPIKES[:1], 12, runs=1).where("topic = 'g0'").collect()}
+    need = round(5 * 140 / 12) - 20
+    assert moved[7] == 20 + need - 20 and moved[0] == 20 and sum(moved.values()) == 140
+
+
 def test_rows_that_repeat_an_id_move_together(spark):
     rows = reviews(spark).withColumn("rid", F.lit(1))
     got = {(r.topic, r.week): r["count"] for r in p.planted_counts(rows, "topic", "rid", SPIKES[:1], 12, runs=1).collect()}
