@@ -2,7 +2,7 @@
 
 Texts are split into pieces by the tokenizer's pattern. A batch of texts is written as numbers of its own distinct pieces, bucketed by
 batch; the distinct pieces go, packed, to parts of the hash range, where each is encoded once by Spark's higher-order
-functions, with the ranks as a literal; the parts send every batch the ids of its pieces. Texts themselves never move: only
+functions, with the ranks as one value; the parts send every batch the ids of its pieces. Texts themselves never move: only
 a batch's word list does. Decoding concatenates the bytes of the tokens that the ids name.
 
 A step of the fold copies the piece, so pieces over ``LONG`` bytes are merged by a heap of ranked pairs instead, in the same order.
@@ -52,29 +52,32 @@ def read_ranks(path: str) -> list[bytes]:
     return tokens
 
 
-def rank_map(tokens: list[bytes]) -> Column:
-    """The ranks of a tokenizer as one literal: ``single`` of the 256 bytes; of pairs of tokens whose bytes together are a token, ``keys``
+def rank_map(spark: SparkSession, tokens: list[bytes]) -> Column:
+    """The ranks of a tokenizer as one value: ``single`` of the 256 bytes; of pairs of tokens whose bytes together are a token, ``keys``
     and the ranks ``found``, in short lists by hash, so that a look-up compares a few keys.
 
-    The optimizer builds the literal once from JSON, where Python would make one call per entry.
+    It is read from a table of one row, as plain bytes. As a literal it would be an object per number in every plan that the driver holds.
     """
     ranks = {token: rank for rank, token in enumerate(tokens)}
     missing = [i for i in range(256) if bytes([i]) not in ranks]
     if missing or len(tokens) >= ID_LIMIT:
         raise ValueError(f"the ranks lack the single bytes {missing} or count {ID_LIMIT} or more")
-    pairs = np.array([
+    found = (
         (a * ID_LIMIT + b, rank) for rank, token in enumerate(tokens) for cut in range(1, len(token))
-        if (a := ranks.get(token[:cut])) is not None and (b := ranks.get(token[cut:])) is not None], dtype=np.int64).reshape(-1, 2)
+        if (a := ranks.get(token[:cut])) is not None and (b := ranks.get(token[cut:])) is not None)
+    pairs = np.fromiter(chain.from_iterable(found), dtype=np.int64).reshape(-1, 2)
     bucket = ((pairs[:, 0] // ID_LIMIT) * SPREAD + pairs[:, 0] % ID_LIMIT) % BUCKETS
     order = np.argsort(bucket, kind="stable")
-    pairs, cuts = pairs[order], np.searchsorted(bucket[order], np.arange(BUCKETS + 1)).tolist()
+    pairs, cuts = pairs[order], np.searchsorted(bucket[order], np.arange(BUCKETS + 1)).astype(np.int32)
 
-    def lists(values: np.ndarray) -> str:
-        return ",".join(f"[{','.join(map(str, values[a:b].tolist()))}]" for a, b in zip(cuts, cuts[1:]))  # noqa: B905
+    def one_row(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+        lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(values, kind))
+        return pa.ListArray.from_arrays(pa.array([0, BUCKETS], pa.int32()), lists)
 
-    single = ",".join(str(ranks[bytes([i])]) for i in range(256))
-    text = f'{{"single":[{single}],"keys":[{lists(pairs[:, 0])}],"found":[{lists(pairs[:, 1])}]}}'
-    return F.from_json(F.lit(text), "struct<single:array<int>,keys:array<array<bigint>>,found:array<array<int>>>")
+    single = pa.array([[ranks[bytes([i])] for i in range(256)]], pa.list_(pa.int32()))
+    row = pa.table({"single": single, "keys": one_row(pairs[:, 0], pa.int64()), "found": one_row(pairs[:, 1], pa.int32())})
+    stored = materialise(spark.createDataFrame(row), name="ranks")
+    return stored.select(F.struct("single", "keys", "found").alias("ranks")).scalar()
 
 
 def rank_of_pair(ranks: Column, a: Column, b: Column) -> Column:
@@ -119,9 +122,10 @@ def merged(ranks: Column, piece: Column) -> Column:
 def encoded_pieces(pieces: DataFrame, tokens: list[bytes]) -> DataFrame:
     """``pieces`` with the ids of each ``piece`` where they are null: those after its merges."""
     piece = F.col("piece").cast("binary")
-    # bound, so that the plan holds the map once
-    own = bound(rank_map(tokens), lambda ranks: merged(ranks, piece))
-    return pieces.withColumn("ids", F.when(F.col("ids").isNull(), own).otherwise(F.col("ids")))
+    ranks = rank_map(pieces.sparkSession, tokens)
+    # bound, so that the plan holds the map once; a column first, since a lambda may not name a subquery
+    own = bound(F.col("_ranks"), lambda ranks: merged(ranks, piece))
+    return pieces.withColumn("_ranks", ranks).withColumn("ids", F.when(F.col("ids").isNull(), own).otherwise(F.col("ids"))).drop("_ranks")
 
 
 def heap_merged(piece: bytes, ranks: dict[bytes, int], longest: int) -> list[int]:

@@ -265,6 +265,16 @@ def test_long_pieces_by_fold_and_heap(encoding):
             assert ([ranks[piece]] if piece in ranks else bpe.heap_merged(piece, ranks, longest)) == expected
 
 
+def test_bpe_plan_does_not_spell_out_the_ranks(spark):
+    tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    pieces = spark.createDataFrame([("hello", None)], "piece string, ids array<int>")
+    encoded = bpe.encoded_pieces(pieces, tokens)
+    plan = encoded._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 100_000  # 1.9 million with a literal
+    assert plan.count("scalar-subquery") == plan.count("Project [") - 1 == 1  # the map's own and one for the rows: no row carries the map
+    assert b"".join(tokens[i] for i in encoded.first().ids) == b"hello"
+
+
 def test_a_piece_of_a_million_bytes(spark, encoding):
     dice = random.Random(6)
     piece = "".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
