@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..fixed import LANGUAGES, SENTIMENTS
+from ..fixed import ISSUE_CHARS, LANGUAGES, SENTIMENTS
 from ..functions.labels import stars_to_label
 from ..functions.text import cache_key, one_line
 from ..operators import aggregates as a
@@ -79,7 +79,7 @@ def sentiment_eval(
 def issue_assignment_eval(clusters: DataFrame, caller: Caller, n: int | None = 100, seed: int = 1) -> dict[str, DataFrame]:
     """How far the model's category agrees with the cluster of a review, on ``n`` seeded rows, all for None."""
     sample = sample_n(clusters, "review_id", n, seed)
-    assigned, responses = assign_issues(sample, caller)
+    assigned, responses = assign_issues(sample, caller, length=ISSUE_CHARS)
     differ = F.col("category").isNotNull() & (F.col("cluster") != F.col("category"))
     shown = assigned.withColumn("text_start", one_line(F.col("review_text"), 110))
     return {

@@ -226,3 +226,34 @@ def test_the_full_run_hands_no_texts_from_stage_to_stage_and_keeps_repeated_and_
         assert row.translation_status == ("not_needed" if i % 2 == 0 else row.translation_status)
         assert i % 2 or row.translated_text == row.review_text
     assert whole.columns[:len(rows.columns)] == rows.columns and "_row" not in whole.columns
+
+
+def test_the_full_run_reads_texts_to_their_end(spark):
+    """Texts of one kind differ only in length, beyond what issues and replies used to go by."""
+    lengths = [4 + 12 * k for k in range(57, 64)] + [4 + 12 * k for k in range(124, 134)]  # 2 stars: negative
+    lengths = [n for n in lengths if n % 13 and n % 11 and n % 17]
+    rows = reviews(spark, len(lengths)).withColumns({
+        "review_text": F.repeat(F.lit("a"), F.get(F.array(*map(F.lit, lengths)), F.col("ordinal").cast("int")).cast("int")),
+        "source": F.lit("s"), "rating": F.lit(1), "product_category": F.lit(None).cast("string"), "review_date": F.lit(None).cast("date"),
+        "detected_language": F.lit("en"),
+    })
+    seen = []
+    for options in ({}, {"issue_chars": 700, "draft_chars": 1500}):
+        callers = [rules.caller(f) for f in (rules.translate, rules.classify, rules.assign, rules.reply)]
+        whole, _ = replies.full_run(rows, *callers, playbooks(spark), {"en": ["Kim"]}, **options)
+        seen.append({r.ordinal: r for r in whole.collect()})
+    assert len(seen[0]) == len(lengths) > 8 and max(lengths) > 1500
+    for i, n in enumerate(lengths):
+        assert (seen[0][i].issue, seen[0][i].category) == (f"issue {n % 7}", n % 14 - 1)
+        assert seen[0][i].reply_status == "pending_human_review"
+        assert seen[1][i].issue == f"issue {min(n, 700) % 7}"
+
+
+def test_replies_of_the_full_run_depend_on_the_end_of_long_texts(spark):
+    rows = reviews(spark, 1).withColumns({
+        "review_text": F.repeat(F.lit("a"), 17 * 96), "source": F.lit("s"), "rating": F.lit(1),  # the rule fails at this length, not at 1,500
+        "product_category": F.lit(None).cast("string"), "review_date": F.lit(None).cast("date"),
+    })
+    callers = [rules.caller(f) for f in (rules.translate, rules.classify, rules.assign, rules.reply)]
+    whole, _ = replies.full_run(rows, *callers, playbooks(spark), {"en": ["Kim"]})
+    assert [r.reply_status for r in whole.collect()] == ["failed"]
