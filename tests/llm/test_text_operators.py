@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from grapevine.llm import components, fingerprints, fm_index, line_runs, queries, signature_tree, suffix_blocks
+from grapevine.llm import components, fingerprints, fm_index, line_runs, queries, repeats, signature_tree, suffix_blocks
 
 from .helpers import LOWER, WORD, clashing, corpus, frame
 
@@ -260,6 +260,34 @@ def test_suffix_dedup_of_odd_tables(spark):
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 260), (1, 260), (2, 0)]
 
 
+def exchanges_of(plan, name: str) -> list[set[str]]:
+    """Types of the columns that each exchange of a plan moves."""
+    found, open_nodes = [], [plan]
+    while open_nodes:
+        node = open_nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == name:
+            found.append({node.output().apply(i).dataType().simpleString() for i in range(node.output().length())})
+        if kind == "AdaptiveSparkPlanExec":
+            open_nodes.append(node.executedPlan())
+        children = node.children()
+        open_nodes += [children.apply(i) for i in range(children.length())]
+    return found
+
+
+def test_suffix_dedup_moves_texts_once(spark, rows):
+    docs = frame(spark, [(i, t) for i, t in rows] + [(1_000_000 + i, t) for i, t in rows[:20]])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spans = suffix_blocks.repeated_spans(repeats.keyed(docs, "doc_id", "text"))
+        moved = exchanges_of(spans._jdf.queryExecution().executedPlan(), "ShuffleExchangeExec")
+        assert moved and not any("string" in types for types in moved)
+        assert spans.count() == spans.select("t", "u").distinct().count() > 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_blocks_sort_all_suffixes():
     dice = np.random.default_rng(2)
     text = np.concatenate([np.tile(dice.integers(97, 99, 50), 8), dice.integers(97, 100, 300), np.full(90, 97)]).astype(np.uint8)
