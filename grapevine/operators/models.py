@@ -7,11 +7,12 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from ..fixed import SENTIMENTS
 from ..storage import materialise, new_folder
 from .aggregates import scores_from_counts
 from .sampling import stratified_folds
-from .text_features import char_gram_counts, tfidf_weights, vocabulary, with_vectors
+from .text_features import char_gram_counts, numbered_terms, tfidf_weights, vocabulary, with_vectors
 
 TOLERANCE = 1e-4
 INTERCEPT = 100.0  # the constant feature of a language's intercept; its penalty falls with the square
@@ -52,7 +53,7 @@ def _class_index(label: Column, classes: Sequence[str]) -> Column:
     return index
 
 
-def _by_language(language: str, values: Mapping[str, int]) -> Column:
+def _by_language(language: str, values: Mapping[str, int] | Mapping[str, float]) -> Column:
     pairs = [part for name, value in values.items() for part in (F.lit(name), F.lit(value))]
     return F.try_element_at(F.create_map(*pairs), F.col(language))
 
@@ -74,13 +75,13 @@ def train_by_language(
     iterations: int = 1000,
     classes: Sequence[str] = tuple(SENTIMENTS),
 ) -> tuple[dict[str, LanguageModel], DataFrame]:
-    """One multinomial model per language on character TF-IDF. Returns the models and their term table.
+    """One multinomial model per language on character TF-IDF. Returns the models and their term table, with grams as numbers.
 
     Languages that have seen the same classes are fitted together: with a block of features each, the sum of their losses and penalties falls
     apart into theirs, so one pass over the rows per iteration sums the gradients of them all. A language's intercept is the
     weight of a large constant feature, which the penalty hardly touches.
     """
-    counted = char_gram_counts(rows.where(F.col(language).isin(list(languages))).select(language, text, label), text).drop(text)
+    counted = char_gram_counts(rows.where(F.col(language).isin(list(languages))).select(language, text, label), text, spelled=False).drop(text)
     counted = materialise(counted, name="grams")
     terms = materialise(vocabulary(counted, language), name="vocabulary")
     weighed = tfidf_weights(counted, terms, language).drop("grams")
@@ -132,21 +133,63 @@ def predict_by_language(
     ]
     if not models:
         return parts[0]
-    known = char_gram_counts(rows.where(~other), text, name="_grams")
-    weighed = tfidf_weights(known, terms, language, "_grams").drop("_grams")
+    known = char_gram_counts(rows.where(~other), text, name="_grams", spelled=False)
+    known = materialise(known.withColumn("_row", F.monotonically_increasing_id()), name="counted")
+    numbered = numbered_terms(terms, language)
+    pieces = known.select("_row", F.col(language).alias("_lang"), F.inline(F.arrays_zip("_grams.gram", "_grams.tf")).alias("gram", "tf"))
     for fitted in {id(m): m for m in models.values()}.values():
-        ends = {lang: end - 1 for lang, end in zip(fitted.offsets, [*list(fitted.offsets.values())[1:], fitted.size], strict=True)}
-        data = _in_blocks(weighed.where(F.col(language).isin(list(fitted.offsets))), language, fitted.offsets, ends, fitted.size)
-        scored = fitted.model.transform(data).withColumn("_p", vector_to_array("probability"))
-        name = F.element_at(F.array(*[F.lit(k) for k in fitted.classes]), F.col("prediction").cast("int") + 1)
+        members = list(fitted.offsets)
+        mine = pieces.where(F.col("_lang").isin(members))
+        sums = _weighed_sums(mine, _coefficients(fitted, numbered, language), len(fitted.classes)).withColumnRenamed("_row", "_at")
+        scored = known.where(F.col(language).isin(members)).drop("_grams").join(sums, F.col("_row") == F.col("_at"), "left")
+        base = _intercepts(fitted)
+        margins = F.array(*[F.coalesce(f"_s{k}", F.lit(0.0)) + _by_language(language, base[k]) for k in range(len(fitted.classes))])
+        scored = scored.withColumn("_margins", margins).withColumn("_top", F.array_max("_margins"))
+        scored = scored.withColumn("_shares", F.transform("_margins", lambda m: F.exp(m - F.col("_top"))))
+        scored = scored.withColumn("_whole", F.aggregate("_shares", F.lit(0.0), lambda total, x: total + x))
+        name = F.element_at(F.array(*[F.lit(k) for k in fitted.classes]), F.array_position("_margins", F.col("_top")).cast("int"))
         chances = [
-            (F.get("_p", F.lit(fitted.classes.index(k))) if k in fitted.classes else none.cast("double")).alias(f"p_{k}")
+            (F.get("_shares", F.lit(fitted.classes.index(k))) / F.col("_whole") if k in fitted.classes else none.cast("double")).alias(f"p_{k}")
             for k in classes
         ]
         parts.append(scored.select(*rows.columns, name.alias("predicted"), *chances))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _coefficients(fitted: LanguageModel, numbered: DataFrame, language: str) -> DataFrame:
+    """(_language, gram, idf, _w0, ..): the terms of the model's languages with their coefficient per class."""
+    matrix = fitted.model.coefficientMatrix.toArray()
+    table = {"_place": np.arange(fitted.size, dtype=np.int32)} | {f"_w{k}": row for k, row in enumerate(matrix)}
+    own = numbered.where(F.col(language).isin(list(fitted.offsets))).withColumn("_place", _by_language(language, fitted.offsets) + F.col("index"))
+    known = own.join(numbered.sparkSession.createDataFrame(pa.table(table)), "_place")
+    return materialise(known.select(F.col(language).alias("_language"), "gram", "idf", *[f"_w{k}" for k in range(len(matrix))]), name="coefficients")
+
+
+def _intercepts(fitted: LanguageModel) -> list[dict[str, float]]:
+    """Per class each language's intercept: the model's, and the weight of the constant in the last place of the language's block."""
+    matrix, common = fitted.model.coefficientMatrix.toArray(), fitted.model.interceptVector.toArray()
+    return [
+        {lang: float(INTERCEPT * row[end] + more) for lang, end in _ends(fitted).items()} for row, more in zip(matrix, common, strict=True)
+    ]
+
+
+def _ends(fitted: LanguageModel) -> dict[str, int]:
+    """The last place of each language's block."""
+    return {lang: end - 1 for lang, end in zip(fitted.offsets, [*list(fitted.offsets.values())[1:], fitted.size], strict=True)}
+
+
+def _weighed_sums(pieces: DataFrame, coefficients: DataFrame, classes: int) -> DataFrame:
+    """(_row, _s0, ..): the TF-IDF weights of a row, scaled to length 1, times the coefficients of each class.
+
+    Sums are taken where pieces meet their terms, so what moves is one row per text and task, not its terms.
+    """
+    found = pieces.join(coefficients, (pieces["gram"] == coefficients["gram"]) & (pieces["_lang"] == coefficients["_language"]))
+    found = found.withColumn("_v", (1 + F.log("tf")) * F.col("idf"))
+    sums = found.groupBy("_row").agg(
+        F.sum(F.col("_v") * F.col("_v")).alias("_square"), *[F.sum(F.col("_v") * F.col(f"_w{k}")).alias(f"_s{k}") for k in range(classes)])
+    return sums.select("_row", *[(F.col(f"_s{k}") / F.sqrt("_square")).alias(f"_s{k}") for k in range(classes)])
+
+
 def stack_features(
     rows: DataFrame, use_baseline: bool, pred: str = "pred", conf: str = "conf", stars: str = "stars_pred"
 ) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-from functools import lru_cache
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,37 +16,102 @@ from ..storage import in_slices, materialise, new_folder, spread
 from .positions import first_n
 
 GRAMS = "gram array<string>, tf array<int>"
+CODED = "gram array<bigint>, tf array<int>"
+CODE = 21  # bits of a character's code, which is one more than its code point
+SPACE = ord(" ") + 1
 
 
-@lru_cache(maxsize=50_000)
-def _word_grams(word: str, longest: int) -> tuple[str, ...]:
+def _word_grams(word: str, longest: int) -> Iterator[str]:
     """The 1..longest character pieces of a word that has one space on each side."""
     padded = f" {word} "
-    return tuple(
-        padded[start : start + size] for size in range(1, longest + 1) for start in range(len(padded) - size + 1)
-    )
+    return (padded[start : start + size] for size in range(1, longest + 1) for start in range(len(padded) - size + 1))
+
+
+def _counted_words(texts: Sequence[str | None], longest: int) -> pa.Array:
+    """Counts of pieces of any length, word by word."""
+    counted = []
+    for text in texts:
+        counts: Counter[str] = Counter()
+        for word, n in Counter((text or "").lower().split()).items():
+            for gram in _word_grams(word, longest):
+                counts[gram] += n
+        counted.append({"gram": list(counts), "tf": list(counts.values())})
+    return pa.array(counted, pa.struct([("gram", pa.list_(pa.string())), ("tf", pa.list_(pa.int32()))]))
+
 
+def _counted(texts: Sequence[str | None], longest: int, spelled: bool = True) -> pa.Array:
+    """Counts of pieces whose codes fit into one number, for all texts at once."""
+    codes, counts, ends = _char_grams(texts, longest)
+    grams, ends = pa.array(codes), pa.array(ends.astype(np.int32))
+    if spelled:
+        known = grams.dictionary_encode()
+        grams = _spelled(known.dictionary, longest).take(known.indices)
+    lists = [pa.ListArray.from_arrays(ends, values) for values in (grams, pa.array(counts.astype(np.int32)))]
+    return pa.StructArray.from_arrays(lists, names=["gram", "tf"])
 
-def _char_grams(text: str, longest: int) -> dict[str, int]:
-    counts: dict[str, int] = defaultdict(int)
-    for word, n in Counter(text.lower().split()).items():
-        for gram in _word_grams(word, longest):
-            counts[gram] += n
-    return counts
 
+def _padded(text: str | None) -> str:
+    """The words in lower case with one space on each side; only between two words are there two spaces in a row."""
+    words = (text or "").lower().split()
+    return f" {'  '.join(words)} " if words else ""
 
-def char_gram_counts(rows: DataFrame, text: str, longest: int = 3, name: str = "grams") -> DataFrame:
+
+def _char_grams(texts: Sequence[str | None], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(grams, how often, where the grams of each text begin and end). A gram is one number, of ``CODE`` bits per character from the
+    first on, so numbers have the order of the strings.
+
+    A piece without two spaces in a row lies within a padded word; texts follow one another like words.
+    """
+    padded = [_padded(text) for text in texts]
+    ends = np.cumsum([len(p) for p in padded], dtype=np.int64)
+    codes = np.frombuffer("".join(padded).encode("utf-32-le"), dtype=np.uint32).astype(np.int64) + 1
+    between = np.append((codes[1:] == SPACE) & (codes[:-1] == SPACE), True)[:len(codes)]
+    keys = np.zeros((longest, len(codes)), dtype=np.int64)  # 0: no piece of this length starts here
+    piece, inside = codes, np.ones(len(codes), dtype=bool)
+    for size in range(longest):
+        keys[size] = np.where(inside, piece << CODE * (longest - 1 - size), 0)
+        inside = inside & ~np.append(between[size:], np.ones(size, dtype=bool))[:len(codes)]
+        piece = (piece << CODE) + np.append(codes[size + 1:], np.zeros(size + 1, dtype=np.int64))[:len(codes)]
+    grams, counts, sizes = [], [], []
+    for start, end in zip(np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+        own = np.sort(keys[:, start:end], axis=None)
+        own = own[np.searchsorted(own, 1):]
+        at = np.flatnonzero(np.append(True, own[1:] != own[:-1])[:len(own)])
+        grams.append(own[at])
+        counts.append(np.diff(np.append(at, len(own))))
+        sizes.append(len(at))
+    return np.concatenate(grams), np.concatenate(counts), np.append(0, np.cumsum(sizes))
+
+
+def _spelled(grams: pa.Array, longest: int) -> pa.Array:
+    """The pieces as strings."""
+    shifts = np.arange(longest - 1, -1, -1) * CODE
+    codes = (grams.to_numpy()[:, None] >> shifts) & ((1 << CODE) - 1)
+    there = codes > 0
+    codes = codes - 1
+    width = (1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)) * there
+    body = codes[there].astype(np.uint32).tobytes().decode("utf-32-le").encode()
+    offsets = np.append(0, np.cumsum(width.sum(axis=1))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(grams), pa.py_buffer(offsets), pa.py_buffer(body))
+
+
+def char_gram_counts(rows: DataFrame, text: str, longest: int = 3, name: str = "grams", spelled: bool = True) -> DataFrame:
     """Add the n-gram counts of the whole text: two arrays (gram, tf) of equal length.
 
+    Grams are strings, or numbers in the order of the strings where they need not be ``spelled`` (up to three characters).
     Counting stays inside the row. Exploding first would shuffle some twenty times the size of the text only
     to bring the pieces of one review together again.
     """
 
-    @F.pandas_udf(GRAMS)
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    packed = longest * CODE < 64
+    if not (spelled or packed):
+        raise ValueError("grams of more than three characters have no number")
+
+    @F.arrow_udf(GRAMS if spelled else CODED)
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in in_slices(batches):
-            counted = [_char_grams(t or "", longest) for t in texts]
-            yield pd.DataFrame({"gram": [list(c) for c in counted], "tf": [list(c.values()) for c in counted]})
+            own = texts.to_pylist()
+            yield _counted(own, longest, spelled) if packed else _counted_words(own, longest)
 
     return spread(rows).withColumn(name, count(F.col(text)))
 

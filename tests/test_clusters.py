@@ -208,3 +208,33 @@ def test_a_stacker_fit_has_a_task_per_core(spark, monkeypatch):
     monkeypatch.setattr(m, "_predict", lambda model, data, classes: seen.append(data.rdd.getNumPartitions()) or predict(model, data, classes))
     m.stack_select(rows, rows, "review_id", folds=2)
     assert seen and max(seen) <= spark.sparkContext.defaultParallelism
+
+
+def test_predictions_are_sums_over_terms_and_equal_the_model(spark):
+    rows = sentences(spark)
+    fitted, terms = m.train_by_language(rows, "lang", "text", "label", ["en", "de"])
+    odd = spark.createDataFrame([(900, "en", None, None), (901, "en", "zzz", None), (902, None, "great", None), (902, "en", "Great  AWFUL", None)], rows.schema)
+    table = rows.unionByName(odd)
+    predicted = m.predict_by_language(fitted, terms, table, "lang", "text")
+    plan = predicted._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "sum(" in plan  # terms do not come together by row
+    model = fitted["en"]
+    english = table.where("lang = 'en'").withColumn("text", F.coalesce("text", F.lit("")))
+    weighed = f.tfidf_weights(f.char_gram_counts(english, "text", spelled=False), terms, "lang")
+    scored = model.model.transform(m._in_blocks(weighed, "lang", model.offsets, m._ends(model), model.size))
+    expected = {r.id: (model.classes[int(r.prediction)], r.probability.toArray()) for r in scored.collect()}
+    got = {r.id: r for r in predicted.where("lang = 'en'").collect()}
+    assert set(got) == set(expected) and predicted.count() == table.count()
+    for i, (name, chances) in expected.items():
+        assert got[i].predicted == name and [got[i][f"p_{k}"] for k in model.classes] == pytest.approx(list(chances), abs=1e-12)
+
+
+def test_pieces_counted_at_once_equal_those_word_by_word():
+    texts = [None, "", " ", "a", "a\x00b c", "日本 語　x", "😀 é ß İ ſ", "ab  ab\n\tAB", "\x1cq\x1fr\u0085s\xa0t", "no " * 40, ""]
+    for longest in (1, 2, 3):
+        once, words = f._counted(texts, longest).to_pylist(), f._counted_words(texts, longest).to_pylist()
+        for a, b in zip(once, words, strict=True):
+            assert dict(zip(a["gram"], a["tf"], strict=True)) == dict(zip(b["gram"], b["tf"], strict=True)) and len(a["gram"]) == len(b["gram"])
+        numbers = f._counted(texts, longest, spelled=False).to_pylist()
+        assert all(sorted(a["gram"]) == a["gram"] for a in once)  # code points
+        assert all(sorted(a["gram"]) == a["gram"] and a["tf"] == b["tf"] for a, b in zip(numbers, once, strict=True))
