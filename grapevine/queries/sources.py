@@ -15,7 +15,7 @@ from ..storage import new_folder
 from .clusters import counted, hashed_words, spaces_of_chars
 from .measures import TRUTH, _truth
 from .registry import query
-from .replies import FULL, CATEGORIES, _full
+from .replies import CUT, FULL, CATEGORIES, _full
 from .samples import LEDGER, PRICES, ledger
 from .standins import CLUSTER_ROWS, ORDER_REVIEWS, PREDICTIONS, REVIEWS, cluster_rows, order_reviews, predictions, reviews, table
 from ..fixed import ISSUE_CATEGORIES
@@ -177,7 +177,7 @@ FROM state LEFT JOIN (VALUES {CATEGORIES}) v(id, label) ON id = category"""
 )
 def append_output(spark, folder):
     path = new_folder(spark, "output")
-    writers.append_output(_full(spark, folder), path)
+    writers.append_output(_full(spark, folder, **CUT), path)
     return spark.read.parquet(path).select("review_id", "sentiment", "topic", "cluster_label", "reply_status")
 
 
